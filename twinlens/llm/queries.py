@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from twinlens.llm import exact_dedup, mixing
+from twinlens.llm import exact_dedup, mixing, packing, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op5_mixing": mixing.op5_mixing,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE = {
