@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from twinlens.llm.common import SPACE, reliable, table
 
+#: Groups up to this size are never counted as hot.
+HOT_ROWS = 1000
+
 
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 26
@@ -33,7 +36,8 @@ def exact_duplicates(
             F.sha2(F.regexp_replace(text, SPACE, "").cast("binary"), 256).alias("sha"),
         ).withColumn("row", F.monotonically_increasing_id())
     )
-    wanted = max(1 << 12, slim.count() * bits_per_row)
+    rows = slim.count()
+    wanted = max(1 << 12, rows * bits_per_row)
     words = min(1 << (wanted - 1).bit_length(), max_bits) // 64
 
     # a register-blocked filter: one word of 64 bits per text, two bits within it
@@ -59,10 +63,13 @@ def exact_duplicates(
         F.min(F.struct((-F.col("points")).alias("p"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best"),
         F.count("*").alias("group_size"),
     )
-    repeated = maybe.join(groups, "sha").select(
-        "id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "sha"
-    )
-    return unique.unionByName(repeated).select(
+    # groups of over a thousandth of the rows, a thousand at most, are broadcast, so that none of them meets in one task
+    large = F.col("group_size") > max(HOT_ROWS, rows // 1000)
+    verdict = "id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "sha"
+    hot = maybe.join(F.broadcast(groups.filter(large)), "sha", "left")
+    repeated = hot.filter("best is not null").select(*verdict)
+    other = hot.filter("best is null").drop("best", "group_size").join(groups.filter(~large), "sha").select(*verdict)
+    return unique.unionByName(repeated).unionByName(other).select(
         F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")
     )
 
