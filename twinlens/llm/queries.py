@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinlens.llm import exact_dedup, language_id, mixing, packing, quality_rules, token_counts, url_filter
+from twinlens.llm import exact_dedup, language_id, mixing, packing, quality_rules, repeats, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_suffix_dedup": repeats.op9_suffix_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE = {
