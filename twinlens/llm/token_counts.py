@@ -1,7 +1,7 @@
 """Token counts of whole texts by a byte-level BPE, with overlap resynchronisation for huge documents.
 
 A huge document is encoded in overlapping chunks with offsets. Two encodings are spliced at a common boundary: a word
-that both start as a token of its own after one space between letters or digits. The pre-tokenizer looks forward only
+that both start as a token of its own after one space, with no other white space beside it. The pre-tokenizer looks forward only
 and no match spans such a space, so from there on the encoding depends on nothing before it. Where an overlap has no
 common boundary it is doubled, up to the rest of the document.
 
@@ -11,6 +11,7 @@ and kept; a text with other white space beside its spaces goes to the library as
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -25,13 +26,13 @@ from twinlens.llm.common import table
 CHUNK, OVERLAP = 32_768, 1_024
 #: Pieces that a worker keeps.
 KEPT_PIECES = 600_000
-_BOUNDARY = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+_BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"\s | \s|^ | $|\x00")
 
 
 def splice(text: str, encode: Callable, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     """The ids of text, from chunks of it. encode(part) gives (ids, starts, opens): opens tells if a token begins with
-    a space, which its start leaves out."""
+    a space; its start is the space's."""
     ids: list[int] = []
     at = 0  # ids has the tokens of text[:at]
     stop = min(chunk, len(text))
@@ -49,7 +50,7 @@ def splice(text: str, encode: Callable, chunk: int = CHUNK, overlap: int = OVERL
                 p = at + left[1][i]
                 if p <= begin:
                     break
-                if left[2][i] and p in starts and _BOUNDARY.match(text, p - 1) and _BOUNDARY.search(text, p, stop):
+                if left[2][i] and p in starts and _BOUNDARY.match(text, p) and _BOUNDARY.search(text, p + 1, stop):
                     cut = p, i, starts[p]
                     break
             if cut or begin == at:
@@ -70,6 +71,7 @@ class Counter:
     """Counts tokens as the library does; one for each worker and vocabulary."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
