@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from twinlens.llm import exact_dedup, language_id, mixing, packing, quality_rules, repeats, token_counts, url_filter
+from twinlens.llm import exact_dedup, jaccard_join, language_id, mixing, packing, quality_rules, repeats, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_language_id": language_id.op2_language_id,
     "op3_url_filters": url_filter.op3_url_filters,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE = {
+    "op4_jaccard_join": jaccard_join.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
