@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinlens.llm import exact_dedup, jaccard_join, language_id, mixing, packing, quality_rules, repeats, token_counts, url_filter
+from twinlens.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, repeats, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_suffix_dedup": repeats.op9_suffix_dedup,
