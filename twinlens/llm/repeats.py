@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -234,7 +235,7 @@ def _hand_on_stretches(buckets: int):
         for i, p in enumerate(_split(keys, buckets)):
             if len(p):
                 part = [texts[j] for j in p]
-                out.append((i, key[0], b"".join(part), np.array([len(x) for x in part], np.int32).tobytes(), keys[p].tobytes(), low[p].tobytes(), high[p].tobytes()))
+                out.append((i, key[0], zstandard.compress(b"".join(part), 3), np.array([len(x) for x in part], np.int32).tobytes(), keys[p].tobytes(), low[p].tobytes(), high[p].tobytes()))
         return pd.DataFrame(dict(zip(names, zip(*out, strict=True), strict=True))) if out else pd.DataFrame({n: [] for n in names})
 
     return run
@@ -246,9 +247,9 @@ def _smallest_documents(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     owner, low, high, block, keys = [], [], [], [], []
     for r in frame.itertuples():
         ends = np.cumsum(np.frombuffer(r.sizes, np.int32)).tolist()
-        at = 0
+        at, stretches = 0, zstandard.decompress(r.texts)
         for end in ends:
-            owner.append(place.setdefault(r.texts[at:end], len(place)))
+            owner.append(place.setdefault(stretches[at:end], len(place)))
             at = end
         low.append(np.frombuffer(r.low, np.int64))
         high.append(np.frombuffer(r.high, np.int64))
