@@ -25,7 +25,9 @@ NEARLY_FULL = 16
 #: Items of a group, and groups that merge in a round at least.
 GROUP_ITEMS, FAN_IN = 20_000, 4
 #: Words that a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
+#: The vocabulary's special token between words that are encoded in one call, and so many words.
+SEPARATOR, JOINED = "<|endoftext|>", 400
 #: A round that joins less than this part of its bins is the last.
 LEAST_GAIN = 0.01
 
@@ -34,7 +36,8 @@ class Ids:
     """Token ids of words, each encoded by the library once for each worker and kept in one flat array.
 
     The vocabulary's normalizer and pre-tokenizer drop white space and match nothing across it, so a text's ids are its
-    words' ids in order.
+    words' ids in order. ASCII letters are lower-cased by the normalizer, and a full stop or comma at a word's end after
+    an ASCII letter or digit is a match of its own, so that many words share one encoding.
     """
 
     def __init__(self, path: str):
@@ -42,32 +45,68 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
+        self.tails = {k: tuple(self.tokenizer.encode(k.decode(), add_special_tokens=False).ids) for k in (b".", b",")} | {b"": ()}
+        self.separator = self.tokenizer.token_to_id(SEPARATOR)
         self.words: dict[bytes | None, int] = {None: 0}  # None stands for the id 0 after a document
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 1
-        self.starts, self.sizes, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
-        self.sizes[0] = 1
+        self.starts, self.sizes, self.hits = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the more frequent half of the words."""
+        often = self.hits > np.median(self.hits)
+        often[0] = True
+        new = np.cumsum(often) - 1
+        self.words = {w: int(new[k]) for w, k in self.words.items() if often[k]}
+        sizes = self.sizes[often]
+        upto = np.cumsum(sizes)
+        self.flat = self.flat[np.arange(upto[-1]) + np.repeat(self.starts[often] - (upto - sizes), sizes)]
+        self.used = len(self.flat)
+        self.starts, self.sizes, self.hits = upto - sizes, sizes, self.hits[often] // 2
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.words.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
+        self.used += len(ids)
+
+    def _learn_whole(self, words: list[bytes]) -> None:
+        """A special token between words keeps them apart in one call; a word that might hold one has a call alone."""
+        plain, odd = [w for w in words if b"<" not in w], [w for w in words if b"<" in w]
+        texts = [SEPARATOR.join(w.decode() for w in plain[k : k + JOINED]) + SEPARATOR for k in range(0, len(plain), JOINED)]
+        if texts:
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+            ends = np.flatnonzero(ids == self.separator)
+            self._add(plain, ids[ids != self.separator], np.diff(ends, prepend=-1) - 1)
+        for w in odd:
+            ids = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
+            self._add([w], ids, np.array([len(ids)]))
 
     def learn(self, new: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n + len(new) > len(self.sizes):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        self.starts[self.n : self.n + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[self.n : self.n + len(new)] = sizes
-        self.words.update(zip(new, range(self.n, self.n + len(new)), strict=True))
-        self.used, self.n = self.used + total, self.n + len(new)
+        rest, stems = [], set()
+        for w in new:
+            tail = w[-1:] if w[-1:] in (b".", b",") and w[-2:-1].isalnum() else b""
+            stem = w[:-1] if tail else w
+            stem = stem.lower() if stem.isascii() and b"<" not in stem else stem
+            if stem not in self.words:
+                stems.add(stem)
+            if stem != w:
+                rest.append((w, stem, tail))
+        self._learn_whole(list(stems))
+        rest = [r for r in rest if r[0] not in self.words]
+        if rest:
+            at = np.array([self.words[s] for _, s, _ in rest])
+            ids = [np.append(self.flat[a : a + n], self.tails[t]) for a, n, (_, _, t) in zip(self.starts[at].tolist(), self.sizes[at].tolist(), rest, strict=True)]
+            self._add([w for w, _, _ in rest], np.concatenate(ids), np.array([len(x) for x in ids]))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, each followed by id 0, and the number of each text's."""
-        if self.n > KEPT_WORDS:
-            self.reset()
+        if len(self.sizes) > KEPT_WORDS:
+            self.forget()
         words: list[bytes | None] = []
         ends = []
         for t in texts:
@@ -79,6 +118,7 @@ class Ids:
             self.learn(list({w for w, k in zip(words, at, strict=True) if k is None}))
             at = list(map(self.words.__getitem__, words))
         at = np.array(at, np.int64)
+        self.hits += np.bincount(at, minlength=len(self.hits))
         sizes = self.sizes[at]
         upto = np.cumsum(sizes)
         ids = self.flat[np.arange(upto[-1]) + np.repeat(self.starts[at] - (upto - sizes), sizes)]
@@ -101,7 +141,7 @@ def token_pieces(
         path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
         own = _IDS.get(path) or _IDS.setdefault(path, Ids(path))
         for b in batches:
-            for part in (b.slice(k, 256) for k in range(0, b.num_rows, 256)):
+            for part in (b.slice(k, 128) for k in range(0, b.num_rows, 128)):
                 ids, sizes = own.encode(part.column(1).to_pylist())
                 raw, begin = ids.astype("<u4").tobytes(), np.cumsum(sizes) - sizes
                 n = -(-sizes // capacity)
