@@ -19,15 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """df from files in the shared checkpoint folder: computed once, and safe against lost executors.
-
-    The session's spark.checkpoint.dir is used; a folder is chosen only where none is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; one is chosen only where the session names none."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """df from files in the shared folder: computed once, and safe against lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -121,6 +121,20 @@ def op5_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: a document stays as often as the mix takes it in full, none of them up to MAX_REPEATS times.
+
+    A document without words has nothing to take and stays once.
+    """
+    keyed = docs.withColumn("_id", F.struct("doc_id", F.xxhash64("text", "source")))
+    taken = mix(keyed.withColumn("_key", F.col("_id").cast("string")), "_key", "source", "text").filter("size > 0")
+    times = reliable(taken.select("_key", F.floor(F.col("taken") / F.col("size")).cast("int").alias("_n")).dropDuplicates(["_key"]))
+    by = small(times, times.count())
+    joined = keyed.withColumn("_key", F.col("_id").cast("string")).join(by, "_key", "left")
+    copies = F.when(F.coalesce("_n", F.lit(1)) > 0, F.sequence(F.lit(1), F.coalesce("_n", F.lit(1))))
+    return joined.withColumn("_copy", F.explode(copies)).select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

@@ -255,3 +255,8 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_co
 
 def op8_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last: the pieces of all documents, a row for each, and their places in sequences."""
+    return pack_documents(docs.select("doc_id", "text"))
