@@ -1,6 +1,737 @@
-"""The registry of the engine's queries over the bundled tables."""
+"""The registry of the engine's queries over the bundled tables, with the DuckDB SQL of those that SQL can express.
+
+Sites, samples and alleles are made from line items: the part is the position, return flags A and R are the normal and
+the tumor, line numbers give bases. All queries run over whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE = {}
+import tempfile
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinlens.functions import alleles as A
+from twinlens.functions import quality as Q
+from twinlens.functions import text as T
+from twinlens.operators import calls as CALLS
+from twinlens.operators import copynumber as CN
+from twinlens.operators import counts as C
+from twinlens.operators import evaluate as EV
+from twinlens.operators import haplotype as H
+from twinlens.operators import intervals as IV
+from twinlens.operators import kernels as K
+from twinlens.operators import paired as P
+from twinlens.operators import sampling as S
+from twinlens.operators import sequences as SEQ
+from twinlens.plans import pipelines as PL
+from twinlens.streaming import live
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def observations(spark: SparkSession, d: str) -> DataFrame:
+    li = load(spark, d, "lineitem").filter("l_returnflag in ('A', 'R')")
+    return li.select(
+        F.expr("concat('chr', l_partkey % 22 + 1)").alias("ctg"), F.col("l_partkey").alias("pos"),
+        F.expr("substring('ACGT', cast(l_partkey % 4 as int) + 1, 1)").alias("ref"),
+        F.expr("case l_returnflag when 'A' then 'normal' else 'tumor' end").alias("sample"),
+        F.expr("case l_linestatus when 'O' then lower(substring('ACGT', l_linenumber % 4 + 1, 1)) else substring('ACGT', l_linenumber % 4 + 1, 1) end").alias("base"),
+        F.expr("case when l_quantity % 10 = 0 then '+AC' when l_quantity % 15 = 0 then '-NN' else '' end").alias("indel"),
+        F.expr("cast(l_quantity as int)").alias("bq"), F.expr("cast(l_suppkey % 60 as int)").alias("mq"), F.expr("cast(l_suppkey % 3 as int)").alias("hp"),
+        F.expr("cast(l_orderkey as string)").alias("qname"), F.lit(0).alias("flag"),
+    )
+
+
+OBS = """o AS (
+  SELECT concat('chr', l_partkey % 22 + 1) AS ctg, l_partkey AS pos, substr('ACGT', CAST(l_partkey % 4 AS INT) + 1, 1) AS ref,
+    CASE l_returnflag WHEN 'A' THEN 'normal' ELSE 'tumor' END AS sample,
+    CASE l_linestatus WHEN 'O' THEN lower(substr('ACGT', l_linenumber % 4 + 1, 1)) ELSE substr('ACGT', l_linenumber % 4 + 1, 1) END AS base,
+    CASE WHEN l_quantity % 10 = 0 THEN '+AC' WHEN l_quantity % 15 = 0 THEN '-NN' ELSE '' END AS indel,
+    CAST(l_quantity AS INT) AS bq, CAST(l_suppkey % 60 AS INT) AS mq, CAST(l_suppkey % 3 AS INT) AS hp, CAST(l_orderkey AS VARCHAR) AS qname
+  FROM lineitem WHERE l_returnflag IN ('A', 'R'))"""
+ALLELES = f"""{OBS}, e AS (
+  SELECT ctg, pos, ref, sample, upper(base) AS allele FROM o
+  UNION ALL SELECT ctg, pos, ref, sample, CASE substr(indel, 1, 1) WHEN '+' THEN 'I' ELSE 'D' END || upper(base) || substr(indel, 2) FROM o WHERE indel <> ''),
+g AS (SELECT ctg, pos, ref, sample, allele, count(*) AS n FROM e GROUP BY ALL),
+c AS (SELECT *, CAST(sum(CASE WHEN length(allele) = 1 THEN n ELSE 0 END) OVER (PARTITION BY ctg, pos, ref, sample) AS BIGINT) AS depth FROM g)"""
+GATE = f"""{ALLELES}, k AS (
+  SELECT ctg, pos, ref, sample, depth,
+    coalesce(bool_or(length(allele) = 1 AND allele <> ref AND n >= 3 AND n / depth >= 0.05), false) AS snv,
+    coalesce(bool_or(length(allele) > 1 AND n >= 3 AND n / depth >= 0.1), false) AS indel,
+    list_sort(list({{'m': -n, 'a': allele}}) FILTER (length(allele) = 1 AND allele <> ref)) AS r
+  FROM c WHERE depth > 4 GROUP BY ALL),
+s AS (SELECT ctg, pos, ref, sample, depth, snv, indel, r[1].a AS top_allele, round(-r[1].m / depth, 3) AS top_af, round(-r[2].m / depth, 3) AS second_af FROM k WHERE snv OR indel)"""
+FRACTIONS = f"""{ALLELES}, f AS (
+  SELECT ctg, pos, ref, allele, coalesce(max(CASE sample WHEN 'tumor' THEN n / depth END), 0.0) AS taf, coalesce(max(CASE sample WHEN 'normal' THEN n / depth END), 0.0) AS naf
+  FROM c WHERE length(allele) = 1 AND allele <> ref GROUP BY ALL)"""
+
+
+@query(f"WITH {ALLELES} SELECT * FROM c")
+def allele_counts(spark, d):
+    return C.allele_counts(observations(spark, d))
+
+
+@query(f"WITH {GATE} SELECT * FROM s")
+def candidate_sites(spark, d):
+    return C.candidates(C.allele_counts(observations(spark, d)))
+
+
+@query(f"""WITH {GATE}, j AS (
+  SELECT s.*, x.n AS nn, x.depth AS nd, coalesce(round(x.n / x.depth, 3), 0.0) AS naf
+  FROM s LEFT JOIN c x ON x.sample = 'normal' AND x.ctg = s.ctg AND x.pos = s.pos AND x.allele = s.top_allele WHERE s.sample = 'tumor' AND top_allele IS NOT NULL)
+SELECT ctg, pos, ref, sample, depth, snv, indel, top_allele, top_af, second_af, naf FROM j
+WHERE CASE WHEN coalesce(nd, 0) <= 4 THEN true WHEN naf <= 0 OR top_af <= 0 THEN true WHEN naf >= 0.05 THEN top_af >= 6 * naf ELSE top_af > 4 * naf END""")
+def paired_normal_filter(spark, d):
+    c = C.allele_counts(observations(spark, d))
+    found = P.paired_filter(C.candidates(c.filter("sample = 'tumor'")), c)
+    return found.select("ctg", "pos", "ref", "sample", "depth", "snv", "indel", "top_allele", "top_af", "second_af", "naf")
+
+
+@query(f"""WITH {FRACTIONS} SELECT ctg, pos, ref,
+  min({{'g': -round(taf - naf, 9), 'a': allele}}) FILTER (round(taf - naf, 9) > 0).a AS somatic, min({{'g': -round(taf + naf, 9), 'a': allele}}).a AS germline
+FROM f GROUP BY ALL""".replace("min({'g': -round(taf - naf, 9), 'a': allele}) FILTER (round(taf - naf, 9) > 0).a", "(min({'g': -round(taf - naf, 9), 'a': allele}) FILTER (round(taf - naf, 9) > 0)).a").replace("min({'g': -round(taf + naf, 9), 'a': allele}).a", "(min({'g': -round(taf + naf, 9), 'a': allele})).a"))
+def best_alleles(spark, d):
+    return P.best_alleles(P.allele_fractions(C.allele_counts(observations(spark, d))))
+
+
+@query(f"""WITH {OBS} SELECT ctg, pos, ref, sample, count(*) AS depth,
+  count(*) FILTER (upper(base) = 'A') AS n_a, count(*) FILTER (upper(base) = 'C') AS n_c, count(*) FILTER (upper(base) = 'G') AS n_g, count(*) FILTER (upper(base) = 'T') AS n_t,
+  count(*) FILTER (base = upper(base)) AS forward, count(*) FILTER (base <> upper(base)) AS reverse,
+  count(*) FILTER (hp = 0) AS hp0, count(*) FILTER (hp = 1) AS hp1, count(*) FILTER (hp = 2) AS hp2,
+  count(*) FILTER (hp = 0 AND upper(base) <> ref) AS alt_hp0, count(*) FILTER (hp = 1 AND upper(base) <> ref) AS alt_hp1, count(*) FILTER (hp = 2 AND upper(base) <> ref) AS alt_hp2,
+  round(avg(bq) FILTER (upper(base) <> ref), 6) AS alt_bq FROM o GROUP BY ALL""")
+def stranded_and_haplotype_counts(spark, d):
+    return C.reference_by_difference(C.site_counts(observations(spark, d))).withColumn("alt_bq", F.round("alt_bq", 6))
+
+
+def _channel_sql() -> str:
+    n = "count(*) FILTER (mq >= 20 AND {})"
+    cells = {b: n.format(f"base = '{b}'") for b in "ACGT*acgt#"}
+    for m, sign in (("I", "+"), ("D", "-")):
+        cells[m] = n.format(f"indel LIKE '{sign}%' AND base = upper(base)")
+        cells[m.lower()] = n.format(f"indel LIKE '{sign}%' AND base <> upper(base)")
+        cells[m + "1"], cells[m.lower() + "1"] = cells[m], cells[m.lower()]  # one insertion and one deletion in these data
+    for b in "ACGTacgt":
+        cells[b + "LMQ"] = f"count(*) FILTER (mq < 20 AND base = '{b}')"
+        cells[b + "LBQ"] = n.format(f"bq < 30 AND base = '{b}'")
+    parts = ", ".join(f'{cells[c]} AS "k{i}"' for i, c in enumerate(C.CHANNELS))
+    out = []
+    for i, c in enumerate(C.CHANNELS):
+        if c[0] in "ACGTacgt" and c[1:] in ("", "LMQ", "LBQ"):
+            strand = "ACGT" if c[0].isupper() else "acgt"
+            total = " + ".join(f'"k{C.CHANNELS.index(b + c[1:])}"' for b in strand)
+            out.append(f"CASE WHEN ref = '{c[0].upper()}' THEN {total} ELSE \"k{i}\" END")
+        else:
+            out.append(f'"k{i}"')
+    return f"WITH {OBS}, w AS (SELECT ctg, pos, ref, sample, {parts} FROM o GROUP BY ALL) SELECT ctg, pos, ref, sample, array_to_string([{', '.join(out)}], ',') AS channels FROM w"
+
+
+@query(_channel_sql())
+def pivot_channels(spark, d):
+    return C.channels(observations(spark, d)).withColumn("channels", F.array_join(F.transform("channels", lambda x: x.cast("string")), ","))
+
+
+@query(f"""WITH {OBS}, v AS (SELECT ctg, pos, count(*) AS a, count(DISTINCT hp) AS b FROM o GROUP BY ALL),
+w AS (SELECT s.ctg, s.pos, unnest(range(s.pos - 16, s.pos + 17)) AS at FROM (SELECT DISTINCT ctg, pos FROM v) s)
+SELECT w.ctg, w.pos, string_agg(coalesce(v.a, 0) || ',' || coalesce(v.b, 0), ',' ORDER BY w.at) AS features FROM w LEFT JOIN v ON v.ctg = w.ctg AND v.pos = w.at GROUP BY w.ctg, w.pos""")
+def feature_window(spark, d):
+    v = observations(spark, d).groupBy("ctg", "pos").agg(F.array(F.count("*"), F.count_distinct("hp")).alias("channels"))
+    w = SEQ.feature_window(v.select("ctg", "pos"), v, 2)
+    return w.withColumn("features", F.array_join(F.transform("features", lambda x: x.cast("string")), ","))
+
+
+@query(f"WITH {OBS}, u AS (SELECT DISTINCT ctg, pos, qname, upper(base) AS b FROM o) SELECT ctg, pos, count(*) FILTER (b = 'A') AS count_a, count(*) FILTER (b = 'C') AS count_c, count(*) FILTER (b = 'G') AS count_g, count(*) FILTER (b = 'T') AS count_t, count(*) AS good_depth FROM u GROUP BY ALL")
+def unique_fragment_counts(spark, d):
+    return C.unique_fragment_counts(observations(spark, d))
+
+
+def _calls(spark, d, flag: str) -> DataFrame:
+    """A call set from line items: of each part, the first allele by order key; the tax gives a probability."""
+    li = load(spark, d, "lineitem").filter(F.col("l_returnflag") == flag)
+    first = li.groupBy(F.col("l_partkey").alias("pos")).agg(F.min(F.struct("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity")).alias("r"))
+    return first.select(
+        F.expr("concat('chr', pos % 22 + 1)").alias("ctg"), "pos", F.expr("substring('ACGT', cast(pos % 4 as int) + 1, 1)").alias("ref"),
+        F.expr("substring('ACGT', cast((pos + 1 + r.l_linenumber % 3) % 4 as int) + 1, 1)").alias("alt"), F.expr("round(r.l_quantity / 51, 4)").alias("qual"),
+        F.expr("case when r.l_discount < 0.07 then 'PASS' when r.l_discount < 0.09 then 'Germline' else 'LowQual' end").alias("filter"), F.expr("r.l_tax * 2").alias("naf"),
+        F.expr("cast(r.l_quantity as int)").alias("dp"),
+    )
+
+
+def _calls_sql(name: str, flag: str) -> str:
+    return f"""{name} AS (
+  SELECT concat('chr', pos % 22 + 1) AS ctg, pos, substr('ACGT', CAST(pos % 4 AS INT) + 1, 1) AS ref,
+    substr('ACGT', CAST((pos + 1 + r.l_linenumber % 3) % 4 AS INT) + 1, 1) AS alt, round(r.l_quantity / 51, 4) AS qual,
+    CASE WHEN r.l_discount < 0.07 THEN 'PASS' WHEN r.l_discount < 0.09 THEN 'Germline' ELSE 'LowQual' END AS filter, r.l_tax * 2 AS naf, CAST(r.l_quantity AS INT) AS dp
+  FROM (SELECT l_partkey AS pos, min({{'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber, 'l_discount': l_discount, 'l_tax': l_tax, 'l_quantity': l_quantity}}) AS r
+        FROM lineitem WHERE l_returnflag = '{flag}' GROUP BY l_partkey))"""
+
+
+def _ratios_sql(places: int) -> str:
+    p, r = "coalesce(tp / nullif(tp + fp, 0), 0.0)", "coalesce(tp / nullif(tp + fn, 0), 0.0)"
+    return f"round({p}, {places}) AS precision, round({r}, {places}) AS recall, round(coalesce(2 * {p} * {r} / nullif({p} + {r}, 0), 0.0), {places}) AS f1"
+
+
+SCORED = "x AS (SELECT d.doc_id, d.n_chars // 100 AS score, CAST(coalesce(l.quality, 0) AS BIGINT) AS truth, (d.n_chars % 101) / 100 AS af FROM documents d JOIN labels l USING (doc_id))"
+
+
+def _scored(spark, d) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "n_chars")
+    return docs.join(load(spark, d, "labels"), "doc_id").select(
+        "doc_id", F.expr("n_chars div 100").alias("score"), F.coalesce("quality", F.lit(0)).cast("long").alias("truth"), (F.col("n_chars") % 101 / 100).alias("af")
+    )
+
+
+@query(f"""WITH {_calls_sql('t', 'A')}, {_calls_sql('c', 'R')}, j AS (
+  SELECT t.alt IS NOT NULL AS it, c.alt IS NOT NULL AS ic, coalesce(t.ref = c.ref AND t.alt = c.alt, false) AS same FROM t FULL JOIN c ON t.ctg = c.ctg AND t.pos = c.pos),
+n AS (SELECT count(*) FILTER (same) AS tp, count(*) FILTER (ic AND NOT same) AS fp, count(*) FILTER (it AND NOT same) AS fn FROM j),
+k AS (SELECT unnest(['SNV']) AS kind) SELECT kind, tp, fp, fn, {_ratios_sql(4)} FROM n, k""")
+def confusion_metrics(spark, d):
+    return EV.metrics(EV.classify(_calls(spark, d, "A"), _calls(spark, d, "R"), ["ctg", "pos"]))
+
+
+INDELS = """v AS (SELECT l_orderkey AS pos, l_linenumber AS ln, CASE l_linenumber % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'AT' ELSE 'G' END AS ref,
+  CASE l_partkey % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'CT' ELSE 'G' END AS alt, l_returnflag AS f FROM lineitem)"""
+
+
+@query(f"""WITH {INDELS}, t AS (SELECT * FROM v WHERE f <> 'N'), c AS (SELECT pos, ln, ref, CASE WHEN pos % 5 = 0 THEN 'T' ELSE alt END AS alt FROM v WHERE f <> 'A'),
+j AS (SELECT t.ref AS tr, t.alt AS ta, c.ref AS cr, c.alt AS ca FROM t FULL JOIN c ON t.pos = c.pos AND t.ln = c.ln),
+e AS (SELECT CASE WHEN ca IS NULL THEN ['fn'] WHEN ta IS NULL THEN ['fp'] WHEN ca = ta AND cr = tr THEN ['tp'] ELSE ['fp', 'fn'] END AS os, * FROM j),
+u AS (SELECT unnest(os) AS o, * FROM e), q AS (SELECT o, CASE WHEN o = 'fn' THEN tr ELSE cr END AS r, CASE WHEN o = 'fn' THEN ta ELSE ca END AS a FROM u),
+y AS (SELECT o, CASE WHEN length(r) = 1 AND length(a) = 1 THEN 'SNV' WHEN length(r) < length(a) THEN 'INS' WHEN length(r) > length(a) THEN 'DEL' END AS kind FROM q),
+z AS (SELECT kind, o FROM y WHERE kind IS NOT NULL UNION ALL SELECT 'INDEL', o FROM y WHERE kind IN ('INS', 'DEL')),
+n AS (SELECT kind, count(*) FILTER (o = 'tp') AS tp, count(*) FILTER (o = 'fp') AS fp, count(*) FILTER (o = 'fn') AS fn FROM z GROUP BY kind) SELECT kind, tp, fp, fn, {_ratios_sql(4)} FROM n""")
+def metrics_by_class(spark, d):
+    v = load(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("pos"), F.col("l_linenumber").alias("ln"), F.expr("case l_linenumber % 3 when 0 then 'A' when 1 then 'AT' else 'G' end").alias("ref"),
+        F.expr("case l_partkey % 3 when 0 then 'C' when 1 then 'CT' else 'G' end").alias("alt"), F.col("l_returnflag").alias("f"),
+    )
+    called = v.filter("f <> 'A'").withColumn("alt", F.expr("case when pos % 5 = 0 then 'T' else alt end")).drop("f")
+    return EV.metrics(EV.classify(v.filter("f <> 'N'").drop("f"), called, ["pos", "ln"]))
+
+
+SWEEP = f"""WITH {SCORED}, g AS (SELECT score, sum(truth) AS t, count(*) AS n FROM x GROUP BY score),
+r AS (SELECT score, CAST(sum(t) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS a, CAST(sum(t) OVER () AS BIGINT) AS truths FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT score, tp, a - tp AS fp, truths - tp AS fn FROM r), f AS (SELECT score, tp, fp, fn, {_ratios_sql(6)} FROM n)"""
+
+
+@query(SWEEP + " SELECT * FROM f")
+def roc_sweep(spark, d):
+    return EV.sweep(_scored(spark, d))
+
+
+@query(SWEEP + " SELECT * FROM f ORDER BY f1 DESC, score DESC LIMIT 1")
+def best_f1_cutoff(spark, d):
+    return EV.best_cut(EV.sweep(_scored(spark, d)))
+
+
+@query(f"""WITH {SCORED}, b AS (SELECT *, CASE WHEN af < 0.2 THEN 0.0 WHEN af < 0.5 THEN 0.2 WHEN af < 1.01 THEN 0.5 END AS bin FROM x),
+n AS (SELECT CAST(bin AS DOUBLE) AS bin, count(*) FILTER (score >= 10 AND truth = 1) AS tp, count(*) FILTER (score >= 10 AND truth <> 1) AS fp, count(*) FILTER (score < 10 AND truth = 1) AS fn FROM b GROUP BY bin)
+SELECT bin, tp, fp, fn, {_ratios_sql(6)} FROM n""")
+def metrics_by_bin(spark, d):
+    return EV.metrics_by_bin(_scored(spark, d), [0.0, 0.2, 0.5, 1.0], 10)
+
+
+@query("WITH g AS (SELECT l_linenumber AS label, count(*) AS n FROM lineitem GROUP BY 1), w AS (SELECT *, (1 - 0.999) / (1 - pow(0.999, n)) AS w FROM g) SELECT label, n, round(w / avg(w) OVER (), 6) AS weight FROM w")
+def class_weights(spark, d):
+    g = load(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("label")).agg(F.count("*").alias("n"))
+    return EV.class_weights(g).withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT CASE WHEN l_tax < 0 THEN 0 WHEN l_tax >= 0.08 THEN 9 ELSE CAST(floor(l_tax / 0.01 + 1e-9) AS BIGINT) + 1 END AS bin, count(*) AS n FROM (SELECT round(l_tax + 0.002, 3) AS l_tax FROM lineitem) GROUP BY 1")
+def fraction_histogram(spark, d):
+    x = load(spark, d, "lineitem").select(F.round(F.col("l_tax") + 0.002, 3).alias("v"))
+    return EV.histogram(x, "v", 0.0, 0.08, 8)
+
+
+# intervals: of parts and suppliers on the axis of order keys
+PARTS = "p AS (SELECT concat('chr', p_partkey % 3 + 1) AS ctg, p_partkey * 7 AS start, p_partkey * 7 + p_size AS end FROM part)"
+ORDERS = "q AS (SELECT concat('chr', o_orderkey % 3 + 1) AS ctg, o_orderkey AS pos FROM orders)"
+
+
+def _parts(spark, d) -> DataFrame:
+    return load(spark, d, "part").select(F.expr("concat('chr', p_partkey % 3 + 1)").alias("ctg"), F.expr("p_partkey * 7").alias("start"), F.expr("p_partkey * 7 + p_size").alias("end"))
+
+
+def _orders(spark, d) -> DataFrame:
+    return load(spark, d, "orders").select(F.expr("concat('chr', o_orderkey % 3 + 1)").alias("ctg"), F.col("o_orderkey").alias("pos"))
+
+
+def _right(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"start": "rstart", "end": "rend"})
+
+
+INSIDE = f'WITH {PARTS}, {ORDERS} SELECT ctg, pos FROM q WHERE {{}} EXISTS (SELECT 1 FROM p WHERE p.ctg = q.ctg AND q.pos > p.start AND q.pos <= p."end")'
+
+
+@query(INSIDE.format(""))
+def interval_semi_join(spark, d):
+    return IV.points_inside(_orders(spark, d), _right(_parts(spark, d)), ["ctg", "pos"], width=64)
+
+
+@query(INSIDE.format("NOT"))
+def interval_anti_join(spark, d):
+    return IV.points_inside(_orders(spark, d), _right(_parts(spark, d)), ["ctg", "pos"], inside=False, width=64)
+
+
+@query(f"""WITH {PARTS}, {ORDERS} SELECT q.ctg, q.pos, min(p.start) AS rstart FROM q JOIN p ON p.ctg = q.ctg AND q.pos > p.start AND q.pos <= p."end" GROUP BY ALL""")
+def interval_first_match(spark, d):
+    return IV.first_match(_orders(spark, d), _right(_parts(spark, d)), "rstart", 64).select("ctg", "pos", "rstart")
+
+
+@query(f"""WITH {PARTS}, l AS (SELECT concat('chr', s_suppkey % 3 + 1) AS ctg, s_suppkey * 101 AS start, s_suppkey * 101 + 150 AS "end", s_suppkey AS id FROM supplier),
+j AS (SELECT id, p.start AS rstart, p."end" AS rend, least(l."end", p."end") - greatest(l.start, p.start) AS overlap FROM l JOIN p ON l.ctg = p.ctg AND l.start < p."end" AND p.start < l."end")
+SELECT id, rstart, rend, overlap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, rstart, rend) AS k FROM j) WHERE k = 1""")
+def max_overlap_window(spark, d):
+    left = load(spark, d, "supplier").select(F.expr("concat('chr', s_suppkey % 3 + 1)").alias("ctg"), F.expr("s_suppkey * 101").alias("start"), F.expr("s_suppkey * 101 + 150").alias("end"), F.col("s_suppkey").alias("id"))
+    return IV.largest_overlap(left, _right(_parts(spark, d)), "id", 128)
+
+
+ISLANDS = f"""WITH {PARTS}, m AS (SELECT *, max("end") OVER (PARTITION BY ctg ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM p),
+i AS (SELECT *, sum(CASE WHEN top IS NULL OR start {{}} top THEN 1 ELSE 0 END) OVER (PARTITION BY ctg ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT ctg, min(start) AS start, max("end") AS "end", count(*) AS merged FROM i GROUP BY ctg, g"""
+
+
+@query(ISLANDS.format(">="))
+def merge_overlaps(spark, d):
+    return IV.merge_overlaps(_parts(spark, d))
+
+
+@query(ISLANDS.format(">"))
+def merge_touching(spark, d):
+    return IV.merge_overlaps(_parts(spark, d), strict=False)
+
+
+@query("SELECT concat('chr', p_partkey % 3 + 1) AS ctg, CAST(p_size AS BIGINT) AS start, CAST(p_size + 5 AS BIGINT) AS \"end\", count(*) AS merged, max(p_retailprice) AS top FROM part GROUP BY ALL")
+def merge_equal_intervals(spark, d):
+    p = load(spark, d, "part").select(F.expr("concat('chr', p_partkey % 3 + 1)").alias("ctg"), F.col("p_size").cast("long").alias("start"), (F.col("p_size") + 5).cast("long").alias("end"), "p_retailprice")
+    return IV.merge_equals(p, {"top": F.max("p_retailprice")})
+
+
+@query(f"""WITH {PARTS}, b AS (SELECT ctg, start AS c FROM p UNION SELECT ctg, "end" FROM p),
+k AS (SELECT DISTINCT p.ctg, p.start, p."end", b.c FROM p JOIN b ON b.ctg = p.ctg AND b.c >= p.start AND b.c <= p."end"),
+n AS (SELECT ctg, c AS start, lead(c) OVER (PARTITION BY ctg, start, "end" ORDER BY c) AS "end" FROM k) SELECT DISTINCT * FROM n WHERE "end" IS NOT NULL""")
+def split_overlaps(spark, d):
+    return IV.split_overlaps(_parts(spark, d), 64)
+
+
+@query(f"""WITH {PARTS} SELECT ctg, start, least("end", 7000) AS "end" FROM p WHERE start < 7000 UNION ALL SELECT ctg, greatest(start, 7040), "end" FROM p WHERE "end" > 7040""")
+def chop_intervals(spark, d):
+    return IV.chop(_parts(spark, d), 7000, 7040)
+
+
+@query(f"""WITH {PARTS} SELECT ctg, start, "end" FROM p WHERE NOT (start < 7000 AND 7000 < "end") UNION ALL SELECT ctg, start, 7000 FROM p WHERE start < 7000 AND 7000 < "end" UNION ALL SELECT ctg, 7000, "end" FROM p WHERE start < 7000 AND 7000 < "end" """)
+def slice_intervals(spark, d):
+    return IV.slice_at(_parts(spark, d), 7000)
+
+
+@query(f"""WITH {PARTS}, u AS (SELECT DISTINCT * FROM p) SELECT a.ctg, a.start, a."end", b.start AS rstart, b."end" AS rend FROM u a JOIN u b ON a.ctg = b.ctg AND a.start <= b.start AND b."end" <= a."end" AND (a.start < b.start OR b."end" < a."end")""")
+def nested_intervals(spark, d):
+    return IV.nested(_parts(spark, d), 64)
+
+
+@query(f"""WITH {PARTS}, a AS (SELECT * FROM p WHERE start % 2 = 0), b AS (SELECT * FROM p WHERE start % 3 = 0) (SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def interval_symmetric_difference(spark, d):
+    p = _parts(spark, d)
+    return IV.set_operation(p.filter("start % 2 = 0"), p.filter("start % 3 = 0"), "symmetric_difference")
+
+
+@query(f"""WITH {PARTS} SELECT ctg, min(start) AS start, max("end") AS "end" FROM p GROUP BY ctg""")
+def interval_span(spark, d):
+    return IV.span(_parts(spark, d))
+
+
+THIN = "t AS (SELECT concat('chr', o_orderkey % 3 + 1) AS ctg, o_orderkey AS pos FROM orders WHERE o_orderpriority = '1-URGENT')"
+
+
+def _thin(spark, d) -> DataFrame:
+    return load(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.expr("concat('chr', o_orderkey % 3 + 1)").alias("ctg"), F.col("o_orderkey").alias("pos"))
+
+
+@query(f"WITH {THIN} SELECT ctg, pos FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.ctg = t.ctg AND u.pos <> t.pos AND abs(u.pos - t.pos) <= 16)")
+def near_neighbour_exclusion(spark, d):
+    return IV.isolated(_thin(spark, d), 16)
+
+
+@query(f"WITH {THIN} SELECT t.ctg, t.pos, string_agg(CAST(u.pos AS VARCHAR), ',' ORDER BY u.pos) AS near FROM t JOIN t u ON u.ctg = t.ctg AND u.pos > t.pos - 100 AND u.pos <= t.pos + 100 AND u.pos <> t.pos GROUP BY ALL")
+def flank_germline_list(spark, d):
+    t = _thin(spark, d)
+    near = IV.neighbours(t, t.select("ctg", F.col("pos").alias("opos")), 100)
+    return near.groupBy("ctg", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list("opos")), lambda x: x.cast("string")), ",").alias("near"))
+
+
+@query(f"""WITH {THIN}, l AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY ctg ORDER BY pos) <= 16 THEN 0 ELSE 1 END AS n FROM t), g AS (SELECT *, sum(n) OVER (PARTITION BY ctg ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g FROM l)
+SELECT ctg, min(pos) - 8 AS start, max(pos) + 8 AS "end", count(*) AS n FROM g GROUP BY ctg, g""")
+def window_clusters(spark, d):
+    return SEQ.clusters(_thin(spark, d), 16, 8)
+
+
+# calls
+def _score_sql(p: str) -> str:
+    return f"greatest(round(-10.0 * log10((1.0 - {p} + 1e-10) / ({p} + 1e-10)) + 2.0, 3), 0.0)"
+
+
+@query(f"""WITH {_calls_sql('a', 'A')}, {_calls_sql('b', 'R')},
+j AS (SELECT coalesce(a.ctg, b.ctg) AS ctg, coalesce(a.pos, b.pos) AS pos, a.ref AS ar, a.alt AS aa, a.qual AS aq, a.filter AS af, a.naf AS an, b.ref AS br, b.alt AS ba, b.qual AS bq, b.filter AS bf, b.naf AS bn FROM a FULL JOIN b ON a.ctg = b.ctg AND a.pos = b.pos),
+k AS (SELECT *, CASE WHEN af = 'PASS' AND bf = 'PASS' THEN 1 WHEN bf IS NOT NULL THEN 2 WHEN af <> 'PASS' THEN 3 END AS r FROM j),
+o AS (SELECT ctg, pos, CASE r WHEN 2 THEN br ELSE ar END AS ref, CASE r WHEN 2 THEN ba ELSE aa END AS alt, CASE r WHEN 2 THEN bf ELSE af END AS filter, CASE r WHEN 2 THEN bn ELSE an END AS naf,
+  CASE r WHEN 1 THEN {_score_sql('((aq + bq) / 2)')} WHEN 2 THEN CASE WHEN bf IN ('Germline', 'RefCall') THEN {_score_sql('bq')} ELSE 0.0 END ELSE CASE WHEN af IN ('Germline', 'RefCall') THEN {_score_sql('aq')} ELSE 0.0 END END AS qual FROM k WHERE r IS NOT NULL),
+l AS (SELECT * REPLACE (CASE WHEN qual <= 4 AND filter NOT IN ('Germline', 'RefCall') THEN 'LowQual' ELSE filter END AS filter) FROM o)
+SELECT * REPLACE (CASE WHEN filter = 'PASS' AND naf > 0.1 THEN 'LowQual' ELSE filter END AS filter, CASE WHEN filter = 'PASS' AND naf > 0.1 THEN 0.0 ELSE qual END AS qual) FROM l""")
+def call_merge_precedence(spark, d):
+    return CALLS.merge_calls(_calls(spark, d, "A"), _calls(spark, d, "R"), min_qual=4, max_naf=0.1).select("ctg", "pos", "ref", "alt", "filter", "naf", "qual")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_score_sql('(l_quantity / 51)')} AS qual, CAST(CASE WHEN {_score_sql('(l_quantity / 51)')} > 0 THEN floor({_score_sql('(l_quantity / 51)')}) ELSE floor({_score_sql('l_discount')}) END AS INT) AS gq FROM lineitem")
+def phred_qual(spark, d):
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", Q.call_quality(F.col("l_quantity") / 51).alias("qual"))
+    return li.select("l_orderkey", "l_linenumber", "qual", Q.genotype_quality(F.col("qual"), F.col("l_discount")).alias("gq"))
+
+
+@query("SELECT c_custkey, ctg, coalesce(list_position(['" + "','".join(A.KARYOTYPE) + "'], ctg) - 1, 48) AS place FROM (SELECT c_custkey, CASE WHEN c_nationkey < 22 THEN concat('chr', c_nationkey + 1) WHEN c_nationkey = 22 THEN 'X' ELSE c_name END AS ctg FROM customer)")
+def genome_sort_rank(spark, d):
+    ctg = F.expr("case when c_nationkey < 22 then concat('chr', c_nationkey + 1) when c_nationkey = 22 then 'X' else c_name end")
+    c = load(spark, d, "customer").select("c_custkey", ctg.alias("ctg"), F.lit(1).alias("pos"))
+    return CALLS.genome_order(c).select("c_custkey", "ctg", A.contig_rank(F.col("ctg")).alias("place"))
+
+
+@query(f"WITH {_calls_sql('t', 'R')}, {_calls_sql('n', 'A')} SELECT t.ctg, t.pos, t.ref, t.alt, t.qual FROM t LEFT JOIN n ON t.ctg = n.ctg AND t.pos = n.pos WHERE (n.pos IS NULL AND t.qual >= 0.3) OR (t.ref = n.ref AND t.alt = n.alt)")
+def hetero_selection(spark, d):
+    return P.hetero_selection(_calls(spark, d, "R"), _calls(spark, d, "A"), 0.3).select("ctg", "pos", "ref", "alt", "qual")
+
+
+@query(f"""WITH {_calls_sql('t', 'R')}, {_calls_sql('n', 'A')}, m AS (SELECT n.ctg, n.pos, n.dp, round(n.qual, 2) AS af, t.dp AS tdp, CASE WHEN t.pos % 7 = 0 THEN 0.0 ELSE round(t.qual, 2) END AS taf FROM n LEFT JOIN t ON t.ctg = n.ctg AND t.pos = n.pos WHERE n.dp >= 15 AND abs(round(n.qual, 2) - 0.5) <= 0.1)
+SELECT ctg, pos, dp, af, CASE WHEN tdp IS NULL OR (tdp >= 15 AND taf = 0) THEN 'lost' WHEN tdp >= 15 AND abs(taf - 0.5) <= 0.1 THEN 'kept' WHEN tdp >= 15 AND taf >= 0.9 THEN 'fixed' END AS transition FROM m""")
+def indel_transitions(spark, d):
+    n = _calls(spark, d, "A").select("ctg", "pos", "dp", F.round("qual", 2).alias("af"))
+    t = _calls(spark, d, "R").select("ctg", "pos", "dp", F.expr("case when pos % 7 = 0 then 0.0d else round(qual, 2) end").alias("af"))
+    return P.indel_transitions(n, t).select("ctg", "pos", "dp", "af", "transition")
+
+
+@query(f"""WITH {_calls_sql('c', 'R')}, s AS (SELECT concat('chr', p_partkey % 22 + 1) AS ctg, p_partkey AS pos, 'N' AS ref, '.' AS alt FROM part), i AS (SELECT concat('chr', l_partkey % 22 + 1) AS ctg, l_partkey AS pos, count(*) AS dp, count(*) FILTER (l_linestatus = 'F') AS ndp FROM lineitem GROUP BY ALL)
+SELECT ctg, pos, ref, alt, '0/1' AS gt, CAST(dp AS BIGINT) AS dp, CAST(0 AS BIGINT) AS ndp FROM c WHERE filter = 'PASS'
+UNION ALL SELECT s.ctg, s.pos, s.ref, s.alt, './.', coalesce(i.dp, 0), coalesce(i.ndp, 0) FROM s LEFT JOIN i USING (ctg, pos) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.filter = 'PASS' AND c.ctg = s.ctg AND c.pos = s.pos)""")
+def missing_site_backfill(spark, d):
+    c = _calls(spark, d, "R").filter("filter = 'PASS'").select("ctg", "pos", "ref", "alt", F.lit("0/1").alias("gt"), F.col("dp").cast("long").alias("dp"), F.lit(0).cast("long").alias("ndp"))
+    s = load(spark, d, "part").select(F.expr("concat('chr', p_partkey % 22 + 1)").alias("ctg"), F.col("p_partkey").alias("pos"), F.lit("N").alias("ref"), F.lit(".").alias("alt"))
+    i = load(spark, d, "lineitem").groupBy(F.expr("concat('chr', l_partkey % 22 + 1)").alias("ctg"), F.col("l_partkey").alias("pos")).agg(F.count("*").alias("dp"), F.count_if(F.col("l_linestatus") == "F").alias("ndp"))
+    return CALLS.backfill(c, s, i, only_sites=False)
+
+
+@query(f"""WITH {FRACTIONS}, t AS (SELECT DISTINCT ctg, pos, depth FROM c WHERE sample = 'tumor'), x AS (SELECT f.*, depth, CASE WHEN taf >= 0.03 AND round(taf * depth) >= 3 AND naf <= 0.03 THEN 'somatic' WHEN abs(taf - naf) <= 0.1 AND taf >= 0.1 AND naf >= 0.1 THEN 'germline' WHEN naf < 0.05 AND naf <= 0.2 * taf THEN 'reference' END AS label FROM f JOIN t USING (ctg, pos))
+SELECT ctg, pos, allele, label, array_to_string([CAST(label = 'reference' AS INT), CAST(label = 'germline' AS INT), CAST(label = 'somatic' AS INT)], '') AS hot FROM x WHERE label IS NOT NULL""")
+def training_labels(spark, d):
+    c = C.allele_counts(observations(spark, d))
+    found = P.training_labels(P.allele_fractions(c), c)
+    return found.select("ctg", "pos", "allele", "label", F.array_join(F.transform(P.one_hot(), lambda x: x.cast("string")), "").alias("hot"))
+
+
+# tracks: events by user in the order of their ids
+EVENTS = "e AS (SELECT user_id, event_id, event_type, value FROM events)"
+
+
+@query(f"""WITH {EVENTS}, l AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND lag(1) OVER w IS NOT NULL THEN 0 ELSE 1 END AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM l)
+SELECT user_id, CAST(run AS BIGINT) AS run, event_type, min(event_id) AS start, max(event_id) AS "end", count(*) AS length FROM g GROUP BY user_id, run, event_type""")
+def rle_segments(spark, d):
+    return SEQ.runs(load(spark, d, "events"), ["user_id"], "event_id", "event_type")
+
+
+@query(f"""WITH {EVENTS}, b AS (SELECT user_id, event_id, event_type = 'click' AS flag FROM e), s AS (SELECT user_id, avg(CAST(flag AS INT)) AS share FROM b GROUP BY 1),
+l AS (SELECT *, CASE WHEN lag(flag) OVER w IS NOT DISTINCT FROM flag THEN 0 ELSE 1 END AS n FROM b WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM l),
+r AS (SELECT user_id, run, min(event_id) AS start, max(event_id) AS "end", count(*) AS length FROM g WHERE flag GROUP BY user_id, run)
+SELECT r.user_id, r.start, r."end", r.length FROM r JOIN s USING (user_id) WHERE share > 0 AND length >= CASE WHEN share >= 1 THEN 1 ELSE ceil(ln(0.1) / ln(share)) END""")
+def homozygous_stretches(spark, d):
+    e = load(spark, d, "events").withColumn("flag", F.col("event_type") == "click")
+    return SEQ.homozygous_stretches(e, ["user_id"], "event_id", "flag", 0.1).select("user_id", "start", "end", "length")
+
+
+@query("""WITH s AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS start, l_orderkey * 10 + l_linenumber + 1 AS "end", l_returnflag AS state FROM lineitem),
+l AS (SELECT *, CASE WHEN lag(state) OVER w IS NOT DISTINCT FROM state AND lag(1) OVER w IS NOT NULL THEN 0 ELSE 1 END AS n FROM s WINDOW w AS (PARTITION BY k ORDER BY start, "end", state)), g AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY start, "end", state ROWS UNBOUNDED PRECEDING) AS g FROM l)
+SELECT k, state, min(start) AS start, max("end") AS "end", count(*) AS merged FROM g GROUP BY k, g, state""")
+def segment_merge(spark, d):
+    s = load(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.expr("l_orderkey * 10 + l_linenumber").alias("start"), F.expr("l_orderkey * 10 + l_linenumber + 1").alias("end"), F.col("l_returnflag").alias("state"))
+    return SEQ.merge_segments(s, ["k"], ["state"])
+
+
+@query(f"""WITH {EVENTS}, m AS (SELECT user_id, event_id, value, quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS m FROM e) SELECT user_id, event_id, round(m, 6) AS median, round(abs(value - m), 6) AS deviation FROM m""")
+def running_median_mad(spark, d):
+    e = load(spark, d, "events").select("user_id", "event_id", "value")
+    return SEQ.running_median(e, ["user_id"], "event_id", "value", 5).select("user_id", "event_id", F.round("median", 6).alias("median"), F.round("deviation", 6).alias("deviation"))
+
+
+@query(f"""WITH {EVENTS}, m AS (SELECT user_id, event_id, quantile_cont(value, 0.5) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS l, quantile_cont(value, 0.5) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS r FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, round(l, 6) AS "left", round(r, 6) AS "right" FROM m""")
+def neighbour_medians(spark, d):
+    e = load(spark, d, "events").select("user_id", "event_id", "value")
+    return SEQ.neighbour_medians(e, ["user_id"], "event_id", "value", 10).select("user_id", "event_id", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events),
+b AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN event_id END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS bx, last_value(v IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS b_y,
+  first_value(CASE WHEN v IS NOT NULL THEN event_id END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ax, first_value(v IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ay FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN bx IS NULL THEN ay WHEN ax IS NULL THEN b_y ELSE b_y + (ay - b_y) * (event_id - bx) / (ax - bx) END, 6) AS filled FROM b""")
+def interpolated_track(spark, d):
+    e = load(spark, d, "events").select("user_id", "event_id", F.expr("case when event_id % 3 = 0 then value end").alias("v"))
+    return SEQ.interpolate(e, ["user_id"], "event_id", "v").select("user_id", "event_id", F.round("filled", 6).alias("filled"))
+
+
+@query(f"""WITH {EVENTS}, c AS (SELECT user_id, quantile_disc(value, 0.65) AS cut FROM e GROUP BY 1) SELECT user_id, event_id, value FROM e JOIN c USING (user_id) WHERE value > cut""")
+def percentile_cut(spark, d):
+    return SEQ.percentile_cut(load(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "value", 0.65).select("user_id", "event_id", "value")
+
+
+@query()
+def winsorised_track(spark, d):
+    return SEQ.winsorise(load(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value")
+
+
+# copy numbers
+TRACK = """a AS (SELECT concat('chr', l_partkey % 22 + 1) AS ctg, l_partkey AS pos, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS ta, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'F') AS tb, count(*) FILTER (l_returnflag <> 'R' AND l_linenumber % 2 = 0) AS na, count(*) FILTER (l_returnflag <> 'R' AND l_linenumber % 2 <> 0) AS nb FROM lineitem GROUP BY ALL),
+k AS (SELECT ctg, pos, na AS a, nb AS b, na + nb AS t, ta + tb AS n FROM a WHERE na + nb > 0 AND ta + tb > 0),
+m AS (SELECT ctg, pos, log2((t / avg(t) OVER ()) / (n / avg(n) OVER ())) AS logr, CASE WHEN (pos * 2654435761) % 97 % 2 = 0 THEN a ELSE b END / t AS baf FROM k)"""
+
+
+def _track(spark, d) -> DataFrame:
+    """The normal's line items stand for the tumor here, since they have both statuses."""
+    g = load(spark, d, "lineitem").groupBy(F.expr("concat('chr', l_partkey % 22 + 1)").alias("ctg"), F.col("l_partkey").alias("pos"))
+    a = g.agg(*(F.count_if(F.expr(e)).alias(n) for n, e in (("ta", "l_returnflag = 'R' and l_linestatus = 'F'"), ("tb", "l_returnflag = 'R' and l_linestatus <> 'F'"), ("na", "l_returnflag <> 'R' and l_linenumber % 2 = 0"), ("nb", "l_returnflag <> 'R' and l_linenumber % 2 <> 0"))))
+    own = lambda x, y: a.select("ctg", "pos", F.col(x).alias("a"), F.col(y).alias("b"))
+    return CN.depth_ratios(own("na", "nb"), own("ta", "tb"))
+
+
+@query(f"WITH {TRACK} SELECT ctg, pos, round(logr, 6) AS logr, round(baf, 6) AS baf FROM m")
+def logr_baf(spark, d):
+    return _track(spark, d).select("ctg", "pos", F.round("logr", 6).alias("logr"), F.round("baf", 6).alias("baf"))
+
+
+@query(f"WITH {TRACK} SELECT ctg, pos, baf < 0.3 OR baf > 0.7 AS hom FROM m")
+def genotype_track(spark, d):
+    return CN.homozygous(_track(spark, d)).select("ctg", "pos", "hom")
+
+
+GC = "x AS (SELECT m.*, p_size AS c1, p_retailprice AS c2, p_partkey % 37 AS c3 FROM m JOIN part ON p_partkey = pos)"
+
+
+def _covariates(spark, d) -> DataFrame:
+    p = load(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_size").cast("double").alias("c1"), F.col("p_retailprice").alias("c2"), F.expr("cast(p_partkey % 37 as double)").alias("c3"))
+    return _track(spark, d).join(p, "pos")
+
+
+@query(f"WITH {TRACK}, {GC}, r AS (SELECT corr(logr, c1) AS c1, corr(logr, c2) AS c2, corr(logr, c3) AS c3 FROM x) SELECT round(c1, 6) AS c1, round(c2, 6) AS c2, round(c3, 6) AS c3, list_sort([{{'r': abs(c1), 'n': 'c1'}}, {{'r': abs(c2), 'n': 'c2'}}, {{'r': abs(c3), 'n': 'c3'}}])[3].n AS best FROM r")
+def gc_correlation(spark, d):
+    return CN.correlations(_covariates(spark, d), "logr", ["c1", "c2", "c3"]).select(*(F.round(c, 6).alias(c) for c in ("c1", "c2", "c3")), "best")
+
+
+@query()
+def logr_residual(spark, d):
+    return CN.spline_residuals(_covariates(spark, d), "logr", ["c1", "c2", "c3"])
+
+
+@query()
+def joint_segments(spark, d):
+    return CN.segments(_track(spark, d).withColumn("ctg", F.lit("chr1")), 20.0)
+
+
+GRID = f"""{TRACK}, s AS (SELECT ctg, count(*) AS n, avg(logr) AS logr, avg(least(baf, 1 - baf)) AS baf FROM m GROUP BY 1),
+g AS (SELECT unnest([0.4, 0.6, 0.8, 1.0]) AS rho), h AS (SELECT rho, unnest([1.5, 2.0, 3.0]) AS psi FROM g),
+y AS (SELECT CAST(rho AS DOUBLE) AS rho, CAST(psi AS DOUBLE) AS psi, s.n, s.baf, pow(2.0, logr) * (2 * (1 - rho) + rho * psi) AS z FROM s, h),
+c AS (SELECT *, (rho - 1 - (baf - 1) * z) / rho AS na, (rho - 1 + baf * z) / rho AS nb, n * CASE WHEN baf = 0.5 THEN 0.05 ELSE 1.0 END AS w FROM y),
+d AS (SELECT *, least(na, nb) AS mi FROM c),
+r AS (SELECT rho, psi, sum(pow(mi - greatest(round(mi), 0.0), 2.0) * w) AS distance, sum(0.25 * w) AS worst, sum((na + nb) * n) / sum(n) AS ploidy, sum(CASE WHEN round(mi) = 0 THEN n ELSE 0 END) / sum(n) AS zero FROM d GROUP BY ALL)"""
+
+
+def _grid(spark, d) -> DataFrame:
+    s = _track(spark, d).groupBy("ctg").agg(F.count("*").alias("n"), F.avg("logr").alias("logr"), F.avg(Q.fold(F.col("baf"))).alias("baf"))
+    return CN.purity_grid(s, [0.4, 0.6, 0.8, 1.0], [1.5, 2.0, 3.0])
+
+
+@query(f"WITH {GRID} SELECT rho, psi, round(distance, 4) AS distance, round((1 - distance / nullif(worst, 0)) * 100, 4) AS goodness, round(ploidy, 4) AS ploidy, round(zero, 4) AS zero FROM r")
+def purity_grid(spark, d):
+    return _grid(spark, d).select("rho", "psi", *(F.round(c, 4).alias(c) for c in ("distance", "goodness", "ploidy", "zero")))
+
+
+@query(f"""WITH {GRID}, q AS (SELECT *, (1 - distance / nullif(worst, 0)) * 100 AS g FROM r), t AS (SELECT *, CASE WHEN rho >= 0.2 AND g > 60 AND ploidy BETWEEN 1.5 AND 5.5 AND zero > 0.02 THEN 1 WHEN rho >= 0.2 AND g > 60 AND ploidy BETWEEN 1.7 AND 2.3 AND zero > 0.1 THEN 2 WHEN rho >= 0.2 AND g > 60 AND ploidy BETWEEN 1.5 AND 5.5 AND rho <= 1 THEN 3 WHEN rho >= 0.2 AND g > 60 AND ploidy BETWEEN 1.7 AND 2.3 THEN 4 END AS stage FROM q)
+SELECT rho, psi, stage FROM t WHERE stage IS NOT NULL ORDER BY stage, distance, rho, psi LIMIT 1""")
+def purity_best(spark, d):
+    g = _grid(spark, d)
+    return CN.best_purity(g, g).select("rho", "psi", "stage")
+
+
+BINOMIAL = """WITH c AS (SELECT p_partkey AS id, p_size AS n, p_partkey % (p_size + 1) AS k FROM part), o AS (SELECT id, n, k, unnest(range(0, n + 1)) AS i FROM c),
+l AS (SELECT *, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.3) + (n - i) * ln(0.7) AS l, lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.3) + (n - k) * ln(0.7) AS own FROM o)
+SELECT id, round(least(sum(exp(l)) FILTER (l <= own + 1e-7), 1.0), 6) AS p FROM l GROUP BY id"""
+
+
+@query(BINOMIAL)
+def binomial_test(spark, d):
+    p = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("n"), F.expr("cast(p_partkey % (p_size + 1) as int)").alias("k"))
+    return p.select("id", F.round(CN.binomial_p(F.col("k"), F.col("n"), F.lit(0.3)), 6).alias("p"))
+
+
+@query()
+def verdict_class(spark, d):
+    p = load(spark, d, "part").select("p_partkey", (F.col("p_size") + 10).alias("depth"), F.expr("cast(p_partkey % (p_size + 11) as int)").alias("alt"), F.lit(0.6).alias("purity"), F.expr("cast(p_partkey % 3 + 1 as int)").alias("major"), F.expr("cast(p_partkey % 2 as int)").alias("minor"))
+    return CN.verdicts(p).select("p_partkey", "verdict")
+
+
+# sampling
+def _uniform_sql(key: str, seed: int = 0) -> str:
+    return f"((((({key} + 1 + {seed * 7919}) % 2147483647) * 48271) % 2147483647 * 48271) % 2147483647) / 2147483647.0"
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE {_uniform_sql('o_orderkey', 3)} < 0.25")
+def seeded_sample(spark, d):
+    return S.sample_part(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.25, 3)
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderstatus, {_uniform_sql('o_orderkey')} AS u FROM orders), n AS (SELECT count(*) AS n FROM o WHERE o_orderstatus = 'P'),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY u, o_orderkey) AS k FROM o) SELECT o_orderkey, o_orderstatus FROM r, n WHERE o_orderstatus = 'P' OR k <= floor(n * 2.0)""")
+def ratio_cap(spark, d):
+    return S.cap_ratio(load(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "P", {"O": 2.0, "F": 2.0}, "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_orderkey % 7 AS bin FROM orders")
+def round_robin_bins(spark, d):
+    return S.round_robin(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7)
+
+
+@query(f"WITH t AS (SELECT unnest({S.BETA_CDF}) AS c, generate_subscripts({S.BETA_CDF}, 1) - 1 AS i), o AS (SELECT o_orderkey, {_uniform_sql('o_orderkey', 1)} AS u FROM orders) SELECT o_orderkey, min(i) / 100.0 AS af FROM o JOIN t ON t.c >= o.u GROUP BY o_orderkey")
+def beta_inverse_cdf(spark, d):
+    return load(spark, d, "orders").select("o_orderkey", S.beta_fraction(S.uniform(F.col("o_orderkey"), 1)).alias("af"))
+
+
+# text forms
+@query("SELECT l_orderkey, l_linenumber, concat(concat('A', '+', 'ACG'[1:1 + l_linenumber % 3]), ',', 'g', ',', CASE WHEN l_linestatus = 'F' THEN 'C-NN' ELSE 'c' END, ',', '*') AS tokens FROM lineitem".replace("concat('A', '+', 'ACG'[1:1 + l_linenumber % 3])", "'A+' || substr('ACG', 1, CAST(1 + l_linenumber % 3 AS INT))"))
+def pileup_tokens(spark, d):
+    li = load(spark, d, "lineitem")
+    n = F.col("l_linenumber") % 3 + 1
+    text = F.concat(F.lit("^]A+"), n.cast("string"), F.substring(F.lit("ACG"), F.lit(1), n), F.lit("g$"), F.when(F.col("l_linestatus") == "F", "C-2NN").otherwise("c"), F.lit("*"))
+    return li.select("l_orderkey", "l_linenumber", F.array_join(T.pileup_tokens(text), ",").alias("tokens"))
+
+
+@query("SELECT l_orderkey, l_linenumber, concat('S,0,0;M,', 5, ',0;I,', 5 + l_linenumber, ',', l_linenumber, ';D,', 5 + l_linenumber + 2, ',', l_linenumber, ';M,', 7 + l_linenumber, ',', l_linenumber + 3) AS ops FROM lineitem")
+def cigar_walk(spark, d):
+    cigar = F.concat(F.lit("5S"), F.col("l_linenumber").cast("string"), F.lit("M2I3D10M"))
+    ops = T.cigar_operations(cigar)
+    out = F.transform(ops, lambda o: F.concat_ws(",", o["op"], o["read"].cast("string"), o["ref"].cast("string")))
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(out, ";").alias("ops"))
+
+
+@query("SELECT l_orderkey, l_linenumber, concat(l_linenumber + 3, '/', l_linenumber, '-DAT 1/0 XC ', l_linenumber, '/2-') AS code, CAST(l_linenumber + 3 AS INT) AS forward, l_linenumber AS reverse, l_linenumber AS c FROM lineitem")
+def alt_info_codec(spark, d):
+    n = F.col("l_linenumber")
+    v = lambda f, r: F.struct(f.cast("int").alias("f"), r.cast("int").alias("r"))
+    li = load(spark, d, "lineitem").withColumn("code", T.alt_info(n + 3, n, F.create_map(F.lit("XC"), v(n, F.lit(2)), F.lit("DAT"), v(F.lit(1), F.lit(0)))))
+    back = T.parse_alt_info(F.col("code"))
+    return li.select("l_orderkey", "l_linenumber", "code", back["forward"].alias("forward"), back["reverse"].alias("reverse"), back["alleles"]["XC"]["f"].alias("c"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS VARCHAR) AS dp, concat('0/1:', l_linenumber, ':0.5') AS sample, [0, CAST(l_linenumber % 2 AS INT)]::VARCHAR AS genotype FROM lineitem")
+def format_lookup(spark, d):
+    s = F.concat(F.lit("0/1:"), F.col("l_linenumber").cast("string"), F.lit(":0.2"))
+    gt = A.parse_genotype(F.concat((F.col("l_linenumber") % 2).cast("string"), F.lit("|.")))
+    return load(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", T.format_value(F.lit("GT:DP:AF"), s, "DP").alias("dp"), T.with_format_value(F.lit("GT:DP:AF"), s, "AF", F.lit("0.5")).alias("sample"),
+        F.concat(F.lit("["), F.array_join(F.transform(gt, lambda x: x.cast("string")), ", "), F.lit("]")).alias("genotype"),
+    )
+
+
+VARIANTS = "v AS (SELECT p_partkey, substr(upper(replace(p_name, ' ', '')), 1, CAST(1 + p_partkey % 4 AS INT)) AS ref, substr(upper(replace(p_name, ' ', '')), 1, CAST(1 + p_size % 4 AS INT)) AS alt FROM part)"
+
+
+@query(f"WITH {VARIANTS} SELECT p_partkey, CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 'SNV' WHEN length(ref) < length(alt) THEN 'INS' WHEN length(ref) > length(alt) THEN 'DEL' END AS kind, CASE WHEN length(ref) < length(alt) THEN substr(ref, 1, 1) || '+' || substr(alt, 2) WHEN length(ref) > length(alt) THEN substr(ref, 1, 1) || '-' || repeat('N', length(ref) - 1) ELSE alt END AS key FROM v")
+def variant_class(spark, d):
+    name = F.upper(F.replace("p_name", F.lit(" "), F.lit("")))
+    v = load(spark, d, "part").select("p_partkey", F.substring(name, F.lit(1), (F.col("p_partkey") % 4 + 1).cast("int")).alias("ref"), F.substring(name, F.lit(1), F.col("p_size") % 4 + 1).alias("alt"))
+    return v.select("p_partkey", A.variant_class(F.col("ref"), F.col("alt")).alias("kind"), A.allele_key(F.col("ref"), F.col("alt")).alias("key"))
+
+
+@query("""WITH v AS (SELECT p_partkey, 'GATC' || repeat('AT', CAST(p_partkey % 3 AS INT)) AS ref, CASE WHEN p_size % 2 = 0 THEN 'C' ELSE 'GATC' END || repeat('AT', CAST(p_size % 3 AS INT)) AS alt FROM part),
+k AS (SELECT *, list_max([CASE WHEN suffix(ref, substr(alt, length(alt) - i + 1)) THEN i ELSE 0 END FOR i IN range(0, least(length(ref), length(alt)))]) AS n FROM v)
+SELECT p_partkey, substr(ref, 1, length(ref) - n) AS ref, substr(alt, 1, length(alt) - n) AS alt FROM k""")
+def suffix_trim(spark, d):
+    v = load(spark, d, "part").select("p_partkey", F.concat(F.lit("GATC"), F.repeat(F.lit("AT"), (F.col("p_partkey") % 3).cast("int"))).alias("ref"), F.concat(F.when(F.col("p_size") % 2 == 0, "C").otherwise("GATC"), F.repeat(F.lit("AT"), F.col("p_size") % 3)).alias("alt"))
+    return v.select("p_partkey", A.suffix_trim(F.col("ref"), F.col("alt")).alias("t")).select("p_partkey", "t.ref", "t.alt")
+
+
+@query("""SELECT p_partkey, CASE substr(p_brand, 7, 1) WHEN '1' THEN 100 WHEN '2' THEN 25 WHEN '3' THEN 75 WHEN '4' THEN 50 ELSE 0 END AS code, CASE WHEN p_size <= 20 THEN 0 WHEN p_size <= 40 THEN 20 ELSE 60 END AS mq,
+CAST(floor(least(p_size, 60) / 60 * 100) AS INT) AS bq FROM part""")
+def base_and_quality_codes(spark, d):
+    base = F.translate(F.substring("p_brand", 7, 1), "12345", "ACGTZ")
+    return load(spark, d, "part").select("p_partkey", A.base_code(base).alias("code"), Q.mapping_bucket(F.col("p_size")).alias("mq"), Q.scaled_base_quality(F.col("p_size"), F.lit("ont")).alias("bq"))
+
+
+@query("SELECT ctg, chunk, start, least(start + 1000, n) AS \"end\" FROM (SELECT n_name AS ctg, n, unnest(range(0, CAST(ceil(n / 1000) AS BIGINT))) AS chunk, unnest(range(0, CAST(ceil(n / 1000) AS BIGINT))) * 1000 AS start FROM (SELECT n_name, n_nationkey * 777 + 1 AS n FROM nation))")
+def contig_chunks(spark, d):
+    from twinlens.sources.readers import chunks
+
+    return chunks(load(spark, d, "nation").select(F.col("n_name").alias("ctg"), F.expr("cast(n_nationkey * 777 + 1 as bigint)").alias("length")), 1000)
+
+
+# composed plans and kernels
+@query()
+def pair_calls(spark, d):
+    """Candidates, windows, scores by a network of fixed weights, and rows: the whole calling plan."""
+    r = np.random.default_rng(11)
+    w = {f"{k}{x}": r.normal(0, 0.2, s).astype(np.float32) for x in "fb" for k, s in (("w", (len(C.CHANNELS), 24)), ("u", (8, 24)), ("b", (24,)))}
+    model = K.recurrent_model(w | {"o": r.normal(0, 1, (16, 3)).astype(np.float32), "bo": np.array([-1, -1, 1], np.float32)})
+    o = observations(spark, d)
+    return PL.call_pair(o.filter("sample = 'tumor'"), o.filter("sample = 'normal'"), model, flank=4)
+
+
+@query()
+def realigned_reads(spark, d):
+    """Reads of made windows, a third of them with a planted base, aligned to their haplotypes."""
+    seq = F.translate(F.substring(F.concat(F.md5("w"), F.md5(F.concat(F.lit("x"), F.col("w")))), 1, 60), "0123456789abcdef", "ACGTACGTACGTACGT")
+    win = load(spark, d, "supplier").select(F.col("s_suppkey").alias("window"), F.col("s_suppkey").cast("string").alias("w")).select("window", seq.alias("ref"))
+    reads = win.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6)))).select(
+        "window", F.concat_ws("-", F.col("window").cast("string"), F.col("k").cast("string")).alias("qname"),
+        F.when(F.col("k") % 2 == 0, F.concat(F.substring("ref", 1, 29), F.when(F.substring("ref", 30, 1) == "A", "C").otherwise("A"), F.substring("ref", 31, 30))).otherwise(F.col("ref")).alias("seq"),
+        F.array_repeat(F.lit(30), 60).alias("quals"), F.col("k").alias("rank"),
+    )
+    return K.realign(reads, win)
+
+
+@query()
+def haplotype_rules(spark, d):
+    o = observations(spark, d).filter("sample = 'tumor'").withColumn("is_alt", F.upper("base") != F.col("ref"))
+    reads = o.select("ctg", "pos", "qname", "is_alt", "bq", "hp", (F.col("mq") % 5 == 0).alias("edge"))
+    calls = reads.groupBy("ctg", "pos").agg(F.avg(F.col("is_alt").cast("double")).alias("af"), (F.avg("bq") / 50).alias("qual"))
+    return H.judge(H.base_rules(calls, reads))
+
+
+@query(f"""WITH e AS (SELECT time_bucket(INTERVAL '60 minutes', ts, TIMESTAMP '1970-01-01') AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY ALL""")
+def event_windows(spark, d):
+    return live.window_counts(load(spark, d, "events"))
+
+
+@query("""WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM l)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", count(*) AS n FROM g GROUP BY user_id, g""")
+def event_sessions(spark, d):
+    return live.sessions(load(spark, d, "events"))
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE value > 10 GROUP BY 1")
+def stream_event_counts(spark, d):
+    """The rows of a file stream, filtered on the way into a table, and counted there."""
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    out = tempfile.mkdtemp(prefix="spark-stream-") if conf is None else f"{conf}/stream-{np.random.default_rng().integers(1 << 60):x}"
+    schema = load(spark, d, "events").schema
+    rows = live.drain(spark, d, "events.parquet", schema, lambda s: s.filter("value > 10").select("event_type"), out)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"))
