@@ -6,15 +6,19 @@ over all documents, by Jensen-Shannon distance. Documents too short for a histog
 
 from __future__ import annotations
 
+import heapq
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import table
+from twinlens.llm.common import reliable, table
 
 #: The base rules: words at least, and repeated words in percent at most.
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -26,6 +30,8 @@ MAX_WORD_DISTANCE, MIN_COUNTED_WORDS = 0.52, 100
 SYMBOLS = "#*$%&|<>"
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 300_000
+#: Bytes of text for each bucket of words, about.
+BUCKET_BYTES = 64 << 20
 
 CLASSES = ["lower", "upper", "digit", "space", "newline", "stop", "symbol", "other_ascii", "accented", "wide"]
 
@@ -81,21 +87,34 @@ def repeated_words(ids: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """lang, kind (class or word), item, n over all of (lang, text): counted in the tasks, then summed."""
+def corpus_counts(docs: DataFrame, common: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """lang, kind, item, n over all of (lang, text): counts of classes, of all words (total), and of words, which have
+    the common most frequent ones of each bucket.
+
+    Tasks count and hand on packed counts by language and hash of the word; a bucket sums them. Every word of a bucket
+    is counted in full before the bucket's most frequent ones are taken.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    buckets = max(16, -(-size // bucket_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict = defaultdict(Counter)
-        classes: dict = defaultdict(lambda: np.zeros(len(CLASSES)))
+        classes: dict = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
 
         def out():
             for lang in classes:
-                rows = [("class", c, int(n)) for c, n in zip(CLASSES, classes[lang], strict=True)]
-                rows += [("word", w.decode(), n) for w, n in words[lang].items()]
-                for lo in range(0, len(rows), 50_000):
-                    part = list(zip(*rows[lo : lo + 50_000], strict=True))
-                    columns = [pa.array([lang] * len(part[0]), pa.string()), pa.array(part[0], pa.string()), pa.array(part[1], pa.string()), pa.array(part[2], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "kind", "item", "n"])
+                parts: dict = defaultdict(list)
+                for w in words[lang]:
+                    parts[zlib.crc32(w) % buckets].append(w)
+                parts[0]  # the classes go with bucket 0
+                rows = []
+                for k, own in parts.items():
+                    own.sort()
+                    n = np.array([words[lang][w] for w in own], np.int64)
+                    rows.append((k, zstandard.compress(b"\n".join(own)), zstandard.compress(n.tobytes()), classes[lang].tobytes() if k == 0 else None))
+                k, w, n, c = zip(*rows, strict=True)
+                columns = [pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.binary()), pa.array(c, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "words", "counts", "classes"])
             words.clear()
             classes.clear()
 
@@ -103,23 +122,41 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             for part in (b.slice(k, 512) for k in range(0, b.num_rows, 512)):
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     raw = (text or "").encode()
-                    classes[lang] += class_counts(raw)
+                    classes[lang] += class_counts(raw).astype(np.int64)
                     words[lang].update(raw.lower().split())
                 if sum(map(len, words.values())) > FLUSH:
                     yield from out()
         yield from out()
 
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, kind string, item string, n long")
-    return counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        total: dict[bytes, int] = {}
+        classes = np.zeros(len(CLASSES), np.int64)
+        for w, n, c in zip(frame["words"], frame["counts"], frame["classes"], strict=True):
+            counts = np.frombuffer(zstandard.decompress(n), np.int64).tolist()
+            own = zstandard.decompress(w).split(b"\n") if counts else []
+            for x, k in zip(own, counts, strict=True):
+                total[x] = total.get(x, 0) + k
+            if c is not None:
+                classes += np.frombuffer(c, np.int64)
+        rows = [("word", w.decode(), n) for w, n in heapq.nsmallest(common, total.items(), key=lambda x: (-x[1], x[0]))]
+        rows.append(("total", "", sum(total.values())))
+        if key[1] == 0:
+            rows += [("class", name, int(n)) for name, n in zip(CLASSES, classes, strict=True)]
+        out = pd.DataFrame(rows, columns=["kind", "item", "n"])
+        out.insert(0, "lang", key[0])
+        return out
+
+    packed = docs.select("lang", "text").mapInArrow(run, "lang string, bucket long, words binary, counts binary, classes binary")
+    return packed.groupBy("lang", "bucket").applyInPandas(add, "lang string, kind string, item string, n long")
 
 
 def references(docs: DataFrame, common: int = COMMON_WORDS, langs: int = MAX_LANGS) -> dict:
     """For each language, the null one among them: its class histogram, its common words and their counts, all others
     as the last. At most langs languages times common words come to the driver; further ones have no reference."""
-    counts = corpus_counts(docs)
+    counts = reliable(corpus_counts(docs, common))
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= common)
-    total = counts.filter("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(langs)
+    top = counts.filter("kind <> 'total'").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= common)
+    total = counts.filter("kind = 'total'").groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(langs)
     by: dict = {}
     for r in total.select("lang", "total").collect():
         by[r.lang] = {"total": r.total, "classes": np.zeros(len(CLASSES)), "words": {}}
