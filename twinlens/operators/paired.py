@@ -22,12 +22,12 @@ def paired_filter(tumor: DataFrame, counts: DataFrame, min_depth: int = 4, liqui
     both = tumor.filter("top_allele is not null").join(normal, [*SITE, "top_allele"], "left")
     naf = F.coalesce(F.round(F.col("nn") / F.col("ndepth"), 3), F.lit(0.0))
     both = both.withColumn("naf", naf)
-    enough = F.col("top_af") >= 5 * F.col("naf") if liquid else F.col("top_af") >= HIGH * F.col("naf")
+    enough = F.col("top_af") >= F.round((5 if liquid else HIGH) * F.col("naf"), 6)
     if liquid:
         enough = enough & (F.col("nn") < 2)
     keep = (
         F.when(F.coalesce("ndepth", F.lit(0)) <= min_depth, True).when((F.col("naf") <= 0) | (F.col("top_af") <= 0), True)
-        .when(F.col("naf") >= NAF, enough).otherwise(F.col("top_af") > LOW * F.col("naf"))
+        .when(F.col("naf") >= NAF, enough).otherwise(F.col("top_af") > F.round(LOW * F.col("naf"), 6))
     )
     return both.filter(keep).drop("nn", "ndepth")
 

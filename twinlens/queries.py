@@ -97,7 +97,7 @@ def candidate_sites(spark, d):
   SELECT s.*, x.n AS nn, x.depth AS nd, coalesce(round(x.n / x.depth, 3), 0.0) AS naf
   FROM s LEFT JOIN c x ON x.sample = 'normal' AND x.ctg = s.ctg AND x.pos = s.pos AND x.allele = s.top_allele WHERE s.sample = 'tumor' AND top_allele IS NOT NULL)
 SELECT ctg, pos, ref, sample, depth, snv, indel, top_allele, top_af, second_af, naf FROM j
-WHERE CASE WHEN coalesce(nd, 0) <= 4 THEN true WHEN naf <= 0 OR top_af <= 0 THEN true WHEN naf >= 0.05 THEN top_af >= 6 * naf ELSE top_af > 4 * naf END""")
+WHERE CASE WHEN coalesce(nd, 0) <= 4 THEN true WHEN naf <= 0 OR top_af <= 0 THEN true WHEN naf >= 0.05 THEN top_af >= round(6 * naf, 6) ELSE top_af > round(4 * naf, 6) END""")
 def paired_normal_filter(spark, d):
     c = C.allele_counts(observations(spark, d))
     found = P.paired_filter(C.candidates(c.filter("sample = 'tumor'")), c)

@@ -154,7 +154,7 @@ def pileup(spark: SparkSession, path: str, sample: str) -> DataFrame:
     c = F.split("value", "\t")
     d = spark.read.text(path).filter("value <> ''").select(
         c[0].alias("ctg"), c[1].cast("long").alias("pos"), pileup_tokens(c[4]).alias("t"), F.filter(F.split(c[5], ""), lambda x: x != "").alias("q"),
-        F.filter(F.split(F.coalesce(F.get(c, F.lit(6)), F.lit("")), ""), lambda x: x != "").alias("m"), F.split(F.get(c, F.lit(7)), ",").alias("names"), F.split(F.get(c, F.lit(8)), ",").alias("hps"),
+        F.filter(F.split(F.coalesce(F.get(c, F.lit(6)), F.lit("")), ""), lambda x: x != "").alias("m"), F.split(F.coalesce(F.get(c, F.lit(7)), F.lit("")), ",").alias("names"), F.split(F.coalesce(F.get(c, F.lit(8)), F.lit("")), ",").alias("hps"),
     )
     d = d.filter(F.size("t") == F.size("q")).withColumn("z", F.explode(F.arrays_zip("t", "q", "m", "names", "hps")))
     z = F.col("z")
