@@ -1,0 +1,444 @@
+"""The corpus operators against brute force on small tables with nulls, ties, repeats and odd texts."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from twinlens.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, repeats, token_counts, url_filter
+from twinlens.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, size string, h int, label string, hit int"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [None, "", " \n\t", "a", "a b", "A  b\x0b", "é ñ ß", "日本 語", "it's we 'll", "<|endoftext|> x<|endoftext|>y", "%%% ### $$", "x" * 3000, "the cat sat " * 400]
+
+
+def table(spark, rows):
+    """Rows (doc_id, text, lang, source) with further columns whose names operators use themselves."""
+    return spark.createDataFrame([(i, t, k, s, len(t or ""), 7, "x", 1, "y", 2) for i, t, k, s in rows], SCHEMA).repartition(3)
+
+
+def corpus(seed=1, n=60):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    out = [(i, t, "en", None if i % 3 else "s0") for i, t in enumerate(ODD)]
+    base = [" ".join(r.choice(vocabulary) for _ in range(r.randint(3, 120))) for _ in range(12)]
+    for i in range(len(ODD), len(ODD) + n):
+        w = r.choice(base).split(" ")
+        for _ in range(r.choice([0, 0, 1, 2, 8])):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        text = "".join(x + r.choice(["\n", " ", " ", " "]) for x in w)
+        out.append((i, text, r.choice(["en", "fr", None]), f"s{r.choice([0, 0, 0, 1, 2, 3])}"))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def frame(spark, docs):
+    return table(spark, docs).persist()
+
+
+def got(df, *columns):
+    return {r[0]: tuple(r[1:]) for r in df.select(*columns).collect()}
+
+
+def words(t):
+    return WORDS.findall(t or "")
+
+
+def test_token_counts(frame, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: (len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 100) for i, x, *_ in docs}
+    for chunk, overlap in ((200, 10), (32_768, 1024)):
+        assert got(token_counts.count_tokens(frame, limit=100, chunk=chunk, overlap=overlap), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+
+
+def test_splice_without_boundaries():
+    import public_tokenizers
+
+    c = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(2)
+    for text in ["z" * 2000, "ab " * 900, "a  b\n" * 300, "".join(r.choice("ab \n\t.é日1'<|endoftext|>") for _ in range(4000))]:
+        assert token_counts.splice(text, c.encode, 120, 7) == c.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_language_gradients():
+    r = np.random.default_rng(0)
+    m = language_id.ByteTagger(["a", "b"], 3)
+    m.w = {k: v.astype(float) for k, v in m.w.items()}
+    x, y = r.integers(97, 103, (4, 6)), np.array([0, 1, 1, 0])
+    _, g = m.loss_gradients(x, y)
+    for k, w in m.w.items():
+        for at in [np.unravel_index(j, w.shape) for j in (r.integers(0, w.size, 5) if k[0] != "x" else x.ravel()[:5] * w.shape[1] + 1)]:
+            keep, e = w[at], 1e-5
+            w[at] = keep + e
+            up = m.loss_gradients(x, y)[0]
+            w[at] = keep - e
+            down = m.loss_gradients(x, y)[0]
+            w[at] = keep
+            assert (up - down) / (2 * e) == pytest.approx(g[k][at], abs=1e-6)
+
+
+def test_language(spark):
+    r = random.Random(3)
+    parts = {"aa": ["the", "th", "ing", "wh"], "bb": ["sch", "ein", "ung", "ß"]}
+    rows = [(i, " ".join("".join(r.choice(parts[k]) for _ in range(2)) for _ in range(r.randint(5, 60))), k, "s") for i in range(300) for k in [r.choice(["aa", "bb"])]]
+    rows += [(300, None, "aa", "s"), (301, "12 34 !!", "bb", "s"), (302, "", None, None), (303, "thing", None, None)]
+    d = table(spark, rows)
+    found = got(language_id.identify(d), "doc_id", "held_out", "lang_pred", "score")
+    assert len(found) == 304
+    assert all(found[i][0] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in found)
+    assert [found[i][1] for i in (300, 301, 302)] == ["und"] * 3 and found[300][2] == 0
+    tested = [(found[i][1], k) for i, _, k, _ in rows[:300] if found[i][0]]
+    assert len(tested) > 40 and sum(a == b for a, b in tested) / len(tested) > 0.95
+    assert all(0 <= f[2] <= 1 for f in found.values())
+    assert {r.lang_pred for r in language_id.identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_segments_cover_every_byte():
+    m = language_id.ByteTagger(["a", "b"])
+    one = [bytes([97 + k % 5]) * n for k, n in enumerate([1, 127, 128, 129, 1000])]
+    p = m.documents(one, segment=128, lanes=3)
+    assert p.sum(1) == pytest.approx(np.ones(5), abs=1e-5)
+
+
+def test_urls(spark):
+    urls = {
+        0: None, 1: "nothing", 2: "http://A.COM/x", 3: "https://b.example.com/en/1?q=/fr/", 4: "http://www.example.com/en/", 5: "http://x.net/es/1", 6: "http://net/fr/", 7: "http://xnet/fr/",
+        8: "http://a.com?x", 9: "http://a.org#/en/", 10: "://", 11: "http://example.com/en",
+    }
+    pages = spark.createDataFrame([(i, u, 1) for i, u in urls.items()] + [(2, "http://A.COM/x", 1)], "page_id long, url string, host int")
+    labels = spark.createDataFrame([], "id long, bad boolean")
+    rows = url_filter.judge(pages, labels).collect()
+    f = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows}
+    assert len(rows) == 13
+    assert f[0] == ("", "", None, "allow") == f[1] and f[10] == ("", "", None, "allow")
+    assert f[2] == ("a.com", "/x", "com/", "allow") and f[3] == ("b.example.com", "/en/1", "example.com/en/", "block")
+    assert f[4][2:] == ("www.example.com/en/", "allow") and f[5][2:] == ("net/es/", "block") and f[6][2:] == ("net/fr/", "block")
+    assert f[7] == ("xnet", "/fr/", None, "allow") and f[8] == ("a.com", "", None, "allow") and f[9] == ("a.org", "", None, "allow") and f[11][2] == "com/"
+
+
+def test_mined_url_rules(spark):
+    r = random.Random(4)
+    rows, bad = [], {}
+    for i in range(600):
+        site, step = r.choice(["good", "spam"]), r.choice(["casino", "news"])
+        rows.append((i, f"http://{site}.org/{step}/{r.randrange(99)}"))
+        bad[i] = site == "spam" and step == "casino"
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, b in bad.items() if i < 400], "id long, bad boolean")
+    found = got(url_filter.judge(pages, labels, support=0.05, confidence=0.9), "page_id", "verdict")
+    assert all((found[i][0] == "block") == b for i, b in bad.items())
+
+
+def links(docs, n, percent):
+    sets = {}
+    for i, t, *_ in docs:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return {i: (len(s), top(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (1, 60)])
+def test_jaccard_join(frame, docs, n, percent):
+    found = got(jaccard_join.link(frame, words=n, percent=percent), "doc_id", "n_shingles", "component_id")
+    assert found == links(docs, n, percent)
+
+
+def test_jaccard_join_large_group_of_near_copies(spark):
+    """Copies that are near to their base but not to each other, and so meet under the same signatures."""
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(1000, " ".join(base), "en", "s")]
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 6])):
+            w[r.randrange(150)] = f"x{r.randrange(999)}"
+        rows.append((i, " ".join(w), "en", "s"))
+    assert got(jaccard_join.link(table(spark, rows), words=3, percent=90), "doc_id", "n_shingles", "component_id") == links(rows, 3, 90)
+
+
+def test_partenum_guarantee():
+    r = np.random.default_rng(6)
+    for percent in (60, 80, 90):
+        bands = jaccard_join.Bands(percent)
+        for _ in range(60):
+            n = int(r.integers(1, 200))
+            a = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[r.random(len(a)) > 0.05], r.integers(0, 1 << 62, int(r.integers(0, 3))).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+                s, of = jaccard_join.signatures([a, b], bands)
+                assert np.intersect1d(s[of == 0], s[of == 1]).size
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (102, 102)]
+    found = got(components(spark.createDataFrame(chain, "a long, b long")), "node", "component")
+    assert found == {i: (0,) for i in range(41)} | {100: (100,), 101: (100,)}
+
+
+def mixed(docs):
+    size = {i: len(words(t)) for i, t, *_ in docs}
+    by = defaultdict(list)
+    for i, _, _, s in docs:
+        by[s].append(i)
+    names = sorted((s for s in by if s is not None), key=lambda s: s.encode()) + ([None] if None in by else [])
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    n = {s: sum(size[i] for i in by[s]) for s in names}
+    total, capped = sum(n.values()), set()
+    while True:
+        rest = [s for s in names if s not in capped]
+        left, w = total - sum(3 * n[s] for s in capped), sum(weight[s] for s in rest)
+        new = {s for s in rest if 3 * n[s] * w <= left * weight[s]}
+        if not new:
+            return size, n, {s: 3.0 * n[s] if s in capped else left * weight[s] / w for s in names}
+        capped |= new
+
+
+def test_mixing(frame, docs):
+    size, n, target = mixed(docs)
+    found = got(mixing.mix(frame), "doc_id", "size", "source_size", "target", "taken")
+    taken = Counter()
+    for i, _, _, s in docs:
+        assert found[i][:2] == (size[i], n[s]) and found[i][2] == pytest.approx(target[s])
+        assert found[i][3] <= 3 * size[i] and (size[i] == 0 or found[i][3] % size[i] == 0)
+        taken[s] += found[i][3]
+    for s in n:
+        assert abs(taken[s] - target[s]) <= max(size[i] for i, _, _, x in docs if x == s)
+    assert got(mixing.mix(frame.repartition(5)), "doc_id", "size", "source_size", "target", "taken") == found
+
+
+def test_mixing_of_repeated_rows_and_empty_sources(spark):
+    rows = [(1, "a b c", None, "x")] * 3 + [(2, None, None, "y"), (None, "d e", None, None)]
+    found = mixing.mix(table(spark, rows)).collect()
+    assert len(found) == 5 and {r.target for r in found if r.source_size == 0} == {0.0}
+
+
+def near(a, b, k=2):
+    if abs(len(a) - len(b)) > k:
+        return False
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, e in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+        row = new
+    return row[-1] <= k
+
+
+def mutate(r, s, k):
+    s = list(s)
+    for _ in range(k):
+        at = r.randrange(len(s))
+        r.choice([lambda: s.insert(at, r.choice("abé")), lambda: s.pop(at), lambda: s.__setitem__(at, r.choice("abé"))])()
+    return "".join(s)
+
+
+def test_edit_automaton(spark):
+    r = random.Random(7)
+    pairs = [(a, mutate(r, a, r.randint(0, 4)) if len(a) > 4 else a) for a in ("".join(r.choice("ab") for _ in range(r.randint(0, 14))) for _ in range(250))]
+    d = spark.createDataFrame(pairs, "x string, y string").select(line_dedup.within(F.col("x"), F.col("y")).alias("w"), (F.levenshtein("x", "y") <= 2).alias("l"))
+    assert d.filter("w <> l").count() == 0
+
+
+def lines_left(docs):
+    first, out = {}, {}
+    for i, t, *_ in sorted(docs):
+        kept, exact, close = [], 0, 0
+        for raw in (t or "").split("\n"):
+            line = raw.strip(" \t\x0b\x0c\r")
+            if len(line) < 20:
+                kept.append(raw)
+            elif line in first:
+                exact += 1
+            else:
+                hit = any(near(line, x) for x in first)
+                close += hit
+                first[line] = i
+                if not hit:
+                    kept.append(raw)
+        out[i] = (None if t is None else "\n".join(kept), 0 if t is None else len(t.split("\n")), exact, close)
+    return out
+
+
+def test_line_dedup(spark):
+    r = random.Random(8)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(18, 40))) for _ in range(25)]
+    rows = [(i, "\n".join(mutate(r, r.choice(base), r.choice([0, 0, 1, 2, 3, 5])) for _ in range(r.randint(0, 6))), "en", "s") for i in range(80)]
+    rows += [(80, None, "en", None), (81, "", None, None), (82, "\n\n", None, None)]
+    d = line_dedup.dedup_lines(table(spark, rows))
+    assert got(d, "doc_id", "text", "n_lines", "n_exact", "n_near") == lines_left(rows)
+    assert set(d.columns) >= {"id", "h", "hit", "label"}
+
+
+def test_line_dedup_with_many_lines_under_one_entry(spark):
+    """Lines that share a third of their text but are not near: each round has a bounded number of hubs."""
+    r = random.Random(9)
+    rows = [(i, "x" * 20 + "".join(r.choice("abcdef") for _ in range(40)), "en", "s") for i in range(40)]
+    rows += [(100 + i, mutate(r, rows[i][1], 1), "en", "s") for i in range(0, 40, 3)]
+    assert got(line_dedup.dedup_lines(table(spark, rows)), "doc_id", "text", "n_lines", "n_exact", "n_near") == lines_left(rows)
+
+
+def base_figures(t):
+    w = words(t)
+    windows = Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    own = [x for x in (t or "").split("\n") if words(x)]
+    n = len(w)
+    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(own) - len(set(own)), len(covered), n < 50 or 100 * len(covered) > 50 * n
+
+
+def test_quality(frame, docs):
+    found = got(quality_rules.quality(frame), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    for i, t, *_ in docs:
+        assert found[i][:-1] == base_figures(t), i
+        assert not (found[i][-1] and found[i][-2])
+
+
+def test_quality_verdicts(spark):
+    r = random.Random(10)
+    good = [f"{a}{b}" for a in ("th", "re", "on", "st") for b in ("e", "ing", "er", "an")]
+    rows = [(i, " ".join(r.choice(good) for _ in range(150)) + ".", "en", "s") for i in range(40)]
+    rows += [(90, " ".join(r.choice(good).upper() + "!!" for _ in range(150)), "en", "s"), (91, " ".join(f"q{r.randrange(9999)}z" for _ in range(150)), "en", "s")]
+    kept = got(quality_rules.quality(table(spark, rows)), "doc_id", "kept")
+    assert all(kept[i][0] for i in range(40)) and not kept[90][0] and not kept[91][0]
+    p, q = np.array([1.0, 2, 3]), np.array([2.0, 4, 6])
+    assert quality_rules.distance(p, q) == pytest.approx(0, abs=1e-6) and quality_rules.distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1
+
+
+def test_packing(frame, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = packing.pack_documents(frame, capacity=256).collect()
+    by, bins = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+        bins[r.sequence_id].append(r)
+    total = 0
+    for i, x, *_ in docs:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        total += len(ids)
+        own = sorted(by[i], key=lambda r: r.piece)
+        assert [r.start for r in own] == list(range(0, len(ids), 256)) and sum(r.length for r in own) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in own)
+    for b in bins.values():
+        at = 0
+        for r in sorted(b, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 256
+    sizes = np.array([r.length for r in rows if r.length < 256])
+    alone = int(packing.best_fit(sizes, 256).max()) + 1
+    assert -(-total // 256) <= len(bins) == alone + sum(r.length == 256 for r in rows)
+
+
+def test_packing_tree(spark):
+    """Small groups, so that underfull bins climb several levels; and pieces that never fit together."""
+    r = random.Random(11)
+    d = spark.createDataFrame([(i, r.randint(1, 100)) for i in range(3000)], "k long, length long")
+    rows = packing.pack(d, capacity=100, group_items=100).collect()
+    fill = Counter()
+    for x in rows:
+        fill[x.sequence_id] += x.length
+    assert len(rows) == 3000 and max(fill.values()) <= 100
+    assert len(fill) <= 1.06 * sum(x.length for x in rows) / 100
+    big = packing.pack(d.withColumn("length", F.lit(60).cast("long")), capacity=100, group_items=100)
+    assert big.select("sequence_id").distinct().count() == 3000
+    sizes = np.array([60, 50, 50, 40])
+    assert len(set(packing.best_fit(sizes, 100).tolist())) == 2
+
+
+def removed(docs):
+    seen, out = {}, {}
+    for i, t, *_ in sorted(docs, key=lambda x: x[0]):
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 49):
+            if seen.setdefault(raw[p : p + 50], i) < i:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        out[i] = len(raw), sum(gone), sum(1 for p in range(len(raw)) if gone[p] and not (p and gone[p - 1])), hashlib.sha256(kept).hexdigest()
+    return out
+
+
+def test_repeats(frame, docs):
+    columns = "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    want = removed(docs)
+    assert sum(w[1] for w in want.values())
+    for block in (2000, 1 << 22):
+        assert got(repeats.remove_repeats(frame, block_bytes=block, bucket_bytes=block), *columns) == want
+
+
+def test_suffix_order():
+    r = np.random.default_rng(12)
+    raw = np.frombuffer(b"".join([b"abcab" * 30, bytes(r.integers(97, 99, 1500, dtype=np.uint8)), b"a" * 200, bytes(r.integers(97, 99, 200, dtype=np.uint8)) * 4]), np.uint8)
+    order, head = repeats.sort_suffixes(repeats.words_at(raw), np.arange(len(raw) - 50))
+    text = [raw[i : i + 50].tobytes() for i in order]
+    assert text == sorted(text) and head[1:].tolist() == [a != b for a, b in zip(text, text[1:], strict=False)]
+
+
+def test_exact_duplicates(spark, docs):
+    rows = [*docs, (500, "a b\n", None, None), (501, "ab", None, None), (502, " a  b  ", None, None), (501, "ab", None, None), (None, "ab", None, None)]
+    groups = defaultdict(list)
+    key = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    for i, t, *_ in rows:
+        groups[key(t)].append((-len(t or ""), -1 if i is None else i))
+    found = exact_dedup.exact_duplicates(table(spark, rows)).collect()
+    assert len(found) == len(rows)
+    text = {i: t for i, t, *_ in rows}
+    for r in found:
+        g = groups[key(text[r.doc_id])]
+        assert (r.keep_id, r.group_size) == (None if min(g)[1] < 0 else min(g)[1], len(g))
+        assert r.text_sha256 == hashlib.sha256(key(text[r.doc_id]).encode()).hexdigest()
+    assert sum(r.kept for r in found) == len(groups)
+    few = exact_dedup.exact_duplicates(table(spark, rows), max_bits=128)  # a full filter: every row is shuffled
+    assert sorted(map(str, few.collect())) == sorted(map(str, found))
+
+
+EMPTY = {
+    "tokens": token_counts.count_tokens, "language": language_id.identify, "jaccard": jaccard_join.link, "mix": mixing.mix, "lines": line_dedup.dedup_lines,
+    "quality": quality_rules.quality, "packing": packing.pack_documents, "repeats": repeats.remove_repeats, "exact": exact_dedup.exact_duplicates,
+}
+
+
+@pytest.mark.parametrize("name", EMPTY)
+def test_empty_table(spark, name):
+    assert EMPTY[name](spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("name", EMPTY)
+def test_nulls_in_every_column_and_repeated_rows(spark, name):
+    rows = [(None, None, None, None), (3, "one two three four five six", None, None), (3, "one two three four five six", None, None), (None, "one two three four five six", None, "s")]
+    assert EMPTY[name](table(spark, rows)).count() >= 4
+
+
+def test_empty_pages(spark):
+    pages, labels = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "id long, bad boolean")
+    assert url_filter.judge(pages, labels).count() == 0

@@ -12,7 +12,6 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of links (a, b): the smallest node that can be reached. Each round takes the smallest label
     among neighbours and then the label's own label, so that long chains halve; the driver sees one count a round."""
     both = links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct()
-    both = reliable(both)
     labels = reliable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))

@@ -6,9 +6,10 @@ principle two such sets differ by at most K2 in one of the n1 parts, so that the
 parts. A signature is a band, a part, a subset of its smaller parts, and the elements there. Sets that share a
 signature are compared exactly.
 
-Groups under one signature are never expanded into pairs. Members are compared with hubs, a bounded number in each
-round; rounds go on, with new hubs, for groups whose members are not yet linked into one component, until each member
-outside of a group's largest component has been compared with every other member.
+Large groups under one signature are never expanded into pairs. All members are compared with one of them, and what that
+leaves in different components with hubs, a bounded number in each round; rounds go on, with new hubs, until each member
+outside of a group's largest component has been compared with every other member. In groups of bounded size, all pairs
+of different components are compared at once.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from twinlens.llm.components import components
 
 #: Smaller parts in each part, and how many of them may differ.
 N2, K2 = 3, 1
-#: Hubs of a group in one round.
-HUBS = 32
+#: Hubs of a group in one round; groups of up to SMALL_GROUP sets are compared in full where they are not linked.
+HUBS, SMALL_GROUP = 32, 64
 #: Bytes of signatures in a bucket, about; signatures that a task gathers before it hands them on.
 BUCKET_BYTES, FLUSH = 8 << 20, 1 << 20
 KEPT_WORDS = 300_000
@@ -271,24 +272,28 @@ def _links(own: DataFrame, groups: DataFrame, firsts: DataFrame, words: int, per
         x = x.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
         return reliable(x.select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long"))
 
-    hub = groups.groupBy("gid").agg(F.min("class").alias("hub"))
-    first = groups.join(hub, "gid").filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b"))
-    links = compared(first)
-    open_rows = reliable(groups.join(hub, "gid").filter("class <> hub").select("gid", "class"))  # members that were no hub yet
+    # every member with its group's smallest one
+    hub = groups.groupBy("gid").agg(F.min("class").alias("hub"), F.count("*").alias("m"))
+    rest = groups.join(hub, "gid").filter("class <> hub")  # members that were no hub yet
+    links = compared(rest.select(F.col("hub").alias("a"), F.col("class").alias("b")))
+    open_rows = rest.filter("m > 2").select("gid", "class", "m")
     while True:
         c = components(links)
-        rows = open_rows.join(c, F.col("class") == F.col("node"), "left").select("gid", "class", F.coalesce("component", "class").alias("c"))
-        # what has been a hub is compared with all others; its component still counts as one of the group's
-        sizes = rows.groupBy("gid", "c").agg(F.count("*").alias("m"))
-        main = sizes.groupBy("gid").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("k")).filter("k > 1")
+        rows = open_rows.join(c, F.col("class") == F.col("node"), "left").select("gid", "class", "m", F.coalesce("component", "class").alias("c"))
+        # what has been a hub is compared with all others of its group
+        sizes = rows.groupBy("gid", "c").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("gid").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("k")).filter("k > 1")
         rows = reliable(rows.join(main.select("gid", "main"), "gid"))
-        hubs = rows.filter("c <> main").groupBy("gid", F.pmod(F.xxhash64("class"), F.lit(HUBS)).alias("salt")).agg(F.min(F.struct("class", "c")).alias("h"))
+        few = rows.filter(F.col("m") <= SMALL_GROUP)
+        cross = few.join(few.select("gid", F.col("class").alias("other"), F.col("c").alias("oc")), "gid").filter("c <> oc and class < other").select(F.col("class").alias("a"), F.col("other").alias("b"))
+        many = rows.filter(F.col("m") > SMALL_GROUP)
+        hubs = many.filter("c <> main").groupBy("gid", F.pmod(F.xxhash64("class"), F.lit(HUBS)).alias("salt")).agg(F.min(F.struct("class", "c")).alias("h"))
         hubs = reliable(hubs.select("gid", F.col("h.class").alias("hub"), F.col("h.c").alias("hc")))
-        if not hubs.limit(1).count():
+        pairs = many.join(hubs, "gid").filter("c <> hc").select(F.col("hub").alias("a"), F.col("class").alias("b")).unionByName(cross)
+        links = reliable(links.unionByName(compared(pairs)))
+        if not hubs.limit(1).count():  # small groups are done
             return links
-        found = compared(rows.join(hubs, "gid").filter("c <> hc").select(F.col("hub").alias("a"), F.col("class").alias("b")))
-        links = reliable(links.unionByName(found))
-        open_rows = reliable(rows.select("gid", "class").join(hubs.select("gid", F.col("hub").alias("class")), ["gid", "class"], "left_anti"))
+        open_rows = reliable(many.select("gid", "class", "m").join(hubs.select("gid", F.col("hub").alias("class")), ["gid", "class"], "left_anti"))
 
 
 def op4_jaccard_join(spark, sf_dir):
