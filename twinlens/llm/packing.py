@@ -49,10 +49,11 @@ class Ids:
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
         self.words: dict[bytes | None, int] = {None: 0}  # None stands for the id 0 after a document
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 1
-        self.starts, self.sizes, self.hits = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64)
+        self.starts, self.sizes, self.hits, self.n = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64), 1
 
     def forget(self) -> None:
         """Keeps the more frequent half of the words."""
+        self.starts, self.sizes, self.hits = (x[: self.n] for x in (self.starts, self.sizes, self.hits))
         often = self.hits > np.median(self.hits)
         often[0] = True
         new = np.cumsum(often) - 1
@@ -61,17 +62,19 @@ class Ids:
         upto = np.cumsum(sizes)
         self.flat = self.flat[np.arange(upto[-1]) + np.repeat(self.starts[often] - (upto - sizes), sizes)]
         self.used = len(self.flat)
-        self.starts, self.sizes, self.hits = upto - sizes, sizes, self.hits[often] // 2
+        self.starts, self.sizes, self.hits, self.n = upto - sizes, sizes, self.hits[often] // 2, len(sizes)
 
     def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.words.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
-        self.used += len(ids)
+        end = self.n + len(words)
+        if end > len(self.sizes):
+            self.starts, self.sizes, self.hits = (np.concatenate([x, np.zeros(max(len(x), end), np.int64)]) for x in (self.starts, self.sizes, self.hits))
+        self.words.update(zip(words, range(self.n, end), strict=True))
+        self.starts[self.n : end] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : end] = sizes
+        self.n, self.used = end, self.used + len(ids)
 
     def _learn_whole(self, words: list[bytes]) -> None:
         """A special token between words keeps them apart in one call; a word that might hold one has a call alone."""
@@ -105,7 +108,7 @@ class Ids:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, each followed by id 0, and the number of each text's."""
-        if len(self.sizes) > KEPT_WORDS:
+        if self.n > KEPT_WORDS:
             self.forget()
         words: list[bytes | None] = []
         ends = []
@@ -141,7 +144,7 @@ def token_pieces(
         path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
         own = _IDS.get(path) or _IDS.setdefault(path, Ids(path))
         for b in batches:
-            for part in (b.slice(k, 128) for k in range(0, b.num_rows, 128)):
+            for part in (b.slice(k, 512) for k in range(0, b.num_rows, 512)):
                 ids, sizes = own.encode(part.column(1).to_pylist())
                 raw, begin = ids.astype("<u4").tobytes(), np.cumsum(sizes) - sizes
                 n = -(-sizes // capacity)
