@@ -23,6 +23,8 @@ EDITS, MIN_CHARS = 2, 20
 HUBS = 16
 #: Lines that occur more often than this, and in more than a thousandth of all places, probe once only.
 HOT_LINES = 1000
+#: Bits of the index's filter for each entry, and at most.
+BITS, MAX_BITS = 8, 1 << 26
 
 
 def within(x: Column, y: Column, edits: int = EDITS) -> Column:
@@ -57,16 +59,18 @@ def within(x: Column, y: Column, edits: int = EDITS) -> Column:
     return F.when(diagonal.between(0, width - 1), F.call_function("shiftright", last, diagonal).bitwiseAND(1) == 1).otherwise(False)
 
 
-def _probes(line: Column, n: Column, edits: int) -> Column:
+def _probes(line: Column, n: Column, edits: int, only_own: bool = False) -> Column:
     """The index entries that a line looks up: (key, own); own for those under which it is filed itself."""
     out = []
-    for delta in range(-edits, edits + 1):  # the other line has n - delta characters
+    for delta in [0] if only_own else range(-edits, edits + 1):  # the other line has n - delta characters
         size = n - delta
         q, long = F.floor(size / (edits + 1)).cast("int"), edits + 1 - size % (edits + 1)
         for i in range(edits + 1):
             start = q * i + F.greatest(F.lit(i) - long, F.lit(0))
             length = q + (F.lit(i) >= long).cast("int")
             for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
+                if only_own and shift:
+                    continue
                 at = start + shift
                 key = F.xxhash64(F.lit(i), size, F.substring(line, at + 1, length))
                 fits = (at >= 0) & (at + length <= n)
@@ -97,6 +101,13 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
 
     once = lines.join(F.broadcast(hot), ["h", "g"], "left").filter("first is null or first = place")
     probes = once.select("place", "h", F.explode(_probes(F.col("line"), F.col("n"), edits)).alias("p")).select("place", "h", "p.key", "p.own").filter("key is not null")
+    # a Bloom filter of the index, of bounded size, stops probes for entries that no line has; a full one stops none
+    words = min(1 << max(6, (total * (edits + 1) * BITS - 1).bit_length()), MAX_BITS) // 64
+    word = F.pmod(F.shiftrightunsigned("key", 12), F.lit(words))
+    bits = F.expr("shiftleft(1L, cast(key & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned(key, 6) & 63 as int))")
+    filed = once.select(F.explode(_probes(F.col("line"), F.col("n"), edits, True)).alias("p")).select("p.key").filter("key is not null")
+    bloom = filed.groupBy(word.alias("word")).agg(F.bit_or(bits).alias("bits"))
+    probes = probes.withColumn("word", word).join(F.broadcast(bloom), "word").filter(F.col("bits").bitwiseAND(bits) == bits).drop("word", "bits")
     hubs = probes.filter("own").groupBy("key").agg(F.min(F.struct("place", "h")).alias("hub"), (F.min("h") != F.max("h")).alias("many"))
     met = probes.select("key", "h", "own").join(hubs, "key").filter("many or h <> hub.h")
     met = reliable(met.select("key", "h", "own", F.col("hub.h").alias("hub"), "many").distinct())
