@@ -59,6 +59,19 @@ def within(x: Column, y: Column, edits: int = EDITS) -> Column:
     return F.when(diagonal.between(0, width - 1), F.call_function("shiftright", last, diagonal).bitwiseAND(1) == 1).otherwise(False)
 
 
+def may_be_within(x: Column, y: Column, edits: int = EDITS, parts: int = 8) -> Column:
+    """False only if the distance of x and y is above edits: of so many pieces of x, all but one for each edit are in y,
+    shifted by edits at most."""
+    n = F.char_length(x)
+    size = F.floor(n / parts).cast("int")
+    found = F.lit(0)
+    for i in range(parts):
+        piece = F.substring(x, size * i + 1, size if i < parts - 1 else n - size * (parts - 1))
+        around = F.substring(y, F.greatest(size * i + 1 - edits, F.lit(1)), (size if i < parts - 1 else n - size * (parts - 1)) + 2 * edits)
+        found = found + F.contains(around, piece).cast("int")
+    return found >= parts - edits
+
+
 def _probes(line: Column, n: Column, edits: int, only_own: bool = False) -> Column:
     """The index entries that a line looks up: (key, own); own for those under which it is filed itself."""
     out = []
@@ -108,6 +121,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     filed = once.select(F.explode(_probes(F.col("line"), F.col("n"), edits, True)).alias("p")).select("p.key").filter("key is not null")
     bloom = filed.groupBy(word.alias("word")).agg(F.bit_or(bits).alias("bits"))
     probes = probes.withColumn("word", word).join(F.broadcast(bloom), "word").filter(F.col("bits").bitwiseAND(bits) == bits).drop("word", "bits")
+    probes = reliable(probes.withColumn("place", F.when(F.col("own"), F.col("place"))))
     hubs = probes.filter("own").groupBy("key").agg(F.min(F.struct("place", "h")).alias("hub"), (F.min("h") != F.max("h")).alias("many"))
     met = probes.select("key", "h", "own").join(hubs, "key").filter("many or h <> hub.h")
     met = reliable(met.select("key", "h", "own", F.col("hub.h").alias("hub"), "many").distinct())
@@ -123,6 +137,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
         x = texts.select("h", "g", F.col("first").alias("xf"), F.col("line").alias("x"))
         y = texts.select(F.col("h").alias("other"), F.col("first").alias("yf"), F.col("line").alias("y"))
         both = pairs.distinct().join(x, "h").join(y, "other").filter("yf < xf")
+        both = both.filter(may_be_within(F.col("x"), F.col("y"), edits))
         return reliable(both.filter(within(F.col("x"), F.col("y"), edits)).select("h", "g").distinct())
 
     gone = near(met.filter("h <> hub").select("h", F.col("hub").alias("other")))
