@@ -29,7 +29,7 @@ from twinlens.llm.components import components
 #: Smaller parts in each part, and how many of them may differ.
 N2, K2 = 3, 1
 #: Hubs of a group in one round; groups of up to SMALL_GROUP sets are compared in full where they are not linked.
-HUBS, SMALL_GROUP = 32, 64
+HUBS, SMALL_GROUP = 128, 256
 #: Bytes of signatures in a bucket, about; signatures that a task gathers before it hands them on.
 BUCKET_BYTES, FLUSH = 8 << 20, 1 << 20
 KEPT_WORDS = 300_000
