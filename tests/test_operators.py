@@ -95,6 +95,31 @@ def test_segments_and_ratios(spark):
     assert copynumber.depth_ratios(t).first().logr == 0.0
 
 
+@pytest.mark.parametrize("block", [50, 80, 1000])
+def test_segments_by_the_second_track(spark, block):
+    g = np.random.default_rng(8)
+    logr, baf = g.normal(0, 0.05, 200), np.concatenate([g.normal(0.42, 0.01, 80), g.normal(0.1, 0.01, 120)])
+    rows = [(c, 10 * i, float(x), float(y)) for c in ("a", "b") for i, (x, y) in enumerate(zip(logr, baf if c == "a" else np.full(200, 0.4) + g.normal(0, 0.01, 200), strict=True))]
+    got = copynumber.segments(spark.createDataFrame(rows, "ctg string, pos long, logr double, baf double"), 40.0, block=block).orderBy("ctg", "start").collect()
+    assert [(r.ctg, r.start, r.end, r.n) for r in got] == [("a", 0, 790, 80), ("a", 800, 1990, 120), ("b", 0, 1990, 200)]
+
+
+def test_segments_by_both_tracks_together(spark):
+    step, noise = np.repeat([0.0, 1.0], 40), np.tile([1.0, -1.0], 40)
+
+    def sizes(x, y):
+        rows = [("c", i, float(a), float(b)) for i, (a, b) in enumerate(zip(0.1 * noise + x * step, 0.2 + 0.01 * noise + y * step, strict=True))]
+        return [r.n for r in copynumber.segments(spark.createDataFrame(rows, "ctg string, pos long, logr double, baf double"), 45.0, block=40).collect()]
+
+    assert sizes(0.27, 0.0) == [80] and sizes(0.0, 0.027) == [80] and sizes(0.27, 0.027) == [40, 40]
+
+
+def test_places_are_numbered_by_contig(spark):
+    rows = [(c, int(p)) for c in "ab" for p in np.random.default_rng(10).permutation(500)]
+    got = copynumber.numbered(spark.createDataFrame(rows, "ctg string, pos long")).collect()
+    assert len(got) == 1000 and all(r["index"] == r.pos for r in got)
+
+
 def test_spline_residuals_remove_a_trend(spark):
     g = np.random.default_rng(5)
     rows = [(float(x), float(np.sin(x) + e)) for x, e in zip(g.uniform(0, 3, 400), g.normal(0, 0.01, 400), strict=True)]

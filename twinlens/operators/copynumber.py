@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions.quality import expected_fractions
+from twinlens.llm.common import reliable, small
 
 SITE = ["ctg", "pos"]
 
@@ -96,6 +97,11 @@ def homozygous(df: DataFrame, low: float = 0.3, high: float = 0.7) -> DataFrame:
     return df.withColumn("hom", (F.col("baf") < low) | (F.col("baf") > high))
 
 
+def spread(x: np.ndarray) -> float:
+    """The noise of a track, by the differences of its neighbours; 0 if there are none."""
+    return float(np.median(np.abs(np.diff(x))) * 1.4826 / math.sqrt(2)) if len(x) > 1 else 0.0
+
+
 def segment(logr: np.ndarray, baf: np.ndarray, penalty: float = 1000.0, least: int = 6) -> np.ndarray:
     """The first index of each segment: the least sum of squares of both tracks around segment means, scaled by their
     spread, and a penalty for each segment; segments have so many points at least. Exact, by dynamic programming."""
@@ -104,8 +110,7 @@ def segment(logr: np.ndarray, baf: np.ndarray, penalty: float = 1000.0, least: i
         return np.array([0] if n else [], int)
     tracks = []
     for x in (logr, baf):
-        s = np.median(np.abs(np.diff(x))) * 1.4826 / math.sqrt(2)
-        tracks.append((x - np.median(x)) / (s or 1.0))
+        tracks.append((x - np.median(x)) / (spread(x) or 1.0))
     y = np.stack(tracks)
     c = np.concatenate([np.zeros((2, 1)), np.cumsum(y, axis=1)], axis=1)
     best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
@@ -124,31 +129,54 @@ def segment(logr: np.ndarray, baf: np.ndarray, penalty: float = 1000.0, least: i
     return np.array(cuts[::-1])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with index, the row's number in its contig by place, from 0: a range-partitioned sort and the counts of the
+    partitions before, so that no task holds a contig."""
+    ordered = reliable(
+        df.repartitionByRange(*SITE).sortWithinPartitions(*SITE)
+        .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    )
+    # a row for each contig in a partition
+    parts = ordered.groupBy("ctg", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("ctg").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("ctg").alias("_ctg"), F.col("_part").alias("_of"), (before - F.col("_first")).alias("_shift"))
+    joined = ordered.join(small(parts, parts.count()), F.col("ctg").eqNullSafe(F.col("_ctg")) & (F.col("_part") == F.col("_of")))
+    return joined.withColumn("index", F.col("_at") + F.col("_shift")).select(*df.columns, "index")
+
+
 def segments(df: DataFrame, penalty: float = 70.0, least: int = 6, block: int = 1000) -> DataFrame:
     """Segments (ctg, start, end, n, logr, baf) of (ctg, pos, logr, baf): the joint segmentation above, by blocks of so
-    many neighbouring places; neighbouring segments of two blocks join unless a cut between them pays.
+    many neighbouring places; the segments on both sides of a block border join unless a cut between them pays, by both
+    tracks and in the scale of the two blocks. Cuts within a block stay.
 
     The search is quadratic in a block and the blocks are dealt out, so that a long contig is not one task.
     """
-    number = F.floor((F.row_number().over(Window.partitionBy("ctg").orderBy("pos")) - 1) / block)
-    d = df.select("ctg", "pos", "logr", F.least("baf", 1 - F.col("baf")).alias("baf")).withColumn("block", number)
+    d = numbered(df.select("ctg", "pos", "logr", F.least("baf", 1 - F.col("baf")).alias("baf")))
+    d = d.withColumn("block", F.floor(F.col("index") / block))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos")
+        frame = frame.sort_values("index")
         x, y, p = frame["logr"].to_numpy(), frame["baf"].to_numpy(), frame["pos"].to_numpy()
         cuts = segment(x, y, penalty, least)
         ends = np.append(cuts[1:], len(x))
-        spread = np.median(np.abs(np.diff(x))) * 1.4826 / math.sqrt(2) if len(x) > 1 else 0.0
         return pd.DataFrame({
-            "ctg": frame["ctg"].iloc[0], "start": p[cuts], "end": p[ends - 1], "n": ends - cuts,
+            "ctg": frame["ctg"].iloc[0], "block": frame["block"].iloc[0], "start": p[cuts], "end": p[ends - 1], "n": ends - cuts,
             "logr": [x[a:b].mean() for a, b in zip(cuts, ends, strict=True)], "baf": [y[a:b].mean() for a, b in zip(cuts, ends, strict=True)],
-            "spread": float(spread),
+            "size": len(x), "logr_spread": spread(x), "baf_spread": spread(y),
         })
 
-    s = d.groupBy("ctg", "block").applyInPandas(run, "ctg string, start long, end long, n long, logr double, baf double, spread double")
-    w = Window.partitionBy("ctg").orderBy("start")
-    gain = (F.col("logr") - F.lag("logr").over(w)) ** 2 * F.col("n") * F.lag("n").over(w) / (F.col("n") + F.lag("n").over(w))
-    new = F.when(gain.isNull() | (gain > penalty * F.greatest("spread", F.lit(1e-6)) ** 2), 1).otherwise(0)
+    s = d.groupBy("ctg", "block").applyInPandas(run, "ctg string, block long, start long, end long, n long, logr double, baf double, size long, logr_spread double, baf_spread double")
+    w = Window.partitionBy("ctg").orderBy("block", "start")
+    was = lambda c: F.lag(c).over(w)
+    gain = F.lit(0.0)
+    for c in ("logr", "baf"):
+        square = lambda x: x * x
+        scale = (square(F.col(f"{c}_spread")) * F.col("size") + square(was(f"{c}_spread")) * was("size")) / (F.col("size") + was("size"))
+        gain = gain + square(F.col(c) - was(c)) / F.when(scale > 0, scale).otherwise(1.0)
+    gain = gain * F.col("n") * was("n") / (F.col("n") + was("n"))
+    # the last block of a contig may be shorter than a segment
+    joins = (F.col("block") != was("block")) & ((gain <= penalty) | (F.least("n", was("n")) < least))
+    new = F.when(joins, 0).otherwise(1)
     g = s.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
     return g.groupBy("ctg", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), mean("logr"), mean("baf")).drop("_g")

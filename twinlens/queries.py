@@ -545,7 +545,7 @@ def logr_residual(spark, d):
 
 @query()
 def joint_segments(spark, d):
-    return CN.segments(_track(spark, d).withColumn("ctg", F.lit("chr1")), 20.0)
+    return CN.segments(_track(spark, d), 20.0)
 
 
 GRID = f"""{TRACK}, s AS (SELECT ctg, count(*) AS n, avg(logr) AS logr, avg(least(baf, 1 - baf)) AS baf FROM m GROUP BY 1),
