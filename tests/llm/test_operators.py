@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables with nulls, ties, repeats and odd texts."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -143,6 +144,29 @@ def test_mined_url_rules(spark):
     assert all((found[i][0] == "block") == b for i, b in bad.items())
 
 
+def test_url_rules_of_a_site_in_a_large_table(spark):
+    """30 bad URLs of one site, and rules of two tokens, among so many labelled ones that they are no large part."""
+    r = random.Random(9)
+    rows = [(i, f"http://h{i % 400}.org/{r.choice(['a', 'b', 'c'])}/{i}", i % 7 == 0) for i in range(9000)]
+    rows += [(9000 + i, f"http://www.spam.info/x/{i}", True) for i in range(30)]
+    rows += [(9100 + i, f"http://two.info/{'casino' if i % 2 else 'news'}/{i}", bool(i % 2)) for i in range(60)]
+    rows += [(9200 + i, f"http://one.info/{'casino' if i % 2 else 'wares'}/{i}", i % 5 == 0) for i in range(200)]
+    pages = spark.createDataFrame([*((i, u) for i, u, _ in rows), (9900, "http://spam.info/new"), (9901, "http://www.spam.info/"), (9902, "http://two.info/casino/7"), (9903, "http://two.info/news/7")], "page_id long, url string")
+    found = got(url_filter.judge(pages, spark.createDataFrame([(i, b) for i, _, b in rows], "id long, bad boolean")), "page_id", "verdict", "mined")
+    assert all(found[i][0] == "block" for i in [*range(9000, 9030), 9900, 9901, 9902]) and found[9903][0] == "allow"
+    assert found[9902][1] == 1.0 and all(found[i][0] == "allow" for i in range(9000))
+    # every rule by brute force
+    rules, tokens = defaultdict(lambda: [0, 0]), {}
+    for i, u in ((x.page_id, x.t) for x in pages.select("page_id", url_filter.url_tokens(F.col("url")).alias("t")).collect()):
+        tokens[i] = {frozenset(c) for k in range(1, len(u) + 1) for c in itertools.combinations(sorted(u), k)}
+    for i, _, b in rows:
+        for c in tokens[i]:
+            rules[c][b] += 1
+    good = {c: n[1] / sum(n) for c, n in rules.items() if n[1] >= 20 and n[1] / sum(n) >= 0.6}
+    for i in (*range(0, 9000, 50), *range(9000, 9030), *range(9100, 9160), *range(9200, 9400), *range(9900, 9904)):
+        assert found[i][1] == pytest.approx(max((good[c] for c in tokens[i] if c in good), default=None))
+
+
 def links(docs, n, percent):
     sets = {}
     for i, t, *_ in docs:
