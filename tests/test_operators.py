@@ -195,6 +195,26 @@ def test_copy_number_tags(spark):
     assert "verdict" in got.columns and got.count() <= 2
 
 
+def test_purity_between_coarse_steps(spark):
+    """Segments of a sample of purity 0.5 and ploidy 2.5, and the whole grid by brute force."""
+    rho, psi = 0.5, 2.5
+    total = 2 * (1 - rho) + rho * psi
+    segs = [(f"c{i}", n, float(np.log2((2 * (1 - rho) + rho * (a + b)) / total)), (1 - rho + rho * a) / (2 * (1 - rho) + rho * (a + b))) for i, (n, a, b) in enumerate([(300, 1, 1), (200, 0, 1), (400, 1, 2), (300, 1, 3), (150, 0, 2)])]
+    d = spark.createDataFrame(segs, "ctg string, n long, logr double, baf double")
+    _, n, r, f = (np.array(x) for x in zip(*segs, strict=True))
+    w, cells = n * np.where(f == 0.5, 0.05, 1.0), np.zeros((len(copynumber.RHOS), len(copynumber.PSIS)))
+    for i, p in enumerate(copynumber.RHOS):
+        for j, q in enumerate(copynumber.PSIS):
+            t = 2.0**r * (2 * (1 - p) + p * q)
+            low = np.minimum((p - 1 - (f - 1) * t) / p, (p - 1 + f * t) / p)
+            cells[i, j] = ((low - np.maximum(np.round(low), 0)) ** 2 * w).sum()
+    got = pipelines.fit_purity(d, copynumber.RHOS, copynumber.PSIS).first()
+    assert cells.shape == (96, 101) and (got.rho, got.psi) == (rho, psi)
+    i, j = copynumber.RHOS.index(got.rho), copynumber.PSIS.index(got.psi)
+    near = cells[max(0, i - 3) : i + 4, max(0, j - 3) : j + 4]
+    assert got.distance == pytest.approx(cells[i, j], abs=1e-9) and (near <= cells[i, j]).sum() == 1
+
+
 def test_calls_round_trip(spark, tmp_path):
     s = "ctg string, pos long, ref string, alt string, qual double, filter string, gt string, dp long, af double, naf double"
     d = spark.createDataFrame([("chr2", 5, "A", "T", 9.5, "PASS", "0/1", 30, 0.4, 0.0), ("chr10", 1, "C", "G", 3.0, "LowQual", "0/1", 10, 0.2, 0.1), ("chr1", 7, "G", ".", 1.0, "RefCall", "0/0", 9, 0.0, 0.0)], s)

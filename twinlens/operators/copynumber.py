@@ -13,6 +13,8 @@ from twinlens.functions.quality import expected_fractions
 from twinlens.llm.common import reliable, small
 
 SITE = ["ctg", "pos"]
+#: The grid of the search for purity and ploidy.
+RHOS, PSIS = [x / 100 for x in range(10, 106)], [x / 100 for x in range(100, 601, 5)]
 
 
 def depth_ratios(tumor: DataFrame, normal: DataFrame | None = None) -> DataFrame:

@@ -50,16 +50,21 @@ def evaluate_calls(truth: DataFrame, called: DataFrame, regions: list[DataFrame]
     return evaluate.metrics(evaluate.classify(truth, called, ["ctg", "pos"]))
 
 
+def fit_purity(segs: DataFrame, rhos: list[float], psis: list[float]) -> DataFrame:
+    """The best purity and ploidy of segments: a local minimum of the grid, one row at most."""
+    grid = copynumber.purity_grid(segs, rhos, psis)
+    at = {"rho": rhos, "psi": psis}
+    numbered = grid.withColumns({f"{k}_at": F.array_position(F.array(*(F.lit(float(x)) for x in v)), F.col(k)) for k, v in at.items()})
+    return copynumber.best_purity(grid, sequences.local_minima(numbered, "rho_at", "psi_at", "distance"))
+
+
 def tag_by_copies(called: DataFrame, tumor: DataFrame, normal: DataFrame, rhos: list[float], psis: list[float]) -> DataFrame:
     """Calls (ctg, pos, alt, depth) with a verdict by copy numbers: ratios, segments, purity, whole copies, verdicts.
 
     tumor and normal have ctg, pos, a, b. A call outside of all segments has no verdict.
     """
     segs = copynumber.segments(copynumber.depth_ratios(tumor, normal))
-    grid = copynumber.purity_grid(segs, rhos, psis)
-    at = {"rho": rhos, "psi": psis}
-    numbered = grid.withColumns({f"{k}_at": F.array_position(F.array(*(F.lit(float(x)) for x in v)), F.col(k)) for k, v in at.items()})
-    best = copynumber.best_purity(grid, sequences.local_minima(numbered, "rho_at", "psi_at", "distance")).first()
+    best = fit_purity(segs, rhos, psis).first()
     if best is None:
         return called.withColumn("verdict", F.lit(None).cast("string"))
     whole = copynumber.whole_copies(segs, best.rho, best.psi).select("ctg", F.col("start").alias("rstart"), (F.col("end") + 1).alias("rend"), "major", "minor")

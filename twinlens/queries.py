@@ -556,9 +556,12 @@ d AS (SELECT *, least(na, nb) AS mi FROM c),
 r AS (SELECT rho, psi, sum(pow(mi - greatest(round(mi), 0.0), 2.0) * w) AS distance, sum(0.25 * w) AS worst, sum((na + nb) * n) / sum(n) AS ploidy, sum(CASE WHEN round(mi) = 0 THEN n ELSE 0 END) / sum(n) AS zero FROM d GROUP BY ALL)"""
 
 
+def _contig_means(spark, d) -> DataFrame:
+    return _track(spark, d).groupBy("ctg").agg(F.count("*").alias("n"), F.avg("logr").alias("logr"), F.avg(Q.fold(F.col("baf"))).alias("baf"))
+
+
 def _grid(spark, d) -> DataFrame:
-    s = _track(spark, d).groupBy("ctg").agg(F.count("*").alias("n"), F.avg("logr").alias("logr"), F.avg(Q.fold(F.col("baf"))).alias("baf"))
-    return CN.purity_grid(s, [0.4, 0.6, 0.8, 1.0], [1.5, 2.0, 3.0])
+    return CN.purity_grid(_contig_means(spark, d), [0.4, 0.6, 0.8, 1.0], [1.5, 2.0, 3.0])
 
 
 @query(f"WITH {GRID} SELECT rho, psi, round(distance, 4) AS distance, round((1 - distance / nullif(worst, 0)) * 100, 4) AS goodness, round(ploidy, 4) AS ploidy, round(zero, 4) AS zero FROM r")
@@ -573,6 +576,12 @@ def purity_best(spark, d):
     return CN.best_purity(g, g).select("rho", "psi", "stage")
 
 
+@query()
+def purity_fit(spark, d):
+    """The whole search: steps of 0.01 and 0.05, and local minima only."""
+    return PL.fit_purity(_contig_means(spark, d), CN.RHOS, CN.PSIS).select("rho", "psi", "stage")
+
+
 BINOMIAL = """WITH c AS (SELECT p_partkey AS id, p_size AS n, p_partkey % (p_size + 1) AS k FROM part), o AS (SELECT id, n, k, unnest(range(0, n + 1)) AS i FROM c),
 l AS (SELECT *, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.3) + (n - i) * ln(0.7) AS l, lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.3) + (n - k) * ln(0.7) AS own FROM o)
 SELECT id, round(least(sum(exp(l)) FILTER (l <= own + 1e-7), 1.0), 6) AS p FROM l GROUP BY id"""
