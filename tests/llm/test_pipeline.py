@@ -6,6 +6,8 @@ from collections import defaultdict
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from twinlens.llm.jaccard_join import near_duplicate_stage
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,3 +44,20 @@ def test_stages(spark, tmp_path):
         fill[p.sequence_id] += p.length
     assert max(fill.values()) <= 2048
     assert kept["packing"].filter("piece = 0").count() == len(ids["mixing"])
+
+
+def test_one_row_of_each_near_duplicate_group_stays(spark, tmp_path):
+    r = random.Random(5)
+    make = lambda: [f"w{r.randrange(10**6)}" for _ in range(40)]
+    a, b, c, d, e = (" ".join(make()) for _ in range(5))
+    rows = [(1, a)] * 3 + [(2, b), (3, b + " x"), (3, c)]  # repeated rows; two texts under one doc_id, one in a group of a smaller one
+    rows += [(None, d)] * 4 + [(None, d + " x"), (None, d + " y"), (9, e), (None, e + " x")]  # null ids alone, and with a doc_id
+    rows += [(5, a + " x"), (7, c + " b"), (7, c + " a"), (20, None), (None, ""), (None, "")]
+    f = " ".join(make())
+    rows += [(8, f + " b"), (8, f + " a")]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t or "")) for i, t in rows], SCHEMA).select(*COLUMNS).repartition(3)
+    kept = near_duplicate_stage(spark, docs, str(tmp_path))
+    assert kept.columns == COLUMNS
+    want = [(1, a), (2, b), (3, c), (None, d), (8, f + " a"), (9, e), (20, None), (None, ""), (None, "")]
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert near_duplicate_stage(spark, docs.limit(0), str(tmp_path)).count() == 0

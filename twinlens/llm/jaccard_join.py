@@ -15,6 +15,7 @@ of different components are compared at once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import reliable, small, table
+from twinlens.llm.common import reliable, shared_folder, small, table
 from twinlens.llm.components import components
 
 #: Smaller parts in each part, and how many of them may differ.
@@ -301,11 +302,30 @@ def op4_jaccard_join(spark, sf_dir):
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates, the document with the smallest id stays."""
-    found = link(docs, words=5, percent=80).filter("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    found = reliable(found)
-    kept = docs.join(found, "doc_id", "left_semi") if docs.columns else docs
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """Pipeline stage: of each group of near-duplicates, one row stays, the smallest by doc_id (null last), then text,
+    then the place among the written rows.
+
+    Repeated rows, texts under one doc_id and rows with a null doc_id are rows of their own: each links by its text.
+    Texts without words link with nothing, so all of them stay.
+    """
+    path = f"{shared_folder(spark)}/near-{uuid4().hex}"
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    kind = docs.schema["doc_id"].dataType
+    # without nulls, and in the order of doc_id
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit("0").cast(kind)).alias("doc_id"), F.col("_row").alias("row"))
+    found = link(rows.select(name.alias("_key"), "text"), "_key", words=5, percent=80)
+    # the rows of a component with its smallest doc_id; more than one is rare
+    least = reliable(
+        found.filter(F.struct("_key.none", "_key.doc_id") == F.struct("component_id.none", "component_id.doc_id"))
+        .select(F.col("_key.row").alias("_row"), F.col("component_id.row").alias("c"))
+    )
+    tied = reliable(least.filter("_row <> c").select("c").distinct())
+    ties = small(tied, tied.count())
+    texts = rows.select("_row", "text").join(least.join(ties, "c", "left_semi"), "_row")
+    first = texts.groupBy("c").agg(F.min(F.struct("text", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
+    kept = least.join(ties, "c", "left_anti").select("_row").unionByName(first)
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 ORACLE = r"""
