@@ -45,3 +45,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pair_calls_scores_whole_windows(spark, monkeypatch):
+    from twinlens import queries
+
+    widths, feature_window = [], queries.SEQ.feature_window
+    monkeypatch.setattr(queries.SEQ, "feature_window", lambda sites, vectors, width, flank: widths.append(2 * flank + 1) or feature_window(sites, vectors, width, flank))
+    assert len(QUERIES["pair_calls"](spark, DATA).columns) and widths == [33, 33]

@@ -701,7 +701,7 @@ def pair_calls(spark, d):
     w = {f"{k}{x}": r.normal(0, 0.2, s).astype(np.float32) for x in "fb" for k, s in (("w", (len(C.CHANNELS), 24)), ("u", (8, 24)), ("b", (24,)))}
     model = K.recurrent_model(w | {"o": r.normal(0, 1, (16, 3)).astype(np.float32), "bo": np.array([-1, -1, 1], np.float32)})
     o = observations(spark, d)
-    return PL.call_pair(o.filter("sample = 'tumor'"), o.filter("sample = 'normal'"), model, flank=4)
+    return PL.call_pair(o.filter("sample = 'tumor'"), o.filter("sample = 'normal'"), model)
 
 
 @query()
