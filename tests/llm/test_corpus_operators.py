@@ -206,10 +206,47 @@ def test_jaccard_join_large_group_of_near_copies(spark):
     assert got(jaccard_join.link(table(spark, rows), words=3, percent=90), "doc_id", "n_shingles", "component_id") == links(rows, 3, 90)
 
 
-def test_partenum_guarantee():
+def test_jaccard_join_beyond_one_search(spark, monkeypatch):
+    """Groups above the bounds go to finer signatures and then block by block with hubs."""
+    monkeypatch.setattr(jaccard_join, "MOST_SETS", 30)
+    monkeypatch.setattr(jaccard_join, "FIRST_HUBS", 8)
+    monkeypatch.setattr(jaccard_join, "HUBS", 15)
+    r = random.Random(7)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base[:45] + [f"y{i}"] * (i % 2) + [f"z{r.randrange(30)}" for _ in range(r.choice([0, 2, 4, 9]))]), "en", "s") for i in range(90)]
+    rows += [(None, " ".join(base[:45]) + " q", "en", "s")]
+    want = links(rows[:-1], 3, 80)
+    found = got(jaccard_join.link(table(spark, rows), words=3, percent=80), "doc_id", "n_shingles", "component_id")
+    assert {k: v for k, v in found.items() if k is not None} == want and found[None] == (44, want[0][1])
+
+
+def test_null_ids_link_like_others(spark):
+    r = random.Random(8)
+    a, b = (" ".join(f"w{r.randrange(9999)}" for _ in range(40)) for _ in range(2))
+    rows = [(5, a, "en", "s"), (None, a + " x", "en", "s"), (None, b, "en", "s"), (None, b + " y", "en", "s"), (None, None, "en", "s"), (None, "", "en", "s")]
+    found = jaccard_join.link(table(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([(5, 36, 5), (None, 37, 5), (None, 36, None), (None, 37, None), (None, 0, None), (None, 0, None)], key=repr)
+
+
+def test_word_hashes_of_long_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard_join, "PIECE", 64)
+    monkeypatch.setattr(jaccard_join, "_POWERS", [])
+    r = random.Random(9)
+    texts = [None, "", "A b\tC", " ".join("".join(r.choice("abcXYZ") for _ in range(r.choice([1, 5, 20]))) for _ in range(200)), "x" * 300 + " y", "\n a", "é " * 50, "y " + "x" * 300]
+    own = [jaccard_join.shingle_sets(pa.array([t]), 3)[0].tolist() for t in texts]
+    assert [s.tolist() for s in jaccard_join.shingle_sets(pa.array(texts), 3)] == own
+    assert [len(s) for s in own] == [len({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if (w := words((t or "").lower())) else ()) for t in texts]
+    low = [jaccard_join.shingle_sets(pa.array([t and t.lower()]), 3)[0].tolist() for t in texts]
+    assert low == own
+
+
+@pytest.mark.parametrize("shape", jaccard_join.SHAPES)
+def test_partenum_guarantee(shape):
     r = np.random.default_rng(6)
     for percent in (60, 80, 90):
-        bands = jaccard_join.Bands(percent)
+        bands = jaccard_join.Bands(percent, shape)
         for _ in range(60):
             n = int(r.integers(1, 200))
             a = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
@@ -217,7 +254,11 @@ def test_partenum_guarantee():
             both = len(np.intersect1d(a, b))
             if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
                 s, of = jaccard_join.signatures([a, b], bands)
-                assert np.intersect1d(s[of == 0], s[of == 1]).size
+                assert np.array_equal(a, b) or np.intersect1d(s[of == 0], s[of == 1]).size
+                x, y = (np.frombuffer(jaccard_join.sketch(k), np.uint64) for k in (a, b))
+                width = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(k.reshape(-1, width), axis=0) for k in (x, y))
+                assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * both
 
 
 def test_components(spark):

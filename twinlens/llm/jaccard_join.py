@@ -2,23 +2,24 @@
 
 Sets whose sizes allow the similarity are in one band of sizes or in neighbouring ones, and differ in at most k
 elements, which follows from the band. The domain is hashed into n1 parts of n2 smaller ones; by the pigeonhole
-principle two such sets differ by at most K2 in one of the n1 parts, so that they agree on n2 - K2 of its smaller
-parts. A signature is a band, a part, a subset of its smaller parts, and the elements there. Sets that share a
-signature are compared exactly.
-
-Large groups under one signature are never expanded into pairs. All members are compared with one of them, and what that
-leaves in different components with hubs, a bounded number in each round; rounds go on, with new hubs, until each member
-outside of a group's largest component has been compared with every other member. In groups of bounded size, all pairs
-of different components are compared at once.
+principle two such sets differ by at most k2 in one of the n1 parts, so that they agree on n2 - k2 of its smaller
+parts. A signature is a band, a part, a subset of its smaller parts, and the elements there.
+
+Pairs are never expanded. Under each signature, a breadth-first search over the parity sketches of its sets, whose
+distance is a lower bound of the sets' difference, leaves a spanning forest of what may be similar. The components of
+all forests are clusters; each ships its sets once, and a search by exact comparison leaves a spanning forest of the
+links. Groups above the bounds of one search are enumerated again by finer signatures, and what is still too large goes
+block by block with a bounded number of hubs in each round, until all sets outside of the largest component have been
+hubs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,14 +28,20 @@ from pyspark.sql import functions as F
 from twinlens.llm.common import reliable, shared_folder, small, table
 from twinlens.llm.components import components
 
-#: Smaller parts in each part, and how many of them may differ.
-N2, K2 = 3, 1
-#: Hubs of a group in one round; groups of up to SMALL_GROUP sets are compared in full where they are not linked.
-HUBS, SMALL_GROUP = 128, 256
-#: Bytes of signatures in a bucket, about; signatures that a task gathers before it hands them on.
-BUCKET_BYTES, FLUSH = 8 << 20, 1 << 20
-KEPT_WORDS = 300_000
-_UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Smaller parts in each part, and how many of them may differ; the next shape is for groups that are too large.
+SHAPES = ((3, 1), (6, 3))
+#: Sets, and elements by the largest one's size, of one search in a task.
+MOST_SETS, MOST_ELEMENTS = 2048, 4 << 20
+#: Hubs of a group in the first round and in the later ones.
+FIRST_HUBS, HUBS = 64, 1024
+#: Bytes of signatures or of sets in a bucket, about; signatures that a task gathers before it hands them on; of them,
+#: groups of more sets than FEW go round the bucket.
+BUCKET_BYTES, FLUSH, FEW = 8 << 20, 1 << 20, 8
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 20
+#: Classes that a task remembers.
+KEPT_CLASSES = 300_000
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -43,86 +50,174 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_HASHES: dict[bytes, int] = {}
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; of the whole sequence if it has fewer words."""
-    own = (text or "").encode().translate(_UPPER).split()
-    if not own:
-        return np.zeros(0, np.uint64)
-    at = list(map(_HASHES.get, own))
-    if None in at:
-        if len(_HASHES) > KEPT_WORDS:
-            _HASHES.clear()
-        new = {w: xxhash.xxh3_64_intdigest(w) for w in {w for w, k in zip(own, at, strict=True) if k is None}}
-        at = [new[w] if k is None else k for w, k in zip(own, at, strict=True)]
-        _HASHES.update(new)
-    h = np.array(at, np.uint64)
-    n = min(words, len(h))
-    s = h[: len(h) - n + 1].copy()
-    for k in range(1, n):
-        s = _mixed(s + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
-    return np.unique(_mixed(s + np.uint64(n)))
-
-
-def class_of(s: np.ndarray) -> int:
-    """The set's number: equal sets have one."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _GOLD)
+_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+_BASE = 0xD6E8FEB86659FD93
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(PIECE + 1, base, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.cumprod(p))
+    return _POWERS
+
+
+def _hashed(a: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of the bytes, and their places. heads: where a text starts, which ends a word."""
+    word = ~_SPACE[a]
+    new = word.copy()
+    new[1:] &= _SPACE[a[:-1]]
+    new[heads] = word[heads]
+    end = word.copy()
+    end[:-1] &= _SPACE[a[1:]]
+    end[heads[heads > 0] - 1] = word[heads[heads > 0] - 1]
+    starts, ends = np.flatnonzero(new), np.flatnonzero(end) + 1
+    power, inverse = _powers()
+    upto = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_BYTE[a] * power[: len(a)], out=upto[1:])
+    return _mixed((upto[ends] - upto[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _GOLD), starts
+
+
+def _long(a: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one text above PIECE bytes, cut between words; a word above that has a hash of its own."""
+    out, at = [], 0
+    none = np.zeros(1, np.int64)
+    while at < len(a):
+        stop = min(at + PIECE, len(a))
+        if stop < len(a):
+            spaces = np.flatnonzero(_SPACE[a[at:stop]])
+            if len(spaces):
+                stop = at + int(spaces[-1]) + 1
+            else:  # one word fills the piece
+                while stop < len(a) and not _SPACE[a[stop]]:
+                    step = np.flatnonzero(_SPACE[a[stop : stop + PIECE]])
+                    stop = stop + int(step[0]) if len(step) else min(stop + PIECE, len(a))
+                low = bytes(a[at:stop]).translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+                out.append(np.array([xxhash.xxh3_64_intdigest(low)], np.uint64))
+                at = stop
+                continue
+        out.append(_hashed(a[at:stop], none)[0])
+        at = stop
+    return np.concatenate(out)
+
+
+def _word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of words of successive texts on end, and the number of each text's."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    k = 0
+    while k < len(texts):
+        if at[k + 1] - at[k] > PIECE:
+            h = _long(raw[at[k] : at[k + 1]])
+            yield h, np.array([len(h)])
+            k += 1
+            continue
+        j = max(k + 1, int(np.searchsorted(at, at[k] + PIECE, side="right")) - 1)
+        heads = at[k:j] - at[k]
+        full = np.diff(at[k : j + 1]) > 0
+        if full.any():
+            h, starts = _hashed(raw[at[k] : at[j]], heads[full])
+            yield h, np.diff(np.append(np.searchsorted(starts, heads), len(starts)))
+        else:
+            yield np.zeros(0, np.uint64), np.zeros(j - k, np.int64)
+        k = j
+
+
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """Of each text, the sorted distinct 64-bit hashes of its shingles; of the whole sequence if it has fewer words."""
+    out = []
+    for h, sizes in _word_hashes(texts):
+        begin = np.cumsum(sizes) - sizes
+        s = h[: max(0, len(h) - words + 1)].copy()
+        for k in range(1, words):
+            s = _mixed(s + np.uint64(k)) * _GOLD + h[k : k + len(s)]
+        s = _mixed(s + np.uint64(words))
+        for a, n in zip(begin.tolist(), sizes.tolist(), strict=True):
+            if n >= words:
+                out.append(np.unique(s[a : a + n - words + 1]))
+            elif n:
+                x = h[a : a + 1].copy()
+                for k in range(1, n):
+                    x = _mixed(x + np.uint64(k)) * _GOLD + h[a + k : a + k + 1]
+                out.append(_mixed(x + np.uint64(n)))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def class_of(s: np.ndarray) -> bytes:
+    """The set's 128-bit name: equal sets have one."""
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b""
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The parities of the numbers of elements in hash slots, at least two slots for an element: sketches of two sets
+    differ in no more bits than the sets in elements, and fold to half by exclusive or."""
+    slots = 1 << max(6, (2 * len(s) - 1).bit_length())
+    at = (_mixed(s + np.uint64(0x632BE59BD9B4E019)) & np.uint64(slots - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=slots) & 1, bitorder="little").tobytes()
 
 
 class Bands:
     """Bands of sizes, and for tag t, which covers bands t - 1 and t, the number of parts."""
 
-    def __init__(self, percent: int):
-        self.percent, self.starts = percent, [1]
+    def __init__(self, percent: int, shape: tuple[int, int]):
+        self.percent, self.shape, self.starts = percent, shape, [1]
+
+    def _grow(self) -> None:
+        self.starts.append(self.starts[-1] * 100 // self.percent + 1)
 
     def band(self, size: int) -> int:
         while self.starts[-1] <= size:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
+            self._grow()
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
-    def parts(self, tag: int) -> tuple[int, int]:
-        """n1 and n2 of a tag; 1 and 1 if sets must be equal."""
+    def parts(self, tag: int) -> int:
+        """n1 of a tag; 0 if its sets must be equal to be similar."""
         while len(self.starts) <= tag + 1:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        largest = self.starts[tag + 1] - 1
-        k = 2 * largest * (100 - self.percent) // (100 + self.percent)
-        return (-(-(k + 1) // (K2 + 1)), N2) if k else (1, 1)
+            self._grow()
+        k = 2 * (self.starts[tag + 1] - 1) * (100 - self.percent) // (100 + self.percent)
+        return -(-(k + 1) // (self.shape[1] + 1)) if k else 0
 
 
 def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of all sets, and the index of each one's set."""
+    """The signatures of all sets, none of them empty, and the index of each one's set."""
+    n2, k2 = bands.shape
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    own_bands = [bands.band(int(n)) for n in sizes]
+    own_bands = np.array([bands.band(int(n)) for n in sizes])
+    content = _mixed(flat + np.uint64(0x2545F4914F6CDD1D))
     found, of = [], []
     for up in (0, 1):
-        tags = np.array([b + up for b in own_bands])
-        n1, n2 = np.array([bands.parts(int(t)) for t in tags]).T
+        tags = own_bands + up
+        n1 = np.array([bands.parts(int(t)) for t in tags])
+        if not n1.any():
+            continue
         base = np.cumsum(n1 * n2) - n1 * n2
-        salt = _mixed(tags.astype(np.uint64) + np.uint64(1))
-        part = base[owner] + (_mixed(flat ^ salt[owner]) % (n1 * n2).astype(np.uint64)[owner]).astype(np.int64)
+        salt = _mixed(tags.astype(np.uint64) * np.uint64(n2) + np.uint64(1))
+        some = n1[owner] > 0
+        own, elements = owner[some], flat[some]
+        part = base[own] + (_mixed(elements ^ salt[own]) % (n1 * n2).astype(np.uint64)[own]).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        content = _mixed(flat + np.uint64(0x2545F4914F6CDD1D))[order]
         head = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
         sums = np.zeros(int((n1 * n2).sum()), np.uint64)
-        sums[part[order][head]] = np.add.reduceat(content, head)
-        for width in np.unique(n2):
-            rows = np.flatnonzero(n2 == width)
-            which = np.repeat(rows, n1[rows])
-            f = np.arange(len(which)) - np.repeat(np.cumsum(n1[rows]) - n1[rows], n1[rows])
-            own = sums[(base[which] + f * width)[:, None] + np.arange(width)]
-            where = _mixed((tags[which].astype(np.uint64) << np.uint64(40)) + f.astype(np.uint64) * np.uint64(4))
-            if width == 1:
-                found.append(_mixed(own[:, 0] + where))
-                of.append(which)
-            else:  # all subsets that leave one smaller part out
-                for out in range(width):
-                    found.append(_mixed(own.sum(1, dtype=np.uint64) - own[:, out] + where + np.uint64(out + 1)))
-                    of.append(which)
-    return np.concatenate(found), np.concatenate(of)
+        sums[part[order][head]] = np.add.reduceat(content[some][order], head)
+        which = np.repeat(np.arange(len(sets)), n1)
+        f = np.arange(len(which)) - np.repeat(np.cumsum(n1) - n1, n1)
+        smaller = sums[(base[which] + f * n2)[:, None] + np.arange(n2)]
+        where = _mixed((tags[which].astype(np.uint64) << np.uint64(40)) + f.astype(np.uint64)) + np.uint64(n2)
+        for j, kept in enumerate(combinations(range(n2), n2 - k2)):
+            found.append(_mixed(smaller[:, kept].sum(1, dtype=np.uint64) + where + np.uint64(64 * j)))
+            of.append(which)
+    return (np.concatenate(found), np.concatenate(of)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[pa.RecordBatch]:
@@ -132,85 +227,260 @@ def _slices(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[pa.Reco
 
 
 def classes(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n_shingles, class) of (id, text)."""
+    """(id, t, n_shingles, class, sketch) of (id, t, text)."""
 
     def run(batches):
         for b in _slices(batches):
-            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
-            n, c = pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, c], ["id", "n_shingles", "class"])
+            sets = shingle_sets(b.column(2), words)
+            n = pa.array([len(s) for s in sets], pa.int64())
+            columns = [b.column(0), b.column(1), n, pa.array(map(class_of, sets), pa.binary()), pa.array(map(sketch, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "t", "n_shingles", "class", "sketch"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_shingles long, class long")
-
+    return docs.select("id", "t", "text").mapInArrow(run, f"id {kind}, t long, n_shingles long, class binary, sketch binary")
+
+
+def _enumerate(words: int, bands: Bands, buckets: int):
+    """Texts to rows for a bucket: kind 0, signatures set by set with the sets' names and their numbers of signatures;
+    kind 1, the same of one set for each signature that more than FEW of those gathered have; kind 2, all sets of
+    these, by group."""
+
+    def rows(sig, of, names, kind):
+        bucket = (sig % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((of, bucket))
+        bucket, of, high = bucket[order], of[order], (sig[order] >> np.uint64(32)).astype(np.uint32)
+        for own in np.split(np.arange(len(bucket)), np.flatnonzero(bucket[1:] != bucket[:-1]) + 1):
+            sets, n = np.unique(of[own], return_counts=True)
+            yield int(bucket[own[0]]), kind, high[own].tobytes(), names[sets].tobytes(), n.astype(np.uint32).tobytes()
+
+    def handed_on(gathered):
+        sig, of = np.concatenate([g[0] for g in gathered]), np.concatenate([g[1] for g in gathered])
+        names = np.concatenate([g[2] for g in gathered])
+        order = np.argsort(sig, kind="stable")
+        starts = np.flatnonzero(np.append(True, sig[order][1:] != sig[order][:-1]))
+        n = np.diff(np.append(starts, len(sig)))
+        many = np.repeat(n > FEW, n)
+        out = []
+        if many.any():
+            rest, heads = order[many], order[starts[n > FEW]]
+            gid = ((sig[rest] % np.uint64(buckets)) << np.uint64(32)) + (sig[rest] >> np.uint64(32))
+            for k in range(0, len(rest), FLUSH // 16):
+                to = int(sig[rest[k]] >> np.uint64(7)) % buckets
+                out.append((-1 - to, 2, gid[k : k + FLUSH // 16].tobytes(), names[of[rest[k : k + FLUSH // 16]]].tobytes(), b""))
+            out += rows(sig[heads], of[heads], names, 1)
+        if not many.all():
+            few = order[~many]
+            out += rows(sig[few], of[few], names, 0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+            ["bucket", "kind", "signatures", "classes", "counts"],
+        )
 
-def _enumerate(words: int, percent: int, buckets: int):
     def run(batches):
-        bands, seen, gathered, n = Bands(percent), set(), [], 0
-
-        def out():
-            sig, cls = (np.concatenate(x) for x in zip(*gathered, strict=True))
-            bucket = (sig % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
-            parts = np.split(order, cuts[1:])
-            high = (sig >> np.uint64(32)).astype(np.uint32)
-            columns = [pa.array(bucket[order][cuts]), pa.array([high[p].tobytes() for p in parts], pa.binary()), pa.array([cls[p].tobytes() for p in parts], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "signatures", "classes"])
-
+        seen, gathered, n, n_sets = set(), [], 0, 0
         for b in _slices(batches):
             sets = {}
-            for t in b.column(0).to_pylist():
-                s = shingle_set(t, words)
+            for s in shingle_sets(b.column(0), words):
                 c = class_of(s)
                 if len(s) and c not in seen:  # copies within a task have the same signatures
                     sets[c] = s
-            if len(seen) > KEPT_WORDS:
+            if len(seen) > KEPT_CLASSES:
                 seen.clear()
             seen.update(sets)
             if sets:
                 sig, of = signatures(list(sets.values()), bands)
-                gathered.append((sig, np.array(list(sets), np.int64)[of]))
-                n += len(sig)
+                gathered.append((sig, of + n_sets, np.array(list(sets), "V16")))
+                n, n_sets = n + len(sig), n_sets + len(sets)
             if n > FLUSH:
-                yield out()
-                gathered, n = [], 0
+                yield handed_on(gathered)
+                gathered, n, n_sets = [], 0, 0
         if n:
-            yield out()
+            yield handed_on(gathered)
+
+    return run
+
+
+def _groups(key: tuple, rows: pa.Table) -> pa.Table:
+    """Signatures that two classes share, and these classes; of those with the same classes, one stays."""
+    gids, names = [], []
+    sig, cls, hot = [], [], []
+    for kind, s, c, n in zip(*(rows.column(k).to_pylist() for k in ("kind", "signatures", "classes", "counts")), strict=True):
+        c = np.frombuffer(c, "V16")
+        if kind == 2:
+            gids.append(np.frombuffer(s, np.int64))
+            names.append(c)
+        else:
+            sig.append(np.frombuffer(s, np.uint32))
+            cls.append(np.repeat(c, np.frombuffer(n, np.uint32)))
+            hot.append(np.full(len(sig[-1]), kind == 1))
+    if sig:
+        sig, cls, hot = np.concatenate(sig), np.concatenate(cls), np.concatenate(hot)
+        order = np.argsort(sig, kind="stable")
+        same = sig[order][1:] == sig[order][:-1]
+        order = order[np.append(same, False) | np.append(False, same)]
+        low = cls[order].view(np.uint64).reshape(-1, 2)
+        order = order[np.lexsort((low[:, 1], low[:, 0], sig[order]))]
+        low = cls[order].view(np.uint64).reshape(-1, 2)
+        new = np.ones(len(order), bool)
+        new[1:] = (sig[order][1:] != sig[order][:-1]) | (low[1:] != low[:-1]).any(1)
+        flag = np.zeros(len(order), bool)
+        flag[:] = hot[order]
+        starts = np.flatnonzero(np.append(True, sig[order][1:] != sig[order][:-1])) if len(order) else np.zeros(0, np.int64)
+        if len(starts):
+            n = np.add.reduceat(new.astype(np.int64), starts)
+            open_ = np.logical_or.reduceat(flag, starts)  # it has more sets elsewhere
+            print_ = np.add.reduceat(np.where(new, _mixed(low[:, 0] ^ (low[:, 1] * _GOLD)), np.uint64(0)), starts)
+            first = np.zeros(len(starts), bool)
+            first[np.unique(np.stack([print_, n.astype(np.uint64)]), axis=1, return_index=True)[1]] = True
+            wanted = (n > 1) & (open_ | first)
+            keep = new & np.repeat(wanted, np.diff(np.append(starts, len(order))))
+            gids.append((int(key[0].as_py()) << 32) + sig[order][keep].astype(np.int64))
+            names.append(cls[order][keep])
+    g, c = (np.concatenate(gids), np.concatenate(names)) if gids else (np.zeros(0, np.int64), np.zeros(0, "V16"))
+    return pa.table({"gid": g, "class": pa.Array.from_buffers(pa.binary(16), len(c), [None, pa.py_buffer(np.ascontiguousarray(c))]).cast(pa.binary())})
+
+
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    if len(s) > len(t):
+        s, t = t, s
+    at = np.searchsorted(t, s)
+    return int((t[np.minimum(at, len(t) - 1)] == s).sum())
+
+
+def _tree(c: np.ndarray, n: np.ndarray, sketches: list[bytes], sets: list[bytes] | None, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of sets c of sizes n; without sets, of what their sketches leave possible."""
+    words = [np.frombuffer(x, np.uint64) for x in sketches]
+    width = min(map(len, words))
+    m = np.stack([np.bitwise_xor.reduce(w.reshape(-1, width), axis=0) for w in words])
+    exact = sets and [np.frombuffer(x, np.uint64) for x in sets]
+    edges, left = [], np.arange(len(c))
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        rest = m[left]
+        while queue and len(left):
+            x = queue.pop()
+            apart = np.bitwise_count(rest ^ m[x]).sum(1, dtype=np.int64)
+            near = ((100 + percent) * apart <= (100 - percent) * (n[left] + n[x])) & (100 * np.minimum(n[left], n[x]) >= percent * np.maximum(n[left], n[x]))
+            if exact:
+                for k in np.flatnonzero(near):
+                    both = _common(exact[x], exact[left[k]])
+                    near[k] = 100 * both >= percent * (n[x] + n[left[k]] - both)
+            if near.any():
+                edges += [(int(c[x]), int(c[k])) for k in left[near]]
+                queue += left[near].tolist()
+                left, rest = left[~near], rest[~near]
+    return edges
+
+
+def _trees(percent: int, exact: bool):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        gid, c, n = (rows.column(k).to_numpy() for k in ("gid", "c", "n"))
+        order = np.lexsort((c, gid))
+        data = rows.column("data").to_pylist()
+        edges = []
+        for own in np.split(order, np.flatnonzero(gid[order][1:] != gid[order][:-1]) + 1):
+            if len(own) > 1:
+                d = [data[k] for k in own]
+                if exact:
+                    edges += _tree(c[own], n[own], [sketch(np.frombuffer(x, np.uint64)) for x in d], d, percent)
+                else:
+                    edges += _tree(c[own], n[own], d, None, percent)
+        a, b = zip(*set(edges), strict=True) if edges else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _groups(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Signatures that two classes share, and these classes."""
-    sig = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["signatures"]])
-    cls = np.concatenate([np.frombuffer(x, np.int64) for x in frame["classes"]])
-    order = np.lexsort((cls, sig))
-    sig, cls = sig[order], cls[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-    sig, cls = sig[new], cls[new]
-    same = sig[1:] == sig[:-1]
-    keep = np.append(same, False) | np.append(False, same)
-    return pd.DataFrame({"gid": (int(key[0]) << 32) + sig[keep].astype(np.int64), "class": cls[keep]})
+def _forest(members: DataFrame, data: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Links (a, b) that span the links within the groups of members (gid, c), by data (c, n, data): sets or sketches."""
+    rows = members.join(data, "c")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("data") + 64), F.lit(0))).first()[0]
+    buckets = max(1, -(-total // BUCKET_BYTES))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(_trees(percent, exact), "a long, b long")
 
 
-def _compare(percent: int):
+def _by_hubs(members: DataFrame, data: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """_forest of groups of any size: a round compares all members with some hubs, block by block."""
+    sizes = members.groupBy("gid").agg(F.count("*").alias("m"), F.max("n").alias("top"))
+    most = F.least(F.lit(MOST_SETS // 2), F.greatest(F.lit(1), F.floor(F.lit(MOST_ELEMENTS) / 2 / F.col("top")))).cast("long")
+    sizes = reliable(sizes.select("gid", "m", most.alias("most")))
+    blocks = members.select("gid", "c").join(sizes, "gid").withColumn("blocks", F.ceil(F.col("m") / F.col("most")).cast("long"))
+    blocks = reliable(blocks.withColumn("block", F.pmod(F.xxhash64("c", F.lit(1)), F.col("blocks"))))
+    open_rows, links, hubs_of = blocks.select("gid", "c", "blocks", "most"), None, FIRST_HUBS
+    while True:
+        place = F.pmod(F.xxhash64("c", F.lit(2)), F.least(F.lit(hubs_of), F.col("most")))
+        hubs = reliable(open_rows.groupBy("gid", "blocks", place.alias("place")).agg(F.min("c").alias("c")))
+        everywhere = hubs.select("gid", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        now = blocks.select("gid", "c", "block").unionByName(everywhere.select("gid", "c", "block")).distinct()
+        found = _forest(now.select(F.xxhash64("gid", "block").alias("gid"), "c"), data, percent, exact)
+        links = reliable(found if links is None else links.unionByName(found))
+        named = components(links)
+        rows = open_rows.join(hubs.select("gid", "c"), ["gid", "c"], "left_anti")
+        at = F.coalesce("component", "c").alias("at")
+        mains = blocks.join(named, F.col("c") == F.col("node"), "left").groupBy("gid", at).agg(F.count("*").alias("k"))
+        mains = mains.groupBy("gid").agg(F.max_by("at", F.struct("k", "at")).alias("main"))
+        rows = rows.join(named, F.col("c") == F.col("node"), "left").join(mains, "gid").filter(at != F.col("main"))
+        open_rows = reliable(rows.select("gid", "c", "blocks", "most"))
+        if not open_rows.limit(1).count():
+            return links
+        hubs_of = HUBS
+
+
+def _spanned(members: DataFrame, data: DataFrame, percent: int, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """The links of groups (gid, c, n) that one search takes, and the rows of the larger groups."""
+    sizes = members.groupBy("gid").agg(F.count("*").alias("m"), F.max("n").alias("top"))
+    large = sizes.filter((F.col("m") > MOST_SETS) | (F.col("m") * F.col("top") > MOST_ELEMENTS) & (F.col("m") > 2)).select("gid")
+    large = reliable(large)
+    k = large.count()
+    if not k:
+        return reliable(_forest(members.select("gid", "c"), data, percent, exact)), members.limit(0)
+    links = _forest(members.join(small(large, k), "gid", "left_anti").select("gid", "c"), data, percent, exact)
+    return reliable(links), reliable(members.join(small(large, k), "gid", "left_semi"))
+
+
+def _clusters(own: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that span what may be similar of sets (c, first, t, n, class, data)."""
+    names, data = sets.select("class", "c", "n"), sets.select("c", "n", "data")
+    found, wanted = [], None
+    for shape in SHAPES:
+        some = sets if wanted is None else sets.join(wanted, "c", "left_semi")
+        total = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        bands = Bands(percent, shape)
+        each = (100 - percent) / (100 + percent) * 2.5 * len(list(combinations(range(shape[0]), shape[1]))) / (shape[1] + 1)
+        buckets = max(1, -(-int(total * 8 * each) // BUCKET_BYTES))
+        texts = own.select("text") if wanted is None else _texts(own, some).select("text")
+        packed = texts.mapInArrow(_enumerate(words, bands, buckets), "bucket long, kind int, signatures binary, classes binary, counts binary")
+        groups = packed.groupBy("bucket").applyInArrow(_groups, "gid long, class binary")
+        members = reliable(groups.join(names, "class").select("gid", "c", "n").distinct())
+        links, large = _spanned(members, data, percent, False)
+        found.append(links)
+        if not large.limit(1).count():
+            break
+        wanted = reliable(large.select("c").distinct())
+    else:
+        found.append(_by_hubs(large, data, percent, False))
+    links = found[0]
+    for x in found[1:]:
+        links = links.unionByName(x)
+    return links
+
+
+def _texts(own: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, class, text): a text of each of the sets."""
+    of = sets.select("c", "class", F.col("first").alias("_first"), F.col("t").alias("_t"))
+    same = F.col("id").eqNullSafe(F.col("_first")) & (F.col("t") == F.col("_t"))
+    return own.join(small(of, of.count()), same).select("c", "class", "text")
+
+
+def _exact_sets(words: int):
     def run(batches):
-        for b in _slices(batches, 512):
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            good = []
-            for p, q in zip(x, y, strict=True):
-                s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                if 100 * len(s) < percent * len(t):
-                    good.append(False)
-                    continue
-                at = np.searchsorted(t, s)
-                both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
-                good.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for b in _slices(batches):
+            sets = shingle_sets(b.column(2), words)
+            right = [class_of(s) == c for s, c in zip(sets, b.column(1).to_pylist(), strict=True)]
+            n = pa.array([len(s) for s in sets], pa.int64())
+            out = pa.RecordBatch.from_arrays([b.column(0), n, pa.array([s.tobytes() for s in sets], pa.binary())], ["c", "n", "data"])
+            yield out.filter(pa.array(right, pa.bool_()))
 
     return run
 
@@ -220,26 +490,33 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
     Two documents link if their sets of shingles of so many words have a Jaccard similarity of percent or more;
     component_id is the smallest id that links reach. A null or empty text, and one without words, has no shingles and
-    links with nothing. Rows with one id are nodes of their own. A row with a null id links with equal sets only and
-    has no part in other links; its component is null if nothing else is in it. Empty tables give empty results.
+    links with nothing. Rows with one id are nodes of their own. Rows with a null id link like all others; a component
+    is null only if it has no other id. Other columns are ignored. Empty tables give empty results. Sets are told apart
+    by 128-bit hashes, words and shingles by 64-bit hashes.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("text"))
     nodes = reliable(classes(own, words))
-    total = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    buckets = max(1, -(-total * 4 // BUCKET_BYTES))  # 12 bytes for a signature, one for three shingles
-    firsts = reliable(nodes.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("first"), F.max("n_shingles").alias("n")))
-    packed = own.select("text").mapInArrow(_enumerate(words, percent, buckets), "bucket long, signatures binary, classes binary")
-    groups = reliable(packed.groupBy("bucket").applyInPandas(_groups, "gid long, class long"))
-    links = reliable(_links(own, groups, firsts, words, percent))
-    merged = components(links).select(F.col("node").alias("class"), F.col("component").alias("c"))
+    full = nodes.filter("n_shingles > 0")
+    one = F.struct(F.col("id").isNull().alias("none"), "id", "t", "n_shingles", "sketch")
+    firsts = full.groupBy("class").agg(F.min(one).alias("x")).select("class", "x.id", "x.t", "x.n_shingles", "x.sketch")
+    firsts = reliable(firsts.toDF("class", "first", "t", "n", "data"))
+    sets = reliable(firsts.withColumn("c", F.monotonically_increasing_id()))
+    near = components(reliable(_clusters(own, sets, words, percent).distinct()))
+    near = near.select(F.col("component").alias("gid"), F.col("node").alias("c")).join(sets.select("c", "n"), "c").select("gid", "c", "n")
+    near = reliable(near)
+    data = reliable(_texts(own, sets.join(near, "c", "left_semi")).mapInArrow(_exact_sets(words), "c long, n long, data binary").dropDuplicates(["c"]))
+    links, large = _spanned(near, data, percent, True)
+    if large.limit(1).count():
+        links = links.unionByName(_by_hubs(large, data, percent, True))
+    merged = components(links).select(F.col("node").alias("c"), "component")
     # a class that has links is in its component, another one alone
-    tops = firsts.join(merged, "class", "left").withColumn("c", F.coalesce("c", "class"))
-    least = tops.groupBy("c").agg(F.min("first").alias("component_id"))
-    named = tops.join(least, "c").select("class", "component_id")
+    tops = sets.select("class", "c", "first").join(merged, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    least = tops.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = tops.join(least, "component").select("class", "component_id")
     empty = nodes.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    large = nodes.filter("n_shingles > 0").join(_hot(nodes, named), "class", "left")
-    done = large.filter("hot is not null").select("id", "n_shingles", F.col("hot").alias("component_id"))
-    rest = large.filter("hot is null").drop("hot").join(named, "class").select("id", "n_shingles", "component_id")
+    large_classes = full.join(_hot(full, named), "class", "left")
+    done = large_classes.filter("many").select("id", "n_shingles", F.col("hot").alias("component_id"))
+    rest = large_classes.filter("many is null").select("class", "id", "n_shingles").join(named, "class").select("id", "n_shingles", "component_id")
     return empty.unionByName(done).unionByName(rest).withColumnRenamed("id", id_col)
 
 
@@ -247,54 +524,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 HOT_ROWS = 1000
 
 
-def _hot(nodes: DataFrame, named: DataFrame) -> DataFrame:
-    limit = max(HOT_ROWS, nodes.count() // 1000)
-    many = nodes.filter("n_shingles > 0").groupBy("class").agg(F.count("*").alias("m")).filter(F.col("m") > limit)
-    return F.broadcast(named.join(F.broadcast(many), "class", "left_semi").select("class", F.col("component_id").alias("hot")))
-
-
-def _links(own: DataFrame, groups: DataFrame, firsts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes that connect all classes that are connected."""
-    wanted = reliable(groups.select("class").distinct().join(firsts, "class").filter("first is not null").select("class", "first"))
-    m = wanted.count()
-
-    def run(batches):
-        for b in _slices(batches):
-            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
-            right = [len(s) and class_of(s) == c for s, c in zip(sets, b.column(0).to_pylist(), strict=True)]
-            cls = b.column(0).filter(pa.array([bool(r) for r in right]))
-            yield pa.RecordBatch.from_arrays([cls, pa.array([s.tobytes() for s, r in zip(sets, right, strict=True) if r], pa.binary())], ["class", "set"])
-
-    texts = own.join(small(wanted, m), F.col("id") == F.col("first")).select("class", "text")
-    sets = reliable(texts.mapInArrow(run, "class long, set binary").groupBy("class").agg(F.first("set").alias("set")))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        x = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        x = x.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
-        return reliable(x.select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long"))
-
-    # every member with its group's smallest one
-    hub = groups.groupBy("gid").agg(F.min("class").alias("hub"), F.count("*").alias("m"))
-    rest = groups.join(hub, "gid").filter("class <> hub")  # members that were no hub yet
-    links = compared(rest.select(F.col("hub").alias("a"), F.col("class").alias("b")))
-    open_rows = rest.filter("m > 2").select("gid", "class", "m")
-    while True:
-        c = components(links)
-        rows = open_rows.join(c, F.col("class") == F.col("node"), "left").select("gid", "class", "m", F.coalesce("component", "class").alias("c"))
-        # what has been a hub is compared with all others of its group
-        sizes = rows.groupBy("gid", "c").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("gid").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("k")).filter("k > 1")
-        rows = reliable(rows.join(main.select("gid", "main"), "gid"))
-        few = rows.filter(F.col("m") <= SMALL_GROUP)
-        cross = few.join(few.select("gid", F.col("class").alias("other"), F.col("c").alias("oc")), "gid").filter("c <> oc and class < other").select(F.col("class").alias("a"), F.col("other").alias("b"))
-        many = rows.filter(F.col("m") > SMALL_GROUP)
-        hubs = many.filter("c <> main").groupBy("gid", F.pmod(F.xxhash64("class"), F.lit(HUBS)).alias("salt")).agg(F.min(F.struct("class", "c")).alias("h"))
-        hubs = reliable(hubs.select("gid", F.col("h.class").alias("hub"), F.col("h.c").alias("hc")))
-        pairs = many.join(hubs, "gid").filter("c <> hc").select(F.col("hub").alias("a"), F.col("class").alias("b")).unionByName(cross)
-        links = reliable(links.unionByName(compared(pairs)))
-        if not hubs.limit(1).count():  # small groups are done
-            return links
-        open_rows = reliable(many.select("gid", "class", "m").join(hubs.select("gid", F.col("hub").alias("class")), ["gid", "class"], "left_anti"))
+def _hot(full: DataFrame, named: DataFrame) -> DataFrame:
+    limit = max(HOT_ROWS, full.count() // 1000)
+    many = full.groupBy("class").agg(F.count("*").alias("m")).filter(F.col("m") > limit)
+    return F.broadcast(named.join(F.broadcast(many), "class", "left_semi").select("class", F.col("component_id").alias("hot"), F.lit(True).alias("many")))
 
 
 def op4_jaccard_join(spark, sf_dir):
