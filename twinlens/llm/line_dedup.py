@@ -2,12 +2,13 @@
 
 A line is cut into EDITS + 1 segments; a line within EDITS edits of it has one of them unchanged, at a place that the
 two lengths and the segment's number bound. Lines are indexed by (length, number, segment) and probe with their own
-substrings at these places, for every length that is near enough. Pairs that meet are verified by a bit-parallel
-automaton over the band of 2 * EDITS + 1 diagonals.
+substrings at these places, for every shorter or equal length that is near enough. Pairs that meet are verified by a
+bit-parallel automaton over the band of 2 * EDITS + 1 diagonals, without what both begin and end with.
 
 A line is dropped if an earlier line, in the order of documents and lines, is equal or within EDITS edits. Lines under
-one index entry are not paired with each other: they are compared with its earliest members, HUBS in each round, until
-they are dropped or the entry has no earlier member left.
+an index entry are paired if they are few. Entries with more compare all lines with their earliest ones and are then
+split: what a line has besides the shared segment is within EDITS edits as well, so it is cut into segments and indexed
+in its turn. What is still large after some levels goes in rounds, HUBS of an entry's lines against all that are left.
 """
 
 from __future__ import annotations
@@ -15,90 +16,114 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import reliable, small, table
+from twinlens.llm.common import reliable, small, stored, table
 
 #: Largest edit distance of near-duplicates, and shortest line that is looked at.
 EDITS, MIN_CHARS = 2, 20
-#: Earlier members of an index entry that a round compares.
-HUBS = 16
+#: Index entries of so many rows are paired; lines of a larger one that a round compares; levels of finer entries.
+FEW, HUBS, LEVELS = 32, 16, 2
 #: Lines that occur more often than this, and in more than a thousandth of all places, probe once only.
 HOT_LINES = 1000
 #: Bits of the index's filter for each entry, and at most.
 BITS, MAX_BITS = 8, 1 << 26
 
 
+def _common_prefix(x: Column, y: Column, n: Column) -> Column:
+    """Number of characters, n at most, that both begin with: by halving steps, whole stretches compared at once."""
+    steps = F.transform(F.sequence(F.ceil(F.log2(n + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    longer = lambda at, step: (at + step <= n) & (F.substring(x, at + 1, step) == F.substring(y, at + 1, step))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(longer(at, step), at + step).otherwise(at))
+
+
+def _common_suffix(x: Column, y: Column, n: Column) -> Column:
+    """The same from the ends."""
+    steps = F.transform(F.sequence(F.ceil(F.log2(n + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    piece = lambda c, at, step: F.substring(c, F.char_length(c) - at - step + 1, step)
+    longer = lambda at, step: (at + step <= n) & (piece(x, at, step) == piece(y, at, step))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(longer(at, step), at + step).otherwise(at))
+
+
+def trimmed(pairs: DataFrame) -> DataFrame:
+    """pairs with x and y less what both begin and end with, which leaves their edit distance as it is."""
+    least = lambda: F.least(F.char_length("x"), F.char_length("y"))
+    p = pairs.withColumn("_p", _common_prefix(F.col("x"), F.col("y"), least()))
+    p = p.withColumns({c: F.expr(f"substring({c}, _p + 1)") for c in ("x", "y")})
+    p = p.withColumn("_p", _common_suffix(F.col("x"), F.col("y"), least()))
+    return p.withColumns({c: F.expr(f"substring({c}, 1, char_length({c}) - _p)") for c in ("x", "y")}).drop("_p")
+
+
 def within(x: Column, y: Column, edits: int = EDITS) -> Column:
     """If the edit distance of x and y is at most edits.
 
-    Bit d of state e: the text of y so far can be had from x up to diagonal d with e edits.
+    Bit d of row e: the text of y so far can be had from x up to diagonal d with e edits. The rows stand side by side in
+    one number; the matches of a character of y with the band's characters of x are bits as well.
     """
     chars = lambda c: F.filter(F.split(c, ""), lambda k: k != "")
     width = 2 * edits + 1
-    padded = F.concat(F.array_repeat(F.lit(""), edits), chars(x))
-    state = F.struct(F.lit(0).alias("j"), padded.alias("x"), *(F.lit((2 ** (e + 1) - 1) << edits).alias(f"r{e}") for e in range(edits + 1)))
-
-    def step(s: Column, c: Column) -> Column:
-        same = [F.when(F.get(s["x"], s["j"] + d) == c, F.lit(1 << d)).otherwise(F.lit(0)) for d in range(width)]
-        hit = same[0]
-        for b in same[1:]:
-            hit = hit.bitwiseOR(b)
-        s2 = F.struct(s["j"].alias("j"), hit.alias("hit"), *(s[f"r{e}"].alias(f"r{e}") for e in range(edits + 1)))
-
-        def move(v: Column) -> Column:
-            rows = [v["r0"].bitwiseAND(v["hit"])]
-            for e in range(1, edits + 1):
-                before = v[f"r{e - 1}"]
-                new = v[f"r{e}"].bitwiseAND(v["hit"]).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(rows[-1], 1))
-                rows.append(new.bitwiseAND(F.lit(2**width - 1)))
-            return F.struct((v["j"] + 1).alias("j"), s["x"].alias("x"), *(r.alias(f"r{e}") for e, r in enumerate(rows)))
-
-        return F.transform(F.array(s2), move)[0]
-
-    last = F.aggregate(chars(y), state, step, lambda s: s[f"r{edits}"])
+    full = (1 << width) - 1
+    padded = F.concat(F.array_repeat(F.lit(""), edits), chars(x), F.array_repeat(F.lit(""), edits + 1))
+    band = F.transform(chars(y), lambda c, j: F.struct(c.alias("c"), F.slice(padded, j + 1, width).alias("b")))
+    bits = lambda v: sum((F.when(F.get(v["b"], d) == v["c"], F.lit(1 << d)).otherwise(F.lit(0)) for d in range(width)), F.lit(0))
+    hits = F.transform(band, bits)
+    start = sum(((((1 << (e + 1)) - 1) << edits) & full) << (width * e) for e in range(edits + 1))
+
+    def step(s: Column, hit: Column) -> Column:
+        row = lambda e: F.shiftright(s, width * e).bitwiseAND(F.lit(full))
+        new = [row(0).bitwiseAND(hit)]
+        for e in range(1, edits + 1):
+            before = row(e - 1)
+            grown = row(e).bitwiseAND(hit).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new[-1], 1))
+            new.append(grown.bitwiseAND(F.lit(full)))
+        out = new[0]
+        for e in range(1, edits + 1):
+            out = out.bitwiseOR(F.shiftleft(new[e], width * e))
+        return F.when(s == 0, s).otherwise(out)
+
+    last = F.shiftright(F.aggregate(hits, F.lit(start), step), width * edits)
     diagonal = F.char_length(x) - F.char_length(y) + edits
     return F.when(diagonal.between(0, width - 1), F.call_function("shiftright", last, diagonal).bitwiseAND(1) == 1).otherwise(False)
 
 
-def may_be_within(x: Column, y: Column, edits: int = EDITS, parts: int = 8) -> Column:
-    """False only if the distance of x and y is above edits: of so many pieces of x, all but one for each edit are in y,
-    shifted by edits at most."""
-    n = F.char_length(x)
-    size = F.floor(n / parts).cast("int")
-    found = F.lit(0)
-    for i in range(parts):
-        piece = F.substring(x, size * i + 1, size if i < parts - 1 else n - size * (parts - 1))
-        around = F.substring(y, F.greatest(size * i + 1 - edits, F.lit(1)), (size if i < parts - 1 else n - size * (parts - 1)) + 2 * edits)
-        found = found + F.contains(around, piece).cast("int")
-    return found >= parts - edits
-
-
-def _probes(line: Column, n: Column, edits: int, only_own: bool = False) -> Column:
-    """The index entries that a line looks up: (key, own); own for those under which it is filed itself."""
+def _probes(line: Column, n: Column, edits: int, delta: int, only_own: bool = False) -> list[Column]:
+    """The index entries that a line looks up for lines of delta characters less: (key, own, delta, at, length); own for
+    those under which it is filed itself."""
     out = []
-    for delta in [0] if only_own else range(-edits, edits + 1):  # the other line has n - delta characters
-        size = n - delta
-        q, long = F.floor(size / (edits + 1)).cast("int"), edits + 1 - size % (edits + 1)
-        for i in range(edits + 1):
-            start = q * i + F.greatest(F.lit(i) - long, F.lit(0))
-            length = q + (F.lit(i) >= long).cast("int")
-            for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
-                if only_own and shift:
-                    continue
-                at = start + shift
-                key = F.xxhash64(F.lit(i), size, F.substring(line, at + 1, length))
-                fits = (at >= 0) & (at + length <= n)
-                out.append(F.struct(F.when(fits, key).alias("key"), F.lit(delta == 0 and shift == 0).alias("own")))
-    return F.array(*out)
+    size = n - delta
+    q, long = F.floor(size / (edits + 1)).cast("int"), edits + 1 - size % (edits + 1)
+    for i in range(edits + 1):
+        start = q * i + F.greatest(F.lit(i) - long, F.lit(0))
+        length = q + (F.lit(i) >= long).cast("int")
+        for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
+            if only_own and shift:
+                continue
+            at = start + shift
+            key = F.xxhash64(F.lit(i), size, F.substring(line, at + 1, length))
+            fits = (at >= 0) & (at + length <= n) & (size >= 0)
+            own = F.lit(delta == 0 and shift == 0)
+            out.append(F.when(fits, F.struct(key.alias("key"), own.alias("own"), F.lit(delta).alias("delta"), at.alias("at"), length.alias("length"))))
+    return out
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Lines of (id, text) of min_chars at least: place (id, text's hash, number), line, n, and two hashes."""
-    exploded = docs.select("id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    line = F.btrim(F.col("raw"), F.lit(" \t\x0b\x0c\r"))
-    return exploded.select(
-        F.struct("id", "t", "no").alias("place"), line.alias("line"), F.char_length(line).alias("n"),
-        F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"),
-    ).filter(F.col("n") >= min_chars)
+    trim = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")))
+    of = lambda x, i: F.struct(i.alias("no"), x.alias("line"), F.char_length(x).alias("n"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))
+    long = F.filter(F.transform(trim, of), lambda x: x["n"] >= min_chars)
+    exploded = docs.select("id", F.xxhash64("text").alias("t"), F.explode(long).alias("x"))
+    return exploded.select(F.struct("id", "t", "x.no").alias("place"), "x.line", "x.n", "x.h", "x.g")
+
+
+def _finer(rows: DataFrame, edits: int) -> DataFrame:
+    """The next level of rows (key, h, own, delta, at, length, line): what is left of a line without the part that the
+    key stands for is within edits as well, so it is cut and probed in its turn under that key."""
+    left = F.concat(F.expr("substring(line, 1, at)"), F.expr("substring(line, at + length + 1)"))
+    rest = rows.select("key", "h", "own", "delta", left.alias("rest"), F.char_length(left).alias("n"))
+    probes = F.lit(None)
+    for delta in range(edits + 1):
+        probes = F.when(F.col("delta") == delta, F.array(*_probes(F.col("rest"), F.col("n"), edits, delta))).otherwise(probes)
+    found = rest.select("key", "h", "own", "rest", F.explode(probes).alias("p")).filter("p is not null")
+    # what only probed before isn't filed now
+    return found.select(F.xxhash64("key", "p.key").alias("key"), "h", (F.col("own") & F.col("p.own")).alias("own"), "p.delta", "p.at", "p.length", F.col("rest").alias("line"))
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -107,57 +132,86 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     t tells texts of one id apart. Rows with equal id and text are one document.
     """
     lines = _lines(docs, min_chars)
-    places = reliable(lines.select("place", "h", "g"))
+    places = stored(lines.select("place", "h", "g"))
     firsts = places.groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("m"))
     total = places.count()
     hot = firsts.filter(F.col("m") > max(HOT_LINES, total // 1000)).select("h", "g", "first")  # a thousand at most
 
-    once = lines.join(F.broadcast(hot), ["h", "g"], "left").filter("first is null or first = place")
-    probes = once.select("place", "h", F.explode(_probes(F.col("line"), F.col("n"), edits)).alias("p")).select("place", "h", "p.key", "p.own").filter("key is not null")
     # a Bloom filter of the index, of bounded size, stops probes for entries that no line has; a full one stops none
     words = min(1 << max(6, (total * (edits + 1) * BITS - 1).bit_length()), MAX_BITS) // 64
     word = F.pmod(F.shiftrightunsigned("key", 12), F.lit(words))
     bits = F.expr("shiftleft(1L, cast(key & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned(key, 6) & 63 as int))")
-    filed = once.select(F.explode(_probes(F.col("line"), F.col("n"), edits, True)).alias("p")).select("p.key").filter("key is not null")
+    filed = lines.select(F.explode(F.array(*_probes(F.col("line"), F.col("n"), edits, 0, True))).alias("p")).select("p.key")
     bloom = filed.groupBy(word.alias("word")).agg(F.bit_or(bits).alias("bits"))
+    once = lines.join(F.broadcast(hot), ["h", "g"], "left").filter("first is null or first = place")
+    # each pair of lines meets where the longer one probes
+    every = F.array(*(p for delta in range(edits + 1) for p in _probes(F.col("line"), F.col("n"), edits, delta)))
+    probes = once.select("h", F.explode(every).alias("p")).filter("p is not null").select("p.key", "h", "p.own", "p.delta", "p.at", "p.length")
     probes = probes.withColumn("word", word).join(F.broadcast(bloom), "word").filter(F.col("bits").bitwiseAND(bits) == bits).drop("word", "bits")
-    probes = reliable(probes.withColumn("place", F.when(F.col("own"), F.col("place"))))
-    hubs = probes.filter("own").groupBy("key").agg(F.min(F.struct("place", "h")).alias("hub"), (F.min("h") != F.max("h")).alias("many"))
-    met = probes.select("key", "h", "own").join(hubs, "key").filter("many or h <> hub.h")
-    met = reliable(met.select("key", "h", "own", F.col("hub.h").alias("hub"), "many").distinct())
-
-    firsts = reliable(firsts.join(met.select("h").distinct(), "h", "left_semi").select("h", "g", "first"))
-    n = firsts.count()
-    wanted = small(firsts.select(F.col("h").alias("wh"), F.col("g").alias("wg"), F.col("first").alias("wf")), n)
+    probes = stored(probes)
+
+    def shared(rows: DataFrame) -> DataFrame:
+        """Rows of entries that two lines share, and the number of an entry's rows."""
+        keys = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max("own").alias("filed"))
+        keys = reliable(keys.filter("filed and a <> b").select("key"))
+        met = rows.join(small(keys, keys.count()), "key", "left_semi").distinct()
+        return reliable(met.withColumn("m", F.count("*").over(Window.partitionBy("key"))))
+
+    met = shared(probes)
+    wanted = reliable(firsts.join(met.select("h").distinct(), "h", "left_semi").select("h", "g", "first"))
+    n = wanted.count()
+    of = small(wanted.select(F.col("h").alias("wh"), F.col("g").alias("wg"), F.col("first").alias("wf")), n)
     same = (F.col("h") == F.col("wh")) & (F.col("g") == F.col("wg")) & (F.col("place") == F.col("wf"))
-    texts = reliable(lines.join(wanted, same).select("h", "g", F.col("place").alias("first"), "line").dropDuplicates(["h", "g"]))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """(h, g) of the lines of pairs (h, other) that are within reach of an earlier other."""
-        x = texts.select("h", "g", F.col("first").alias("xf"), F.col("line").alias("x"))
-        y = texts.select(F.col("h").alias("other"), F.col("first").alias("yf"), F.col("line").alias("y"))
-        both = pairs.distinct().join(x, "h").join(y, "other").filter("yf < xf")
-        both = both.filter(may_be_within(F.col("x"), F.col("y"), edits))
-        return reliable(both.filter(within(F.col("x"), F.col("y"), edits)).select("h", "g").distinct())
-
-    gone = near(met.filter("h <> hub").select("h", F.col("hub").alias("other")))
-    # entries with more members: the next earliest ones, for lines that are still there
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("first", "h"))
-    members = met.filter("own and many").select("key", "h").distinct().join(firsts, "h").withColumn("rank", rank)
-    members = reliable(members.select("key", F.col("h").alias("other"), F.col("first").alias("of"), "rank"))
-    start = 1
-    while members.filter(F.col("rank") > start).limit(1).count():
-        left = met.filter("many").select("key", "h").distinct().join(gone, "h", "left_anti")
-        now = members.filter((F.col("rank") > start) & (F.col("rank") <= start + HUBS))
-        # a line with a smaller place than all hubs of a round meets none of them
-        pairs = left.join(firsts.select("h", "first"), "h").join(now, "key").filter("h <> other and of < first").select("h", "other")
-        gone = reliable(gone.unionByName(near(pairs)).distinct())
-        start += HUBS
-        members = reliable(members.filter(F.col("rank") > start))
+    texts = reliable(lines.join(of, same).select("h", "g", F.col("place").alias("first"), "line").dropDuplicates(["h", "g"]))
+    spark = docs.sparkSession
+
+    def near(pairs: DataFrame, gone: DataFrame | None) -> DataFrame:
+        """(h, g) of the later line of each of the pairs (h, other) that are within reach, and of those gone before."""
+        x = texts.select("h", F.col("g").alias("xg"), F.col("first").alias("xf"), F.col("line").alias("x"))
+        y = texts.select(F.col("h").alias("other"), F.col("g").alias("yg"), F.col("first").alias("yf"), F.col("line").alias("y"))
+        each = pairs.select(F.least("h", "other").alias("h"), F.greatest("h", "other").alias("other")).distinct()
+        both = each.join(x, "h").join(y, "other").filter(F.abs(F.char_length("x") - F.char_length("y")) <= edits)
+        later = F.when(F.col("xf") > F.col("yf"), F.struct("h", F.col("xg").alias("g"))).otherwise(F.struct(F.col("other").alias("h"), F.col("yg").alias("g")))
+        both = both.select(later.alias("l"), "x", "y").select("l.h", "l.g", "x", "y")
+        both = both if gone is None else both.join(gone, ["h", "g"], "left_anti")
+        # the comparison costs more than its bytes tell
+        both = trimmed(both.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)))
+        found = both.filter(within(F.col("x"), F.col("y"), edits)).select("h", "g").distinct()
+        return reliable(found if gone is None else gone.unionByName(found).distinct())
+
+    def paired(few: DataFrame) -> DataFrame:
+        filed = few.filter("own").select("key", F.col("h").alias("other"))
+        return few.select("key", "h").join(filed, "key").filter("h <> other").select("h", "other")
+
+    def ranked(many: DataFrame) -> DataFrame:
+        """The filed lines of entries with many, by place."""
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("first", "h"))
+        least = wanted.groupBy("h").agg(F.min("first").alias("first"))
+        return many.filter("own").select("key", "h").distinct().join(least, "h").withColumn("rank", rank).select("key", F.col("h").alias("other"), F.col("first").alias("of"), "rank")
+
+    gone = near(paired(met.filter(F.col("m") <= FEW)), None)
+    many = reliable(met.filter(F.col("m") > FEW))
+    for _ in range(LEVELS):
+        if not many.limit(1).count():
+            break
+        # the earliest lines of an entry against all others, then finer entries
+        heads = reliable(ranked(many).filter(F.col("rank") <= HUBS).select("key", "other"))
+        gone = near(many.select("key", "h").join(heads, "key").filter("h <> other").select("h", "other"), gone)
+        rows = many.drop("m") if "line" in many.columns else many.drop("m").join(texts.select("h", "line").dropDuplicates(["h"]), "h")
+        met = shared(_finer(rows, edits))
+        gone = near(paired(met.filter(F.col("m") <= FEW)), gone)
+        many = reliable(met.filter(F.col("m") > FEW))
+    # what still has many lines: round by round, for lines that are still there
+    if many.limit(1).count():
+        members, start = reliable(ranked(many)), 0
+        while members.filter(F.col("rank") > start).limit(1).count():
+            now = members.filter((F.col("rank") > start) & (F.col("rank") <= start + HUBS)).select("key", "other")
+            gone = near(many.select("key", "h").join(now, "key").filter("h <> other").select("h", "other"), gone)
+            start += HUBS
 
     seen = places.join(F.broadcast(hot.withColumnRenamed("first", "hf")), ["h", "g"], "left")
     quick = seen.filter("hf is not null").withColumnRenamed("hf", "first")
-    slow = seen.filter("hf is null").drop("hf").join(places.groupBy("h", "g").agg(F.min("place").alias("first")), ["h", "g"])
+    slow = seen.filter("hf is null").drop("hf").join(firsts.select("h", "g", "first"), ["h", "g"])
     judged = quick.unionByName(slow).join(small(gone.withColumn("near", F.lit(True)), n), ["h", "g"], "left")
     return judged.filter("place <> first or near").select("place.id", "place.t", "place.no", (F.col("place") != F.col("first")).alias("exact"))
 
