@@ -7,7 +7,6 @@ both directions, and a document's probabilities are their mean over all of its p
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,6 @@ STATES, STEPS, ROWS, RATE = 8, 400, 96, 0.02
 #: Bytes of a segment when documents are labelled, and segments that run side by side.
 SEGMENT, LANES = 128, 2048
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -193,7 +191,7 @@ def predict(docs: DataFrame, model: ByteTagger | None, text_col: str = "text", p
         for b in batches:
             for part in (b.slice(k, 256) for k in range(0, b.num_rows, 256)):
                 texts = part.column(at).to_pylist()
-                known = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+                known = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
                 names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
                 if known:
                     p = model.documents([texts[i].encode() for i in known])
