@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinlens.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, repeats, token_counts, url_filter
+from twinlens.llm import words as word_spans
 from twinlens.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, size string, h int, label string, hit int"
@@ -231,8 +232,7 @@ def test_null_ids_link_like_others(spark):
 def test_word_hashes_of_long_texts(monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(jaccard_join, "PIECE", 64)
-    monkeypatch.setattr(jaccard_join, "_POWERS", [])
+    monkeypatch.setattr(word_spans, "PIECE", 64)
     r = random.Random(9)
     texts = [None, "", "A b\tC", " ".join("".join(r.choice("abcXYZ") for _ in range(r.choice([1, 5, 20]))) for _ in range(200)), "x" * 300 + " y", "\n a", "é " * 50, "y " + "x" * 300]
     own = [jaccard_join.shingle_sets(pa.array([t]), 3)[0].tolist() for t in texts]

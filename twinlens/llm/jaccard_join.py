@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from twinlens.llm.common import reliable, shared_folder, small, table
 from twinlens.llm.components import components
+from twinlens.llm.words import GOLD, mixed, text_hashes
 
 #: Smaller parts in each part, and how many of them may differ; the next shape is for groups that are too large.
 SHAPES = ((3, 1), (6, 3))
@@ -37,116 +38,27 @@ FIRST_HUBS, HUBS = 64, 1024
 #: Bytes of signatures or of sets in a bucket, about; signatures that a task gathers before it hands them on; of them,
 #: groups of more sets than FEW go round the bucket.
 BUCKET_BYTES, FLUSH, FEW = 8 << 20, 1 << 20, 8
-#: Bytes of text that are hashed at once.
-PIECE = 1 << 20
 #: Classes that a task remembers.
 KEPT_CLASSES = 300_000
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _GOLD)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
-_BASE = 0xD6E8FEB86659FD93
-_POWERS: list[np.ndarray] = []
-
-
-def _powers() -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _POWERS:
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(PIECE + 1, base, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.cumprod(p))
-    return _POWERS
-
-
-def _hashed(a: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of the bytes, and their places. heads: where a text starts, which ends a word."""
-    word = ~_SPACE[a]
-    new = word.copy()
-    new[1:] &= _SPACE[a[:-1]]
-    new[heads] = word[heads]
-    end = word.copy()
-    end[:-1] &= _SPACE[a[1:]]
-    end[heads[heads > 0] - 1] = word[heads[heads > 0] - 1]
-    starts, ends = np.flatnonzero(new), np.flatnonzero(end) + 1
-    power, inverse = _powers()
-    upto = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_BYTE[a] * power[: len(a)], out=upto[1:])
-    return _mixed((upto[ends] - upto[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _GOLD), starts
-
-
-def _long(a: np.ndarray) -> np.ndarray:
-    """Hashes of the words of one text above PIECE bytes, cut between words; a word above that has a hash of its own."""
-    out, at = [], 0
-    none = np.zeros(1, np.int64)
-    while at < len(a):
-        stop = min(at + PIECE, len(a))
-        if stop < len(a):
-            spaces = np.flatnonzero(_SPACE[a[at:stop]])
-            if len(spaces):
-                stop = at + int(spaces[-1]) + 1
-            else:  # one word fills the piece
-                while stop < len(a) and not _SPACE[a[stop]]:
-                    step = np.flatnonzero(_SPACE[a[stop : stop + PIECE]])
-                    stop = stop + int(step[0]) if len(step) else min(stop + PIECE, len(a))
-                low = bytes(a[at:stop]).translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
-                out.append(np.array([xxhash.xxh3_64_intdigest(low)], np.uint64))
-                at = stop
-                continue
-        out.append(_hashed(a[at:stop], none)[0])
-        at = stop
-    return np.concatenate(out)
-
-
-def _word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of words of successive texts on end, and the number of each text's."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    k = 0
-    while k < len(texts):
-        if at[k + 1] - at[k] > PIECE:
-            h = _long(raw[at[k] : at[k + 1]])
-            yield h, np.array([len(h)])
-            k += 1
-            continue
-        j = max(k + 1, int(np.searchsorted(at, at[k] + PIECE, side="right")) - 1)
-        heads = at[k:j] - at[k]
-        full = np.diff(at[k : j + 1]) > 0
-        if full.any():
-            h, starts = _hashed(raw[at[k] : at[j]], heads[full])
-            yield h, np.diff(np.append(np.searchsorted(starts, heads), len(starts)))
-        else:
-            yield np.zeros(0, np.uint64), np.zeros(j - k, np.int64)
-        k = j
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Of each text, the sorted distinct 64-bit hashes of its shingles; of the whole sequence if it has fewer words."""
     out = []
-    for h, sizes in _word_hashes(texts):
+    for h, sizes in text_hashes(texts):
         begin = np.cumsum(sizes) - sizes
         s = h[: max(0, len(h) - words + 1)].copy()
         for k in range(1, words):
-            s = _mixed(s + np.uint64(k)) * _GOLD + h[k : k + len(s)]
-        s = _mixed(s + np.uint64(words))
+            s = mixed(s + np.uint64(k)) * GOLD + h[k : k + len(s)]
+        s = mixed(s + np.uint64(words))
         for a, n in zip(begin.tolist(), sizes.tolist(), strict=True):
             if n >= words:
                 out.append(np.unique(s[a : a + n - words + 1]))
             elif n:
                 x = h[a : a + 1].copy()
                 for k in range(1, n):
-                    x = _mixed(x + np.uint64(k)) * _GOLD + h[a + k : a + k + 1]
-                out.append(_mixed(x + np.uint64(n)))
+                    x = mixed(x + np.uint64(k)) * GOLD + h[a + k : a + k + 1]
+                out.append(mixed(x + np.uint64(n)))
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
@@ -161,7 +73,7 @@ def sketch(s: np.ndarray) -> bytes:
     """The parities of the numbers of elements in hash slots, at least two slots for an element: sketches of two sets
     differ in no more bits than the sets in elements, and fold to half by exclusive or."""
     slots = 1 << max(6, (2 * len(s) - 1).bit_length())
-    at = (_mixed(s + np.uint64(0x632BE59BD9B4E019)) & np.uint64(slots - 1)).astype(np.int64)
+    at = (mixed(s + np.uint64(0x632BE59BD9B4E019)) & np.uint64(slots - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=slots) & 1, bitorder="little").tobytes()
 
 
@@ -194,7 +106,7 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
     own_bands = np.array([bands.band(int(n)) for n in sizes])
-    content = _mixed(flat + np.uint64(0x2545F4914F6CDD1D))
+    content = mixed(flat + np.uint64(0x2545F4914F6CDD1D))
     found, of = [], []
     for up in (0, 1):
         tags = own_bands + up
@@ -202,10 +114,10 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         if not n1.any():
             continue
         base = np.cumsum(n1 * n2) - n1 * n2
-        salt = _mixed(tags.astype(np.uint64) * np.uint64(n2) + np.uint64(1))
+        salt = mixed(tags.astype(np.uint64) * np.uint64(n2) + np.uint64(1))
         some = n1[owner] > 0
         own, elements = owner[some], flat[some]
-        part = base[own] + (_mixed(elements ^ salt[own]) % (n1 * n2).astype(np.uint64)[own]).astype(np.int64)
+        part = base[own] + (mixed(elements ^ salt[own]) % (n1 * n2).astype(np.uint64)[own]).astype(np.int64)
         order = np.argsort(part, kind="stable")
         head = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
         sums = np.zeros(int((n1 * n2).sum()), np.uint64)
@@ -213,9 +125,9 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
         which = np.repeat(np.arange(len(sets)), n1)
         f = np.arange(len(which)) - np.repeat(np.cumsum(n1) - n1, n1)
         smaller = sums[(base[which] + f * n2)[:, None] + np.arange(n2)]
-        where = _mixed((tags[which].astype(np.uint64) << np.uint64(40)) + f.astype(np.uint64)) + np.uint64(n2)
+        where = mixed((tags[which].astype(np.uint64) << np.uint64(40)) + f.astype(np.uint64)) + np.uint64(n2)
         for j, kept in enumerate(combinations(range(n2), n2 - k2)):
-            found.append(_mixed(smaller[:, kept].sum(1, dtype=np.uint64) + where + np.uint64(64 * j)))
+            found.append(mixed(smaller[:, kept].sum(1, dtype=np.uint64) + where + np.uint64(64 * j)))
             of.append(which)
     return (np.concatenate(found), np.concatenate(of)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -329,7 +241,7 @@ def _groups(key: tuple, rows: pa.Table) -> pa.Table:
         if len(starts):
             n = np.add.reduceat(new.astype(np.int64), starts)
             open_ = np.logical_or.reduceat(flag, starts)  # it has more sets elsewhere
-            print_ = np.add.reduceat(np.where(new, _mixed(low[:, 0] ^ (low[:, 1] * _GOLD)), np.uint64(0)), starts)
+            print_ = np.add.reduceat(np.where(new, mixed(low[:, 0] ^ (low[:, 1] * GOLD)), np.uint64(0)), starts)
             first = np.zeros(len(starts), bool)
             first[np.unique(np.stack([print_, n.astype(np.uint64)]), axis=1, return_index=True)[1]] = True
             wanted = (n > 1) & (open_ | first)

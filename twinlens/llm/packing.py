@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.llm.common import reliable, table
+from twinlens.llm.words import LOWER, hashes, pieces, spans
 
 CAPACITY = 2048
 #: Bins with fewer free places than this are final.
@@ -25,7 +26,7 @@ NEARLY_FULL = 16
 #: Items of a group, and groups that merge in a round at least.
 GROUP_ITEMS, FAN_IN = 20_000, 4
 #: Words that a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 #: The vocabulary's special token between words that are encoded in one call, and so many words.
 SEPARATOR, JOINED = "<|endoftext|>", 400
 #: A round that joins less than this part of its bins is the last.
@@ -37,7 +38,8 @@ class Ids:
 
     The vocabulary's normalizer and pre-tokenizer drop white space and match nothing across it, so a text's ids are its
     words' ids in order. ASCII letters are lower-cased by the normalizer, and a full stop or comma at a word's end after
-    an ASCII letter or digit is a match of its own, so that many words share one encoding.
+    an ASCII letter or digit is a match of its own, so that many words share one encoding. Words are known by 64-bit
+    hashes of their bytes, made for a piece of the column at once; only a word that is new is looked at by itself.
     """
 
     def __init__(self, path: str):
@@ -45,87 +47,113 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tails = {k: tuple(self.tokenizer.encode(k.decode(), add_special_tokens=False).ids) for k in (b".", b",")} | {b"": ()}
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
-        self.words: dict[bytes | None, int] = {None: 0}  # None stands for the id 0 after a document
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 1
-        self.starts, self.sizes, self.hits, self.n = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64), 1
+        self.flat, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 0
+        self.starts, self.sizes, self.hits = (np.zeros(1, np.int64) for _ in range(3))
+        self.known: dict[int, int] = {}
+        # the first three: the id 0 after a document, and the two tails
+        tails = [self.tokenizer.encode(k, add_special_tokens=False).ids for k in (".", ",")]
+        self._add([0, 1, 2], np.concatenate([np.array(x, np.uint32) for x in ([0], *tails)]), np.array([1, *map(len, tails)]))
 
     def forget(self) -> None:
         """Keeps the more frequent half of the words."""
         self.starts, self.sizes, self.hits = (x[: self.n] for x in (self.starts, self.sizes, self.hits))
         often = self.hits > np.median(self.hits)
-        often[0] = True
+        often[:3] = True
         new = np.cumsum(often) - 1
-        self.words = {w: int(new[k]) for w, k in self.words.items() if often[k]}
+        self.known = {w: int(new[k]) for w, k in self.known.items() if often[k]}
         sizes = self.sizes[often]
         upto = np.cumsum(sizes)
         self.flat = self.flat[np.arange(upto[-1]) + np.repeat(self.starts[often] - (upto - sizes), sizes)]
         self.used = len(self.flat)
         self.starts, self.sizes, self.hits, self.n = upto - sizes, sizes, self.hits[often] // 2, len(sizes)
 
-    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        end = self.n + len(words)
+        end = self.n + len(keys)
         if end > len(self.sizes):
             self.starts, self.sizes, self.hits = (np.concatenate([x, np.zeros(max(len(x), end), np.int64)]) for x in (self.starts, self.sizes, self.hits))
-        self.words.update(zip(words, range(self.n, end), strict=True))
+        self.known.update(zip(keys, range(self.n, end), strict=True))
         self.starts[self.n : end] = self.used + np.cumsum(sizes) - sizes
         self.sizes[self.n : end] = sizes
         self.n, self.used = end, self.used + len(ids)
 
-    def _learn_whole(self, words: list[bytes]) -> None:
+    def learn(self, words: dict[int, bytes]) -> None:
         """A special token between words keeps them apart in one call; a word that might hold one has a call alone."""
-        plain, odd = [w for w in words if b"<" not in w], [w for w in words if b"<" in w]
-        texts = [SEPARATOR.join(w.decode() for w in plain[k : k + JOINED]) + SEPARATOR for k in range(0, len(plain), JOINED)]
-        if texts:
-            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        plain = [(k, w) for k, w in words.items() if b"<" not in w]
+        for lo in range(0, len(plain), JOINED * JOINED):
+            part = plain[lo : lo + JOINED * JOINED]
+            texts = [SEPARATOR.join(w.decode() for _, w in part[k : k + JOINED]) + SEPARATOR for k in range(0, len(part), JOINED)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
             ends = np.flatnonzero(ids == self.separator)
-            self._add(plain, ids[ids != self.separator], np.diff(ends, prepend=-1) - 1)
-        for w in odd:
-            ids = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
-            self._add([w], ids, np.array([len(ids)]))
-
-    def learn(self, new: list[bytes]) -> None:
-        rest, stems = [], set()
-        for w in new:
-            tail = w[-1:] if w[-1:] in (b".", b",") and w[-2:-1].isalnum() else b""
-            stem = w[:-1] if tail else w
-            stem = stem.lower() if stem.isascii() and b"<" not in stem else stem
-            if stem not in self.words:
-                stems.add(stem)
-            if stem != w:
-                rest.append((w, stem, tail))
-        self._learn_whole(list(stems))
-        rest = [r for r in rest if r[0] not in self.words]
-        if rest:
-            at = np.array([self.words[s] for _, s, _ in rest])
-            ids = [np.append(self.flat[a : a + n], self.tails[t]) for a, n, (_, _, t) in zip(self.starts[at].tolist(), self.sizes[at].tolist(), rest, strict=True)]
-            self._add([w for w, _, _ in rest], np.concatenate(ids), np.array([len(x) for x in ids]))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+            self._add([k for k, _ in part], ids[ids != self.separator], np.diff(ends, prepend=-1) - 1)
+        for k, w in words.items():
+            if b"<" in w:
+                ids = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
+                self._add([k], ids, np.array([len(ids)]))
+
+    def _units(self, a: np.ndarray, heads: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the known words of the bytes, with tails and document ends, and the places of the ends."""
+        starts, ends = spans(a, heads)
+        n = len(starts)
+        if n:
+            last = a[ends - 1]
+            before = a[np.maximum(ends - 2, starts)]
+            letter = ((before | 32) - np.uint8(97) < 26) | (before - np.uint8(48) < 10)
+            dot, comma = last == 46, last == 44
+            tail = (dot | comma) & letter & (ends - starts > 1)
+            odd = np.zeros(len(a) + 1, np.int64)
+            np.cumsum((a >= 128) | (a == 60), out=odd[1:])
+            as_is = odd[ends] > odd[starts]  # not ASCII alone, or with <
+            key = hashes(a, starts, ends - tail, LOWER)
+            if as_is.any():
+                key[as_is] = hashes(a, starts[as_is], ends[as_is] - tail[as_is])
+            distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            at = list(map(self.known.get, distinct.tolist()))
+            if None in at:
+                new = np.array([j for j, k in enumerate(at) if k is None])
+                i = first[new]
+                data = {True: a.tobytes()}
+                data[False] = data[True].lower()
+                found = zip(distinct[new].tolist(), as_is[i].tolist(), starts[i].tolist(), (ends[i] - tail[i]).tolist(), strict=True)
+                self.learn({k: data[odd][s:e] for k, odd, s, e in found})
+                at = list(map(self.known.__getitem__, distinct.tolist()))
+            stems = np.array(at, np.int64)[inverse]
+            n_tails = np.cumsum(tail)
+        else:
+            stems, tail, comma, n_tails = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.int64)
+        closing = np.append(np.searchsorted(starts, heads[1:]), n) if len(heads) else np.array([n])  # words before a text's end
+        closing = closing if whole else closing[:-1]
+        ends_before = np.zeros(n + 1, np.int64)
+        np.add.at(ends_before, closing, 1)
+        place = np.arange(n) + n_tails - tail + np.cumsum(ends_before)[:n]
+        out = np.zeros(n + int(tail.sum()) + len(closing), np.int64)
+        out[place] = stems
+        out[place[tail] + 1] = np.where(comma[tail], 2, 1)
+        return out, closing + np.append(0, n_tails)[closing] + np.arange(len(closing))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, each followed by id 0, and the number of each text's."""
-        if self.n > KEPT_WORDS:
-            self.forget()
-        words: list[bytes | None] = []
-        ends = []
-        for t in texts:
-            words += (t or "").encode().split()
-            words.append(None)
-            ends.append(len(words))
-        at = list(map(self.words.get, words))
-        if None in at:
-            self.learn(list({w for w, k in zip(words, at, strict=True) if k is None}))
-            at = list(map(self.words.__getitem__, words))
-        at = np.array(at, np.int64)
-        self.hits += np.bincount(at, minlength=len(self.hits))
-        sizes = self.sizes[at]
-        upto = np.cumsum(sizes)
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.starts[at] - (upto - sizes), sizes)]
-        return ids, np.diff(upto[np.array(ends) - 1], prepend=0)
+        found, sizes, open_ = [], [], 0
+        for a, heads, whole in pieces(texts):
+            if self.n > KEPT_WORDS:
+                self.forget()
+            at, ends = self._units(a, heads, whole)
+            self.hits[: self.n] += np.bincount(at, minlength=self.n)
+            own = self.sizes[at]
+            upto = np.cumsum(own)
+            if len(at):
+                found.append(self.flat[np.arange(upto[-1]) + np.repeat(self.starts[at] - (upto - own), own)])
+            closed = upto[ends]
+            n = np.diff(closed, prepend=0)
+            if len(n):
+                n[0] += open_
+                open_ = 0
+            open_ += int(upto[-1] - (closed[-1] if len(n) else 0)) if len(at) else 0
+            sizes.append(n)
+        return (np.concatenate(found), np.concatenate(sizes)) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
 _IDS: dict[str, Ids] = {}
@@ -145,7 +173,7 @@ def token_pieces(
         own = _IDS.get(path) or _IDS.setdefault(path, Ids(path))
         for b in batches:
             for part in (b.slice(k, 512) for k in range(0, b.num_rows, 512)):
-                ids, sizes = own.encode(part.column(1).to_pylist())
+                ids, sizes = own.encode(part.column(1))
                 raw, begin = ids.astype("<u4").tobytes(), np.cumsum(sizes) - sizes
                 n = -(-sizes // capacity)
                 row = np.repeat(np.arange(len(n)), n)
