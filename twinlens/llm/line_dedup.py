@@ -28,28 +28,37 @@ HOT_LINES = 1000
 BITS, MAX_BITS = 8, 1 << 26
 
 
-def _common_prefix(x: Column, y: Column, n: Column) -> Column:
-    """Number of characters, n at most, that both begin with: by halving steps, whole stretches compared at once."""
-    steps = F.transform(F.sequence(F.ceil(F.log2(n + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
-    longer = lambda at, step: (at + step <= n) & (F.substring(x, at + 1, step) == F.substring(y, at + 1, step))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(longer(at, step), at + step).otherwise(at))
+def _let(value: Column, f) -> Column:
+    """f of value, which is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
-def _common_suffix(x: Column, y: Column, n: Column) -> Column:
-    """The same from the ends."""
+def _common(x: Column, y: Column, n: Column, piece) -> Column:
+    """Number of characters, n at most, that piece(text, at, length) finds alike in both from their beginning: by halving
+    steps, whole stretches compared at once."""
     steps = F.transform(F.sequence(F.ceil(F.log2(n + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
-    piece = lambda c, at, step: F.substring(c, F.char_length(c) - at - step + 1, step)
-    longer = lambda at, step: (at + step <= n) & (piece(x, at, step) == piece(y, at, step))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(longer(at, step), at + step).otherwise(at))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (piece(x, at, step) == piece(y, at, step)), at + step).otherwise(at))
+
+
+def _trimmed(x: Column, y: Column) -> Column:
+    """struct(x, y) less what both begin and end with, which leaves their edit distance as it is."""
+    from_left = lambda c, at, n: F.substring(c, at + 1, n)
+    from_right = lambda c, at, n: F.substring(c, F.char_length(c) - at - n + 1, n)
+
+    def cut(piece, rest):
+        def run(v: Column) -> Column:
+            n = _common(v["x"], v["y"], v["n"], piece)
+            both = F.struct(v["x"].alias("x"), v["y"].alias("y"), n.alias("n"))
+            return _let(both, lambda w: sized(rest(w["x"], w["n"]), rest(w["y"], w["n"])))
 
+        return run
 
-def trimmed(pairs: DataFrame) -> DataFrame:
-    """pairs with x and y less what both begin and end with, which leaves their edit distance as it is."""
-    least = lambda: F.least(F.char_length("x"), F.char_length("y"))
-    p = pairs.withColumn("_p", _common_prefix(F.col("x"), F.col("y"), least()))
-    p = p.withColumns({c: F.expr(f"substring({c}, _p + 1)") for c in ("x", "y")})
-    p = p.withColumn("_p", _common_suffix(F.col("x"), F.col("y"), least()))
-    return p.withColumns({c: F.expr(f"substring({c}, 1, char_length({c}) - _p)") for c in ("x", "y")}).drop("_p")
+    def sized(a: Column, b: Column) -> Column:
+        return _let(F.struct(a.alias("x"), b.alias("y")), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), F.least(F.char_length(v["x"]), F.char_length(v["y"])).alias("n")))
+
+    whole = lambda c: F.char_length(c)
+    front = _let(sized(x, y), cut(from_left, lambda c, n: F.substring(c, n + 1, whole(c))))
+    return _let(front, cut(from_right, lambda c, n: F.substring(c, F.lit(1), whole(c) - n)))
 
 
 def within(x: Column, y: Column, edits: int = EDITS) -> Column:
@@ -61,10 +70,6 @@ def within(x: Column, y: Column, edits: int = EDITS) -> Column:
     chars = lambda c: F.filter(F.split(c, ""), lambda k: k != "")
     width = 2 * edits + 1
     full = (1 << width) - 1
-    padded = F.concat(F.array_repeat(F.lit(""), edits), chars(x), F.array_repeat(F.lit(""), edits + 1))
-    band = F.transform(chars(y), lambda c, j: F.struct(c.alias("c"), F.slice(padded, j + 1, width).alias("b")))
-    bits = lambda v: sum((F.when(F.get(v["b"], d) == v["c"], F.lit(1 << d)).otherwise(F.lit(0)) for d in range(width)), F.lit(0))
-    hits = F.transform(band, bits)
     start = sum(((((1 << (e + 1)) - 1) << edits) & full) << (width * e) for e in range(edits + 1))
 
     def step(s: Column, hit: Column) -> Column:
@@ -79,34 +84,66 @@ def within(x: Column, y: Column, edits: int = EDITS) -> Column:
             out = out.bitwiseOR(F.shiftleft(new[e], width * e))
         return F.when(s == 0, s).otherwise(out)
 
-    last = F.shiftright(F.aggregate(hits, F.lit(start), step), width * edits)
+    def compared(v: Column) -> Column:
+        matches = lambda c, j: sum((F.when(F.get(v["x"], j + d) == c, F.lit(1 << d)).otherwise(F.lit(0)) for d in range(width)), F.lit(0))
+        return F.aggregate(F.transform(v["y"], matches), F.lit(start), step)
+
+    arrays = lambda v: F.struct(F.concat(F.array_repeat(F.lit(""), edits), chars(v["x"])).alias("x"), chars(v["y"]).alias("y"))
+    last = F.shiftright(_let(_let(_trimmed(x, y), arrays), compared), width * edits)
     diagonal = F.char_length(x) - F.char_length(y) + edits
     return F.when(diagonal.between(0, width - 1), F.call_function("shiftright", last, diagonal).bitwiseAND(1) == 1).otherwise(False)
 
 
-def _probes(line: Column, n: Column, edits: int, delta: int, only_own: bool = False) -> list[Column]:
-    """The index entries that a line looks up for lines of delta characters less: (key, own, delta, at, length); own for
-    those under which it is filed itself."""
-    out = []
-    size = n - delta
-    q, long = F.floor(size / (edits + 1)).cast("int"), edits + 1 - size % (edits + 1)
-    for i in range(edits + 1):
-        start = q * i + F.greatest(F.lit(i) - long, F.lit(0))
-        length = q + (F.lit(i) >= long).cast("int")
-        for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
-            if only_own and shift:
-                continue
-            at = start + shift
-            key = F.xxhash64(F.lit(i), size, F.substring(line, at + 1, length))
-            fits = (at >= 0) & (at + length <= n) & (size >= 0)
-            own = F.lit(delta == 0 and shift == 0)
-            out.append(F.when(fits, F.struct(key.alias("key"), own.alias("own"), F.lit(delta).alias("delta"), at.alias("at"), length.alias("length"))))
-    return out
+def may_be_within(x: Column, y: Column, edits: int = EDITS, parts: int = 8) -> Column:
+    """False only if the distance of x and y is above edits: of so many pieces of x, all but one for each edit are in y,
+    shifted by edits at most."""
+    n = F.char_length(x)
+    size = F.floor(n / parts).cast("int")
+    found = F.lit(0)
+    for i in range(parts):
+        piece = F.substring(x, size * i + 1, size if i < parts - 1 else n - size * (parts - 1))
+        around = F.substring(y, F.greatest(size * i + 1 - edits, F.lit(1)), (size if i < parts - 1 else n - size * (parts - 1)) + 2 * edits)
+        found = found + F.contains(around, piece).cast("int")
+    return found >= parts - edits
+
+
+def _segment(i: Column, size: Column, edits: int) -> tuple[Column, Column]:
+    """Place and length of segment i of a line of size characters; the last ones are longer if need be."""
+    over = F.pmod(size, F.lit(edits + 1))
+    q, long = F.call_function("div", size - over, F.lit(edits + 1)).cast("int"), edits + 1 - over
+    return q * i + F.greatest(i - long, F.lit(0)), q + (i >= long).cast("int")
+
+
+def _filed(line: Column, n: Column, edits: int) -> Column:
+    """The index entries of a line."""
+    parts = ((F.lit(i), *_segment(F.lit(i), n, edits)) for i in range(edits + 1))
+    return F.array(*(F.xxhash64(i, n, F.substring(line, at + 1, length)) for i, at, length in parts))
+
+
+def _probes(rows: DataFrame, edits: int) -> DataFrame:
+    """rows (line, n, ...) with the index entries that a line looks up for lines of up to edits characters less: key,
+    own, delta, at, length; own for those under which it is filed itself."""
+    places = []
+    for delta in range(edits + 1):
+        for i in range(edits + 1):
+            for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
+                places.append(F.struct(F.lit(i).alias("i"), F.lit(delta).alias("delta"), F.lit(shift).alias("shift")))
+    # one row for each place: an expression of twelve keys would be too long to be compiled
+    i, delta, shift = (F.col(f"_place.{k}") for k in ("i", "delta", "shift"))
+    size = F.col("n") - delta
+    start, length = _segment(i, size, edits)
+    at = start + shift
+    found = rows.withColumn("_place", F.explode(F.array(*places))).withColumns({"at": at, "length": length, "delta": delta, "own": (delta == 0) & (shift == 0)})
+    found = found.filter("at >= 0 and at + length <= n and delta <= n")
+    # exploded, so that a filter on the key doesn't compute it anew each time it names it
+    return found.withColumn("key", F.explode(F.array(F.xxhash64(i, size, F.expr("substring(line, at + 1, length)"))))).drop("_place")
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Lines of (id, text) of min_chars at least: place (id, text's hash, number), line, n, and two hashes."""
-    trim = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")))
+    white = F.lit(" \t\x0b\x0c\r")
+    outer = lambda x: F.contains(white, F.substring(x, 1, 1)) | F.contains(white, F.substring(x, -1, 1))
+    trim = F.transform(F.split("text", "\n"), lambda x: F.when(outer(x), F.btrim(x, white)).otherwise(x))
     of = lambda x, i: F.struct(i.alias("no"), x.alias("line"), F.char_length(x).alias("n"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))
     long = F.filter(F.transform(trim, of), lambda x: x["n"] >= min_chars)
     exploded = docs.select("id", F.xxhash64("text").alias("t"), F.explode(long).alias("x"))
@@ -117,13 +154,10 @@ def _finer(rows: DataFrame, edits: int) -> DataFrame:
     """The next level of rows (key, h, own, delta, at, length, line): what is left of a line without the part that the
     key stands for is within edits as well, so it is cut and probed in its turn under that key."""
     left = F.concat(F.expr("substring(line, 1, at)"), F.expr("substring(line, at + length + 1)"))
-    rest = rows.select("key", "h", "own", "delta", left.alias("rest"), F.char_length(left).alias("n"))
-    probes = F.lit(None)
-    for delta in range(edits + 1):
-        probes = F.when(F.col("delta") == delta, F.array(*_probes(F.col("rest"), F.col("n"), edits, delta))).otherwise(probes)
-    found = rest.select("key", "h", "own", "rest", F.explode(probes).alias("p")).filter("p is not null")
+    rest = rows.select(F.col("key").alias("under"), "h", F.col("own").alias("filed"), F.col("delta").alias("less"), left.alias("line"))
+    found = _probes(rest.withColumn("n", F.char_length("line")), edits).filter("delta = less")
     # what only probed before isn't filed now
-    return found.select(F.xxhash64("key", "p.key").alias("key"), "h", (F.col("own") & F.col("p.own")).alias("own"), "p.delta", "p.at", "p.length", F.col("rest").alias("line"))
+    return found.select(F.xxhash64("under", "key").alias("key"), "h", (F.col("filed") & F.col("own")).alias("own"), "delta", "at", "length", "line")
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -132,23 +166,24 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     t tells texts of one id apart. Rows with equal id and text are one document.
     """
     lines = _lines(docs, min_chars)
-    places = stored(lines.select("place", "h", "g"))
+    filed = stored(lines.select("place", "h", "g", _filed(F.col("line"), F.col("n"), edits).alias("keys")))
+    places = filed.drop("keys")
     firsts = places.groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("m"))
     total = places.count()
     hot = firsts.filter(F.col("m") > max(HOT_LINES, total // 1000)).select("h", "g", "first")  # a thousand at most
 
     # a Bloom filter of the index, of bounded size, stops probes for entries that no line has; a full one stops none
     words = min(1 << max(6, (total * (edits + 1) * BITS - 1).bit_length()), MAX_BITS) // 64
-    word = F.pmod(F.shiftrightunsigned("key", 12), F.lit(words))
+    word = F.pmod(F.shiftrightunsigned("key", 12), F.lit(words)).cast("int")
     bits = F.expr("shiftleft(1L, cast(key & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned(key, 6) & 63 as int))")
-    filed = lines.select(F.explode(F.array(*_probes(F.col("line"), F.col("n"), edits, 0, True))).alias("p")).select("p.key")
-    bloom = filed.groupBy(word.alias("word")).agg(F.bit_or(bits).alias("bits"))
+    found = filed.select(F.explode("keys").alias("key")).groupBy(word.alias("word")).agg(F.bit_or(bits).alias("bits"))
+    spark = docs.sparkSession
+    each = spark.range(words).join(found, F.col("id") == F.col("word"), "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("w"))
+    bloom = each.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("bits")).scalar()
     once = lines.join(F.broadcast(hot), ["h", "g"], "left").filter("first is null or first = place")
     # each pair of lines meets where the longer one probes
-    every = F.array(*(p for delta in range(edits + 1) for p in _probes(F.col("line"), F.col("n"), edits, delta)))
-    probes = once.select("h", F.explode(every).alias("p")).filter("p is not null").select("p.key", "h", "p.own", "p.delta", "p.at", "p.length")
-    probes = probes.withColumn("word", word).join(F.broadcast(bloom), "word").filter(F.col("bits").bitwiseAND(bits) == bits).drop("word", "bits")
-    probes = stored(probes)
+    probes = _probes(once.select("h", "line", "n"), edits).select("key", "h", "own", "delta", "at", "length")
+    probes = stored(probes.filter(F.get(bloom, word).bitwiseAND(bits) == bits))
 
     def shared(rows: DataFrame) -> DataFrame:
         """Rows of entries that two lines share, and the number of an entry's rows."""
@@ -162,8 +197,9 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     n = wanted.count()
     of = small(wanted.select(F.col("h").alias("wh"), F.col("g").alias("wg"), F.col("first").alias("wf")), n)
     same = (F.col("h") == F.col("wh")) & (F.col("g") == F.col("wg")) & (F.col("place") == F.col("wf"))
-    texts = reliable(lines.join(of, same).select("h", "g", F.col("place").alias("first"), "line").dropDuplicates(["h", "g"]))
-    spark = docs.sparkSession
+    ids = reliable(wanted.select(F.col("first.id").alias("_i"), F.col("first.t").alias("_t")).distinct())
+    some = docs.join(small(ids, n), F.col("id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_t")), "left_semi")
+    texts = reliable(_lines(some, min_chars).join(of, same).select("h", "g", F.col("place").alias("first"), "line").dropDuplicates(["h", "g"]))
 
     def near(pairs: DataFrame, gone: DataFrame | None) -> DataFrame:
         """(h, g) of the later line of each of the pairs (h, other) that are within reach, and of those gone before."""
@@ -175,7 +211,8 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
         both = both.select(later.alias("l"), "x", "y").select("l.h", "l.g", "x", "y")
         both = both if gone is None else both.join(gone, ["h", "g"], "left_anti")
         # the comparison costs more than its bytes tell
-        both = trimmed(both.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)))
+        both = both.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8))
+        both = both.filter(may_be_within(F.col("x"), F.col("y"), edits))
         found = both.filter(within(F.col("x"), F.col("y"), edits)).select("h", "g").distinct()
         return reliable(found if gone is None else gone.unionByName(found).distinct())
 
