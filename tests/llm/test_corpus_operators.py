@@ -361,14 +361,25 @@ def test_line_dedup(spark):
     assert set(d.columns) >= {"id", "h", "hit", "label"}
 
 
-def test_line_dedup_with_many_lines_under_one_entry(spark):
-    """Lines that share a third of their text but are not near: each round has a bounded number of hubs."""
+@pytest.mark.parametrize(("few", "levels"), [(512, 2), (10, 2), (10, 0)])
+def test_line_dedup_with_many_lines_under_one_entry(spark, monkeypatch, few, levels):
+    """Lines that share a third of their text but are not near: judged at once, split into finer entries, or in rounds."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "LEVELS", levels)
     r = random.Random(9)
     rows = [(i, "x" * 20 + "".join(r.choice("abcdef") for _ in range(40)), "en", "s") for i in range(40)]
     rows += [(100 + i, mutate(r, rows[i][1], 1), "en", "s") for i in range(0, 40, 3)]
     assert got(line_dedup.dedup_lines(table(spark, rows)), "doc_id", "text", "n_lines", "n_exact", "n_near") == lines_left(rows)
 
 
+def test_line_dedup_of_very_long_lines(spark):
+    r = random.Random(10)
+    long = "".join(r.choice("abcdef") for _ in range(30_000))
+    rows = [(0, long, "en", "s"), (1, long[:9000] + "é" + long[9001:25_000] + long[25_001:], "en", "s"), (2, long[:9000] + "éàü" + long[9001:], "en", "s"), (3, long[5:], "en", "s")]
+    found = got(line_dedup.dedup_lines(table(spark, rows)), "doc_id", "n_exact", "n_near")
+    assert found == {0: (0, 0), 1: (0, 1), 2: (0, 0), 3: (0, 0)}
+
+
 def base_figures(t):
     w = words(t)
     windows = Counter(zip(w, w[1:], w[2:], strict=False))

@@ -6,9 +6,9 @@ substrings at these places, for every shorter or equal length that is near enoug
 bit-parallel automaton over the band of 2 * EDITS + 1 diagonals, without what both begin and end with.
 
 A line is dropped if an earlier line, in the order of documents and lines, is equal or within EDITS edits. Lines under
-an index entry are paired if they are few. Entries with more compare all lines with their earliest ones and are then
-split: what a line has besides the shared segment is within EDITS edits as well, so it is cut into segments and indexed
-in its turn. What is still large after some levels goes in rounds, HUBS of an entry's lines against all that are left.
+an index entry are judged in one array if they are few, and pairs are never made into rows. Entries with more are split:
+what a line has besides the shared segment is within EDITS edits as well, so it is cut into segments and indexed in its
+turn. What is still large after some levels goes in rounds, HUBS of an entry's lines against all that are left.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import reliable, small, stored, table
+from twinlens.llm.common import reliable, sheltered, small, stored, table
 
 #: Largest edit distance of near-duplicates, and shortest line that is looked at.
 EDITS, MIN_CHARS = 2, 20
-#: Index entries of so many rows are paired; lines of a larger one that a round compares; levels of finer entries.
-FEW, HUBS, LEVELS = 32, 16, 2
+#: Index entries of so many rows are judged at once; lines of a larger one that a round compares; levels of finer entries.
+FEW, HUBS, LEVELS = 512, 16, 2
 #: Lines that occur more often than this, and in more than a thousandth of all places, probe once only.
 HOT_LINES = 1000
 #: Bits of the index's filter for each entry, and at most.
@@ -94,11 +94,11 @@ def within(x: Column, y: Column, edits: int = EDITS) -> Column:
     return F.when(diagonal.between(0, width - 1), F.call_function("shiftright", last, diagonal).bitwiseAND(1) == 1).otherwise(False)
 
 
-def may_be_within(x: Column, y: Column, edits: int = EDITS, parts: int = 8) -> Column:
+def may_be_within(x: Column, y: Column, edits: int = EDITS, parts: int = 8, n: Column | None = None) -> Column:
     """False only if the distance of x and y is above edits: of so many pieces of x, all but one for each edit are in y,
     shifted by edits at most."""
-    n = F.char_length(x)
-    size = F.floor(n / parts).cast("int")
+    n = F.char_length(x) if n is None else n
+    size = F.call_function("div", n, F.lit(parts)).cast("int")
     found = F.lit(0)
     for i in range(parts):
         piece = F.substring(x, size * i + 1, size if i < parts - 1 else n - size * (parts - 1))
@@ -120,15 +120,16 @@ def _filed(line: Column, n: Column, edits: int) -> Column:
     return F.array(*(F.xxhash64(i, n, F.substring(line, at + 1, length)) for i, at, length in parts))
 
 
-def _probes(rows: DataFrame, edits: int) -> DataFrame:
+def _probes(rows: DataFrame, edits: int, others: bool = False) -> DataFrame:
     """rows (line, n, ...) with the index entries that a line looks up for lines of up to edits characters less: key,
-    own, delta, at, length; own for those under which it is filed itself."""
+    own, delta, at, length; own for those under which it is filed itself, which are left out for others only."""
     places = []
     for delta in range(edits + 1):
         for i in range(edits + 1):
             for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
-                places.append(F.struct(F.lit(i).alias("i"), F.lit(delta).alias("delta"), F.lit(shift).alias("shift")))
-    # one row for each place: an expression of twelve keys would be too long to be compiled
+                if delta or shift or not others:
+                    places.append(F.struct(F.lit(i).alias("i"), F.lit(delta).alias("delta"), F.lit(shift).alias("shift")))
+    # one row for each place: an expression of all keys would be too long to be compiled
     i, delta, shift = (F.col(f"_place.{k}") for k in ("i", "delta", "shift"))
     size = F.col("n") - delta
     start, length = _segment(i, size, edits)
@@ -142,12 +143,12 @@ def _probes(rows: DataFrame, edits: int) -> DataFrame:
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Lines of (id, text) of min_chars at least: place (id, text's hash, number), line, n, and two hashes."""
     white = F.lit(" \t\x0b\x0c\r")
-    outer = lambda x: F.contains(white, F.substring(x, 1, 1)) | F.contains(white, F.substring(x, -1, 1))
-    trim = F.transform(F.split("text", "\n"), lambda x: F.when(outer(x), F.btrim(x, white)).otherwise(x))
-    of = lambda x, i: F.struct(i.alias("no"), x.alias("line"), F.char_length(x).alias("n"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))
-    long = F.filter(F.transform(trim, of), lambda x: x["n"] >= min_chars)
-    exploded = docs.select("id", F.xxhash64("text").alias("t"), F.explode(long).alias("x"))
-    return exploded.select(F.struct("id", "t", "x.no").alias("place"), "x.line", "x.n", "x.h", "x.g")
+    outer = F.contains(white, F.substring("raw", 1, 1)) | F.contains(white, F.substring("raw", -1, 1))
+    raw = docs.select("id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("no", "raw")).filter(F.octet_length("raw") >= min_chars)
+    # exploded, so that what uses the line and its length doesn't compute them anew
+    line = raw.select("id", "t", "no", F.explode(F.array(F.when(outer, F.btrim("raw", white)).otherwise(F.col("raw")))).alias("line"))
+    sized = line.select("*", F.explode(F.array(F.char_length("line"))).alias("n")).filter(F.col("n") >= min_chars)
+    return sized.select(F.struct("id", "t", "no").alias("place"), "line", "n", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
 def _finer(rows: DataFrame, edits: int) -> DataFrame:
@@ -166,9 +167,9 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     t tells texts of one id apart. Rows with equal id and text are one document.
     """
     lines = _lines(docs, min_chars)
-    filed = stored(lines.select("place", "h", "g", _filed(F.col("line"), F.col("n"), edits).alias("keys")))
-    places = filed.drop("keys")
-    firsts = places.groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("m"))
+    filed = stored(lines.select("place", "h", "g", "n", _filed(F.col("line"), F.col("n"), edits).alias("keys")))
+    places = filed.drop("n", "keys")
+    firsts = stored(places.groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("m")))
     total = places.count()
     hot = firsts.filter(F.col("m") > max(HOT_LINES, total // 1000)).select("h", "g", "first")  # a thousand at most
 
@@ -182,8 +183,11 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     bloom = each.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("bits")).scalar()
     once = lines.join(F.broadcast(hot), ["h", "g"], "left").filter("first is null or first = place")
     # each pair of lines meets where the longer one probes
-    probes = _probes(once.select("h", "line", "n"), edits).select("key", "h", "own", "delta", "at", "length")
-    probes = stored(probes.filter(F.get(bloom, word).bitwiseAND(bits) == bits))
+    names = ["key", "h", "own", "delta", "at", "length"]
+    probes = stored(_probes(once.select("h", "line", "n"), edits, others=True).select(*names).filter(F.get(bloom, word).bitwiseAND(bits) == bits))
+    at, length = _segment(F.col("i"), F.col("n"), edits)
+    entries = filed.join(F.broadcast(hot), ["h", "g"], "left").filter("first is null or first = place").select("h", "n", F.posexplode("keys").alias("i", "key"))
+    probes = probes.unionByName(entries.select("key", "h", F.lit(True).alias("own"), F.lit(0).alias("delta"), at.alias("at"), length.alias("length")))
 
     def shared(rows: DataFrame) -> DataFrame:
         """Rows of entries that two lines share, and the number of an entry's rows."""
@@ -201,7 +205,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     some = docs.join(small(ids, n), F.col("id").eqNullSafe(F.col("_i")) & (F.xxhash64("text") == F.col("_t")), "left_semi")
     texts = reliable(_lines(some, min_chars).join(of, same).select("h", "g", F.col("place").alias("first"), "line").dropDuplicates(["h", "g"]))
 
-    def near(pairs: DataFrame, gone: DataFrame | None) -> DataFrame:
+    def near(pairs: DataFrame, gone: DataFrame) -> DataFrame:
         """(h, g) of the later line of each of the pairs (h, other) that are within reach, and of those gone before."""
         x = texts.select("h", F.col("g").alias("xg"), F.col("first").alias("xf"), F.col("line").alias("x"))
         y = texts.select(F.col("h").alias("other"), F.col("g").alias("yg"), F.col("first").alias("yf"), F.col("line").alias("y"))
@@ -209,16 +213,28 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
         both = each.join(x, "h").join(y, "other").filter(F.abs(F.char_length("x") - F.char_length("y")) <= edits)
         later = F.when(F.col("xf") > F.col("yf"), F.struct("h", F.col("xg").alias("g"))).otherwise(F.struct(F.col("other").alias("h"), F.col("yg").alias("g")))
         both = both.select(later.alias("l"), "x", "y").select("l.h", "l.g", "x", "y")
-        both = both if gone is None else both.join(gone, ["h", "g"], "left_anti")
+        both = both.join(gone, ["h", "g"], "left_anti")
         # the comparison costs more than its bytes tell
         both = both.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8))
         both = both.filter(may_be_within(F.col("x"), F.col("y"), edits))
         found = both.filter(within(F.col("x"), F.col("y"), edits)).select("h", "g").distinct()
-        return reliable(found if gone is None else gone.unionByName(found).distinct())
+        return reliable(gone.unionByName(found).distinct())
 
-    def paired(few: DataFrame) -> DataFrame:
-        filed = few.filter("own").select("key", F.col("h").alias("other"))
-        return few.select("key", "h").join(filed, "key").filter("h <> other").select("h", "other")
+    def judged_together(few: DataFrame) -> DataFrame:
+        """(h, g) of the lines of entries with few that are within reach of an earlier one of the entry: its lines stand
+        in an array, in order, and each is compared with those before it that it can be near to."""
+        members = few.groupBy("key", "h").agg(F.max("own").alias("own")).join(texts, "h")
+        entry = members.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "h", "g", "own", "line", F.char_length("line").alias("n")))).alias("m"))
+
+        def close(x: Column, y: Column) -> Column:
+            met = (x["own"] | y["own"]) & (F.abs(x["n"] - y["n"]) <= edits)
+            return met & may_be_within(x["line"], y["line"], edits, n=x["n"]) & within(x["line"], y["line"], edits)
+
+        def seen(x: Column, i: Column) -> Column:
+            hit = F.exists(F.slice("m", F.lit(1), i), lambda y: close(x, y))
+            return F.struct(x["h"].alias("h"), x["g"].alias("g"), hit.alias("hit"))
+
+        return entry.select(F.explode(F.filter(F.transform("m", seen), lambda v: v["hit"])).alias("v")).select("v.h", "v.g").distinct()
 
     def ranked(many: DataFrame) -> DataFrame:
         """The filed lines of entries with many, by place."""
@@ -226,17 +242,13 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
         least = wanted.groupBy("h").agg(F.min("first").alias("first"))
         return many.filter("own").select("key", "h").distinct().join(least, "h").withColumn("rank", rank).select("key", F.col("h").alias("other"), F.col("first").alias("of"), "rank")
 
-    gone = near(paired(met.filter(F.col("m") <= FEW)), None)
-    many = reliable(met.filter(F.col("m") > FEW))
+    gone, many = reliable(judged_together(met.filter(F.col("m") <= FEW))), reliable(met.filter(F.col("m") > FEW))
     for _ in range(LEVELS):
         if not many.limit(1).count():
             break
-        # the earliest lines of an entry against all others, then finer entries
-        heads = reliable(ranked(many).filter(F.col("rank") <= HUBS).select("key", "other"))
-        gone = near(many.select("key", "h").join(heads, "key").filter("h <> other").select("h", "other"), gone)
         rows = many.drop("m") if "line" in many.columns else many.drop("m").join(texts.select("h", "line").dropDuplicates(["h"]), "h")
         met = shared(_finer(rows, edits))
-        gone = near(paired(met.filter(F.col("m") <= FEW)), gone)
+        gone = reliable(gone.unionByName(judged_together(met.filter(F.col("m") <= FEW))).distinct())
         many = reliable(met.filter(F.col("m") > FEW))
     # what still has many lines: round by round, for lines that are still there
     if many.limit(1).count():
@@ -265,7 +277,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = repeated_lines(slim, edits, min_chars)
     by = reliable(found.groupBy("id", "t").agg(F.collect_set("no").alias("_gone"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near")))
     by = by.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "_gone", "n_exact", "n_near")
-    joined = own.join(small(by, by.count()), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_t")), "left")
+    # both sides grow with the table
+    joined = own.join(by, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_t")), "left")
     lines = F.split(F.col(text_col), "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
     return joined.select(
@@ -281,8 +294,13 @@ def op6_line_dedup(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+@sheltered
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated lines go, n_chars follows, and documents that had words but keep none go."""
+    """Pipeline stage: repeated lines go, n_chars follows, and documents that had words but keep none go.
+
+    A null text stays null. Rows with equal id and text are one document and keep the same lines; a null id comes first in
+    the order. An empty table gives an empty result.
+    """
     had = F.col("text").rlike("[^\\x20\\x09-\\x0D]")
     found = dedup_lines(docs)
     kept = found.filter(F.coalesce(had, F.lit(False)) | ((F.col("n_exact") + F.col("n_near")) == 0))
