@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import wraps
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The columns of documents; a pipeline stage works on these.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def sheltered(stage):
+    """A pipeline stage to which columns beyond those of documents are one struct, so that their names clash with none
+    of its own; they come out as they went in."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        more = [c for c in docs.columns if c not in DOCUMENT]
+        if not more:
+            return stage(spark, docs, sf_dir)
+        own = [F.col(c) for c in docs.columns if c in DOCUMENT]
+        out = stage(spark, docs.select(*own, F.struct(*(F.col(f"`{c}`") for c in more)).alias("_rest")), sf_dir)
+        return out.select(*(F.col("_rest").getField(c).alias(c) if c in more else F.col(c) for c in docs.columns))
+
+    return run
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hints a broadcast if the counted rows are within the limit."""
     return F.broadcast(df) if rows <= limit else df

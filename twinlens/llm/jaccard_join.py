@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import reliable, shared_folder, small, table
+from twinlens.llm.common import reliable, shared_folder, sheltered, small, table
 from twinlens.llm.components import components
 from twinlens.llm.words import GOLD, mixed, text_hashes
 
@@ -446,6 +446,7 @@ def op4_jaccard_join(spark, sf_dir):
     return link(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=90)
 
 
+@sheltered
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates, one row stays, the smallest by doc_id (null last), then text,
     then the place among the written rows.

@@ -14,10 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import table
+from twinlens.llm.common import sheltered, table
 
 #: Documents of each language in the training sample, crops of each, bytes of a crop.
 SAMPLE_DOCS, CROPS, CROP = 400, 4, 96
+#: Languages of the training sample; rarer ones are not learned.
+MAX_LANGS = 500
+#: Parts in which a language's documents are ranked first.
+SALTS = 64
 #: States of each direction; training steps, rows of a step, rate.
 STATES, STEPS, ROWS, RATE = 8, 400, 96, 0.02
 #: Bytes of a segment when documents are labelled, and segments that run side by side.
@@ -157,12 +161,13 @@ def training_sample(
         F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(i)), F.greatest(size - crop, F.lit(1))) + 1).cast("int"), F.lit(crop))
         for i in range(crops)
     ]
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), h.alias("h"), F.array(*cut).alias("crops"))
+    langs = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang")
+    # first within salts, so that no task ranks all documents of a language
+    salted = Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "crops")
+    some = known.join(F.broadcast(langs), "lang", "left_semi").withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= per_lang)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "crops"))
-    return (
-        docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-        .select(F.col(lang_col).alias("lang"), h.alias("h"), F.array(*cut).alias("crops"))
-        .withColumn("rank", rank).filter(F.col("rank") <= per_lang)
-    )
+    return some.withColumn("rank", rank).filter(F.col("rank") <= per_lang)
 
 
 def train(sample: DataFrame, crop: int = CROP, **how) -> ByteTagger | None:
@@ -209,7 +214,10 @@ def held_out(id_col: str = "doc_id"):
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: id, held_out, lang_pred, score.
 
-    The tagger learns from rows that are not held out. Language, source and id take no part in a prediction.
+    The tagger learns from rows that are not held out, from the MAX_LANGS languages with most of them. Language, source
+    and id take no part in a prediction. A null id counts as not held out. A null text and one without a letter are und
+    with score 0, and so is every text if nothing is labelled. Repeated rows are judged each for itself; other columns
+    are ignored; an empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.withColumn("held_out", held_out("id"))
@@ -226,8 +234,13 @@ def op2_language_id(spark, sf_dir):
 LEAST_SCORE = 0.4
 
 
+@sheltered
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a recognised language go; the others keep their columns and rows as they are."""
+    """Pipeline stage: documents without a recognised language go; the others keep their columns and rows as they are.
+
+    A null text and one without a letter go. Repeated rows and null ids are judged each for itself. Without labelled
+    documents, as in an empty table, nothing is recognised and nothing stays.
+    """
     own = docs.withColumn("held_out", held_out("doc_id"))
     model = train(training_sample(own.filter("not held_out"), "lang", "text", "doc_id"))
     found = predict(docs, model, "text", "_lang_pred", "_score")

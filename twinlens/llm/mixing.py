@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import WORD, reliable, small, table
+from twinlens.llm.common import WORD, reliable, sheltered, small, table
 
 #: Hashes have 60 bits, refined 15 bits a level.
 LEVELS, LEVEL_BITS = 4, 15
@@ -121,10 +121,12 @@ def op5_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+@sheltered
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: a document stays as often as the mix takes it in full, none of them up to MAX_REPEATS times.
 
-    A document without words has nothing to take and stays once.
+    A document without words has nothing to take and stays once. Repeated rows and rows with a null id stay each as often
+    as the others of the same id and text. An empty table gives an empty result.
     """
     keyed = docs.withColumn("_id", F.struct("doc_id", F.xxhash64("text", "source")))
     taken = mix(keyed.withColumn("_key", F.col("_id").cast("string")), "_key", "source", "text").filter("size > 0")

@@ -15,14 +15,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.llm.common import reliable, table
 
 #: The base rules: words at least, and repeated words in percent at most.
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: Common words of a language, and languages with a reference of their own, by their number of words.
+#: Common words of a language, and languages whose references are held at once; more go in further passes.
 COMMON_WORDS, MAX_LANGS = 200, 200
 #: Largest distances to the reference, for texts of this many characters and words at least.
 MAX_CLASS_DISTANCE, MIN_CHARS = 0.3, 200
@@ -150,27 +150,30 @@ def corpus_counts(docs: DataFrame, common: int, bucket_bytes: int = BUCKET_BYTES
     return packed.groupBy("lang", "bucket").applyInPandas(add, "lang string, kind string, item string, n long")
 
 
-def references(docs: DataFrame, common: int = COMMON_WORDS, langs: int = MAX_LANGS) -> dict:
+def references(docs: DataFrame, common: int = COMMON_WORDS, langs: int = MAX_LANGS) -> Iterator[tuple[dict, bool, Column]]:
     """For each language, the null one among them: its class histogram, its common words and their counts, all others
-    as the last. At most langs languages times common words come to the driver; further ones have no reference."""
+    as the last. At most langs languages times common words come to the driver at once, about; then if these are all, and
+    a condition on lang that only they meet."""
     counts = reliable(corpus_counts(docs, common))
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    top = counts.filter("kind <> 'total'").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= common)
-    total = counts.filter("kind = 'total'").groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(langs)
-    by: dict = {}
-    for r in total.select("lang", "total").collect():
-        by[r.lang] = {"total": r.total, "classes": np.zeros(len(CLASSES)), "words": {}}
-    joined = top.join(F.broadcast(total.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l")), "left_semi")
-    for r in joined.orderBy("lang", "kind", "rank").collect():
-        if r.kind == "class":
-            by[r.lang]["classes"][CLASSES.index(r.item)] = r.n
-        else:
-            by[r.lang]["words"][r.item.encode()] = r.n
-    for x in by.values():
-        n = list(x["words"].values())
-        x["counts"] = np.array([*n, x["total"] - sum(n)], float)
-        x["place"] = {w: i for i, w in enumerate(x["words"])}
-    return by
+    top = reliable(counts.filter("kind <> 'total'").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= common))
+    total = reliable(counts.filter("kind = 'total'").groupBy("lang").agg(F.sum("n").alias("total")))
+    parts = -(-total.count() // langs)
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    for k in range(parts):
+        by: dict = {}
+        for r in total.filter(part("lang") == k).collect():
+            by[r.lang] = {"total": r.total, "classes": np.zeros(len(CLASSES)), "words": {}}
+        for r in top.filter(part("lang") == k).orderBy("lang", "kind", "rank").collect():
+            if r.kind == "class":
+                by[r.lang]["classes"][CLASSES.index(r.item)] = r.n
+            else:
+                by[r.lang]["words"][r.item.encode()] = r.n
+        for x in by.values():
+            n = list(x["words"].values())
+            x["counts"] = np.array([*n, x["total"] - sum(n)], float)
+            x["place"] = {w: i for i, w in enumerate(x["words"])}
+        yield by, parts == 1, part("lang") == k
 
 
 def measure(docs: DataFrame, known: dict, id_col: str = "doc_id") -> DataFrame:
@@ -219,11 +222,15 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """One row per row of docs: id, the base figures, base_failed, kept, class_distance, word_distance.
 
     A null text is empty and fails the base rules. Documents of one language, the null one too, share a reference. A
-    text below the minimum lengths has distance 0, and so has one whose language has no reference. Repeated rows are
-    judged each for itself.
+    text below the minimum lengths has distance 0. Repeated rows are judged each for itself; other columns are ignored;
+    an empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return measure(own, references(own), id_col)
+    found = None
+    for known, whole, of in references(own):
+        part = measure(own if whole else own.filter(of), known, id_col)
+        found = part if found is None else found.unionByName(part)
+    return measure(own, {}, id_col) if found is None else found
 
 
 def op7_quality_rules(spark, sf_dir):
