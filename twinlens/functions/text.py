@@ -9,31 +9,30 @@ ALPHABET = "ACGTNacgtn#*"
 
 
 def pileup_tokens(bases: Column) -> Column:
-    """The observations of a pileup string, indels with their base: one native fold over its characters.
+    """The observations of a pileup string, indels with their base.
 
-    ^ skips the next character, $ is skipped, + and - begin an indel with its length.
+    ^ and the character after it, and $, are left out. The string is cut before each + and -: a piece begins with an
+    indel's sign, length and bases, which belong to the last base of the piece before; the other bases stand alone. An
+    indel without a base before it is left out.
     """
-    chars = F.filter(F.split(bases, ""), lambda c: c != "")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"), F.lit("").alias("digits"), F.lit("").alias("sign"), F.lit(0).alias("left"))
-
-    def step(s: Column, c: Column) -> Column:
-        digit = (s["sign"] != "") & (s["left"] == 0) & c.rlike("^[0-9]$")
-        begins = (s["sign"] != "") & (s["left"] == 0) & ~digit  # the first base of an indel
-        inside = begins | (s["left"] > 0)
-        left = F.when(begins, s["digits"].try_cast("int") - 1).when(s["left"] > 0, s["left"] - 1).otherwise(F.lit(0))
-        n = F.size(s["out"])
-        last = F.try_element_at(s["out"], F.greatest(n, F.lit(1)))
-        grown = F.concat(F.slice(s["out"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(last, F.when(begins, F.concat(s["sign"], c)).otherwise(c))))
-        mark = (s["skip"] == 0) & ~digit & ~inside
-        return F.struct(
-            F.when(s["skip"] > 0, s["out"]).when(inside, grown).when(mark & F.lit(ALPHABET).contains(c), F.concat(s["out"], F.array(c))).otherwise(s["out"]).alias("out"),
-            F.when(s["skip"] > 0, 0).when(mark & (c == "^"), 1).otherwise(0).alias("skip"),
-            F.when(digit, F.concat(s["digits"], c)).otherwise(F.lit("")).alias("digits"),
-            F.when(s["skip"] > 0, F.lit("")).when(digit, s["sign"]).when(mark & c.isin("+", "-"), c).when(inside & (left > 0), s["sign"]).otherwise(F.lit("")).alias("sign"),
-            left.cast("int").alias("left"),
-        )
+    clean = F.regexp_replace(bases, r"(?s)\^.|\$", "")
+    pieces = F.regexp_extract_all(clean, F.lit(r"((?:^|[+-][0-9]+)[^+-]*)"), F.lit(1))
+
+    def parsed(p: Column) -> Column:
+        n = F.coalesce(F.regexp_extract(p, "^[+-]([0-9]+)", 1).try_cast("int"), F.lit(0))
+        body = F.regexp_replace(p, "^[+-][0-9]+", "")
+        rest = F.filter(F.split(F.substring(body, n + 1, F.length(body)), ""), lambda c: (c != "") & F.lit(ALPHABET).contains(c))
+        return F.struct(rest.alias("bases"), F.when(n > 0, F.concat(F.substring(p, 1, 1), F.substring(body, F.lit(1), n))).otherwise("").alias("indel"))
+
+    def joined(all_: Column) -> Column:
+        def one(p: Column, k: Column) -> Column:
+            n = F.size(p["bases"])
+            last = F.concat(F.get(p["bases"], n - 1), F.coalesce(F.get(all_, k + 1)["indel"], F.lit("")))
+            return F.when(n > 0, F.concat(F.slice(p["bases"], 1, F.greatest(n - 1, F.lit(0))), F.array(last))).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.transform(all_, one))
 
-    return F.aggregate(chars, start, step, lambda s: s["out"])
+    return F.get(F.transform(F.array(F.transform(pieces, parsed)), joined), 0)
 
 
 def alt_info(forward: Column, reverse: Column, alleles: Column) -> Column:

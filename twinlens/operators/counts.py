@@ -6,7 +6,7 @@ deletions), indel (+SEQ, -SEQ or empty), bq, mq, hp, qname. Sums and counts are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions.alleles import BASES
@@ -23,11 +23,13 @@ LOW_MQ, LOW_BQ = 20, 30
 
 
 def allele(base: Column, indel: Column) -> Column:
-    """A, C, G, T, I and the inserted bases, D and the deleted ones, or * for any deletion mark."""
+    """A, C, G, T, I with the base and the inserted ones, D with an N for each deleted base, or * for any deletion mark.
+
+    Deletions of one length are one allele, whatever the base before them."""
     b = F.upper(base)
     seq = F.upper(F.substring(indel, F.lit(2), F.length(indel)))
     kind = F.substring(indel, 1, 1)
-    return F.when(kind == "+", F.concat(F.lit("I"), b, seq)).when(kind == "-", F.concat(F.lit("D"), b, seq)).when(b.isin("*", "#"), "*").otherwise(b)
+    return F.when(kind == "+", F.concat(F.lit("I"), b, seq)).when(kind == "-", F.concat(F.lit("D"), F.repeat(F.lit("N"), F.length(seq)))).when(b.isin("*", "#"), "*").otherwise(b)
 
 
 def allele_counts(obs: DataFrame, keys: list[str] = [*SITE, "ref", "sample"]) -> DataFrame:  # noqa: B006
@@ -36,9 +38,8 @@ def allele_counts(obs: DataFrame, keys: list[str] = [*SITE, "ref", "sample"]) ->
     own = F.when(base.isin(*BASES), base).when(base.isin("*", "#"), "*")
     both = F.array(own, F.when(F.coalesce("indel", F.lit("")) != "", allele(F.col("base"), F.col("indel"))))
     per = obs.select(*keys, F.explode(F.array_compact(both)).alias("allele")).groupBy(*keys, "allele").agg(F.count("*").alias("n"))
-    depth = F.sum(F.when(F.length("allele") == 1, F.col("n")).otherwise(0))
-    total = per.groupBy(*keys).agg(depth.alias("depth"))
-    return per.join(total, keys)
+    depth = F.sum(F.when(F.length("allele") == 1, F.col("n")).otherwise(0)).over(Window.partitionBy(*keys))
+    return per.select(*keys, "allele", "n", depth.alias("depth"))
 
 
 def site_counts(obs: DataFrame) -> DataFrame:
@@ -64,7 +65,8 @@ def reference_by_difference(counts: DataFrame) -> DataFrame:
 
 def candidates(counts: DataFrame, min_depth: int = 4, min_reads: int = 3, snv_af: float = 0.05, indel_af: float = 0.1) -> DataFrame:
     """Sites of allele_counts with an allele that passes: snv and indel tell which kind; top_af, second_af and
-    top_allele of the alternative bases, equal counts by name. Depth must be above min_depth."""
+    top_allele of the alternative bases, top_indel and indel_af of insertions and deletions, equal counts by name. Depth
+    must be above min_depth."""
     af = F.try_divide("n", "depth")
     base, indel = F.col("allele").isin(*BASES) & (F.col("allele") != F.col("ref")), F.substring("allele", 1, 1).isin("I", "D") & (F.length("allele") > 1)
     enough = F.col("n") >= min_reads
@@ -72,12 +74,13 @@ def candidates(counts: DataFrame, min_depth: int = 4, min_reads: int = 3, snv_af
     site = counts.filter((F.col("depth") > min_depth) & F.col("ref").isin(*BASES)).groupBy(*SITE, "ref", "sample", "depth").agg(
         F.coalesce(F.bool_or(base & enough & (af >= snv_af)), F.lit(False)).alias("snv"),
         F.coalesce(F.bool_or(indel & enough & (af >= indel_af)), F.lit(False)).alias("indel"),
-        ranked.alias("r"),
+        ranked.alias("r"), F.min(F.when(indel, F.struct((-F.col("n")).alias("m"), F.col("allele").alias("allele")))).alias("i"),
     )
     share = lambda k: F.round(-F.get("r", k)["m"] / F.col("depth"), 3)
     return site.filter("snv or indel").select(
         *SITE, "ref", "sample", "depth", "snv", "indel",
         F.get("r", 0)["allele"].alias("top_allele"), share(0).alias("top_af"), share(1).alias("second_af"),
+        F.col("i.allele").alias("top_indel"), F.round(-F.col("i.m") / F.col("depth"), 3).alias("indel_af"),
     )
 
 

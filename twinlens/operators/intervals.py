@@ -97,11 +97,19 @@ def slice_at(df: DataFrame, point: int) -> DataFrame:
     return df.withColumn("_p", F.explode(F.when(inside, two).otherwise(whole))).withColumns({"start": F.col("_p.s"), "end": F.col("_p.e")}).drop("_p")
 
 
-def nested(df: DataFrame, width: int = BIN) -> DataFrame:
-    """Pairs (outer, inner) of different intervals, one inside the other; equal ones do not count as different."""
-    d = df.select("ctg", "start", "end").distinct()
-    pairs = range_join(d, d.select("ctg", F.col("start").alias("rstart"), F.col("end").alias("rend")), width)
-    return pairs.filter("start <= rstart and rend <= end and (start < rstart or rend < end)")
+def nested(df: DataFrame, width: int = BIN, key: str | None = None) -> DataFrame:
+    """Pairs (outer, inner) of different intervals, one inside the other.
+
+    Without a key, rows with equal ranges are one interval. With one, rows are told apart by it: of two with equal
+    ranges the one with the smaller key is the outer one, and the pairs have key and rkey.
+    """
+    own = ["ctg", "start", "end", *([key] if key else [])]
+    d = df.select(*own).distinct()
+    inner = d.select("ctg", F.col("start").alias("rstart"), F.col("end").alias("rend"), *([F.col(key).alias("rkey")] if key else []))
+    larger = (F.col("start") < F.col("rstart")) | (F.col("rend") < F.col("end"))
+    if key:
+        larger = larger | (F.col(key) < F.col("rkey"))
+    return range_join(d, inner, width).filter((F.col("start") <= F.col("rstart")) & (F.col("rend") <= F.col("end")) & larger)
 
 
 def envelop(df: DataFrame, begin: int, end: int) -> DataFrame:

@@ -9,27 +9,34 @@ from twinlens.functions.alleles import BASES
 from twinlens.operators.counts import SITE
 
 #: How much larger the tumor's fraction must be, above and below the normal fraction NAF.
-NAF, HIGH, LOW = 0.05, 6, 4
+NAF, HIGH, LIQUID, LOW = 0.05, 6, 5, 4
 
 
 def paired_filter(tumor: DataFrame, counts: DataFrame, min_depth: int = 4, liquid: bool = False) -> DataFrame:
-    """Tumor sites (candidates) that stay after a look at the normal's allele_counts, with naf.
+    """Tumor sites (candidates) that stay after a look at the normal's allele_counts, with naf and indel_naf.
 
-    A site stays if the normal is too shallow or lacks the allele; with a normal fraction of NAF or more, if the
-    tumor's is HIGH times as large; below, if it is more than LOW times. liquid: 5 times and fewer than two reads.
+    The best base and the best indel are judged each by its own count in the normal, and snv and indel are unset where
+    theirs fails; a site with neither goes. An allele stays if the normal is too shallow or lacks it; with a normal
+    fraction of NAF or more, if the tumor's is HIGH times as large; below, if it is more than LOW times. liquid: with
+    NAF or more, LIQUID times is enough as well for an allele with fewer than two normal reads.
     """
-    normal = counts.filter("sample = 'normal'").select(*SITE, F.col("allele").alias("top_allele"), F.col("n").alias("nn"), F.col("depth").alias("ndepth"))
-    both = tumor.filter("top_allele is not null").join(normal, [*SITE, "top_allele"], "left")
-    naf = F.coalesce(F.round(F.col("nn") / F.col("ndepth"), 3), F.lit(0.0))
-    both = both.withColumn("naf", naf)
-    enough = F.col("top_af") >= F.round((5 if liquid else HIGH) * F.col("naf"), 6)
-    if liquid:
-        enough = enough & (F.col("nn") < 2)
-    keep = (
-        F.when(F.coalesce("ndepth", F.lit(0)) <= min_depth, True).when((F.col("naf") <= 0) | (F.col("top_af") <= 0), True)
-        .when(F.col("naf") >= NAF, enough).otherwise(F.col("top_af") > F.round(LOW * F.col("naf"), 6))
-    )
-    return both.filter(keep).drop("nn", "ndepth")
+    normal = counts.filter("sample = 'normal'").groupBy(*SITE).agg(F.map_from_entries(F.collect_list(F.struct("allele", "n"))).alias("by"), F.max("depth").alias("ndepth"))
+    both = tumor.join(normal, SITE, "left")  # a site has a handful of alleles
+
+    def stays(allele: str, taf: str, naf: str):
+        reads = F.coalesce(F.try_element_at("by", F.col(allele)), F.lit(0))
+        enough = F.col(taf) >= F.round(HIGH * F.col(naf), 6)
+        if liquid:
+            enough = enough | ((F.col(taf) >= F.round(LIQUID * F.col(naf), 6)) & (reads < 2))
+        return (
+            F.when(F.col(allele).isNull(), False).when(F.coalesce("ndepth", F.lit(0)) <= min_depth, True).when((F.col(naf) <= 0) | (F.col(taf) <= 0), True)
+            .when(F.col(naf) >= NAF, enough).otherwise(F.col(taf) > F.round(LOW * F.col(naf), 6))
+        )
+
+    share = lambda allele: F.coalesce(F.round(F.try_divide(F.try_element_at("by", F.col(allele)), "ndepth"), 3), F.lit(0.0))
+    both = both.withColumns({"naf": share("top_allele"), "indel_naf": share("top_indel")})
+    both = both.withColumns({"snv": F.col("snv") & stays("top_allele", "top_af", "naf"), "indel": F.col("indel") & stays("top_indel", "indel_af", "indel_naf")})
+    return both.filter("snv or indel").drop("by", "ndepth")
 
 
 def allele_fractions(counts: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def cap_ratio(df: DataFrame, label: str, base: str, ratios: dict[str, float], ke
     before = F.coalesce(F.sum("n").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     plan = plan.withColumn("_before", before).select(label, "_b", F.col("n").alias("_n"), "_most", "_before")  # 4096 rows a label
     rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_u", key))
-    d = d.join(F.broadcast(plan), [label, "_b"])
+    d = d.join(plan, [label, "_b"])
     sure = d.filter(F.col("_most").isNull() | (F.col("_before") + F.col("_n") <= F.col("_most")))
     edge = d.filter((F.col("_before") < F.col("_most")) & (F.col("_before") + F.col("_n") > F.col("_most"))).withColumn("_r", rank).filter(F.col("_before") + F.col("_r") <= F.col("_most"))
     return sure.select(*df.columns).unionByName(edge.select(*df.columns))

@@ -33,7 +33,7 @@ def call_pair(tumor: DataFrame, normal: DataFrame, model: Callable, flank: int =
     features = pair_features(sites, tumor, normal, flank)
     p = kernels.score(features, model, (2 * (2 * flank + 1), len(counts.CHANNELS)))
     c = counts.allele_counts(tumor.unionByName(normal).join(sites.select("ctg", "pos"), ["ctg", "pos"], "left_semi"))
-    code = F.when(F.length("allele") > 1, F.col("allele")).when(F.col("allele") == F.col("ref"), F.concat(F.lit("R"), F.col("allele"))).otherwise(F.concat(F.lit("X"), F.col("allele")))
+    code = F.when(F.col("allele").startswith("D"), F.concat(F.lit("D"), F.col("ref"), F.expr("substring(allele, 2)"))).when(F.length("allele") > 1, F.col("allele")).when(F.col("allele") == F.col("ref"), F.concat(F.lit("R"), F.col("allele"))).otherwise(F.concat(F.lit("X"), F.col("allele")))
     by = c.filter("allele <> '*'").withColumn("code", code).groupBy("ctg", "pos", "ref", "code").agg(
         F.coalesce(F.sum(F.when(F.col("sample") == "tumor", F.col("n"))), F.lit(0)).alias("t"), F.coalesce(F.sum(F.when(F.col("sample") == "normal", F.col("n"))), F.lit(0)).alias("n"),
         F.max(F.when(F.col("sample") == "tumor", F.col("depth"))).alias("d"), F.max(F.when(F.col("sample") == "normal", F.col("depth"))).alias("nd"),
@@ -68,5 +68,6 @@ def tag_by_copies(called: DataFrame, tumor: DataFrame, normal: DataFrame, rhos:
     if best is None:
         return called.withColumn("verdict", F.lit(None).cast("string"))
     whole = copynumber.whole_copies(segs, best.rho, best.psi).select("ctg", F.col("start").alias("rstart"), (F.col("end") + 1).alias("rend"), "major", "minor")
-    inside = intervals.first_match(called, whole.withColumn("rstart", F.col("rstart") - 1), "rstart")
-    return copynumber.verdicts(inside.withColumn("purity", F.lit(best.rho)))
+    at = intervals.first_match(called.select("ctg", "pos").distinct(), whole.withColumn("rstart", F.col("rstart") - 1), "rstart")
+    judged = copynumber.verdicts(called.join(at, ["ctg", "pos"], "left").withColumn("purity", F.lit(best.rho)))
+    return judged.withColumn("verdict", F.when(F.col("major").isNotNull(), F.col("verdict")))

@@ -68,16 +68,18 @@ OBS = """o AS (
   FROM lineitem WHERE l_returnflag IN ('A', 'R'))"""
 ALLELES = f"""{OBS}, e AS (
   SELECT ctg, pos, ref, sample, upper(base) AS allele FROM o
-  UNION ALL SELECT ctg, pos, ref, sample, CASE substr(indel, 1, 1) WHEN '+' THEN 'I' ELSE 'D' END || upper(base) || substr(indel, 2) FROM o WHERE indel <> ''),
+  UNION ALL SELECT ctg, pos, ref, sample, CASE substr(indel, 1, 1) WHEN '+' THEN 'I' || upper(base) || substr(indel, 2) ELSE 'D' || repeat('N', length(indel) - 1) END FROM o WHERE indel <> ''),
 g AS (SELECT ctg, pos, ref, sample, allele, count(*) AS n FROM e GROUP BY ALL),
 c AS (SELECT *, CAST(sum(CASE WHEN length(allele) = 1 THEN n ELSE 0 END) OVER (PARTITION BY ctg, pos, ref, sample) AS BIGINT) AS depth FROM g)"""
 GATE = f"""{ALLELES}, k AS (
   SELECT ctg, pos, ref, sample, depth,
     coalesce(bool_or(length(allele) = 1 AND allele <> ref AND n >= 3 AND n / depth >= 0.05), false) AS snv,
     coalesce(bool_or(length(allele) > 1 AND n >= 3 AND n / depth >= 0.1), false) AS indel,
-    list_sort(list({{'m': -n, 'a': allele}}) FILTER (length(allele) = 1 AND allele <> ref)) AS r
+    list_sort(list({{'m': -n, 'a': allele}}) FILTER (length(allele) = 1 AND allele <> ref)) AS r,
+    list_sort(list({{'m': -n, 'a': allele}}) FILTER (length(allele) > 1)) AS i
   FROM c WHERE depth > 4 GROUP BY ALL),
-s AS (SELECT ctg, pos, ref, sample, depth, snv, indel, r[1].a AS top_allele, round(-r[1].m / depth, 3) AS top_af, round(-r[2].m / depth, 3) AS second_af FROM k WHERE snv OR indel)"""
+s AS (SELECT ctg, pos, ref, sample, depth, snv, indel, r[1].a AS top_allele, round(-r[1].m / depth, 3) AS top_af, round(-r[2].m / depth, 3) AS second_af,
+  i[1].a AS top_indel, round(-i[1].m / depth, 3) AS indel_af FROM k WHERE snv OR indel)"""
 FRACTIONS = f"""{ALLELES}, f AS (
   SELECT ctg, pos, ref, allele, coalesce(max(CASE sample WHEN 'tumor' THEN n / depth END), 0.0) AS taf, coalesce(max(CASE sample WHEN 'normal' THEN n / depth END), 0.0) AS naf
   FROM c WHERE length(allele) = 1 AND allele <> ref GROUP BY ALL)"""
@@ -93,15 +95,26 @@ def candidate_sites(spark, d):
     return C.candidates(C.allele_counts(observations(spark, d)))
 
 
-@query(f"""WITH {GATE}, j AS (
-  SELECT s.*, x.n AS nn, x.depth AS nd, coalesce(round(x.n / x.depth, 3), 0.0) AS naf
-  FROM s LEFT JOIN c x ON x.sample = 'normal' AND x.ctg = s.ctg AND x.pos = s.pos AND x.allele = s.top_allele WHERE s.sample = 'tumor' AND top_allele IS NOT NULL)
-SELECT ctg, pos, ref, sample, depth, snv, indel, top_allele, top_af, second_af, naf FROM j
-WHERE CASE WHEN coalesce(nd, 0) <= 4 THEN true WHEN naf <= 0 OR top_af <= 0 THEN true WHEN naf >= 0.05 THEN top_af >= round(6 * naf, 6) ELSE top_af > round(4 * naf, 6) END""")
+def _paired_sql(liquid: str = "") -> str:
+    stays = lambda af, naf, n, allele: f"{allele} IS NOT NULL AND CASE WHEN coalesce(nd, 0) <= 4 THEN true WHEN {naf} <= 0 OR {af} <= 0 THEN true WHEN {naf} >= 0.05 THEN {af} >= round(6 * {naf}, 6)" + liquid.format(af=af, naf=naf, n=n) + f" ELSE {af} > round(4 * {naf}, 6) END"
+    return f"""WITH {GATE}, d AS (SELECT ctg, pos, max(depth) AS nd FROM c WHERE sample = 'normal' GROUP BY ALL), j AS (
+  SELECT s.*, d.nd, coalesce(x.n, 0) AS xn, coalesce(y.n, 0) AS yn, coalesce(round(x.n / d.nd, 3), 0.0) AS naf, coalesce(round(y.n / d.nd, 3), 0.0) AS indel_naf
+  FROM s LEFT JOIN d USING (ctg, pos) LEFT JOIN c x ON x.sample = 'normal' AND x.ctg = s.ctg AND x.pos = s.pos AND x.allele = s.top_allele
+  LEFT JOIN c y ON y.sample = 'normal' AND y.ctg = s.ctg AND y.pos = s.pos AND y.allele = s.top_indel WHERE s.sample = 'tumor'),
+q AS (SELECT * REPLACE (snv AND {stays('top_af', 'naf', 'xn', 'top_allele')} AS snv, indel AND {stays('indel_af', 'indel_naf', 'yn', 'top_indel')} AS indel) FROM j)
+SELECT ctg, pos, ref, sample, depth, snv, indel, top_allele, top_af, second_af, top_indel, indel_af, naf, indel_naf FROM q WHERE snv OR indel"""
+
+
+@query(_paired_sql())
 def paired_normal_filter(spark, d):
     c = C.allele_counts(observations(spark, d))
-    found = P.paired_filter(C.candidates(c.filter("sample = 'tumor'")), c)
-    return found.select("ctg", "pos", "ref", "sample", "depth", "snv", "indel", "top_allele", "top_af", "second_af", "naf")
+    return P.paired_filter(C.candidates(c.filter("sample = 'tumor'")), c)
+
+
+@query(_paired_sql(" OR ({af} >= round(5 * {naf}, 6) AND {n} < 2)"))
+def paired_liquid_filter(spark, d):
+    c = C.allele_counts(observations(spark, d))
+    return P.paired_filter(C.candidates(c.filter("sample = 'tumor'")), c, liquid=True)
 
 
 @query(f"""WITH {FRACTIONS} SELECT ctg, pos, ref,
@@ -717,12 +730,41 @@ def realigned_reads(spark, d):
     return K.realign(reads, win)
 
 
-@query()
+HAPLOTYPES = f"""WITH {OBS}, r AS (SELECT ctg, pos, qname, upper(base) <> ref AS is_alt, upper(base) AS allele, bq, hp, mq % 5 = 0 AS edge FROM o WHERE sample = 'tumor'),
+calls AS (SELECT ctg, pos, avg(CASE WHEN is_alt THEN 1.0 ELSE 0.0 END) AS af, avg(bq) / 50 AS qual FROM r GROUP BY 1, 2),
+s AS (SELECT ctg, pos, count(*) AS depth, count(*) FILTER (is_alt) AS alt, avg(bq) FILTER (is_alt) AS alt_bq, count(*) FILTER (edge) AS edges, count(*) FILTER (edge AND is_alt) AS alt_edges,
+  count(*) FILTER (hp = 1) AS h1, count(*) FILTER (hp = 2) AS h2, count(*) FILTER (is_alt AND hp = 1) AS a1, count(*) FILTER (is_alt AND hp = 2) AS a2 FROM r GROUP BY 1, 2),
+b AS (SELECT ctg, pos, qual, coalesce(alt_bq <= 20 AND qual < 0.9, false) OR (edges >= 0.2 * depth AND alt_edges >= 0.3 * alt AND alt > 0)
+    OR (af < 0.1 AND qual < 0.9 AND a1 * a2 > 0 AND greatest(a1, a2) <= 10 * least(a1, a2)) AS f,
+  CASE WHEN h1 > 0 AND h2 > 0 AND (a1 > 0) <> (a2 > 0) AND greatest(a1, a2) > 2 THEN CASE WHEN a1 > 0 THEN 1 ELSE 2 END END AS hap FROM calls JOIN s USING (ctg, pos)),
+own AS (SELECT DISTINCT ctg, pos, qname FROM r WHERE is_alt),
+n AS (SELECT c.ctg, c.pos, d.pos AS opos, d.af < 0.75 AS het, d.af, r.hp, r.is_alt AS carries, r.allele, own.qname IS NOT NULL AS mine
+  FROM calls c JOIN calls d ON c.ctg = d.ctg AND d.pos <> c.pos AND abs(d.pos - c.pos) <= 100 JOIN r ON r.ctg = d.ctg AND r.pos = d.pos
+  LEFT JOIN own ON own.ctg = c.ctg AND own.pos = c.pos AND own.qname = r.qname),
+g AS (SELECT ctg, pos, opos, het, hap, max(af) AS af, count(*) FILTER (carries) AS carriers, count(*) FILTER (carries AND hp = hap) AS same, count(*) FILTER (carries AND mine) AS shared,
+  count(*) FILTER (mine) AS covered FROM n JOIN b USING (ctg, pos) GROUP BY ALL),
+k AS (SELECT ctg, pos, bool_or(het AND hap IS NOT NULL AND same > 0 AND 2 * same >= carriers AND shared = 0) OR bool_or(NOT het AND af >= 0.75 AND covered > 0 AND shared < 0.2 * covered) AS f FROM g GROUP BY 1, 2),
+m AS (SELECT ctg, pos, opos, allele, count(*) FILTER (mine) AS mine, count(*) AS a FROM n WHERE carries GROUP BY ALL),
+t AS (SELECT m.ctg, m.pos, count(*) FILTER (abs(mine - alt) <= 0.2 * alt AND mine > 0 AND a <= 1.2 * mine) > 2 AS f FROM m JOIN (SELECT ctg, pos, count(*) AS alt FROM own GROUP BY 1, 2) USING (ctg, pos) GROUP BY 1, 2)
+SELECT ctg, pos, CASE WHEN b.f OR coalesce(k.f, false) OR coalesce(t.f, false) THEN 0.0 ELSE round(qual, 6) END AS qual,
+  CASE WHEN b.f OR coalesce(k.f, false) OR coalesce(t.f, false) THEN 'LowQual' ELSE 'PASS' END AS filter, hap IS NOT NULL AS phased
+FROM b LEFT JOIN k USING (ctg, pos) LEFT JOIN t USING (ctg, pos)"""
+
+
+@query(HAPLOTYPES)
 def haplotype_rules(spark, d):
-    o = observations(spark, d).filter("sample = 'tumor'").withColumn("is_alt", F.upper("base") != F.col("ref"))
-    reads = o.select("ctg", "pos", "qname", "is_alt", "bq", "hp", (F.col("mq") % 5 == 0).alias("edge"))
+    """All groups of rules: a call's own reads, the sites within 100 places as germline neighbours, and what they carry."""
+    o = observations(spark, d).filter("sample = 'tumor'").withColumns({"is_alt": F.upper("base") != F.col("ref"), "allele": F.upper("base")})
+    reads = o.select("ctg", "pos", "qname", "is_alt", "allele", "bq", "hp", (F.col("mq") % 5 == 0).alias("edge"))
     calls = reads.groupBy("ctg", "pos").agg(F.avg(F.col("is_alt").cast("double")).alias("af"), (F.avg("bq") / 50).alias("qual"))
-    return H.judge(H.base_rules(calls, reads))
+    base = H.base_rules(calls, reads)
+    around = calls.select("ctg", "pos", (F.col("pos") - 100).alias("start"), (F.col("pos") + 101).alias("end"))
+    others = calls.select("ctg", F.col("pos").alias("rstart"), (F.col("pos") + 1).alias("rend"), "af", (F.col("af") < H.HOM_AF).alias("het"))
+    pairs = IV.range_join(around, others, 256).filter("pos <> rstart").select("ctg", "pos", F.col("rstart").alias("opos"), "af", "het")
+    there = reads.select("ctg", F.col("pos").alias("opos"), "qname", "hp", "allele", F.col("is_alt").alias("carries"), F.lit(True).alias("cover"))
+    near = pairs.join(there, ["ctg", "opos"])
+    together = H.coexisting(base, reads, near.filter("carries").select("ctg", "pos", "opos", "allele", "qname"))
+    return H.judge(base, H.neighbour_rules(base, reads, near), together).withColumn("qual", F.round("qual", 6))
 
 
 @query(f"""WITH e AS (SELECT time_bucket(INTERVAL '60 minutes', ts, TIMESTAMP '1970-01-01') AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY ALL""")
