@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinlens.operators import calls, copynumber, counts, evaluate, haplotype, intervals, kernels, paired, sampling, sequences
+from twinlens.operators import calls, copynumber, counts, evaluate, examples, haplotype, intervals, kernels, paired, sampling, sequences, sites
 from twinlens.plans import pipelines
 from twinlens.sources import readers, writers
 
@@ -284,3 +284,30 @@ def test_reads_to_observations(spark, tmp_path):
     got = [(r.pos, r.base, r.indel, r.hp) for r in readers.observations(d, "tumor").orderBy("pos").collect()]
     assert got == [(10, "A", "", 1), (11, "C", "+G", 1), (12, "T", "", 1), (13, "A", "-N", 1), (14, "*", "", 1), (15, "C", "", 1)]
     assert readers.mapped_contigs(d).first().n == 1
+
+
+def test_read_rows(spark):
+    r = [("c", 1, f"q{k}", k % 7, k % 3) for k in range(30)]
+    d = spark.createDataFrame([*r, *r], "ctg string, pos long, qname string, start int, hp int")
+    got = examples.read_rows(d, 12).orderBy("row").collect()
+    assert [x.row for x in got] == list(range(12)) and [(x.hp, x.start, x.qname) for x in got] == sorted((x.hp, x.start, x.qname) for x in got)
+    assert {x.qname for x in got} == {x.qname for x in examples.read_rows(d.repartition(5), 12).collect()}
+    assert examples.read_rows(d, 99).count() == 30
+
+
+def test_given_sites_bypass_the_filter(spark):
+    at = lambda *p: spark.createDataFrame([("c", k) for k in p], "ctg string, pos long")
+    marked = sites.with_given(at(1, 2, 3), at(3, 4, 5))
+    depth = spark.createDataFrame([("c", 4, 9), ("c", 3, 2), ("c", 1, 5)], "ctg string, pos long, depth int")
+    assert sorted((r.pos, r.found, r.hybrid) for r in sites.keep_given(marked, at(1), depth).collect()) == [(1, True, False), (3, True, True), (4, False, True)]
+
+
+def test_indel_cap(spark):
+    d = spark.createDataFrame([("+" + "A" * n,) for n in (60, 61)] + [("-" + "N" * n,) for n in (59, 60)] + [("",)], "indel string")
+    assert sorted(len(r.indel) for r in sites.capped_indels(d).collect()) == [0, 60, 61]
+
+
+def test_jitter(spark):
+    d = spark.range(2000).select(examples.jittered(F.array(F.lit(50), F.lit(1), F.lit(90)), F.col("id")).alias("q")).collect()
+    x = np.array([r.q[0] for r in d])
+    assert abs(x.mean() - 50) < 0.5 and 4.5 < x.std() < 5.5 and all(1 <= v <= 90 for r in d for v in r.q)

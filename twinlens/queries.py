@@ -19,12 +19,14 @@ from twinlens.operators import calls as CALLS
 from twinlens.operators import copynumber as CN
 from twinlens.operators import counts as C
 from twinlens.operators import evaluate as EV
+from twinlens.operators import examples as EX
 from twinlens.operators import haplotype as H
 from twinlens.operators import intervals as IV
 from twinlens.operators import kernels as K
 from twinlens.operators import paired as P
 from twinlens.operators import sampling as S
 from twinlens.operators import sequences as SEQ
+from twinlens.operators import sites as SI
 from twinlens.plans import pipelines as PL
 from twinlens.streaming import live
 
@@ -706,6 +708,145 @@ def contig_chunks(spark, d):
     return chunks(load(spark, d, "nation").select(F.col("n_name").alias("ctg"), F.expr("cast(n_nationkey * 777 + 1 as bigint)").alias("length")), 1000)
 
 
+# sites and examples
+CONTIGS = "i AS (SELECT concat('chr', n_nationkey) AS ctg, CAST(n_nationkey * 777 + 1 AS BIGINT) AS length FROM nation)"
+
+
+def _index(spark, d) -> DataFrame:
+    return load(spark, d, "nation").select(F.expr("concat('chr', n_nationkey)").alias("ctg"), F.expr("cast(n_nationkey * 777 + 1 as bigint)").alias("length"))
+
+
+@query(f"WITH {CONTIGS} SELECT * FROM i WHERE ctg NOT IN ('chr0', 'chr23', 'chr24')")
+def default_contigs(spark, d):
+    return SI.eligible_contigs(_index(spark, d))
+
+
+@query(f"WITH {CONTIGS} SELECT * FROM i WHERE ctg IN ('chr0', 'chr2', 'chr3', 'chr20') AND ctg IN (SELECT concat('chr', p_partkey % 22 + 1) FROM part) AND ctg IN (SELECT concat('chr', s_suppkey % 9) FROM supplier)")
+def named_contigs(spark, d):
+    at = lambda t, x: load(spark, d, t).select(F.expr(x).alias("ctg"))
+    return SI.eligible_contigs(_index(spark, d), ["chr0", "chr2", "chr3", "chr20"], at("part", "concat('chr', p_partkey % 22 + 1)"), at("supplier", "concat('chr', s_suppkey % 9)"))
+
+
+GIVEN = "v AS (SELECT DISTINCT concat('chr', p_partkey % 22 + 1) AS ctg, p_partkey AS pos FROM part WHERE p_size > 30)"
+
+
+def _given(spark, d) -> DataFrame:
+    return load(spark, d, "part").filter("p_size > 30").select(F.expr("concat('chr', p_partkey % 22 + 1)").alias("ctg"), F.col("p_partkey").alias("pos"))
+
+
+@query(_paired_sql().replace("WITH ", f"WITH {GIVEN}, ", 1).replace("SELECT ctg, pos, ref, sample, depth, snv, indel, top_allele, top_af, second_af, top_indel, indel_af, naf, indel_naf FROM q WHERE snv OR indel", """,
+w AS (SELECT DISTINCT ctg, pos FROM q WHERE snv OR indel), t AS (SELECT DISTINCT ctg, pos, true AS found FROM s WHERE sample = 'tumor'), u AS (SELECT *, true AS hybrid FROM v)
+SELECT ctg, pos, coalesce(found, false) AS found, coalesce(hybrid, false) AS hybrid FROM t FULL JOIN u USING (ctg, pos) LEFT JOIN d USING (ctg, pos)
+WHERE CASE WHEN coalesce(hybrid, false) THEN coalesce(nd, 0) > 0 ELSE (ctg, pos) IN (SELECT (ctg, pos) FROM w) END"""))
+def given_sites(spark, d):
+    """De-novo candidates and given sites, after the paired filter, which given sites bypass."""
+    c = C.allele_counts(observations(spark, d))
+    found = C.candidates(c.filter("sample = 'tumor'"))
+    return SI.keep_given(SI.with_given(found, _given(spark, d)), P.paired_filter(found, c), c.filter("sample = 'normal'"))
+
+
+@query(f"WITH {GIVEN}, {GATE}, t AS (SELECT DISTINCT ctg, pos FROM s WHERE sample = 'tumor') SELECT * FROM t EXCEPT SELECT * FROM v")
+def reference_sites(spark, d):
+    found = C.candidates(C.allele_counts(observations(spark, d)).filter("sample = 'tumor'")).select("ctg", "pos").distinct()
+    return SI.without_truth(found, _given(spark, d))
+
+
+@query(f"""WITH {GIVEN}, {GATE}, t AS (SELECT DISTINCT ctg, pos FROM s WHERE sample = 'tumor'), n AS (SELECT DISTINCT ctg, pos FROM s WHERE sample = 'normal')
+SELECT count(*) FILTER (n.pos IS NOT NULL) AS in_normal, count(*) FILTER (v.pos IS NOT NULL) AS in_tumor, count(*) FILTER (n.pos IS NOT NULL AND v.pos IS NOT NULL) AS in_both FROM t LEFT JOIN n USING (ctg, pos) LEFT JOIN v USING (ctg, pos)""")
+def truth_overlaps(spark, d):
+    c = C.candidates(C.allele_counts(observations(spark, d)))
+    return SI.truth_overlaps(c.filter("sample = 'tumor'"), _given(spark, d), c.filter("sample = 'normal'"))
+
+
+@query("""WITH v AS (SELECT p_partkey, substr('AC', 1, CAST(1 + p_size % 2 AS INT)) AS ref, substr('GT', 1, CAST(1 + p_partkey % 2 AS INT)) AS alt, p_partkey % 4 > 0 AS hom, p_partkey % 3 AS k FROM part WHERE p_partkey % 7 > 0),
+o AS (SELECT *, CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN alt WHEN length(ref) = 1 THEN 'G+T' WHEN length(alt) = 1 THEN 'A-N' END AS own FROM v),
+h AS (SELECT CASE WHEN hom AND k = 0 AND own IS NOT NULL THEN CASE WHEN own LIKE '%+%' THEN 'ins' WHEN own LIKE '%-%' THEN 'del' ELSE 'snp' END WHEN hom AND k < 2 THEN 'signal' END AS kind FROM o UNION ALL SELECT 'total' FROM o)
+SELECT kind, count(*) AS n FROM h WHERE kind IS NOT NULL GROUP BY kind""")
+def truth_in_normal(spark, d):
+    p = load(spark, d, "part").select(F.lit("chr1").alias("ctg"), F.col("p_partkey").alias("pos"), F.expr("substring('AC', 1, 1 + p_size % 2)").alias("ref"), F.expr("substring('GT', 1, cast(1 + p_partkey % 2 as int))").alias("alt"), F.expr("p_partkey % 4 > 0").alias("hom"))
+    own = F.coalesce(SI.allele_name(F.col("ref"), F.col("alt")), F.lit("T"))
+    shown = p.filter("pos % 3 < 2").select("ctg", "pos", F.create_map(F.when(F.col("pos") % 3 == 0, own).otherwise("T"), F.lit(0.2)).alias("alleles"))
+    return SI.truth_in_normal(p, p.filter("pos % 7 = 0"), shown)
+
+
+@query(f"""WITH {OBS}, t AS (SELECT concat('chr', p_partkey % 22 + 1) AS ctg, p_partkey AS pos, substr('ACGT', CAST(p_partkey % 4 AS INT) + 1, 1) AS ref, substr('CGTA', CAST(p_partkey % 4 AS INT) + 1, 1) || CASE WHEN p_partkey % 5 = 0 THEN 'AC' ELSE '' END AS alt, p_size FROM part),
+r AS (SELECT *, substr(alt, 1, 1) || CASE WHEN length(alt) > 1 THEN '+AC' ELSE '' END AS own FROM t WHERE p_size % 2 = 1),
+w AS (SELECT ctg, pos, sample, upper(base) || CASE WHEN indel LIKE '-%' THEN '-NN' ELSE indel END AS shown, CASE WHEN hp IN (1, 2) THEN hp ELSE 0 END AS hp FROM o)
+SELECT ctg, pos, CAST(p_size AS BIGINT) AS ndp, CAST(p_size + 10 AS BIGINT) AS tdp, CAST(round(0.25 * p_size) AS BIGINT) AS nalt, CAST(round(0.5 * (p_size + 10)) AS BIGINT) AS talt, {", ".join(f"CAST(-1 AS BIGINT) AS {k}{i}" for k in ("hp", "all") for i in range(3))} FROM t WHERE p_size % 2 = 0
+UNION ALL SELECT r.ctg, r.pos, count(*) FILTER (sample = 'normal'), count(*) FILTER (sample = 'tumor'), count(*) FILTER (sample = 'normal' AND shown = own), count(*) FILTER (sample = 'tumor' AND shown = own),
+{", ".join(f"count(*) FILTER (sample = 'tumor' AND shown = own AND hp = {i})" for i in range(3))}, {", ".join(f"count(*) FILTER (sample = 'tumor' AND hp = {i})" for i in range(3))} FROM r LEFT JOIN w USING (ctg, pos) GROUP BY r.ctg, r.pos""")
+def allele_support(spark, d):
+    alt = F.concat(F.expr("substring('CGTA', cast(p_partkey % 4 as int) + 1, 1)"), F.when(F.col("p_partkey") % 5 == 0, "AC").otherwise(""))
+    t = load(spark, d, "part").select(F.expr("concat('chr', p_partkey % 22 + 1)").alias("ctg"), F.col("p_partkey").alias("pos"), F.expr("substring('ACGT', cast(p_partkey % 4 as int) + 1, 1)").alias("ref"), alt.alias("alt"), "p_size")
+    size = F.col("p_size").cast("long")
+    called = t.filter("p_size % 2 = 0").select("ctg", "pos", (size + 10).alias("depth"), F.lit(0.5).alias("af"), size.alias("normal_depth"), F.lit(0.25).alias("normal_af"))
+    return SI.allele_support(t, called, observations(spark, d)).fillna(-1)  # haplotypes of called sites are not counted
+
+
+@query("""WITH f AS (SELECT p_partkey AS pos, p_size % 3 > 0 AS a, p_size % 4 > 0 AS b FROM part) SELECT 'chr1' AS ctg, pos, 'PASS' AS filter FROM f WHERE a AND b""")
+def confirmed_calls(spark, d):
+    p = load(spark, d, "part").select(F.lit("chr1").alias("ctg"), F.col("p_partkey").alias("pos"), F.col("p_size"))
+    by = lambda k: p.select("ctg", "pos", F.when(F.col("p_size") % k > 0, "PASS").otherwise("LowQual").alias("filter"))
+    return SI.confirmed(by(3), by(4))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber % 2 = 0 THEN 0.5 ELSE 0.1 END + l_linenumber / 100, 6) AS ins, 0.2 AS del FROM lineitem")
+def indel_fraction_sum(spark, d):
+    n = F.col("l_linenumber")
+    m = F.create_map(F.lit("A"), F.lit(0.3), F.lit("A+C"), F.when(n % 2 == 0, 0.5).otherwise(0.1), F.lit("A+CC"), n / 100, F.lit("A-NN"), F.lit(0.2))
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(SI.indel_fraction(m, "+"), 6).alias("ins"), SI.indel_fraction(m, "-").alias("del"))
+
+
+@query("""WITH r AS (SELECT l_partkey AS pos, l_orderkey, l_returnflag AS f, l_quantity AS q, l_linestatus AS s FROM lineitem)
+SELECT concat('chr', a.pos % 22 + 1) AS ctg, a.pos, a.q AS normal, b.q AS tumor, a.s AS normal_info, b.s AS tumor_info FROM r a JOIN r b ON a.pos = b.pos WHERE a.f = 'A' AND b.f = 'R'""")
+def paired_tensors(spark, d):
+    t = load(spark, d, "lineitem").select(F.expr("concat('chr', l_partkey % 22 + 1)").alias("ctg"), F.col("l_partkey").alias("pos"), F.array("l_quantity").alias("features"), F.col("l_linestatus").alias("alt_info"), "l_returnflag")
+    both = EX.paired_tensors(t.filter("l_returnflag = 'A'"), t.filter("l_returnflag = 'R'"))
+    return both.withColumns({"normal": F.get("normal", 0), "tumor": F.get("tumor", 0)})
+
+
+@query("""WITH x AS (SELECT p_partkey, CAST(p_partkey % 120 AS DOUBLE) AS depth, [CAST(p_size AS DOUBLE), p_retailprice] AS f FROM part)
+SELECT p_partkey, array_to_string([printf('%.6f', CASE WHEN depth > 50 THEN v * 50.0 / depth ELSE v END) FOR v IN f], ',') AS features FROM x""")
+def rescaled_tensors(spark, d):
+    f = EX.rescaled(F.array(F.col("p_size").cast("double"), "p_retailprice"), (F.col("p_partkey") % 120).cast("double"))
+    return load(spark, d, "part").select("p_partkey", F.array_join(F.transform(f, lambda x: F.format_string("%.6f", x)), ",").alias("features"))
+
+
+@query("""WITH x AS (SELECT p_partkey, CAST(p_size % 5 AS INT) AS a, CAST(p_partkey % 4 AS INT) AS b FROM part), y AS (SELECT *, 15 - 2 - a - b AS r FROM x)
+SELECT p_partkey, repeat('0', 2 * CAST(floor(r / 2) AS INT)) || repeat('1', 2 * a) || '0000' || repeat('2', 2 * b) || repeat('0', 2 * (r - CAST(floor(r / 2) AS INT))) AS matrix FROM y""")
+def padded_tensors(spark, d):
+    of = lambda k, n: F.array_repeat(F.lit(k), (2 * n).cast("int"))
+    m = EX.padded(of(1, F.col("p_size") % 5), of(2, F.col("p_partkey") % 4), 15, 2)
+    return load(spark, d, "part").select("p_partkey", F.array_join(F.transform(m, lambda x: x.cast("string")), "").alias("matrix"))
+
+
+@query("""WITH r AS (SELECT concat('chr', l_partkey % 22 + 1) AS ctg, l_partkey AS pos, l_orderkey * 10 + l_linenumber AS k FROM lineitem)
+SELECT ctg, pos, k, coalesce(lead(pos) OVER (PARTITION BY ctg ORDER BY pos, k) <> pos, true) AS is_last FROM r""")
+def duplicate_run_ends(spark, d):
+    r = load(spark, d, "lineitem").select(F.expr("concat('chr', l_partkey % 22 + 1)").alias("ctg"), F.col("l_partkey").alias("pos"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    return EX.last_of_position(r, "k")
+
+
+@query("""WITH x AS (SELECT p_partkey % 3 AS label, [p_size % 7, p_size % 5, p_size % 3 + 2] AS p FROM part), y AS (SELECT label, list_position(p, list_max(p)) - 1 AS best FROM x)
+SELECT count(*) FILTER (best = 2 AND label = 2) AS tp, count(*) FILTER (best = 2 AND label <> 2) AS fp, count(*) FILTER (best <> 2 AND label = 2) AS fn FROM y""")
+def validation_counts(spark, d):
+    p = load(spark, d, "part").select((F.col("p_partkey") % 3).alias("label"), F.array(F.col("p_size") % 7, F.col("p_size") % 5, F.col("p_size") % 3 + 2).alias("p"))
+    return EX.validation_counts(p)
+
+
+@query()
+def read_rows(spark, d):
+    """Ten reads of each site at most, in the order of a matrix's rows."""
+    o = observations(spark, d).select("ctg", "pos", "qname", F.col("bq").alias("start"), "hp")
+    return EX.read_rows(o, 10)
+
+
+@query()
+def jittered_qualities(spark, d):
+    o = observations(spark, d).groupBy("ctg", "pos").agg(F.sort_array(F.collect_list("bq")).alias("bq"))
+    return o.select("ctg", "pos", F.array_join(F.transform(EX.jittered(F.col("bq"), F.col("pos")), lambda x: x.cast("string")), ",").alias("bq"))
+
+
 # composed plans and kernels
 @query()
 def pair_calls(spark, d):
