@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.operators.counts import SITE
-from twinlens.operators.sampling import uniform
 
 #: Depth to which tensors are scaled down; empty rows between the samples of a read-level matrix.
 DEPTH, BETWEEN = 50, 2
@@ -59,6 +58,7 @@ def validation_counts(predicted: DataFrame, label: str = "label", probabilities:
 def jittered(qualities: Column, pos: Column, scale: float = 5.0, seed: int = 0) -> Column:
     """Qualities less one normal draw for each position, rounded, kept within 1 to 90: two hashes of the position, by
     the method of Box and Muller."""
-    u1, u2 = F.greatest(uniform(pos, 2 * seed), F.lit(1e-12)), uniform(pos, 2 * seed + 1)
+    u1, u2 = (F.shiftrightunsigned(F.xxhash64(pos.cast("long"), F.lit(2 * seed + k)), 11) / F.lit(2.0**53) for k in (0, 1))
+    u1 = F.greatest(u1, F.lit(1e-12))
     noise = F.round(F.sqrt(-2 * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2) * scale)
     return F.transform(qualities, lambda q: F.greatest(F.lit(1), F.least(q - noise, F.lit(90))).cast("int"))

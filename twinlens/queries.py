@@ -28,6 +28,7 @@ from twinlens.operators import sampling as S
 from twinlens.operators import sequences as SEQ
 from twinlens.operators import sites as SI
 from twinlens.plans import pipelines as PL
+from twinlens.sources import readers, writers
 from twinlens.streaming import live
 
 QUERIES: dict = {}
@@ -847,6 +848,68 @@ def jittered_qualities(spark, d):
     return o.select("ctg", "pos", F.array_join(F.transform(EX.jittered(F.col("bq"), F.col("pos")), lambda x: x.cast("string")), ",").alias("bq"))
 
 
+# sources and sinks, over files written from the tables
+def _scratch(spark) -> str:
+    """A new folder beside the checkpoints, which driver and executors share; a temporary one only where none is set."""
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    return tempfile.mkdtemp(prefix="spark-files-") if conf is None else f"{conf}/files-{np.random.default_rng().integers(1 << 60):x}"
+
+
+@query("""SELECT concat('chr', p_partkey % 22 + 1) AS ctg, p_partkey AS pos, 'A' AS ref, substr('CGT', CAST(p_partkey % 3 AS INT) + 1, 1) AS alt, CAST(p_size AS DOUBLE) AS qual, round(p_size / 100, 2) AS af
+FROM part WHERE p_size >= 10 AND p_partkey % 4 > 0 AND p_partkey % 5 > 0""")
+def vcf_round_trip(spark, d):
+    """Calls written as compressed VCF and read again with filters: quality, FILTER, no reference calls."""
+    p = load(spark, d, "part").select(
+        F.expr("concat('chr', p_partkey % 22 + 1)").alias("ctg"), F.col("p_partkey").alias("pos"), F.lit("A").alias("ref"), F.expr("substring('CGT', cast(p_partkey % 3 as int) + 1, 1)").alias("alt"),
+        F.col("p_size").alias("qual"), F.expr("case when p_partkey % 4 = 0 then 'LowQual' else 'PASS' end").alias("filter"), F.expr("case when p_partkey % 5 = 0 then '0/0' else '0/1' end").alias("gt"), F.round(F.col("p_size") / 100, 2).alias("af"),
+    )
+    path = f"{_scratch(spark)}/calls"
+    writers.write_vcf(p, path, {"GT": "gt", "AF": "af"}, [("chr1", 1000)], gzip=True)
+    return readers.vcf(spark, path, filters=["PASS"], min_qual=10.0, drop_reference=True).select("ctg", "pos", "ref", "alt", "qual", "af")
+
+
+@query("SELECT concat('chr', p_partkey % 3) AS ctg, p_partkey * 10 + 3 AS start, p_partkey * 10 + 3 + p_size - 2 AS \"end\" FROM part WHERE p_size > 2 AND p_partkey % 3 = 1")
+def bed_round_trip(spark, d):
+    """Intervals written as text and read again, one contig, one place shorter on both sides."""
+    p = load(spark, d, "part").select(F.expr("concat('chr', p_partkey % 3)").alias("ctg"), (F.col("p_partkey") * 10 + 2).alias("start"), (F.col("p_partkey") * 10 + 2 + F.col("p_size")).alias("end"))
+    path = f"{_scratch(spark)}/intervals"
+    writers.write_bed(p, path)
+    return readers.bed(spark, path, "chr1", padding=1).select("ctg", "start", "end")
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, 100 + p_partkey * 7 AS pos, p_partkey % 2 = 1 AS rev FROM part WHERE p_size <= 40),
+c AS (SELECT * FROM (VALUES (0, 'A', '', 'm'), (1, 'C', '+GG', 'm'), (2, 'T', '', 'm'), (3, 'A', '-NN', 'm'), (4, '*', '', 'd'), (5, '*', '', 'd'), (6, 'C', '', 'm')) v(k, b, i, t))
+SELECT 'chr1' AS ctg, pos + k AS pos, CASE WHEN rev THEN CASE WHEN t = 'd' THEN '#' ELSE lower(b) END ELSE b END AS base, CASE WHEN rev THEN lower(i) ELSE i END AS indel, CAST(CASE WHEN t = 'd' THEN 0 ELSE 40 END AS INT) AS bq, concat('q', id) AS qname FROM r, c""")
+def sam_observations(spark, d):
+    """Reads written as SAM text, read with their filters, and cut into observations."""
+    p = load(spark, d, "part")
+    line = F.concat_ws("\t", F.concat(F.lit("q"), F.col("p_partkey")), F.when(F.col("p_partkey") % 2 == 1, "16").otherwise("0"), F.lit("chr1"), (F.col("p_partkey") * 7 + 100).cast("string"), F.when(F.col("p_size") > 40, "5").otherwise("60"),
+                       F.lit("1S2M2I2M2D1M"), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("NACGGTAC"), F.lit("IIIIIIII"))
+    path = f"{_scratch(spark)}/reads"
+    p.select(line.alias("value")).write.text(path)
+    return readers.observations(readers.sam(spark, path, min_mq=20), "tumor").select("ctg", "pos", "base", "indel", "bq", "qname")
+
+
+@query("""SELECT 'chr' || (p_partkey % 5) AS ctg, p_partkey AS pos, unnest(['A', 'c', 'G', '*']) AS base, unnest(['', '-n', CASE WHEN p_size % 2 = 0 THEN '+TT' ELSE '' END, '']) AS indel, unnest([30, 31, 32, 33]) AS bq FROM part""")
+def pileup_text(spark, d):
+    bases = F.concat(F.lit("^IA$c-1nG"), F.when(F.col("p_size") % 2 == 0, "+2TT").otherwise(""), F.lit("*"))
+    line = F.concat_ws("\t", F.expr("concat('chr', p_partkey % 5)"), F.col("p_partkey").cast("string"), F.lit("N"), F.lit("4"), bases, F.lit("?@AB"))
+    path = f"{_scratch(spark)}/pileup"
+    load(spark, d, "part").select(line.alias("value")).write.text(path)
+    return readers.pileup(spark, path, "tumor").select("ctg", "pos", "base", "indel", "bq")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, repeat('ACGTTGCA', CAST(s_suppkey % 40 + 1 AS INT)) AS seq FROM supplier), p AS (SELECT concat('c', p_partkey % 90 + 1) AS ctg, p_partkey AS id, p_size AS pos FROM part)
+SELECT p.ctg, p.id, p.pos, CASE WHEN p.pos <= length(s.seq) THEN substr(s.seq, p.pos, 1) END AS ref FROM p LEFT JOIN s ON p.ctg = concat('c', s.k)""")
+def reference_bases(spark, d):
+    """A reference written as FASTA, read in blocks, and its bases at sites."""
+    seq = F.repeat(F.lit("ACGTTGCA"), (F.col("s_suppkey") % 40 + 1).cast("int"))
+    path = f"{_scratch(spark)}/reference"
+    load(spark, d, "supplier").select(F.concat(F.lit(">c"), F.col("s_suppkey"), F.lit(" made\n"), F.regexp_replace(F.lower(seq), "(.{60})", "$1\n")).alias("value")).coalesce(1).write.text(path)
+    at = load(spark, d, "part").select(F.expr("concat('c', p_partkey % 90 + 1)").alias("ctg"), F.col("p_partkey").alias("id"), F.col("p_size").alias("pos"))
+    return readers.bases_at(at, readers.fasta(spark, path, 50), 50)
+
+
 # composed plans and kernels
 @query()
 def pair_calls(spark, d):

@@ -61,8 +61,9 @@ def vcf(
     return d
 
 
-def bed(spark: SparkSession, path: str, contig: str | None = None, padding: int = 0) -> DataFrame:
-    """Intervals: ctg, start, end, tag. An empty one gets length 1; padding shrinks an interval from both sides."""
+def bed(spark: SparkSession, path: str, contig: str | None = None, padding: int = 0, within: tuple[int, int] | None = None) -> DataFrame:
+    """Intervals: ctg, start, end, tag. An empty one gets length 1; padding shrinks an interval from both sides; within
+    keeps those that overlap a range."""
     c = F.split(F.trim("value"), r"\s+")
     d = spark.read.text(path).filter(~F.col("value").rlike(r"^(#|track|browser|\s*$)")).select(
         c[0].alias("ctg"), c[1].cast("long").alias("start"), c[2].cast("long").alias("end"), F.get(c, F.lit(3)).alias("tag")
@@ -70,6 +71,8 @@ def bed(spark: SparkSession, path: str, contig: str | None = None, padding: int
     if contig is not None:
         d = d.filter(F.col("ctg") == contig)
     d = d.withColumn("end", F.when(F.col("start") == F.col("end"), F.col("end") + 1).otherwise(F.col("end")))
+    if within is not None:
+        d = d.filter((F.col("end") > within[0]) & (F.col("start") < within[1]))
     return d.withColumns({"start": F.col("start") + padding, "end": F.col("end") - padding}).filter("start < end")
 
 
@@ -92,15 +95,16 @@ def fasta(spark: SparkSession, path: str, block: int = 1000) -> DataFrame:
     name = F.regexp_extract("value", r"^(\S+)", 1)
     seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", ""))
     d = records.select(name.alias("ctg"), seq.alias("s")).filter("s <> ''")
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / block).cast("int")))
-    return d.withColumn("b", at).select("ctg", (F.col("b").cast("long") * block + 1).alias("start"), F.substring("s", F.col("b") * block + 1, F.lit(block)).alias("seq"))
+    pieces = F.regexp_extract_all("s", F.lit(f"(.{{1,{block}}})"), F.lit(1))  # one pass: a substring would walk from the start each time
+    return d.select("ctg", F.posexplode(pieces).alias("b", "seq")).select("ctg", (F.col("b").cast("long") * block + 1).alias("start"), "seq")
 
 
 def bases_at(sites: DataFrame, reference: DataFrame, block: int = 1000) -> DataFrame:
     """sites with the reference base of their position, by an equi join on the block; null outside."""
     d = sites.withColumn("_start", F.floor((F.col("pos") - 1) / block) * block + 1)
     r = reference.select("ctg", F.col("start").alias("_start"), "seq")
-    return d.join(r, ["ctg", "_start"], "left").withColumn("ref", F.when(F.col("seq").isNotNull(), F.substring("seq", (F.col("pos") - F.col("_start") + 1).cast("int"), F.lit(1)))).drop("_start", "seq")
+    base = F.substring("seq", (F.col("pos") - F.col("_start") + 1).cast("int"), F.lit(1))
+    return d.join(r, ["ctg", "_start"], "left").withColumn("ref", F.when(base != "", base)).drop("_start", "seq")
 
 
 def sam(spark: SparkSession, path: str, exclude: int = 2316, min_mq: int = 0) -> DataFrame:
@@ -124,25 +128,39 @@ def mean_depth(counts: DataFrame) -> DataFrame:
 
 
 def observations(reads: DataFrame, sample: str) -> DataFrame:
-    """Rows (ctg, pos, sample, base, indel, bq, mq, qname, hp, flag) of aligned reads: CIGAR operations become runs of
-    positions, which are generated in place. Reverse reads have small letters; deletions are * and #."""
+    """Rows (ctg, pos, sample, base, indel, bq, mq, qname, hp, flag) of aligned reads. A read is first cut into its CIGAR
+    operations, each with its own bases, so that no row carries the whole read. Reverse reads have small letters;
+    deletions are * and #."""
     from twinlens.functions.text import cigar_operations
 
-    d = reads.filter("cigar <> '*'").withColumn("_o", F.explode(cigar_operations(F.col("cigar"))))
-    ops = F.col("_o")
-    nxt = d.withColumn("_all", cigar_operations(F.col("cigar")))
-    d = nxt.filter(ops["op"].isin("M", "=", "X", "D")).withColumn("_next", F.try_element_at(F.filter("_all", lambda o: (o["ref"] == ops["ref"] + ops["n"]) & o["op"].isin("I", "D")), F.lit(1)))
-    d = d.withColumn("_k", F.explode(F.sequence(F.lit(0), ops["n"] - 1)))
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    own = F.struct(chars(F.col("seq")).alias("seq"), chars(F.col("qual")).alias("qual"), cigar_operations(F.col("cigar")).alias("ops"), (F.col("flag").bitwiseAND(16) > 0).alias("reverse"))
+
+    def runs(v):
+        """Each aligned operation with its own bases and qualities only, and the indel after it."""
+
+        def one(o, i):
+            gap, follows = o["op"] == "D", F.get(v["ops"], i + 1)
+            mark = F.when(v["reverse"], "#").otherwise("*")
+            joined = lambda x: F.array_join(F.slice(v["seq"], x["read"] + 1, x["n"]), "")
+            after = F.when(follows["op"] == "I", F.concat(F.lit("+"), joined(follows))).when(follows["op"] == "D", F.concat(F.lit("-"), F.repeat(F.lit("N"), follows["n"])))
+            return F.struct(
+                o["op"].alias("op"), o["ref"].alias("ref"), o["n"].alias("n"), F.when(gap, "").otherwise(F.coalesce(after, F.lit(""))).alias("after"),
+                F.when(gap, F.array_repeat(mark, o["n"])).otherwise(F.slice(v["seq"], o["read"] + 1, o["n"])).alias("bases"),
+                F.when(gap, F.array().cast("array<string>")).otherwise(F.slice(v["qual"], o["read"] + 1, o["n"])).alias("quals"),
+            )
+
+        return F.filter(F.transform(v["ops"], one), lambda r: r["op"].isin("M", "=", "X", "D"))
+
+    names = ["ctg", "pos", "mapq", "qname", "hp", "flag"]
+    d = reads.filter("cigar <> '*'").select(*names, F.explode(F.get(F.transform(F.array(own), runs), 0)).alias("r"))
+    d = d.select(*names, "r.op", "r.ref", "r.n", "r.after", F.posexplode(F.arrays_zip("r.bases", "r.quals")).alias("k", "z"))
     reverse = F.col("flag").bitwiseAND(16) > 0
-    at = ops["read"] + F.col("_k") + 1
-    gap = ops["op"] == "D"
-    base = F.when(gap, F.when(reverse, "#").otherwise("*")).otherwise(F.when(reverse, F.lower(F.substring("seq", at, F.lit(1)))).otherwise(F.upper(F.substring("seq", at, F.lit(1)))))
-    edge = (F.col("_k") == ops["n"] - 1) & F.col("_next").isNotNull() & ~gap
-    seq = F.when(F.col("_next.op") == "I", F.concat(F.lit("+"), F.substring("seq", F.col("_next.read") + 1, F.col("_next.n")))).otherwise(F.concat(F.lit("-"), F.repeat(F.lit("N"), F.col("_next.n"))))
+    cased = lambda c: F.when(reverse, F.lower(c)).otherwise(F.upper(c))
     return d.select(
-        "ctg", (F.col("pos") + ops["ref"] + F.col("_k")).alias("pos"), F.lit(sample).alias("sample"), base.alias("base"),
-        F.when(edge, F.when(reverse, F.lower(seq)).otherwise(F.upper(seq))).otherwise("").alias("indel"),
-        F.when(gap, 0).otherwise(F.ascii(F.substring("qual", at, F.lit(1))) - 33).alias("bq"), F.col("mapq").alias("mq"), "qname", "hp", "flag",
+        "ctg", (F.col("pos") + F.col("ref") + F.col("k")).alias("pos"), F.lit(sample).alias("sample"), cased(F.col("z.bases")).alias("base"),
+        F.when(F.col("k") == F.col("n") - 1, cased(F.col("after"))).otherwise("").alias("indel"),
+        F.when(F.col("op") == "D", 0).otherwise(F.ascii("z.quals") - 33).alias("bq"), F.col("mapq").alias("mq"), "qname", "hp", "flag",
     )
 
 
@@ -179,3 +197,27 @@ def fraction_table(spark: SparkSession, path: str) -> DataFrame:
         c[0].alias("ctg"), c[1].cast("long").alias("pos"), c[2].alias("ref"), c[3].cast("long").alias("depth"),
         F.transform(F.split(c[4], ","), lambda x: x.try_cast("double")).alias("fractions"), m(c[5]).alias("alleles"), m(c[6]).alias("tumor_alleles"), F.split(c[7], ",").alias("tags"),
     )
+
+
+def hybrid_info(spark: SparkSession, folder: str) -> DataFrame:
+    """ctg, pos, ref, and the alleles of both samples at given sites, from all files of a folder whose names end so."""
+    c = F.split("value", "\t")
+    d = spark.read.option("pathGlobFilter", "*hybrid_info").text(folder).filter("value <> ''")
+    return d.select(c[0].alias("ctg"), c[1].cast("long").alias("pos"), c[2].alias("ref"), F.get(c, F.lit(3)).alias("normal_info"), F.get(c, F.lit(4)).alias("tumor_info"))
+
+
+def purity(spark: SparkSession, path: str) -> DataFrame:
+    """sample, purity, ploidy, goodness: the one line below the header."""
+    c = F.split("value", r"\s+")
+    d = spark.read.text(path).filter(~F.col("value").rlike(r"^(Sample\b|\s*$)"))
+    return d.select(c[0].alias("sample"), *(c[i].cast("double").alias(n) for i, n in enumerate(("purity", "ploidy", "goodness"), 1)))
+
+
+def tensor_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of tensor text, gzipped or not: ctg, pos, ref_seq, both samples' numbers and alleles, kind."""
+    c = F.split("value", "\t")
+    numbers = lambda x: F.transform(F.split(F.trim(x), r"\s+"), lambda v: v.cast("double"))
+    return spark.read.text(path).filter("value <> ''").select(
+        c[0].alias("ctg"), c[1].cast("long").alias("pos"), c[2].alias("ref_seq"), numbers(c[3]).alias("normal"), c[4].alias("normal_info"),
+        numbers(c[5]).alias("tumor"), c[6].alias("tumor_info"), F.get(c, F.lit(7)).alias("kind"),
+    )

@@ -18,6 +18,12 @@ def vcf_header(contigs: list[tuple[str, int]], command: str = "", sample: str =
     return [*out, *(f"##contig=<ID={c},length={n}>" for c, n in contigs), "\t".join([*COLUMNS[:9], sample])]
 
 
+def add_to_header(header: list[str], lines: list[str]) -> list[str]:
+    """A header with further lines before its last one, without those that it has."""
+    new = [x for x in dict.fromkeys(lines) if x not in header]
+    return [*header[:-1], *new, header[-1]]
+
+
 def vcf_lines(calls: DataFrame, fields: dict[str, str], show_reference: bool = False) -> DataFrame:
     """Lines (value) of calls in karyotype order; fields maps FORMAT keys to columns. Calls of 0/0 and ./. go unless
     wanted."""
