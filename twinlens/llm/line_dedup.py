@@ -306,3 +306,14 @@ def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = found.filter(F.coalesce(had, F.lit(False)) | ((F.col("n_exact") + F.col("n_near")) == 0))
     changed = F.col("n_exact") + F.col("n_near") > 0
     return kept.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+ORACLE = r"""
+WITH l AS (SELECT doc_id, unnest(range(0, len(x))) AS no, unnest(x) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+t AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+f AS (SELECT line, length(line) AS n, min({'d': doc_id, 'n': no}) AS first FROM t WHERE length(line) >= 20 GROUP BY line),
+p AS (SELECT a.line FROM (SELECT *, n + unnest([-2, -1, 0, 1, 2]) AS m FROM f) a JOIN f b ON a.m = b.n AND b.first < a.first WHERE levenshtein(a.line, b.line) <= 2),
+k AS (SELECT t.doc_id, t.no, t.raw, f.line IS NOT NULL AND f.first <> {'d': t.doc_id, 'n': t.no} AS exact, f.line IS NOT NULL AND f.first = {'d': t.doc_id, 'n': t.no} AND f.line IN (SELECT line FROM p) AS near FROM t LEFT JOIN f USING (line)),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near) AS n_near, string_agg(raw, chr(10) ORDER BY no) FILTER (NOT exact AND NOT near) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INT) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN g USING (doc_id)
+"""

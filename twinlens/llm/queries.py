@@ -17,7 +17,10 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE = {
+    "op3_url_filters": url_filter.ORACLE,
     "op4_jaccard_join": jaccard_join.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
+    "op9_suffix_dedup": repeats.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

@@ -355,3 +355,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op9_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept_bytes")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + 999) // 1000)) AS k FROM d),
+w AS (SELECT doc_id, 1000 * k AS o, substr(h, 2000 * k + 1, 2098) AS h, least(1000, length(h) // 2 - 1000 * k) AS n FROM q),
+p AS (SELECT doc_id, o, h, unnest(range(0, n)) AS j FROM w),
+g AS (SELECT doc_id, o + j AS i, substr(h, 2 * j + 1, 2) AS b, CASE WHEN 2 * j + 100 <= length(h) THEN md5(substr(h, 2 * j + 1, 100)) END AS s FROM p),
+f AS (SELECT s, min(doc_id) AS m FROM g WHERE s IS NOT NULL GROUP BY s),
+c AS (SELECT g.doc_id, g.i, g.b, coalesce(max(CASE WHEN f.m < g.doc_id THEN g.i END) OVER (PARTITION BY g.doc_id ORDER BY g.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL, false) AS gone FROM g LEFT JOIN f USING (s)),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM c),
+a AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""

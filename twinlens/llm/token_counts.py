@@ -1,6 +1,6 @@
-"""Token counts of whole texts by a byte-level BPE, with overlap resynchronisation for huge documents.
+"""Token counts of whole texts by a byte-level BPE, with overlap resynchronisation for long documents.
 
-A huge document is encoded in overlapping chunks with offsets. Two encodings are spliced at a common boundary: a word
+A document longer than a chunk is encoded in overlapping chunks with offsets. Two encodings are spliced at a common boundary: a word
 that both start as a token of its own after one space, with no other white space beside it. The pre-tokenizer looks forward only
 and no match spans such a space, so from there on the encoding depends on nothing before it. Where an overlap has no
 common boundary it is doubled, up to the rest of the document.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from twinlens.llm.common import table
 
 #: Characters of a chunk and of its first overlap with the next one.
-CHUNK, OVERLAP = 32_768, 1_024
+CHUNK, OVERLAP = 8_192, 512
 #: Pieces that a worker keeps.
 KEPT_PIECES = 600_000
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
@@ -121,8 +121,9 @@ def count_tokens(
 ) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_tokens, over_limit. No shuffle.
 
-    A null text is empty: no bytes, no tokens. Rows with one id or one text are counted each for itself. vocabulary
-    names a file of public_tokenizers or is a path that executors can read.
+    A null text is empty: no bytes, no tokens. Rows with one id or one text are counted each for itself; other columns
+    are ignored; an empty table gives an empty result. vocabulary names a file of public_tokenizers or is a path that
+    executors can read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
