@@ -6,7 +6,10 @@ from collections import defaultdict
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from test_corpus_operators import corpus, lines_left, links, mutate, words
+
 from twinlens.llm.jaccard_join import near_duplicate_stage
+from twinlens.llm.line_dedup import line_stage
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -61,3 +64,22 @@ def test_one_row_of_each_near_duplicate_group_stays(spark, tmp_path):
     want = [(1, a), (2, b), (3, c), (None, d), (8, f + " a"), (9, e), (20, None), (None, ""), (None, "")]
     assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr) == sorted(want, key=repr)
     assert near_duplicate_stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_dedup_stages_against_brute_force(spark, tmp_path):
+    """Line dedup and near duplicates on a corpus with odd texts, repeated and mutated lines; further columns pass."""
+    r = random.Random(11)
+    rows = [(i, t, k, s) for i, t, k, s in corpus(3, 50)]
+    lines = ["".join(r.choice("abcdefgh ") for _ in range(40)) for _ in range(6)]
+    rows += [(200 + i, "\n".join(mutate(r, r.choice(lines), r.choice([0, 1, 3])) for _ in range(r.randint(1, 4))), "en", "s") for i in range(30)]
+    docs = spark.createDataFrame([(*x, len(x[1] or ""), 7, 5, "r") for x in rows], SCHEMA + ", n_near int, c int, _rest string").repartition(3)
+    kept = line_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    found = {x.doc_id: x for x in kept.collect()}
+    want = {i: t for i, (t, _, exact, close) in lines_left(rows).items() if exact + close == 0 or words(t)}
+    assert {i: x.text for i, x in found.items()} == want and {(x.n_near, x.c, x._rest) for x in found.values()} == {(7, 5, "r")}
+    near = near_duplicate_stage(spark, docs, str(tmp_path))
+    top = links(rows, 5, 80)
+    assert sorted(x.doc_id for x in near.collect()) == sorted(i for i, (_, c) in top.items() if i == c)
+    for stage in (line_stage, near_duplicate_stage):
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
