@@ -49,8 +49,8 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
         self.flat, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 0
-        self.starts, self.sizes, self.hits = (np.zeros(1, np.int64) for _ in range(3))
-        self.known: dict[int, int] = {}
+        self.starts, self.sizes, self.hits = np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(1, np.int32)
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and their words' numbers
         # the first three: the id 0 after a document, and the two tails
         tails = [self.tokenizer.encode(k, add_special_tokens=False).ids for k in (".", ",")]
         self._add([0, 1, 2], np.concatenate([np.array(x, np.uint32) for x in ([0], *tails)]), np.array([1, *map(len, tails)]))
@@ -61,7 +61,8 @@ class Ids:
         often = self.hits > np.median(self.hits)
         often[:3] = True
         new = np.cumsum(often) - 1
-        self.known = {w: int(new[k]) for w, k in self.known.items() if often[k]}
+        stays = often[self.at]
+        self.keys, self.at = self.keys[stays], new[self.at[stays]]
         sizes = self.sizes[often]
         upto = np.cumsum(sizes)
         self.flat = self.flat[np.arange(upto[-1]) + np.repeat(self.starts[often] - (upto - sizes), sizes)]
@@ -70,12 +71,15 @@ class Ids:
 
     def _add(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat) // 4, len(ids)), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
         end = self.n + len(keys)
         if end > len(self.sizes):
-            self.starts, self.sizes, self.hits = (np.concatenate([x, np.zeros(max(len(x), end), np.int64)]) for x in (self.starts, self.sizes, self.hits))
-        self.known.update(zip(keys, range(self.n, end), strict=True))
+            self.starts, self.sizes, self.hits = (np.concatenate([x, np.zeros(max(len(x) // 4, end), x.dtype)]) for x in (self.starts, self.sizes, self.hits))
+        own = np.array(keys, np.uint64)
+        order = np.argsort(own)
+        places = np.searchsorted(self.keys, own[order])
+        self.keys, self.at = np.insert(self.keys, places, own[order]), np.insert(self.at, places, self.n + order)
         self.starts[self.n : end] = self.used + np.cumsum(sizes) - sizes
         self.sizes[self.n : end] = sizes
         self.n, self.used = end, self.used + len(ids)
@@ -94,6 +98,9 @@ class Ids:
                 ids = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
                 self._add([k], ids, np.array([len(ids)]))
 
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+
     def _units(self, a: np.ndarray, heads: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the known words of the bytes, with tails and document ends, and the places of the ends."""
         starts, ends = spans(a, heads)
@@ -111,16 +118,15 @@ class Ids:
             if as_is.any():
                 key[as_is] = hashes(a, starts[as_is], ends[as_is] - tail[as_is])
             distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            at = list(map(self.known.get, distinct.tolist()))
-            if None in at:
-                new = np.array([j for j, k in enumerate(at) if k is None])
+            known = self._known(distinct)
+            if not known.all():
+                new = np.flatnonzero(~known)
                 i = first[new]
                 data = {True: a.tobytes()}
                 data[False] = data[True].lower()
                 found = zip(distinct[new].tolist(), as_is[i].tolist(), starts[i].tolist(), (ends[i] - tail[i]).tolist(), strict=True)
                 self.learn({k: data[odd][s:e] for k, odd, s, e in found})
-                at = list(map(self.known.__getitem__, distinct.tolist()))
-            stems = np.array(at, np.int64)[inverse]
+            stems = self.at[np.searchsorted(self.keys, distinct)][inverse]
             n_tails = np.cumsum(tail)
         else:
             stems, tail, comma, n_tails = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.int64)
@@ -141,7 +147,7 @@ class Ids:
             if self.n > KEPT_WORDS:
                 self.forget()
             at, ends = self._units(a, heads, whole)
-            self.hits[: self.n] += np.bincount(at, minlength=self.n)
+            self.hits[: self.n] += np.bincount(at, minlength=self.n).astype(np.int32)
             own = self.sizes[at]
             upto = np.cumsum(own)
             if len(at):
