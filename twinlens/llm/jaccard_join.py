@@ -461,17 +461,17 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     # without nulls, and in the order of doc_id
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit("0").cast(kind)).alias("doc_id"), F.col("_row").alias("row"))
     found = link(rows.select(name.alias("_key"), "text"), "_key", words=5, percent=80)
-    # the rows of a component with its smallest doc_id; more than one is rare
-    least = reliable(
-        found.filter(F.struct("_key.none", "_key.doc_id") == F.struct("component_id.none", "component_id.doc_id"))
-        .select(F.col("_key.row").alias("_row"), F.col("component_id.row").alias("c"))
-    )
-    tied = reliable(least.filter("_row <> c").select("c").distinct())
-    ties = small(tied, tied.count())
-    texts = rows.select("_row", "text").join(least.join(ties, "c", "left_semi"), "_row")
-    first = texts.groupBy("c").agg(F.min(F.struct("text", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
-    kept = least.join(ties, "c", "left_anti").select("_row").unionByName(first)
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    least = F.struct("_key.none", "_key.doc_id") == F.struct("component_id.none", "component_id.doc_id")
+    members = reliable(found.select(F.col("_key.row").alias("_row"), F.col("component_id.row").alias("c"), least.alias("least")))
+    groups = members.groupBy("c").agg(F.count("*").alias("m"), F.count_if("least").alias("k")).filter("m > 1")
+    grouped = reliable(members.join(groups, "c"))
+    n, n_tied = grouped.agg(F.count("*"), F.count_if(F.col("least") & (F.col("k") > 1))).first()
+    # of rows with the smallest doc_id of a component, of which more than one is rare, the smallest text stays
+    tied = grouped.filter("least and k > 1").select("_row", "c")
+    first = rows.select("_row", "text").join(small(tied, n_tied), "_row").groupBy("c").agg(F.min(F.struct("text", "_row")).alias("m"))
+    kept = grouped.filter("least and k = 1").select("_row").unionByName(first.select(F.col("m._row").alias("_row")))
+    gone = reliable(grouped.select("_row").join(kept, "_row", "left_anti"))
+    return rows.join(small(gone, n), "_row", "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

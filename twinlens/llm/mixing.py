@@ -7,7 +7,7 @@ threshold; nothing is sorted, and a smaller budget takes a subset of what a larg
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.llm.common import WORD, reliable, sheltered, small, table
@@ -70,15 +70,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     brings the sum nearer to the target. Rows with one id (repeated rows, null ids) have one hash and go together.
     Null is a source of its own; a source of size 0 has target 0. An empty table gives an empty result.
     """
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    sizes = reliable(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"),
-        )
+    sizes = reliable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col)).alias("h")))
+    plan, sources = thresholds(sizes)
+    return sizes.join(small(plan, sources), F.col("source").eqNullSafe(F.col("s"))).select(
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times_of(F.col("h"))).cast("long").alias("taken")
     )
+
+
+def size_of(text: Column) -> Column:
+    """The number of words; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def hash_of(key: Column) -> Column:
+    """60 bits of a key's digest."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def times_of(h: Column) -> Column:
+    """How often a row of this hash is taken, beside its source's row of thresholds()."""
+    return F.col("times") + (h <= F.col("threshold")).cast("long")
+
+
+def thresholds(sizes: DataFrame) -> tuple[DataFrame, int]:
+    """A row for each source of (source, size, h): s, source_size, target, times, threshold; and the number of rows."""
     plan = source_targets(source_weights(sizes))
     plan = reliable(
         plan.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -111,10 +127,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     plan = plan.join(small(edge, sources), F.col("source").eqNullSafe(F.col("s")), "left").select(
         F.col("source").alias("s"), "source_size", "target", "times", F.coalesce("threshold", F.lit((1 << 60) - 1)).alias("threshold")
     )
-    taken = F.col("size") * (F.col("times") + (F.col("h") <= F.col("threshold")).cast("long"))
-    return sizes.join(small(plan, sources), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken")
-    )
+    return plan, sources
 
 
 def op5_mixing(spark, sf_dir):
@@ -128,12 +141,12 @@ def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document without words has nothing to take and stays once. Repeated rows and rows with a null id stay each as often
     as the others of the same id and text. An empty table gives an empty result.
     """
-    keyed = docs.withColumn("_id", F.struct("doc_id", F.xxhash64("text", "source")))
-    taken = mix(keyed.withColumn("_key", F.col("_id").cast("string")), "_key", "source", "text").filter("size > 0")
-    times = reliable(taken.select("_key", F.floor(F.col("taken") / F.col("size")).cast("int").alias("_n")).dropDuplicates(["_key"]))
-    by = small(times, times.count())
-    joined = keyed.withColumn("_key", F.col("_id").cast("string")).join(by, "_key", "left")
-    copies = F.when(F.coalesce("_n", F.lit(1)) > 0, F.sequence(F.lit(1), F.coalesce("_n", F.lit(1))))
+    key = F.concat_ws("-", F.col("doc_id").cast("string"), F.xxhash64("text", "source").cast("string"))
+    plan, sources = thresholds(reliable(docs.select("source", size_of(F.col("text")).alias("size"), hash_of(key).alias("h"))))
+    rows = docs.withColumns({"_size": size_of(F.col("text")), "_h": hash_of(key)})
+    joined = rows.join(small(plan, sources), F.col("source").eqNullSafe(F.col("s")))  # only sources are joined, no texts shuffled
+    n = F.when(F.col("_size") > 0, times_of(F.col("_h"))).otherwise(1).cast("int")
+    copies = F.when(n > 0, F.sequence(F.lit(1), n))
     return joined.withColumn("_copy", F.explode(copies)).select(*docs.columns)
 
 
