@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions.quality import expected_fractions
-from twinlens.llm.common import reliable, small
+from twinlens.operators.lineage import reliable, small
 
 SITE = ["ctg", "pos"]
 #: The grid of the search for purity and ploidy.
