@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinlens.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, repeats, token_counts, url_filter
+from twinlens.llm import exact_dedup, fill_in_middle, hard_negatives, jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, repeats, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_suffix_dedup": repeats.op9_suffix_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLE = {
     "op3_url_filters": url_filter.ORACLE,
@@ -23,4 +26,6 @@ ORACLE = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op9_suffix_dedup": repeats.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
