@@ -122,20 +122,67 @@ def test_winsorised_outlier(spark):
 def test_segments_and_ratios(spark):
     g = np.random.default_rng(4)
     x = np.concatenate([g.normal(0, 0.05, 80), g.normal(1, 0.05, 60)])
-    assert copynumber.segment(x, np.full(140, 0.5) + g.normal(0, 0.01, 140), 20.0).tolist() == [0, 80]
-    rows = [("c", int(i), float(v), 0.5) for i, v in enumerate(x)]
-    got = copynumber.segments(spark.createDataFrame(rows, "ctg string, pos long, logr double, baf double"), 20.0, block=50).orderBy("start").collect()
-    assert sum(r.n for r in got) == 140 and any(r.start == 80 for r in got)
+    baf = np.full(140, 0.4) + g.normal(0, 0.01, 140)
+    assert copynumber.segment(x, baf, (0.05, 0.01), 20.0).tolist() == [0, 80]
+    rows = [("c", int(i), float(v), float(w)) for i, (v, w) in enumerate(zip(x, baf, strict=True))]
+    got = copynumber.segments(spark.createDataFrame(rows, "ctg string, pos long, logr double, baf double"), 60.0, width=50, margin=10).orderBy("start").collect()
+    assert [(r.start, r.n) for r in got] == [(0, 80), (80, 60)]
     t = spark.createDataFrame([("c", 1, 20, 0), ("c", 2, 0, 0)], "ctg string, pos long, a long, b long")
     assert copynumber.depth_ratios(t).first().logr == 0.0
 
 
+def brute_segments(x, y, scales, penalty, least):
+    """All starts for each end, without dropping any."""
+    best, back = {0: -penalty}, {}
+    cost = lambda a, b: sum(((t[a:b] - t[a:b].mean()) ** 2).sum() / s**2 for t, s in ((x, scales[0]), (y, scales[1])))
+    for end in range(least, len(x) + 1):
+        best[end], back[end] = min((best[s] + cost(s, end) + penalty, s) for s in range(end - least + 1) if s in best)
+    cuts, at = [], len(x)
+    while at:
+        at = back[at]
+        cuts.append(at)
+    return cuts[::-1]
+
+
+@pytest.mark.parametrize("penalty", [3.0, 12.0, 60.0])
+def test_dropped_starts_are_never_best(penalty):
+    g = np.random.default_rng(int(penalty))
+    for least in (1, 2, 6):
+        x, y = np.repeat(g.normal(0, 2, 12), 9) + g.normal(0, 0.5, 108), np.repeat(g.normal(0, 1, 9), 12) + g.normal(0, 0.5, 108)
+        assert copynumber.segment(x, y, (0.5, 0.6), penalty, least).tolist() == brute_segments(x, y, (0.5, 0.6), penalty, least)
+
+
+def test_windows_agree_with_one_search(spark):
+    """Cuts near window borders, in a last window that begins early, and none that only a window's end suggests."""
+    g = np.random.default_rng(12)
+    for n in (330, 415, 620):
+        level = np.concatenate([np.full(37, v) for v in g.permutation(n // 37 + 1)])[:n].astype(float)
+        x, y = level + g.normal(0, 0.05, n), 0.4 + g.normal(0, 0.01, n)
+        d = spark.createDataFrame([("c", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "ctg string, pos long, logr double, baf double")
+        want = [k for k in range(n) if k == 0 or level[k] != level[k - 1]]
+        assert [r.start for r in copynumber.segments(d, 70.0, width=200, margin=30).orderBy("start").collect()] == want
+
+
+def test_running_medians_of_blocks(spark):
+    g = np.random.default_rng(13)
+    rows = [(k, i, float(v)) for k, n in (("a", 400), ("b", 51), ("c", 30), ("d", 1), (None, 263)) for i, v in enumerate(g.normal(0, 1, n))]
+    got = sequences.winsorise(spark.createDataFrame(rows, "k string, i int, v double"), ["k"], "i", "v", block=60).collect()
+    assert len(got) == len(rows)
+    for k in ("a", "b", "c", "d", None):
+        x = np.array([v for q, _, v in rows if q == k])
+        half = min(25, (len(x) - 1) // 2)
+        m = np.array([np.median(np.pad(x, half, mode="symmetric")[i : i + 2 * half + 1]) for i in range(len(x))])
+        z = 2.5 * np.median(np.abs(x - m - np.median(x - m)))
+        want = m + np.clip(x - m, -z, z)
+        assert np.allclose([r.winsorised for r in sorted((r for r in got if r.k == k), key=lambda r: r.i)], want)
+
+
 @pytest.mark.parametrize("block", [50, 80, 1000])
 def test_segments_by_the_second_track(spark, block):
     g = np.random.default_rng(8)
     logr, baf = g.normal(0, 0.05, 200), np.concatenate([g.normal(0.42, 0.01, 80), g.normal(0.1, 0.01, 120)])
     rows = [(c, 10 * i, float(x), float(y)) for c in ("a", "b") for i, (x, y) in enumerate(zip(logr, baf if c == "a" else np.full(200, 0.4) + g.normal(0, 0.01, 200), strict=True))]
-    got = copynumber.segments(spark.createDataFrame(rows, "ctg string, pos long, logr double, baf double"), 40.0, block=block).orderBy("ctg", "start").collect()
+    got = copynumber.segments(spark.createDataFrame(rows, "ctg string, pos long, logr double, baf double"), 70.0, width=block, margin=block // 5).orderBy("ctg", "start").collect()
     assert [(r.ctg, r.start, r.end, r.n) for r in got] == [("a", 0, 790, 80), ("a", 800, 1990, 120), ("b", 0, 1990, 200)]
 
 
@@ -144,7 +191,7 @@ def test_segments_by_both_tracks_together(spark):
 
     def sizes(x, y):
         rows = [("c", i, float(a), float(b)) for i, (a, b) in enumerate(zip(0.1 * noise + x * step, 0.2 + 0.01 * noise + y * step, strict=True))]
-        return [r.n for r in copynumber.segments(spark.createDataFrame(rows, "ctg string, pos long, logr double, baf double"), 45.0, block=40).collect()]
+        return [r.n for r in copynumber.segments(spark.createDataFrame(rows, "ctg string, pos long, logr double, baf double"), 200.0).collect()]
 
     assert sizes(0.27, 0.0) == [80] and sizes(0.0, 0.027) == [80] and sizes(0.27, 0.027) == [40, 40]
 
@@ -225,30 +272,94 @@ def test_copy_number_tags(spark):
     t = spark.createDataFrame(pairs, "ctg string, pos long, a long, b long")
     n = t.select("ctg", "pos", F.lit(20).cast("long").alias("a"), F.lit(20).cast("long").alias("b"))
     c = spark.createDataFrame([("chr1", 50, 20, 40), ("chr1", 300, 5, 60), ("chr1", 300, 5, 60), ("chr2", 7, 1, 9)], "ctg string, pos long, alt int, depth int")
-    rhos, psis = [x / 10 for x in range(2, 11)], [1.5, 2.0, 2.5, 3.0]
-    got = pipelines.tag_by_copies(c, t, n, rhos, psis)
+    got = pipelines.tag_by_copies(c, t, n)
     found = [(r.ctg, r.pos, r.verdict is None) for r in got.orderBy("ctg", "pos").collect()]
     assert found == [("chr1", 50, False), ("chr1", 300, False), ("chr1", 300, False), ("chr2", 7, True)]
 
 
-def test_purity_between_coarse_steps(spark):
-    """Segments of a sample of purity 0.5 and ploidy 2.5, and the whole grid by brute force."""
-    rho, psi = 0.5, 2.5
+def made_segments(rho, psi, states):
+    """(ctg, n, logr, baf) of segments (n, major, minor) at a purity and ploidy."""
     total = 2 * (1 - rho) + rho * psi
-    segs = [(f"c{i}", n, float(np.log2((2 * (1 - rho) + rho * (a + b)) / total)), (1 - rho + rho * a) / (2 * (1 - rho) + rho * (a + b))) for i, (n, a, b) in enumerate([(300, 1, 1), (200, 0, 1), (400, 1, 2), (300, 1, 3), (150, 0, 2)])]
-    d = spark.createDataFrame(segs, "ctg string, n long, logr double, baf double")
-    _, n, r, f = (np.array(x) for x in zip(*segs, strict=True))
-    w, cells = n * np.where(f == 0.5, 0.05, 1.0), np.zeros((len(copynumber.RHOS), len(copynumber.PSIS)))
+    rows = []
+    for i, (n, major, minor) in enumerate(states):
+        own = 2 * (1 - rho) + rho * (major + minor)
+        rows.append((f"c{i}", n, float(np.log2(own / total)), float((1 - rho + rho * minor) / own)))
+    return rows
+
+
+def brute_purity(rows, shift=(0.01, 0.05), lowest=1.5, highest=5.5):
+    """The four stages over the whole grid, by loops."""
+    n, r, f = (np.array(x, float) for x in list(zip(*rows, strict=True))[1:])
+    w = n * np.where(f == 0.5, 0.05, 1.0)
+    loose = np.where(f == 0.5, 0.0, n)
+
+    def both(p, q):
+        t = 2.0**r * (2 * (1 - p) + p * q)
+        return (p - 1 - (f - 1) * t) / p, (p - 1 + f * t) / p
+
+    cells, info = {}, {}
     for i, p in enumerate(copynumber.RHOS):
         for j, q in enumerate(copynumber.PSIS):
-            t = 2.0**r * (2 * (1 - p) + p * q)
-            low = np.minimum((p - 1 - (f - 1) * t) / p, (p - 1 + f * t) / p)
+            x, y = both(p, q)
+            low = x if x.sum() < y.sum() else y
             cells[i, j] = ((low - np.maximum(np.round(low), 0)) ** 2 * w).sum()
-    got = pipelines.fit_purity(d, copynumber.RHOS, copynumber.PSIS).first()
-    assert cells.shape == (96, 101) and (got.rho, got.psi) == (rho, psi)
-    i, j = copynumber.RHOS.index(got.rho), copynumber.PSIS.index(got.psi)
-    near = cells[max(0, i - 3) : i + 4, max(0, j - 3) : j + 4]
-    assert got.distance == pytest.approx(cells[i, j], abs=1e-9) and (near <= cells[i, j]).sum() == 1
+            x, y = both(p + shift[0], q + shift[1])
+            none = (np.round(x) == 0).astype(int) + (np.round(y) == 0)
+            odd = np.round(x) % 2 != np.round(y) % 2
+            info[i, j] = ((x + y) @ n / n.sum(), (1 - cells[i, j] / (0.25 * w).sum()) * 100, none @ n / n.sum(), none @ loose / loose.sum() if loose.sum() else 0.0, odd @ n / n.sum())
+    aberrant = loose.sum() > 0.03 * n.sum() or loose.max() > 0.005 * n.sum()
+    big_i, big_j = len(copynumber.RHOS), len(copynumber.PSIS)
+    for stage in (1, 2, 3, 4):
+        d = {c: 1e20 if stage > 2 and copynumber.RHOS[c[0]] + shift[0] > 1.000001 else v for c, v in cells.items()}
+        found = []
+        for (i, j), m in d.items():
+            if not (3 <= i < big_i - 3 and 3 <= j < big_j - 3) or any(d[a, b] <= m for a in range(i - 3, i + 4) for b in range(j - 3, j + 4) if (a, b) != (i, j)):
+                continue
+            ploidy, good, zero, zero_loose, uneven = info[i, j]
+            if good <= 60 or copynumber.RHOS[i] + shift[0] < 0.2:
+                continue
+            wide, narrow = aberrant and lowest < ploidy < highest, 1.7 < ploidy < 2.3
+            if [wide and zero > 0.02, narrow and zero_loose > 0.1, wide and (zero_loose > 0.1 or zero > 0.02 or uneven > 0.05), narrow][stage - 1]:
+                found.append((m, i, j))
+        if found:
+            m, i, j = min(found)
+            return round(min(1.0, copynumber.RHOS[i] + shift[0]), 6), round(copynumber.PSIS[j] + shift[1], 6), stage, m
+    return None
+
+
+PURITIES = [
+    (0.5, 2.5, [(300, 1, 1), (200, 1, 0), (400, 2, 1), (300, 3, 1), (150, 2, 0)]), (0.8, 2.0, [(900, 1, 1), (60, 2, 1), (40, 1, 0)]),
+    (0.6, 3.1, [(300, 2, 2), (300, 3, 2), (300, 2, 1)]), (0.7, 2.0, [(5000, 1, 1)]), (0.98, 2.2, [(500, 1, 1), (200, 2, 1), (9, 1, 0)]),
+]
+
+
+@pytest.mark.parametrize(("rho", "psi", "states"), PURITIES)
+def test_purity_stages(spark, rho, psi, states):
+    rows = made_segments(rho, psi, states)
+    got = pipelines.fit_purity(spark.createDataFrame(rows, "ctg string, n long, logr double, baf double")).first()
+    want = brute_purity(rows)
+    assert (got is None) == (want is None)
+    if got:
+        assert (got.rho, got.psi, got.stage) == want[:3] and got.distance == pytest.approx(want[3], abs=1e-9)
+
+
+def test_purity_of_a_known_sample(spark):
+    rows = made_segments(*PURITIES[0])
+    got = copynumber.best_purity(copynumber.purity_grid(spark.createDataFrame(rows, "ctg string, n long, logr double, baf double"), copynumber.RHOS, copynumber.PSIS)).first()
+    assert (got.rho, got.psi, got.stage) == (0.5, 2.5, 1) and got.ploidy == pytest.approx(sum(n * (a + b) for n, a, b in PURITIES[0][2]) / sum(n for n, *_ in PURITIES[0][2]))
+
+
+def test_whole_copies(spark):
+    d = spark.createDataFrame([("a", 0.0, 0.5), ("b", -3.0, 0.2), ("c", 0.58, 0.5), ("d", 0.3, 0.4)], "ctg string, logr double, baf double")
+    rho, psi = 0.8, 2.0
+    for r in copynumber.whole_copies(d, rho, psi).collect():
+        t = 2**r.logr * (2 * (1 - rho) + rho * psi)
+        x, y = (rho - 1 - (r.baf - 1) * t) / rho, (rho - 1 + r.baf * t) / rho
+        x, y = (0, 0) if x + y < 0 else (0, x + y) if x < 0 else (x + y, 0) if y < 0 else (x, y)
+        a, b = round(x), round(y)
+        if r.baf == 0.5:
+            a, b = a + (x + y > a + b + 0.5), b - (x + y < a + b - 0.5)
+        assert (r.major, r.minor) == (max(a, b), min(a, b))
 
 
 def test_calls_round_trip(spark, tmp_path):
@@ -311,3 +422,83 @@ def test_jitter(spark):
     d = spark.range(2000).select(examples.jittered(F.array(F.lit(50), F.lit(1), F.lit(90)), F.col("id")).alias("q")).collect()
     x = np.array([r.q[0] for r in d])
     assert abs(x.mean() - 50) < 0.5 and 4.5 < x.std() < 5.5 and all(1 <= v <= 90 for r in d for v in r.q)
+
+
+def test_beta_takes_the_last_entry_below(spark):
+    d = spark.createDataFrame([(u,) for u in (0.0, 0.002, 0.00288, 0.05, 0.5, 0.9999)], "u double")
+    assert [r[0] for r in d.select(sampling.beta_fraction(F.col("u"))).collect()] == [0.0, 0.0, 0.01, 0.05, 0.25, 0.98]
+
+
+def test_indel_transitions(spark):
+    s = "ctg string, pos long, ref string, alt string, dp int, af double, alts int"
+    n = [("c", p, "A", "AT", 20, 0.5, 1) for p in range(8)] + [("c", 8, "A", "AT", 14, 0.5, 1), ("c", 9, "A", "AT", 20, 0.7, 1), ("c", 10, "A", "AT", 20, 0.5, 2), ("c", 11, "A", "AT", 15, 0.4, 1)]
+    t = [("c", 1, "A", "AT", 20, 0.0, 1), ("c", 2, "A", "AT", 20, 0.8, 1), ("c", 3, "A", "AG", 20, 0.5, 1), ("c", 4, "A", "AT", 14, 0.5, 1), ("c", 5, "A", "AT", 20, 0.9, 2), ("c", 6, "A", "AT", 20, 0.89, 2), ("c", 7, "AT", "A", 20, 1.0, 2)]
+    got = {r.pos: r.transition for r in paired.indel_transitions(spark.createDataFrame(n, s), spark.createDataFrame(t, s)).collect()}
+    assert got == {0: "lost", 1: "kept", 2: "kept", 3: None, 4: None, 5: "fixed", 6: None, 7: None, 11: "lost"}
+
+
+def test_two_truths_at_a_site(spark):
+    truth = spark.createDataFrame([("chr1", 5, "A", "C"), ("chr1", 5, "A", "G")], "ctg string, pos long, ref string, alt string")
+    obs = spark.createDataFrame(reads(5, "A", "normal", "AAAAAC") + reads(5, "A", "tumor", "ACGG"), OBS)
+    none = spark.createDataFrame([], "ctg string, pos long, depth long, af double, normal_depth long, normal_af double")
+    got = {r.alt: (r.ndp, r.tdp, r.nalt, r.talt) for r in sites.allele_support(truth, none, obs).collect()}
+    assert got == {"C": (6, 4, 1, 1), "G": (6, 4, 0, 2)}
+
+
+def test_germline_window_is_open_at_its_start(spark):
+    p = spark.createDataFrame([("c", 500)], "ctg string, pos long")
+    o = spark.createDataFrame([("c", x) for x in (400, 401, 500, 600, 601)], "ctg string, opos long")
+    assert sorted(r.opos for r in intervals.neighbours(p, o, 100).collect()) == [401, 600]
+
+
+def test_long_insertions_around_a_call(spark):
+    calls_ = spark.createDataFrame([("c", 1, 0.5), ("c", 2, 0.95), ("c", 3, 0.5), ("c", 4, 0.5)], "ctg string, pos long, qual double")
+    own = spark.createDataFrame([("c", p, f"r{k}") for p in (1, 2, 3, 4) for k in range(2)], "ctg string, pos long, qname string")
+    seen = [(1, "+" + "A" * 13), (2, "+" + "A" * 13), (3, "+" + "A" * 12), (4, "+AA"), (4, "-" + "N" * 40), (4, "")]
+    around = spark.createDataFrame([("c", p, p + 9, i) for p, i in seen], "ctg string, pos long, opos long, indel string")
+    got = {r.pos: r.fail_insertions for r in haplotype.long_insertions(calls_, own, around).collect()}
+    assert got == {1: True, 2: False, 3: False}
+    wide = spark.createDataFrame([("c", 1, 9, "+" + "A" * 5000)], "ctg string, pos long, opos long, indel string")
+    many = spark.createDataFrame([("c", 1, f"r{k}") for k in range(34)], "ctg string, pos long, qname string")
+    assert not haplotype.long_insertions(calls_, many, wide).first().fail_insertions  # 200 bases count, of 34 reads
+
+
+def test_rows_with_null_keys_stay(spark):
+    d = spark.createDataFrame([("a", 1), ("a", None), (None, 2), ("b", 3), ("b", None)], "label string, k long")
+    assert sorted(map(tuple, sampling.cap_ratio(d, "label", "a", {"b": 1.0}, "k").collect()), key=str) == sorted([("a", 1), ("a", None), (None, 2), ("b", 3), ("b", None)], key=str)
+    assert sampling.cap_ratio(d, "label", "a", {"b": 0.5}, "k").filter("label = 'b'").collect() == [("b", 3)]
+    x = spark.createDataFrame([(t, i, float(i), i > 2) for t in ("t", None) for i in range(10)], "t string, i int, v double, f boolean")
+    assert sorted((r.t or "", r.i) for r in sequences.percentile_cut(x, ["t"], "v", 0.65).collect()) == sorted((t, i) for t in ("t", "") for i in (7, 8, 9))
+    assert {(r.t, r.length) for r in sequences.homozygous_stretches(x, ["t"], "i", "f", 0.5).collect()} == {("t", 7), (None, 7)}
+
+
+def test_copy_numbers_from_base_counts(spark):
+    """A sample of purity 0.8 in which one contig has lost an allele: from counts of four bases to verdicts."""
+    g = np.random.default_rng(15)
+    rho = 0.8
+    rows, table_ = [], []
+    for ctg, (a, b), n in (("chr1", (1, 1), 900), ("chr2", (1, 0), 700), ("chr3", (2, 1), 500)):
+        for i in range(n):
+            first, second = g.choice([1, 2, 3, 4], 2, replace=False).tolist()
+            share = (1 - rho + rho * (a if i % 2 else b)) / (2 * (1 - rho) + rho * (a + b))
+            t, u = [0] * 4, [0] * 4
+            depth = g.poisson(100 * (2 * (1 - rho) + rho * (a + b)) / 2)
+            t[first - 1] = g.binomial(depth, share)
+            t[second - 1] = depth - t[first - 1]
+            u[first - 1], u[second - 1] = g.binomial(50, 0.5), 25
+            rows.append((ctg, 10 * i, t, u))
+            table_.append((ctg, 10 * i, first, second))
+    c = "ctg string, pos long, count_a long, count_c long, count_g long, count_t long"
+    side = lambda k: spark.createDataFrame([(ctg, pos, *map(int, x[k])) for ctg, pos, *x in rows], c)
+    alleles_ = spark.createDataFrame(table_, "ctg string, pos long, first int, second int")
+    track = pipelines.copy_number_track(side(0), side(1), alleles_)
+    assert track.count() == len(rows) and track.filter("not hom").count() > 0.95 * len(rows)
+    lost = calls_at = spark.createDataFrame([("chr2", 500, 20, 40), ("chr9", 1, 5, 50)], "ctg string, pos long, alt int, depth int")
+    got = {r.ctg: (r.verdict is not None, r.purity, r.major, r.minor) for r in pipelines.tag_by_counts(calls_at, side(0), side(1), alleles_).collect()}
+    assert got["chr2"][2:] == (1, 0) and abs(got["chr2"][1] - rho) < 0.06 and got["chr2"][0] and not got["chr9"][0] and lost.count() == 2
+
+
+def test_coded_alleles(spark):
+    k = spark.createDataFrame([("c", 1, 5, 6, 7, 8), ("c", 2, 1, 2, 3, 4), ("c", 3, 1, 1, 1, 1)], "ctg string, pos long, count_a long, count_c long, count_g long, count_t long")
+    a = spark.createDataFrame([("c", 1, 1, 4), ("c", 2, 0, 5), ("c", 4, 1, 2)], "ctg string, pos long, first int, second int")
+    assert sorted(map(tuple, copynumber.allele_pairs(k, a).collect())) == [("c", 1, 5, 8), ("c", 2, 0, 0)]

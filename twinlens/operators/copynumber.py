@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions.quality import expected_fractions
+from twinlens.operators import intervals, sequences
 from twinlens.operators.lineage import reliable, small
+from twinlens.operators.sequences import local_minima
 
 SITE = ["ctg", "pos"]
-#: The grid of the search for purity and ploidy.
-RHOS, PSIS = [x / 100 for x in range(10, 106)], [x / 100 for x in range(100, 601, 5)]
+#: The grid of the search for purity and ploidy, and how far beyond a cell its purity and ploidy are named.
+RHOS, PSIS, SHIFT = [x / 100 for x in range(10, 105)], [x / 100 for x in range(100, 600, 5)], (0.01, 0.05)
+
+
+def allele_pairs(counts: DataFrame, alleles: DataFrame) -> DataFrame:
+    """(ctg, pos, a, b): reads of a place's two alleles, of its base counts (ctg, pos, count_a, ... count_t) and a table of
+    alleles (ctg, pos, first, second) with 1 to 4 for A, C, G, T. Places that either lacks are left out; another code
+    has no reads."""
+    of = lambda c: F.coalesce(F.get(F.array(*(F.col(f"count_{x}") for x in "acgt")), F.col(c).cast("int") - 1), F.lit(0)).cast("long")
+    return counts.join(alleles.select(*SITE, "first", "second"), SITE).select(*SITE, of("first").alias("a"), of("second").alias("b"))
 
 
-def depth_ratios(tumor: DataFrame, normal: DataFrame | None = None) -> DataFrame:
+def depth_ratios(tumor: DataFrame, normal: DataFrame | None = None, min_normal: int = 1) -> DataFrame:
     """logr = log2 of the tumor's depth over its mean, less the normal's; baf: the share of one of two alleles.
 
     tumor and normal have ctg, pos, a, b (reads of the two alleles). Which allele counts is a coin of the place, so
-    that it is the same on each run. Places without reads are left out.
+    that it is the same on each run. Places without reads are left out, and those with under min_normal in the normal.
     """
     t = tumor.select(*SITE, "a", "b", (F.col("a") + F.col("b")).alias("t")).filter("t > 0")
     if normal is not None:
-        t = t.join(normal.select(*SITE, (F.col("a") + F.col("b")).alias("n")).filter("n > 0"), SITE)
+        t = t.join(normal.select(*SITE, (F.col("a") + F.col("b")).alias("n")).filter(F.col("n") >= min_normal), SITE)
     means = t.agg(F.avg("t").alias("mt"), *([F.avg("n").alias("mn")] if normal is not None else []))
     d = t.crossJoin(F.broadcast(means))  # one row
     ratio = F.log2(F.col("t") / F.col("mt"))
@@ -99,31 +107,29 @@ def homozygous(df: DataFrame, low: float = 0.3, high: float = 0.7) -> DataFrame:
     return df.withColumn("hom", (F.col("baf") < low) | (F.col("baf") > high))
 
 
-def spread(x: np.ndarray) -> float:
-    """The noise of a track, by the differences of its neighbours; 0 if there are none."""
-    return float(np.median(np.abs(np.diff(x))) * 1.4826 / math.sqrt(2)) if len(x) > 1 else 0.0
-
-
-def segment(logr: np.ndarray, baf: np.ndarray, penalty: float = 1000.0, least: int = 6) -> np.ndarray:
-    """The first index of each segment: the least sum of squares of both tracks around segment means, scaled by their
-    spread, and a penalty for each segment; segments have so many points at least. Exact, by dynamic programming."""
+def segment(logr: np.ndarray, baf: np.ndarray, scales: tuple[float, float], penalty: float = 1000.0, least: int = 6) -> np.ndarray:
+    """The first index of each segment: the least sum of squares of both tracks around segment means, each by its own
+    scale, and a penalty for each further segment; segments have so many points at least. Exact: all ends in order, for
+    each one all starts that can still be best (a start that a later end beats by more than a segment costs is dropped
+    for good)."""
     n = len(logr)
     if n < 2 * least:
         return np.array([0] if n else [], int)
-    tracks = []
-    for x in (logr, baf):
-        tracks.append((x - np.median(x)) / (spread(x) or 1.0))
-    y = np.stack(tracks)
+    y = np.stack([(logr - logr.mean()) / scales[0], (baf - baf.mean()) / scales[1]])
     c = np.concatenate([np.zeros((2, 1)), np.cumsum(y, axis=1)], axis=1)
+    squares = np.concatenate([[0], np.cumsum((y * y).sum(0))])
     best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = -penalty
-    squares = np.concatenate([[0], np.cumsum((y * y).sum(0))])
+    starts, dropped = np.array([0]), {}
     for end in range(least, n + 1):
-        starts = np.arange(0, end - least + 1)
-        cost = squares[end] - squares[starts] - (((c[:, end, None] - c[:, starts]) ** 2).sum(0) / (end - starts))
-        total = best[starts] + cost + penalty
-        k = int(np.argmin(total))
-        best[end], back[end] = total[k], k
+        if end - least >= least:
+            starts = np.append(starts, end - least)
+        starts = np.setdiff1d(starts, dropped.pop(end, np.array([], int)), assume_unique=True)
+        cost = best[starts] + squares[end] - squares[starts] - ((c[:, end, None] - c[:, starts]) ** 2).sum(0) / (end - starts)
+        k = int(np.argmin(cost))
+        best[end], back[end] = cost[k] + penalty, starts[k]
+        # beaten here by more than a cut costs: never best for an end from which a segment fits in between
+        dropped[end + least] = np.union1d(dropped.get(end + least, np.array([], int)), starts[cost >= best[end]])
     cuts, at = [], n
     while at > 0:
         at = int(back[at])
@@ -132,56 +138,58 @@ def segment(logr: np.ndarray, baf: np.ndarray, penalty: float = 1000.0, least: i
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """df with index, the row's number in its contig by place, from 0: a range-partitioned sort and the counts of the
-    partitions before, so that no task holds a contig."""
-    ordered = reliable(
-        df.repartitionByRange(*SITE).sortWithinPartitions(*SITE)
-        .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    )
-    # a row for each contig in a partition
-    parts = ordered.groupBy("ctg", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("ctg").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(F.col("ctg").alias("_ctg"), F.col("_part").alias("_of"), (before - F.col("_first")).alias("_shift"))
-    joined = ordered.join(small(parts, parts.count()), F.col("ctg").eqNullSafe(F.col("_ctg")) & (F.col("_part") == F.col("_of")))
-    return joined.withColumn("index", F.col("_at") + F.col("_shift")).select(*df.columns, "index")
+    """df with index, the row's number in its contig by place, from 0."""
+    return sequences.numbered(df, ["ctg"], "pos")
+
 
+#: Places of a window of the segmentation, and how many at its ends lend their context only.
+WINDOW, MARGIN = 1000, 100
 
-def segments(df: DataFrame, penalty: float = 70.0, least: int = 6, block: int = 1000) -> DataFrame:
-    """Segments (ctg, start, end, n, logr, baf) of (ctg, pos, logr, baf): the joint segmentation above, by blocks of so
-    many neighbouring places; the segments on both sides of a block border join unless a cut between them pays, by both
-    tracks and in the scale of the two blocks. Cuts within a block stay.
 
-    The search is quadratic in a block and the blocks are dealt out, so that a long contig is not one task.
+def segments(df: DataFrame, penalty: float = 70.0, least: int = 6, width: int = WINDOW, margin: int = MARGIN) -> DataFrame:
+    """Segments (ctg, start, end, n, logr, baf) of heterozygous places (ctg, pos, logr, baf), by both tracks together.
+
+    A contig is cut into windows that overlap by twice the margin; each is searched exactly, on its own scale, and cuts
+    count where the window is not near its end. The last window of a contig begins early enough to have twice the
+    margin, and gives only cuts beyond those of the windows before it. Windows are dealt out, so that a contig is not
+    one task; segments meet their places again by a range join. baf is the mean distance from one half, below it, and
+    one half where that is within noise.
     """
-    d = numbered(df.select("ctg", "pos", "logr", F.least("baf", 1 - F.col("baf")).alias("baf")))
-    d = d.withColumn("block", F.floor(F.col("index") / block))
+    step = width - 2 * margin + 1
+    d = numbered(df.select("ctg", "pos", "logr", "baf"))
+    sizes = reliable(d.groupBy("ctg").agg((F.max("index") + 1).alias("size")))
+    d = reliable(d.join(small(sizes, sizes.count()), "ctg"))
+    last = F.greatest(F.ceil((F.col("size") + 2 * margin - width) / step), F.lit(0)).cast("long")
+    k = F.floor((F.col("index") + margin) / step)
+    begin = lambda w: F.when((w == F.col("last")) & (w > 0), F.least(w * step - margin, F.col("size") - 2 * margin)).otherwise(w * step - margin)
+    wide = d.withColumn("last", last).withColumn("window", F.explode(F.array_distinct(F.array(k, k - 1, F.col("last")))))
+    wide = wide.filter((F.col("window") >= 0) & (F.col("window") <= F.col("last"))).withColumn("begin", begin(F.col("window")))
+    wide = wide.filter((F.col("index") >= F.col("begin")) & (F.col("index") < F.col("begin") + width))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("index")
-        x, y, p = frame["logr"].to_numpy(), frame["baf"].to_numpy(), frame["pos"].to_numpy()
-        cuts = segment(x, y, penalty, least)
-        ends = np.append(cuts[1:], len(x))
-        return pd.DataFrame({
-            "ctg": frame["ctg"].iloc[0], "block": frame["block"].iloc[0], "start": p[cuts], "end": p[ends - 1], "n": ends - cuts,
-            "logr": [x[a:b].mean() for a, b in zip(cuts, ends, strict=True)], "baf": [y[a:b].mean() for a, b in zip(cuts, ends, strict=True)],
-            "size": len(x), "logr_spread": spread(x), "baf_spread": spread(y),
-        })
-
-    s = d.groupBy("ctg", "block").applyInPandas(run, "ctg string, block long, start long, end long, n long, logr double, baf double, size long, logr_spread double, baf_spread double")
-    w = Window.partitionBy("ctg").orderBy("block", "start")
-    was = lambda c: F.lag(c).over(w)
-    gain = F.lit(0.0)
-    for c in ("logr", "baf"):
-        square = lambda x: x * x
-        scale = (square(F.col(f"{c}_spread")) * F.col("size") + square(was(f"{c}_spread")) * was("size")) / (F.col("size") + was("size"))
-        gain = gain + square(F.col(c) - was(c)) / F.when(scale > 0, scale).otherwise(1.0)
-    gain = gain * F.col("n") * was("n") / (F.col("n") + was("n"))
-    # the last block of a contig may be shorter than a segment
-    joins = (F.col("block") != was("block")) & ((gain <= penalty) | (F.least("n", was("n")) < least))
-    new = F.when(joins, 0).otherwise(1)
-    g = s.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
-    return g.groupBy("ctg", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), mean("logr"), mean("baf")).drop("_g")
+        x, y, at = frame["logr"].to_numpy(), frame["baf"].to_numpy(), frame["index"].to_numpy()
+        flipped, begin, size = np.minimum(y, 1 - y), int(frame["begin"].iloc[0]), int(frame["size"].iloc[0])
+        scales = (sequences.noise(x), sequences.noise(flipped))
+        fine = bool(np.isfinite(scales).all() and min(scales) > 0)
+        cuts = at[segment(x, flipped, scales, penalty, least)] if fine else np.array([], int)
+        cuts = cuts[(cuts >= max(1, begin + margin)) & (cuts <= min(size, begin + width - margin))]
+        return pd.DataFrame({"ctg": frame["ctg"].iloc[0], "window": frame["window"].iloc[0], "last": frame["last"].iloc[0], "cuts": [cuts.tolist()], "noise": scales[1] if fine else None})
+
+    found = wide.select("ctg", "window", "last", "begin", "size", "index", "logr", "baf").groupBy("ctg", "window")
+    found = reliable(found.applyInPandas(run, "ctg string, window long, last long, cuts array<long>, noise double"))
+    noise = found.groupBy("ctg").agg(F.coalesce(F.sqrt(F.avg(F.col("noise") * F.col("noise"))), F.lit(0.0)).alias("noise"))
+    cuts = found.select("ctg", "window", "last", F.explode("cuts").alias("cut"))
+    before = cuts.filter("window < last").groupBy("ctg").agg(F.max("cut").alias("before"))
+    cuts = cuts.join(before, "ctg", "left").filter("window < last or before is null or cut > before").select("ctg", F.col("cut").alias("rstart"))
+    edges = cuts.unionByName(sizes.select("ctg", F.lit(0).cast("long").alias("rstart"))).distinct()
+    ends = F.lead("rstart").over(Window.partitionBy("ctg").orderBy("rstart"))  # a row for each segment
+    bounds = edges.withColumn("rend", ends).join(sizes, "ctg").select("ctg", "rstart", F.coalesce("rend", "size").alias("rend"))
+    joined = intervals.point_join(d.select("ctg", (F.col("index") + 1).alias("pos"), F.col("pos").alias("place"), "logr", "baf"), bounds, 4 * width)
+    off = F.avg(F.abs(F.col("baf") - 0.5))
+    by = joined.groupBy("ctg", "rstart").agg(F.min("place").alias("start"), F.max("place").alias("end"), F.count("*").alias("n"), F.avg("logr").alias("logr"), off.alias("off"))
+    within = F.sqrt(F.col("noise") * F.col("noise") + F.col("off") * F.col("off")) < 2 * F.col("noise")
+    return by.join(noise, "ctg").select("ctg", "start", "end", "n", "logr", F.when(within, 0.5).otherwise(0.5 - F.col("off")).alias("baf"))
 
 
 def copies(logr: Column, baf: Column, rho: Column, psi: Column, gamma: float = 1.0) -> tuple[Column, Column]:
@@ -190,48 +198,78 @@ def copies(logr: Column, baf: Column, rho: Column, psi: Column, gamma: float = 1
     return (rho - 1 - (baf - 1) * total) / rho, (rho - 1 + baf * total) / rho
 
 
-def purity_grid(segs: DataFrame, rhos: list[float], psis: list[float]) -> DataFrame:
-    """For each purity and ploidy on a small grid: the distance of the segments' minor copies from whole numbers,
-    weighted by length and, balanced ones, by 0.05; goodness of fit in percent; ploidy; the share without minor copies.
+def purity_grid(segs: DataFrame, rhos: list[float], psis: list[float], shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """For each purity and ploidy on a grid: the distance of the segments' minor copies from whole numbers, weighted by
+    length and, balanced ones, by 0.05; goodness of fit in percent; ploidy; and shares of the length: zero, without
+    copies of an allele (both counted); zero_aberrant, the same of unbalanced segments alone; uneven, with one odd and
+    one even number. The minor allele is the one with fewer copies in all. aberrant: unbalanced segments are over 0.03
+    of the length or one of them over 0.005.
 
+    rho and psi are named, and ploidy and shares taken, a shift beyond the cell at which the distance is measured.
     Segments meet the grid, whose size is fixed, by a broadcast; each cell is then a sum.
     """
-    grid = segs.sparkSession.range(1).select(F.explode(F.array(*(F.lit(float(r)) for r in rhos))).alias("rho")).withColumn("psi", F.explode(F.array(*(F.lit(float(p)) for p in psis))))
-    a, b = copies(F.col("logr"), F.col("baf"), F.col("rho"), F.col("psi"))
-    w = F.col("n") * F.when(F.col("baf") == 0.5, 0.05).otherwise(1.0)
-    d = segs.crossJoin(F.broadcast(grid)).withColumns({"na": a, "nb": b}).withColumn("minor", F.least("na", "nb")).withColumn("w", w)
-    off = F.pow(F.col("minor") - F.greatest(F.round("minor"), F.lit(0.0)), F.lit(2.0))
-    by = d.groupBy("rho", "psi").agg(
-        F.sum(off * F.col("w")).alias("distance"), F.sum(F.lit(0.25) * F.col("w")).alias("worst"),
-        (F.sum((F.col("na") + F.col("nb")) * F.col("n")) / F.sum("n")).alias("ploidy"),
-        (F.sum(F.when(F.round("minor") == 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("zero"),
-    )
-    return by.select("rho", "psi", "distance", ((1 - F.try_divide("distance", "worst")) * 100).alias("goodness"), "ploidy", "zero")
-
-
-def best_purity(grid: DataFrame, minima: DataFrame) -> DataFrame:
-    """The best local minimum, by four stages of rules, each weaker; the first stage that has one decides."""
-    m = minima.select("rho", "psi")
-    d = grid.join(m, ["rho", "psi"])
-    fit = (F.col("rho") >= 0.2) & (F.col("goodness") > 60)
-    stage = (
-        F.when(fit & F.col("ploidy").between(1.5, 5.5) & (F.col("zero") > 0.02), 1)
-        .when(fit & F.col("ploidy").between(1.7, 2.3) & (F.col("zero") > 0.1), 2)
-        .when(fit & F.col("ploidy").between(1.5, 5.5) & (F.col("rho") <= 1), 3)
-        .when(fit & F.col("ploidy").between(1.7, 2.3), 4)
+    cells = [(i, j, float(r), float(p)) for i, r in enumerate(rhos) for j, p in enumerate(psis)]
+    grid = segs.sparkSession.createDataFrame(cells, "rho_at int, psi_at int, r double, p double")
+    grid = grid.withColumns({"rho": F.round(F.col("r") + shift[0], 6), "psi": F.round(F.col("p") + shift[1], 6)})
+    even = F.col("baf") == 0.5
+    d = segs.select("n", "logr", "baf").crossJoin(F.broadcast(grid))
+    a, b = copies(F.col("logr"), F.col("baf"), F.col("r"), F.col("p"))
+    x, y = copies(F.col("logr"), F.col("baf"), F.col("rho"), F.col("psi"))
+    d = d.withColumns({"na": a, "nb": b, "x": x, "y": y, "w": F.col("n") * F.when(even, 0.05).otherwise(1.0)})
+    off = lambda c: F.pow(F.col(c) - F.greatest(F.bround(c), F.lit(0.0)), F.lit(2.0)) * F.col("w")
+    none = (F.bround("x") == 0).cast("int") + (F.bround("y") == 0).cast("int")
+    odd = F.pmod(F.bround("x"), F.lit(2)) != F.pmod(F.bround("y"), F.lit(2))
+    share = lambda c, of: F.coalesce(F.try_divide(F.sum(c), F.sum(of)), F.lit(0.0))
+    loose = F.when(even, 0).otherwise(F.col("n"))
+    by = d.groupBy("rho_at", "psi_at", "rho", "psi").agg(
+        F.sum("na").alias("sa"), F.sum("nb").alias("sb"), F.sum(off("na")).alias("da"), F.sum(off("nb")).alias("db"), F.sum(0.25 * F.col("w")).alias("worst"),
+        share((F.col("x") + F.col("y")) * F.col("n"), F.col("n")).alias("ploidy"), share(none * F.col("n"), F.col("n")).alias("zero"), share(none * loose, loose).alias("zero_aberrant"),
+        share(odd.cast("int") * F.col("n"), F.col("n")).alias("uneven"),
+        ((F.sum(loose) > 0.03 * F.sum("n")) | (F.max(loose) > 0.005 * F.sum("n"))).alias("aberrant"),
     )
-    return d.withColumn("stage", stage).filter("stage is not null").orderBy("stage", "distance", "rho", "psi").limit(1)
+    distance = F.when(F.col("sa") < F.col("sb"), F.col("da")).otherwise(F.col("db"))
+    by = by.withColumn("distance", distance)
+    return by.select("rho_at", "psi_at", "rho", "psi", "distance", ((1 - F.try_divide("distance", "worst")) * 100).alias("goodness"), "ploidy", "zero", "zero_aberrant", "uneven", "aberrant")
+
+
+#: Least purity, least goodness of fit, shares of the stages, and the narrow range of ploidies.
+MIN_RHO, MIN_GOODNESS, MIN_ZERO, MIN_ZERO_ABERRANT, MIN_UNEVEN, NARROW = 0.2, 60.0, 0.02, 0.1, 0.05, (1.7, 2.3)
+
+
+def best_purity(grid: DataFrame, ploidies: tuple[float, float] = (1.5, 5.5)) -> DataFrame:
+    """The purity and ploidy of purity_grid, by four stages; the first one that has a local minimum decides, by the
+    least distance. One row at most: rho (1 at most), psi, stage, distance, goodness, ploidy.
+
+    1: aberrant, any ploidy, enough without an allele. 2: a narrow ploidy, enough of the unbalanced length without an
+    allele. For 3 and 4 minima are searched again with purities above 1 out. 3: aberrant, any ploidy, enough of one of
+    the three shares. 4: a narrow ploidy. The grid has a fixed size, so that it is cut from the segments first.
+    """
+    grid = reliable(grid)
+    narrow_fits = ploidies[0] < NARROW[1] and ploidies[1] > NARROW[0]
+    masked = grid.withColumn("distance", F.when(F.col("rho") > 1, 1e20).otherwise(F.col("distance")))
+    fit = (F.col("rho") >= MIN_RHO) & (F.col("goodness") > MIN_GOODNESS)
+    inside = lambda lo, hi: (F.col("ploidy") > lo) & (F.col("ploidy") < hi)
+    wide, narrow = F.col("aberrant") & inside(*ploidies), inside(*NARROW) & F.lit(narrow_fits)
+    zero, loose = F.col("zero") > MIN_ZERO, F.col("zero_aberrant") > MIN_ZERO_ABERRANT
+    stage = lambda d, first, second, k: local_minima(d, "rho_at", "psi_at", "distance").withColumn("stage", F.when(fit & first, k).when(fit & second, k + 1))
+    found = stage(grid, wide & zero, narrow & loose, 1).unionByName(stage(masked, wide & (loose | zero | (F.col("uneven") > MIN_UNEVEN)), narrow, 3))
+    best = found.filter("stage is not null").orderBy("stage", "distance", "psi_at", "rho_at").limit(1)
+    return best.select(F.least("rho", F.lit(1.0)).alias("rho"), "psi", "stage", "distance", "goodness", "ploidy")
 
 
 def whole_copies(segs: DataFrame, rho: float, psi: float) -> DataFrame:
-    """Segments with whole copies: major and minor, none below 0; balanced ones with an odd sum take the nearer one."""
+    """Segments with whole copies: major and minor. What one allele has below 0 comes off the other; of a balanced
+    segment whose sum is off by more than half a copy, one allele takes or gives it."""
     a, b = copies(F.col("logr"), F.col("baf"), F.lit(rho), F.lit(psi))
-    d = segs.withColumns({"ra": F.greatest(a, F.lit(0.0)), "rb": F.greatest(b, F.lit(0.0))})
-    total = F.round(F.col("ra") + F.col("rb"))
-    even = (F.col("baf") == 0.5) & (total % 2 == 1)
-    half = F.when(F.col("ra") + F.col("rb") >= total, total + 1).otherwise(total - 1) / 2
-    x, y = F.when(even, half).otherwise(F.round("ra")), F.when(even, half).otherwise(F.round("rb"))
-    return d.select(*segs.columns, F.greatest(x, y).cast("int").alias("major"), F.least(x, y).cast("int").alias("minor"))
+    d = segs.withColumns({"a": a, "b": b})
+    lost = F.col("a") + F.col("b") < 0
+    x = F.when(lost | (F.col("a") < 0), 0.0).when(F.col("b") < 0, F.col("a") + F.col("b")).otherwise(F.col("a"))
+    y = F.when(lost | ((F.col("b") < 0) & (F.col("a") >= 0)), 0.0).when(F.col("a") < 0, F.col("a") + F.col("b")).otherwise(F.col("b"))
+    d = d.withColumns({"x": x, "y": y})
+    rx, ry, even = F.bround("x"), F.bround("y"), F.col("baf") == 0.5
+    over = F.col("x") + F.col("y") - rx - ry
+    na, nb = rx + F.when(even & (over > 0.5), 1).otherwise(0), ry - F.when(even & (over < -0.5), 1).otherwise(0)
+    return d.select(*segs.columns, F.greatest(na, nb).cast("int").alias("major"), F.least(na, nb).cast("int").alias("minor"))
 
 
 def log_choose(n: Column, k: Column) -> Column:

@@ -65,6 +65,18 @@ def coexisting(calls: DataFrame, reads: DataFrame, mismatches: DataFrame, most:
     return by.groupBy(*CALL).agg((F.count_if(near) > most).alias("fail_together"))
 
 
+def long_insertions(calls: DataFrame, reads: DataFrame, around: DataFrame, flank: int = 100, least: int = 3, most: float = 6.0) -> DataFrame:
+    """Per call: fail_insertions, if reads at neighbouring places without germline variants (ctg, pos, opos, indel) insert
+    more than so many bases for each read of the call, counting insertions of least bases up to twice the flank, and
+    the call is of no high quality."""
+    n = F.length("indel") - 1
+    long = around.filter(F.col("indel").startswith("+") & (n >= least)).groupBy(*CALL).agg(F.sum(F.least(n, F.lit(2 * flank))).alias("inserted"))
+    depth = reads.groupBy(*CALL).agg(F.count("*").alias("depth"))
+    found = calls.select(*CALL, "qual").join(long, CALL).join(depth, CALL, "left")
+    share = F.col("inserted") / F.greatest(F.coalesce("depth", F.lit(0)), F.lit(1))
+    return found.select(*CALL, ((share > most) & (F.col("qual") < HIGH_QUAL)).alias("fail_insertions"))
+
+
 def judge(*rules: DataFrame) -> DataFrame:
     """All rules' flags by call: pass, qual 0 and LowQual for calls that fail, phased for those on one haplotype."""
     d = rules[0]

@@ -67,16 +67,17 @@ def hetero_selection(tumor: DataFrame, normal: DataFrame, min_qual: float) -> Da
 
 
 def indel_transitions(normal: DataFrame, tumor: DataFrame, depth: int = 15, het: float = 0.1, hom: float = 0.9) -> DataFrame:
-    """How heterozygous sites of the normal (ctg, pos, dp, af) go on in the tumor: lost, kept, fixed, or null."""
-    t = tumor.select(*SITE, F.col("dp").alias("tdp"), F.col("af").alias("taf"))
-    half = lambda c: F.abs(c - 0.5) <= het
-    n = normal.filter((F.col("dp") >= depth) & half(F.col("af"))).join(t, SITE, "left")
-    deep = F.col("tdp") >= depth
-    kind = (
-        F.when(F.col("tdp").isNull() | (deep & (F.col("taf") == 0)), "lost")
-        .when(deep & half(F.col("taf")), "kept").when(deep & (F.col("taf") >= hom), "fixed")
-    )
-    return n.withColumn("transition", kind)
+    """How heterozygous indels of the normal (ctg, pos, ref, alt, dp, af, alts) go on in the tumor: lost, kept, fixed, or
+    null. alts is the number of alternative alleles in the genotype.
+
+    One is lost only where the tumor has no call at all; a call of other bases, or too shallow, says nothing. A
+    heterozygous tumor call keeps it whatever its fraction, a homozygous one fixes it from the fraction hom on.
+    """
+    t = tumor.select(*SITE, F.col("ref").alias("_ref"), F.col("alt").alias("_alt"), F.col("dp").alias("_dp"), F.col("af").alias("_af"), F.col("alts").alias("_alts"), F.lit(True).alias("_there"))
+    n = normal.filter((F.col("alts") == 1) & (F.col("dp") >= depth) & F.col("af").between(0.5 - het, 0.5 + het)).join(t, SITE, "left")
+    same = (F.col("ref") == F.col("_ref")) & (F.col("alt") == F.col("_alt")) & (F.col("_dp") >= depth)
+    kind = F.when(F.col("_there").isNull(), "lost").when(same & (F.col("_alts") == 1), "kept").when(same & (F.col("_alts") == 2) & (F.col("_af") >= hom), "fixed")
+    return n.withColumn("transition", kind).drop("_ref", "_alt", "_dp", "_af", "_alts", "_there")
 
 
 def training_labels(fractions: DataFrame, depth: DataFrame) -> DataFrame:

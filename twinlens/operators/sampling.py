@@ -39,17 +39,18 @@ def cap_ratio(df: DataFrame, label: str, base: str, ratios: dict[str, float], ke
     """At most ratio times as many rows of each other label as of the base label, those with the smallest hashes.
 
     A label's limit is found by its hash threshold: rows are ranked within buckets only after whole buckets were
-    counted, so that no label is sorted in one task.
+    counted, so that no label is sorted in one task. Rows with a null label have no limit unless the base is null;
+    rows with a null key rank last in their label.
     """
-    d = df.withColumn("_u", uniform(F.col(key), seed)).withColumn("_b", F.floor(F.col("_u") * 4096))
+    d = df.withColumn("_u", F.coalesce(uniform(F.col(key), seed), F.lit(1.0))).withColumn("_b", F.floor(F.col("_u") * 4096))
     counts = d.groupBy(label, "_b").agg(F.count("*").alias("n"))
-    n = F.sum(F.when(F.col(label) == base, F.col("n")).otherwise(0)).over(Window.partitionBy())
+    n = F.sum(F.when(F.col(label).eqNullSafe(F.lit(base)), F.col("n")).otherwise(0)).over(Window.partitionBy())
     ratio = F.try_element_at(F.create_map(*(F.lit(x) for k, v in ratios.items() for x in (k, float(v)))), F.col(label))
     plan = counts.withColumn("_most", F.floor(n * ratio))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    plan = plan.withColumn("_before", before).select(label, "_b", F.col("n").alias("_n"), "_most", "_before")  # 4096 rows a label
+    plan = plan.withColumn("_before", before).select(F.col(label).alias("_label"), F.col("_b").alias("_bucket"), F.col("n").alias("_n"), "_most", "_before")  # 4097 rows a label
     rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_u", key))
-    d = d.join(plan, [label, "_b"])
+    d = d.join(plan, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_b") == F.col("_bucket")))
     sure = d.filter(F.col("_most").isNull() | (F.col("_before") + F.col("_n") <= F.col("_most")))
     edge = d.filter((F.col("_before") < F.col("_most")) & (F.col("_before") + F.col("_n") > F.col("_most"))).withColumn("_r", rank).filter(F.col("_before") + F.col("_r") <= F.col("_most"))
     return sure.select(*df.columns).unionByName(edge.select(*df.columns))
@@ -61,8 +62,8 @@ def round_robin(df: DataFrame, order: str, bins: int) -> DataFrame:
 
 
 def beta_fraction(u: Column, table: list[float] = BETA_CDF) -> Column:  # noqa: B006
-    """The allele fraction of a uniform number, by the inverse of the table: the first entry that reaches it."""
-    hit = F.array_min(F.filter(F.transform(F.array(*(F.lit(x) for x in table)), lambda c, i: F.when(c >= u, i)), lambda x: x.isNotNull()))
+    """The allele fraction of a uniform number, by the inverse of the table: the last entry that is not above it."""
+    hit = F.array_max(F.transform(F.array(*(F.lit(x) for x in table)), lambda c, i: F.when(c <= u, i)))
     return hit / 100.0
 
 

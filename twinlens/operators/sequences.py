@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinlens.operators.lineage import reliable, small
+
 
 def feature_window(sites: DataFrame, vectors: DataFrame, width: int, flank: int = 16) -> DataFrame:
     """For each site (ctg, pos) the vectors (ctg, pos, channels) from pos - flank to pos + flank, on end; positions
@@ -35,12 +37,21 @@ def runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     )
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join in which null keys are equal."""
+    named = right.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(named, on).drop(*(f"_{k}" for k in keys))
+
+
 def homozygous_stretches(df: DataFrame, keys: list[str], order: str, flag: str, p: float = 0.001) -> DataFrame:
     """Runs of the flag so long that chance alone makes them with probability p at most: ceil(log p / log of the
     flag's share)."""
     share = df.groupBy(*keys).agg(F.avg(F.col(flag).cast("double")).alias("share"))
     least = F.when(F.col("share") >= 1, 1).when(F.col("share") <= 0, None).otherwise(F.ceil(F.lit(math.log(p)) / F.log("share")))
-    found = runs(df, keys, order, flag).filter(F.col(flag)).join(share, keys)
+    found = _joined(runs(df, keys, order, flag).filter(F.col(flag)), share, keys)
     return found.filter(F.col("length") >= least).drop("share", flag)
 
 
@@ -61,21 +72,67 @@ def running_median(df: DataFrame, keys: list[str], order: str, value: str, half:
     return df.withColumn("median", F.percentile(value, F.lit(0.5)).over(w)).withColumn("deviation", F.abs(F.col(value) - F.col("median")))
 
 
-def winsorise(df: DataFrame, keys: list[str], order: str, value: str, half: int = 25, mads: float = 2.5) -> DataFrame:
-    """Values no farther from the running median than so many median absolute deviations of their track; the ends are
-    reflected. A track is one sequential unit, and the tracks are dealt out."""
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema)}, winsorised double"
+def numbered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """df with index, the row's number in its track by the order, from 0: a range-partitioned sort and the counts of the
+    partitions before, so that no task holds a track. Null keys are a track."""
+    ordered = reliable(
+        df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+        .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    )
+    # a row for each track in a partition
+    parts = ordered.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = reliable(parts.select(*keys, "_part", (before - F.col("_first")).alias("_shift")))
+    joined = _joined(ordered, small(parts, parts.count()), [*keys, "_part"])
+    return joined.withColumn("index", F.col("_at") + F.col("_shift")).select(*df.columns, "index")
+
+
+def running_medians(x: np.ndarray, half: int, whole: bool = True) -> np.ndarray:
+    """Medians of half values on each side, mirrored at the ends; fewer for whole tracks that are shorter than that."""
+    half = min(half, (len(x) - 1) // 2) if whole else half
+    if half < 1:
+        return x.copy()
+    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, half, mode="symmetric"), 2 * half + 1), axis=1)
+
+
+def noise(x: np.ndarray, half: int = 25) -> float:
+    """The median absolute deviation of what the running median leaves; zeros count as missing. Not a number if none are
+    left."""
+    x = x[x != 0]
+    d = x - running_medians(x, half)
+    return float(np.median(np.abs(d - np.median(d)))) if len(x) else math.nan
+
+
+def winsorise(df: DataFrame, keys: list[str], order: str, value: str, half: int = 25, mads: float = 2.5, block: int = 10_000) -> DataFrame:
+    """Values no farther from the running median than so many times the median absolute deviation of the rest, which is
+    the track's own; the ends are mirrored.
+
+    Tracks are cut into blocks that lend each other half the median's width, so that a long track is not one task.
+    """
+    d = reliable(numbered(df, keys, order))
+    sizes = reliable(d.groupBy(*keys).agg(F.count("*").alias("_size")))
+    d = _joined(d, small(sizes, sizes.count()), keys)
+    home, short = F.floor(F.col("index") / block), F.col("_size") <= 2 * half + 1
+    reach = F.array_distinct(F.array(home, F.floor((F.col("index") + half) / block), F.floor((F.col("index") - half) / block)))
+    top = F.floor((F.col("_size") - 1) / block)
+    wide = d.withColumn("_block", F.explode(F.when(short, F.array(home)).otherwise(reach))).filter((F.col("_block") >= 0) & (F.col("_block") <= top))
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema)}, _median double"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        x = frame[value].to_numpy(float)
-        k = min(half, max(0, len(x) - 1))
-        padded = np.pad(x, k, mode="reflect") if k else x
-        median = np.median(np.lib.stride_tricks.sliding_window_view(padded, 2 * k + 1), axis=1)
-        mad = 1.4826 * np.median(np.abs(x - median))
-        return frame.assign(winsorised=median + np.clip(x - median, -mads * mad, mads * mad))
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+        frame = frame.sort_values("index")
+        # only the ends of a track are mirrored: those of a block are cut off again
+        out = running_medians(frame[value].to_numpy(float), half, bool(frame["_size"].iloc[0] <= 2 * half + 1))
+        own = (frame["index"] // block == frame["_block"]).to_numpy()
+        return frame[own].assign(_median=out[own]).drop(columns=["index", "_size", "_block"])
+
+    medians = reliable(wide.groupBy(*keys, "_block").applyInPandas(run, schema))
+    rest = F.col(value) - F.col("_median")
+    centre = medians.groupBy(*keys).agg(F.percentile(rest, F.lit(0.5)).alias("_centre"))
+    away = F.percentile(F.abs(rest - F.col("_centre")), F.lit(0.5))
+    mad = _joined(medians, centre, keys).groupBy(*keys).agg(away.alias("_mad"))
+    out = _joined(medians, mad, keys)
+    limit = mads * F.col("_mad")
+    return out.select(*df.columns, (F.col("_median") + F.greatest(F.least(rest, limit), -limit)).alias("winsorised"))
 
 
 def neighbour_medians(df: DataFrame, keys: list[str], order: str, value: str, n: int = 100) -> DataFrame:
@@ -121,15 +178,19 @@ def nearest_probe_mean(probes: DataFrame, values: DataFrame) -> DataFrame:
 def percentile_cut(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     """Rows above the track's q quantile (discrete)."""
     cut = df.groupBy(*keys).agg(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias("cut"))
-    return df.join(cut, keys).filter(F.col(value) > F.col("cut"))
+    return _joined(df, cut, keys).filter(F.col(value) > F.col("cut"))
 
 
 def local_minima(grid: DataFrame, x: str, y: str, value: str, reach: int = 3) -> DataFrame:
-    """Cells of a grid that are smaller than all others within reach in both directions."""
+    """Cells of a grid that are smaller than all others within reach in both directions; cells so near to a border of
+    the grid are none."""
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     moved = grid.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(value).alias("_v")).withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps)).filter("_dx <> 0 or _dy <> 0")
     near = moved.groupBy((F.col("_x") + F.col("_dx")).alias(x), (F.col("_y") + F.col("_dy")).alias(y)).agg(F.min("_v").alias("_near"))
-    return grid.join(near, [x, y], "left").filter(F.col("_near").isNull() | (F.col(value) < F.col("_near"))).drop("_near")
+    ends = grid.agg(*(f(c).alias(f"_{k}_{c}") for c in (x, y) for k, f in (("low", F.min), ("high", F.max))))  # one row
+    inner = [F.col(c).between(F.col(f"_low_{c}") + reach, F.col(f"_high_{c}") - reach) for c in (x, y)]
+    found = grid.join(near, [x, y]).crossJoin(F.broadcast(ends)).filter(inner[0] & inner[1] & (F.col(value) < F.col("_near")))
+    return found.drop("_near", *ends.columns)
 
 
 def rank_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -99,8 +99,8 @@ def truth_in_normal(truth: DataFrame, normal_truth: DataFrame, fractions: DataFr
 
 
 def allele_support(truth: DataFrame, called: DataFrame, obs: DataFrame) -> DataFrame:
-    """Per truth site (ctg, pos, ref, alt): ndp, tdp, nalt, talt, and for sites that were not called the tumor's reads
-    of the allele and of all by haplotype, hp0 to hp2 and all0 to all2.
+    """Per truth (ctg, pos, ref, alt): ndp, tdp, nalt, talt, and for sites that were not called the tumor's reads of the
+    allele and of all by haplotype, hp0 to hp2 and all0 to all2. Two truths at one site are two rows.
 
     A called site has its numbers from the call (depth, af, normal_depth, normal_af); another one is counted in the
     observations, which a semi join cuts to these sites first.
@@ -108,14 +108,14 @@ def allele_support(truth: DataFrame, called: DataFrame, obs: DataFrame) -> DataF
     t = truth.select(*SITE, "ref", "alt")
     c = called.select(*SITE, F.col("normal_depth").alias("ndp"), F.col("depth").alias("tdp"), F.round(F.col("normal_af") * F.col("normal_depth")).cast("long").alias("nalt"), F.round(F.col("af") * F.col("depth")).cast("long").alias("talt"))
     hps = [f"{k}{i}" for k in ("hp", "all") for i in range(3)]
-    known = t.join(c, SITE).select(*SITE, "ndp", "tdp", "nalt", "talt", *(F.lit(None).cast("long").alias(x) for x in hps))
+    known = t.join(c, SITE).select(*SITE, "ref", "alt", "ndp", "tdp", "nalt", "talt", *(F.lit(None).cast("long").alias(x) for x in hps))
     rest = t.join(called.select(*SITE).distinct(), SITE, "left_anti").withColumn("own", allele_name(F.col("ref"), F.col("alt")))
     b, mark = F.upper("base"), F.substring("indel", 1, 1)
     shown = F.when(mark == "+", F.concat(b, F.upper("indel"))).when(mark == "-", F.concat(b, F.lit("-"), F.repeat(F.lit("N"), F.length("indel") - 1))).otherwise(b)
-    there = obs.join(rest.select(*SITE), SITE, "left_semi").select(*SITE, "sample", shown.alias("shown"), F.when(F.col("hp").isin(1, 2), F.col("hp")).otherwise(0).alias("hp"))
+    there = obs.join(rest.select(*SITE).distinct(), SITE, "left_semi").select(*SITE, "sample", shown.alias("shown"), F.when(F.col("hp").isin(1, 2), F.col("hp")).otherwise(0).alias("hp"))
     d = rest.join(there, SITE, "left")
     hit, tumor = F.col("shown") == F.col("own"), F.col("sample") == "tumor"
-    counted = d.groupBy(*SITE).agg(
+    counted = d.groupBy(*SITE, "ref", "alt").agg(
         F.count_if(F.col("sample") == "normal").alias("ndp"), F.count_if(tumor).alias("tdp"), F.count_if((F.col("sample") == "normal") & hit).alias("nalt"), F.count_if(tumor & hit).alias("talt"),
         *(F.count_if(tumor & hit & (F.col("hp") == i)).alias(f"hp{i}") for i in range(3)), *(F.count_if(tumor & (F.col("hp") == i)).alias(f"all{i}") for i in range(3)),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.operators import calls, copynumber, counts, evaluate, intervals, kernels, paired, sequences
+from twinlens.operators import calls, copynumber, counts, evaluate, intervals, kernels, lineage, paired, sequences
 
 
 def pair_candidates(tumor: DataFrame, normal: DataFrame, regions: DataFrame | None = None, **thresholds) -> DataFrame:
@@ -50,20 +50,44 @@ def evaluate_calls(truth: DataFrame, called: DataFrame, regions: list[DataFrame]
     return evaluate.metrics(evaluate.classify(truth, called, ["ctg", "pos"]))
 
 
-def fit_purity(segs: DataFrame, rhos: list[float], psis: list[float]) -> DataFrame:
+def fit_purity(segs: DataFrame, rhos: list[float] = copynumber.RHOS, psis: list[float] = copynumber.PSIS, shift: tuple[float, float] = copynumber.SHIFT) -> DataFrame:  # noqa: B006
     """The best purity and ploidy of segments: a local minimum of the grid, one row at most."""
-    grid = copynumber.purity_grid(segs, rhos, psis)
-    at = {"rho": rhos, "psi": psis}
-    numbered = grid.withColumns({f"{k}_at": F.array_position(F.array(*(F.lit(float(x)) for x in v)), F.col(k)) for k, v in at.items()})
-    return copynumber.best_purity(grid, sequences.local_minima(numbered, "rho_at", "psi_at", "distance"))
+    return copynumber.best_purity(copynumber.purity_grid(segs, rhos, psis, shift))
 
 
-def tag_by_copies(called: DataFrame, tumor: DataFrame, normal: DataFrame, rhos: list[float], psis: list[float]) -> DataFrame:
+def copy_number_track(tumor: DataFrame, normal: DataFrame, alleles: DataFrame, covariates: DataFrame | None = None, min_normal: int = 10) -> DataFrame:
+    """(ctg, pos, logr, baf, hom) from base counts of both samples and a table of alleles: the ratio of depths, without
+    what splines of the covariates (ctg, pos, ...) explain of it, the tumor's share of an allele, and if the normal is
+    homozygous there."""
+    t, n = copynumber.allele_pairs(tumor, alleles), copynumber.allele_pairs(normal, alleles)
+    track = copynumber.depth_ratios(t, n, min_normal)
+    if covariates is not None:
+        named = [c for c in covariates.columns if c not in ("ctg", "pos")]
+        track = copynumber.spline_residuals(track.join(covariates, ["ctg", "pos"]), "logr", named)
+        track = track.select("ctg", "pos", F.col("corrected").alias("logr"), "baf")
+    genotype = copynumber.homozygous(copynumber.depth_ratios(n)).select("ctg", "pos", "hom")
+    return track.join(genotype, ["ctg", "pos"])
+
+
+def tag_by_counts(called: DataFrame, tumor: DataFrame, normal: DataFrame, alleles: DataFrame, covariates: DataFrame | None = None, penalty: float = 70.0) -> DataFrame:
+    """Calls with a verdict, from base counts of both samples on: the whole plan."""
+    track = lineage.reliable(copy_number_track(tumor, normal, alleles, covariates))
+    het = track.filter("not hom")
+    calm = sequences.winsorise(het.withColumn("high", F.greatest("baf", 1 - F.col("baf"))), ["ctg"], "pos", "high").select("ctg", "pos", "logr", F.col("winsorised").alias("baf"))
+    calm = sequences.winsorise(calm, ["ctg"], "pos", "logr").select("ctg", "pos", F.col("winsorised").alias("logr"), "baf")
+    return _tagged(called, copynumber.segments(calm, penalty))
+
+
+def tag_by_copies(called: DataFrame, tumor: DataFrame, normal: DataFrame, rhos: list[float] = copynumber.RHOS, psis: list[float] = copynumber.PSIS) -> DataFrame:  # noqa: B006
     """Calls (ctg, pos, alt, depth) with a verdict by copy numbers: ratios, segments, purity, whole copies, verdicts.
 
     tumor and normal have ctg, pos, a, b. A call outside of all segments has no verdict.
     """
-    segs = copynumber.segments(copynumber.depth_ratios(tumor, normal))
+    return _tagged(called, copynumber.segments(copynumber.depth_ratios(tumor, normal)), rhos, psis)
+
+
+def _tagged(called: DataFrame, segs: DataFrame, rhos: list[float] = copynumber.RHOS, psis: list[float] = copynumber.PSIS) -> DataFrame:  # noqa: B006
+    segs = lineage.reliable(segs)
     best = fit_purity(segs, rhos, psis).first()
     if best is None:
         return called.withColumn("verdict", F.lit(None).cast("string"))

@@ -362,10 +362,14 @@ def nested_intervals(spark, d):
     return IV.nested(_parts(spark, d), 64)
 
 
-@query(f"""WITH {PARTS}, a AS (SELECT * FROM p WHERE start % 2 = 0), b AS (SELECT * FROM p WHERE start % 3 = 0) (SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+@query(f"""WITH {PARTS}, w AS (SELECT concat('chr', s_suppkey % 3 + 1) AS ctg, s_suppkey * 35 AS start, s_suppkey * 35 + (SELECT p_size FROM part WHERE p_partkey = s_suppkey * 5) AS "end" FROM supplier WHERE s_suppkey * 5 IN (SELECT p_partkey FROM part))
+(SELECT * FROM p EXCEPT SELECT * FROM w) UNION (SELECT * FROM w EXCEPT SELECT * FROM p)""")
 def interval_symmetric_difference(spark, d):
-    p = _parts(spark, d)
-    return IV.set_operation(p.filter("start % 2 = 0"), p.filter("start % 3 = 0"), "symmetric_difference")
+    """Intervals of all parts and of all suppliers, whose intervals are those of every fifth part on a contig of their own."""
+    sizes = load(spark, d, "part").select("p_partkey", "p_size")
+    own = load(spark, d, "supplier").join(sizes, F.col("p_partkey") == F.col("s_suppkey") * 5)
+    w = own.select(F.expr("concat('chr', s_suppkey % 3 + 1)").alias("ctg"), F.expr("s_suppkey * 35").alias("start"), F.expr("s_suppkey * 35 + p_size").alias("end"))
+    return IV.set_operation(_parts(spark, d), w, "symmetric_difference")
 
 
 @query(f"""WITH {PARTS} SELECT ctg, min(start) AS start, max("end") AS "end" FROM p GROUP BY ctg""")
@@ -373,11 +377,12 @@ def interval_span(spark, d):
     return IV.span(_parts(spark, d))
 
 
-THIN = "t AS (SELECT concat('chr', o_orderkey % 3 + 1) AS ctg, o_orderkey AS pos FROM orders WHERE o_orderpriority = '1-URGENT')"
+THIN = "t AS (SELECT concat('chr', o_custkey % 22 + 1) AS ctg, o_orderkey AS pos FROM orders)"
 
 
 def _thin(spark, d) -> DataFrame:
-    return load(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.expr("concat('chr', o_orderkey % 3 + 1)").alias("ctg"), F.col("o_orderkey").alias("pos"))
+    """All orders over as many contigs as a karyotype has."""
+    return load(spark, d, "orders").select(F.expr("concat('chr', o_custkey % 22 + 1)").alias("ctg"), F.col("o_orderkey").alias("pos"))
 
 
 @query(f"WITH {THIN} SELECT ctg, pos FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.ctg = t.ctg AND u.pos <> t.pos AND abs(u.pos - t.pos) <= 16)")
@@ -432,12 +437,13 @@ def hetero_selection(spark, d):
     return P.hetero_selection(_calls(spark, d, "R"), _calls(spark, d, "A"), 0.3).select("ctg", "pos", "ref", "alt", "qual")
 
 
-@query(f"""WITH {_calls_sql('t', 'R')}, {_calls_sql('n', 'A')}, m AS (SELECT n.ctg, n.pos, n.dp, round(n.qual, 2) AS af, t.dp AS tdp, CASE WHEN t.pos % 7 = 0 THEN 0.0 ELSE round(t.qual, 2) END AS taf FROM n LEFT JOIN t ON t.ctg = n.ctg AND t.pos = n.pos WHERE n.dp >= 15 AND abs(round(n.qual, 2) - 0.5) <= 0.1)
-SELECT ctg, pos, dp, af, CASE WHEN tdp IS NULL OR (tdp >= 15 AND taf = 0) THEN 'lost' WHEN tdp >= 15 AND abs(taf - 0.5) <= 0.1 THEN 'kept' WHEN tdp >= 15 AND taf >= 0.9 THEN 'fixed' END AS transition FROM m""")
+@query(f"""WITH {_calls_sql('t', 'R')}, {_calls_sql('n', 'A')} SELECT n.ctg, n.pos, n.ref, n.alt, n.dp, round(n.qual, 2) AS af,
+  CASE WHEN t.pos IS NULL THEN 'lost' WHEN t.ref <> n.ref OR t.alt <> n.alt OR t.dp < 15 THEN NULL WHEN t.pos % 4 > 0 THEN 'kept' WHEN round(t.qual, 2) >= 0.9 THEN 'fixed' END AS transition
+FROM n LEFT JOIN t ON t.ctg = n.ctg AND t.pos = n.pos WHERE n.pos % 5 > 0 AND n.dp >= 15 AND round(n.qual, 2) BETWEEN 0.4 AND 0.6""")
 def indel_transitions(spark, d):
-    n = _calls(spark, d, "A").select("ctg", "pos", "dp", F.round("qual", 2).alias("af"))
-    t = _calls(spark, d, "R").select("ctg", "pos", "dp", F.expr("case when pos % 7 = 0 then 0.0d else round(qual, 2) end").alias("af"))
-    return P.indel_transitions(n, t).select("ctg", "pos", "dp", "af", "transition")
+    """Alleles of both samples differ at two thirds of the sites; every fifth normal and every fourth tumor genotype has two alternative alleles."""
+    at = lambda flag, k: _calls(spark, d, flag).select("ctg", "pos", "ref", "alt", "dp", F.round("qual", 2).alias("af"), F.when(F.col("pos") % k == 0, 2).otherwise(1).alias("alts"))
+    return P.indel_transitions(at("A", 5), at("R", 4)).drop("alts")
 
 
 @query(f"""WITH {_calls_sql('c', 'R')}, s AS (SELECT concat('chr', p_partkey % 22 + 1) AS ctg, p_partkey AS pos, 'N' AS ref, '.' AS alt FROM part), i AS (SELECT concat('chr', l_partkey % 22 + 1) AS ctg, l_partkey AS pos, count(*) AS dp, count(*) FILTER (l_linestatus = 'F') AS ndp FROM lineitem GROUP BY ALL)
@@ -565,37 +571,59 @@ def joint_segments(spark, d):
 
 
 GRID = f"""{TRACK}, s AS (SELECT ctg, count(*) AS n, avg(logr) AS logr, avg(least(baf, 1 - baf)) AS baf FROM m GROUP BY 1),
-g AS (SELECT unnest([0.4, 0.6, 0.8, 1.0]) AS rho), h AS (SELECT rho, unnest([1.5, 2.0, 3.0]) AS psi FROM g),
-y AS (SELECT CAST(rho AS DOUBLE) AS rho, CAST(psi AS DOUBLE) AS psi, s.n, s.baf, pow(2.0, logr) * (2 * (1 - rho) + rho * psi) AS z FROM s, h),
-c AS (SELECT *, (rho - 1 - (baf - 1) * z) / rho AS na, (rho - 1 + baf * z) / rho AS nb, n * CASE WHEN baf = 0.5 THEN 0.05 ELSE 1.0 END AS w FROM y),
-d AS (SELECT *, least(na, nb) AS mi FROM c),
-r AS (SELECT rho, psi, sum(pow(mi - greatest(round(mi), 0.0), 2.0) * w) AS distance, sum(0.25 * w) AS worst, sum((na + nb) * n) / sum(n) AS ploidy, sum(CASE WHEN round(mi) = 0 THEN n ELSE 0 END) / sum(n) AS zero FROM d GROUP BY ALL)"""
+g AS (SELECT i, j, i / 100 AS r, j / 100 AS p, round(i / 100 + 0.01, 6) AS rho, round(j / 100 + 0.05, 6) AS psi FROM (SELECT unnest(range(10, 105)) AS i), (SELECT unnest(range(100, 600, 5)) AS j)),
+y AS (SELECT g.*, n, baf, pow(2.0, logr) * (2 * (1 - r) + r * p) AS z, pow(2.0, logr) * (2 * (1 - rho) + rho * psi) AS zz, CASE WHEN baf = 0.5 THEN 0 ELSE n END AS loose, n * CASE WHEN baf = 0.5 THEN 0.05 ELSE 1.0 END AS w FROM s, g),
+c AS (SELECT *, (r - 1 - (baf - 1) * z) / r AS na, (r - 1 + baf * z) / r AS nb, (rho - 1 - (baf - 1) * zz) / rho AS x, (rho - 1 + baf * zz) / rho AS yy FROM y),
+e AS (SELECT *, CAST(round_even(x, 0) = 0 AS INT) + CAST(round_even(yy, 0) = 0 AS INT) AS none FROM c),
+q AS (SELECT i, j, rho, psi, CASE WHEN sum(na) < sum(nb) THEN sum(pow(na - greatest(round_even(na, 0), 0.0), 2.0) * w) ELSE sum(pow(nb - greatest(round_even(nb, 0), 0.0), 2.0) * w) END AS distance, sum(0.25 * w) AS worst,
+  sum((x + yy) * n) / sum(n) AS ploidy, sum(none * n) / sum(n) AS zero, coalesce(sum(none * loose) / nullif(sum(loose), 0), 0.0) AS zero_aberrant,
+  sum(CASE WHEN abs(round_even(x, 0)) % 2 <> abs(round_even(yy, 0)) % 2 THEN n ELSE 0 END) / sum(n) AS uneven, sum(loose) > 0.03 * sum(n) OR max(loose) > 0.005 * sum(n) AS aberrant FROM e GROUP BY i, j, rho, psi),
+f AS (SELECT *, (1 - distance / nullif(worst, 0)) * 100 AS goodness FROM q)"""
 
 
 def _contig_means(spark, d) -> DataFrame:
     return _track(spark, d).groupBy("ctg").agg(F.count("*").alias("n"), F.avg("logr").alias("logr"), F.avg(Q.fold(F.col("baf"))).alias("baf"))
 
 
-def _grid(spark, d) -> DataFrame:
-    return CN.purity_grid(_contig_means(spark, d), [0.4, 0.6, 0.8, 1.0], [1.5, 2.0, 3.0])
+FIT = ("distance", "goodness", "ploidy", "zero", "zero_aberrant", "uneven")
 
 
-@query(f"WITH {GRID} SELECT rho, psi, round(distance, 4) AS distance, round((1 - distance / nullif(worst, 0)) * 100, 4) AS goodness, round(ploidy, 4) AS ploidy, round(zero, 4) AS zero FROM r")
+@query(f"WITH {GRID} SELECT rho, psi, {', '.join(f'round({x}, 4) AS {x}' for x in FIT)}, aberrant FROM f")
 def purity_grid(spark, d):
-    return _grid(spark, d).select("rho", "psi", *(F.round(c, 4).alias(c) for c in ("distance", "goodness", "ploidy", "zero")))
-
-
-@query(f"""WITH {GRID}, q AS (SELECT *, (1 - distance / nullif(worst, 0)) * 100 AS g FROM r), t AS (SELECT *, CASE WHEN rho >= 0.2 AND g > 60 AND ploidy BETWEEN 1.5 AND 5.5 AND zero > 0.02 THEN 1 WHEN rho >= 0.2 AND g > 60 AND ploidy BETWEEN 1.7 AND 2.3 AND zero > 0.1 THEN 2 WHEN rho >= 0.2 AND g > 60 AND ploidy BETWEEN 1.5 AND 5.5 AND rho <= 1 THEN 3 WHEN rho >= 0.2 AND g > 60 AND ploidy BETWEEN 1.7 AND 2.3 THEN 4 END AS stage FROM q)
-SELECT rho, psi, stage FROM t WHERE stage IS NOT NULL ORDER BY stage, distance, rho, psi LIMIT 1""")
+    """All 9,500 cells of the search."""
+    g = CN.purity_grid(_contig_means(spark, d), CN.RHOS, CN.PSIS, CN.SHIFT)
+    return g.select("rho", "psi", *(F.round(c, 4).alias(c) for c in FIT), "aberrant")
+
+
+@query(f"""WITH {GRID}, v AS (SELECT *, k, CASE WHEN k = 3 AND rho > 1 THEN 1e20 ELSE distance END AS d FROM f, (SELECT unnest([1, 3]) AS k)),
+o AS (SELECT unnest(range(-3, 4)) AS di), oo AS (SELECT di, unnest(range(-15, 16, 5)) AS dj FROM o),
+b AS (SELECT v.k, v.i + di AS i, v.j + dj AS j, min(d) AS near FROM v, oo WHERE di <> 0 OR dj <> 0 GROUP BY 1, 2, 3),
+h AS (SELECT v.* FROM v JOIN b USING (k, i, j) WHERE i BETWEEN 13 AND 101 AND j BETWEEN 115 AND 580 AND d < near AND rho >= 0.2 AND goodness > 60),
+t AS (SELECT *, CASE WHEN k = 1 AND aberrant AND ploidy > 1.5 AND ploidy < 5.5 AND zero > 0.02 THEN 1 WHEN k = 1 AND ploidy > 1.7 AND ploidy < 2.3 AND zero_aberrant > 0.1 THEN 2
+  WHEN k = 3 AND aberrant AND ploidy > 1.5 AND ploidy < 5.5 AND (zero_aberrant > 0.1 OR zero > 0.02 OR uneven > 0.05) THEN 3 WHEN k = 3 AND ploidy > 1.7 AND ploidy < 2.3 THEN 4 END AS stage FROM h)
+SELECT least(rho, 1.0) AS rho, psi, stage, round(goodness, 4) AS goodness FROM t WHERE stage IS NOT NULL ORDER BY stage, d, j, i LIMIT 1""")
 def purity_best(spark, d):
-    g = _grid(spark, d)
-    return CN.best_purity(g, g).select("rho", "psi", "stage")
+    """The whole search over the contigs' means."""
+    return PL.fit_purity(_contig_means(spark, d)).select("rho", "psi", "stage", F.round("goodness", 4).alias("goodness"))
 
 
 @query()
 def purity_fit(spark, d):
-    """The whole search: steps of 0.01 and 0.05, and local minima only."""
-    return PL.fit_purity(_contig_means(spark, d), CN.RHOS, CN.PSIS).select("rho", "psi", "stage")
+    """The search over segments."""
+    return PL.fit_purity(CN.segments(_track(spark, d), 20.0))
+
+
+CODED = """n AS (SELECT concat('chr', l_partkey % 22 + 1) AS ctg, l_partkey AS pos, l_orderkey, upper(substr('ACGT', l_linenumber % 4 + 1, 1)) AS b, l_returnflag FROM lineitem),
+u AS (SELECT DISTINCT ctg, pos, l_orderkey, b FROM n WHERE l_returnflag = 'R'),
+k AS (SELECT ctg, pos, [count(*) FILTER (b = 'A'), count(*) FILTER (b = 'C'), count(*) FILTER (b = 'G'), count(*) FILTER (b = 'T')] AS c FROM u GROUP BY 1, 2)"""
+
+
+@query(f"WITH {CODED} SELECT k.ctg, k.pos, coalesce(c[p_size % 6], 0) AS a, c[1 + p_partkey % 4] AS b FROM k JOIN part ON p_partkey = k.pos WHERE p_partkey % 7 > 0")
+def coded_alleles(spark, d):
+    """Base counts of the tumor at the places of a coded table of alleles, some codes of which are none."""
+    counts = C.unique_fragment_counts(observations(spark, d).filter("sample = 'tumor'"))
+    p = load(spark, d, "part").filter("p_partkey % 7 > 0")
+    return CN.allele_pairs(counts, p.select(F.expr("concat('chr', p_partkey % 22 + 1)").alias("ctg"), F.col("p_partkey").alias("pos"), (F.col("p_size") % 6).alias("first"), (F.col("p_partkey") % 4 + 1).alias("second")))
 
 
 BINOMIAL = """WITH c AS (SELECT p_partkey AS id, p_size AS n, p_partkey % (p_size + 1) AS k FROM part), o AS (SELECT id, n, k, unnest(range(0, n + 1)) AS i FROM c),
@@ -636,7 +664,7 @@ def round_robin_bins(spark, d):
     return S.round_robin(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7)
 
 
-@query(f"WITH t AS (SELECT unnest({S.BETA_CDF}) AS c, generate_subscripts({S.BETA_CDF}, 1) - 1 AS i), o AS (SELECT o_orderkey, {_uniform_sql('o_orderkey', 1)} AS u FROM orders) SELECT o_orderkey, min(i) / 100.0 AS af FROM o JOIN t ON t.c >= o.u GROUP BY o_orderkey")
+@query(f"WITH t AS (SELECT unnest({S.BETA_CDF}) AS c, generate_subscripts({S.BETA_CDF}, 1) - 1 AS i), o AS (SELECT o_orderkey, {_uniform_sql('o_orderkey', 1)} AS u FROM orders) SELECT o_orderkey, max(i) / 100.0 AS af FROM o JOIN t ON t.c <= o.u GROUP BY o_orderkey")
 def beta_inverse_cdf(spark, d):
     return load(spark, d, "orders").select("o_orderkey", S.beta_fraction(S.uniform(F.col("o_orderkey"), 1)).alias("af"))
 
@@ -770,18 +798,24 @@ def truth_in_normal(spark, d):
     return SI.truth_in_normal(p, p.filter("pos % 7 = 0"), shown)
 
 
-@query(f"""WITH {OBS}, t AS (SELECT concat('chr', p_partkey % 22 + 1) AS ctg, p_partkey AS pos, substr('ACGT', CAST(p_partkey % 4 AS INT) + 1, 1) AS ref, substr('CGTA', CAST(p_partkey % 4 AS INT) + 1, 1) || CASE WHEN p_partkey % 5 = 0 THEN 'AC' ELSE '' END AS alt, p_size FROM part),
+HP = [f"{k}{i}" for k in ("hp", "all") for i in range(3)]
+
+
+@query(f"""WITH {OBS}, t AS (SELECT concat('chr', p_partkey % 22 + 1) AS ctg, p_partkey AS pos, substr('ACGT', CAST(p_partkey % 4 AS INT) + 1, 1) AS ref,
+  unnest(CASE WHEN p_partkey % 3 = 0 THEN [substr('CGTA', CAST(p_partkey % 4 AS INT) + 1, 1), substr('GTAC', CAST(p_partkey % 4 AS INT) + 1, 1)] ELSE [substr('CGTA', CAST(p_partkey % 4 AS INT) + 1, 1) || CASE WHEN p_partkey % 5 = 0 THEN 'AC' ELSE '' END] END) AS alt, p_size FROM part),
 r AS (SELECT *, substr(alt, 1, 1) || CASE WHEN length(alt) > 1 THEN '+AC' ELSE '' END AS own FROM t WHERE p_size % 2 = 1),
 w AS (SELECT ctg, pos, sample, upper(base) || CASE WHEN indel LIKE '-%' THEN '-NN' ELSE indel END AS shown, CASE WHEN hp IN (1, 2) THEN hp ELSE 0 END AS hp FROM o)
-SELECT ctg, pos, CAST(p_size AS BIGINT) AS ndp, CAST(p_size + 10 AS BIGINT) AS tdp, CAST(round(0.25 * p_size) AS BIGINT) AS nalt, CAST(round(0.5 * (p_size + 10)) AS BIGINT) AS talt, {", ".join(f"CAST(-1 AS BIGINT) AS {k}{i}" for k in ("hp", "all") for i in range(3))} FROM t WHERE p_size % 2 = 0
-UNION ALL SELECT r.ctg, r.pos, count(*) FILTER (sample = 'normal'), count(*) FILTER (sample = 'tumor'), count(*) FILTER (sample = 'normal' AND shown = own), count(*) FILTER (sample = 'tumor' AND shown = own),
-{", ".join(f"count(*) FILTER (sample = 'tumor' AND shown = own AND hp = {i})" for i in range(3))}, {", ".join(f"count(*) FILTER (sample = 'tumor' AND hp = {i})" for i in range(3))} FROM r LEFT JOIN w USING (ctg, pos) GROUP BY r.ctg, r.pos""")
+SELECT ctg, pos, ref, alt, CAST(p_size AS BIGINT) AS ndp, CAST(p_size + 10 AS BIGINT) AS tdp, CAST(round(0.25 * p_size) AS BIGINT) AS nalt, CAST(round(0.5 * (p_size + 10)) AS BIGINT) AS talt, {", ".join(f"CAST(-1 AS BIGINT) AS {x}" for x in HP)} FROM t WHERE p_size % 2 = 0
+UNION ALL SELECT ctg, pos, ref, alt, n.*, a.* FROM r, LATERAL (SELECT count(*) FILTER (sample = 'normal'), count(*) FILTER (sample = 'tumor'), count(*) FILTER (sample = 'normal' AND shown = own), count(*) FILTER (sample = 'tumor' AND shown = own) FROM w WHERE w.ctg = r.ctg AND w.pos = r.pos) n,
+LATERAL (SELECT {", ".join(f"count(*) FILTER (sample = 'tumor' AND shown = own AND hp = {i})" for i in range(3))}, {", ".join(f"count(*) FILTER (sample = 'tumor' AND hp = {i})" for i in range(3))} FROM w WHERE w.ctg = r.ctg AND w.pos = r.pos) a""")
 def allele_support(spark, d):
-    alt = F.concat(F.expr("substring('CGTA', cast(p_partkey % 4 as int) + 1, 1)"), F.when(F.col("p_partkey") % 5 == 0, "AC").otherwise(""))
-    t = load(spark, d, "part").select(F.expr("concat('chr', p_partkey % 22 + 1)").alias("ctg"), F.col("p_partkey").alias("pos"), F.expr("substring('ACGT', cast(p_partkey % 4 as int) + 1, 1)").alias("ref"), alt.alias("alt"), "p_size")
+    """A third of the sites has two truths."""
+    of = lambda x: F.substring(F.lit(x), (F.col("p_partkey") % 4).cast("int") + 1, F.lit(1))
+    alts = F.when(F.col("p_partkey") % 3 == 0, F.array(of("CGTA"), of("GTAC"))).otherwise(F.array(F.concat(of("CGTA"), F.when(F.col("p_partkey") % 5 == 0, "AC").otherwise(""))))
+    t = load(spark, d, "part").select(F.expr("concat('chr', p_partkey % 22 + 1)").alias("ctg"), F.col("p_partkey").alias("pos"), of("ACGT").alias("ref"), F.explode(alts).alias("alt"), "p_size")
     size = F.col("p_size").cast("long")
-    called = t.filter("p_size % 2 = 0").select("ctg", "pos", (size + 10).alias("depth"), F.lit(0.5).alias("af"), size.alias("normal_depth"), F.lit(0.25).alias("normal_af"))
-    return SI.allele_support(t, called, observations(spark, d)).fillna(-1)  # haplotypes of called sites are not counted
+    called = t.filter("p_size % 2 = 0").select("ctg", "pos", (size + 10).alias("depth"), F.lit(0.5).alias("af"), size.alias("normal_depth"), F.lit(0.25).alias("normal_af")).distinct()
+    return SI.allele_support(t, called, observations(spark, d)).fillna(-1, HP)  # haplotypes of called sites are not counted
 
 
 @query("""WITH f AS (SELECT p_partkey AS pos, p_size % 3 > 0 AS a, p_size % 4 > 0 AS b FROM part) SELECT 'chr1' AS ctg, pos, 'PASS' AS filter FROM f WHERE a AND b""")
@@ -934,7 +968,7 @@ def realigned_reads(spark, d):
     return K.realign(reads, win)
 
 
-HAPLOTYPES = f"""WITH {OBS}, r AS (SELECT ctg, pos, qname, upper(base) <> ref AS is_alt, upper(base) AS allele, bq, hp, mq % 5 = 0 AS edge FROM o WHERE sample = 'tumor'),
+HAPLOTYPES = f"""WITH {OBS}, r AS (SELECT ctg, pos, qname, upper(base) <> ref AS is_alt, upper(base) AS allele, bq, hp, mq % 5 = 0 AS edge, CASE WHEN bq % 20 = 0 THEN repeat('ACGT', mq % 4) ELSE '' END AS ins FROM o WHERE sample = 'tumor'),
 calls AS (SELECT ctg, pos, avg(CASE WHEN is_alt THEN 1.0 ELSE 0.0 END) AS af, avg(bq) / 50 AS qual FROM r GROUP BY 1, 2),
 s AS (SELECT ctg, pos, count(*) AS depth, count(*) FILTER (is_alt) AS alt, avg(bq) FILTER (is_alt) AS alt_bq, count(*) FILTER (edge) AS edges, count(*) FILTER (edge AND is_alt) AS alt_edges,
   count(*) FILTER (hp = 1) AS h1, count(*) FILTER (hp = 2) AS h2, count(*) FILTER (is_alt AND hp = 1) AS a1, count(*) FILTER (is_alt AND hp = 2) AS a2 FROM r GROUP BY 1, 2),
@@ -942,33 +976,36 @@ b AS (SELECT ctg, pos, qual, coalesce(alt_bq <= 20 AND qual < 0.9, false) OR (ed
     OR (af < 0.1 AND qual < 0.9 AND a1 * a2 > 0 AND greatest(a1, a2) <= 10 * least(a1, a2)) AS f,
   CASE WHEN h1 > 0 AND h2 > 0 AND (a1 > 0) <> (a2 > 0) AND greatest(a1, a2) > 2 THEN CASE WHEN a1 > 0 THEN 1 ELSE 2 END END AS hap FROM calls JOIN s USING (ctg, pos)),
 own AS (SELECT DISTINCT ctg, pos, qname FROM r WHERE is_alt),
-n AS (SELECT c.ctg, c.pos, d.pos AS opos, d.af < 0.75 AS het, d.af, r.hp, r.is_alt AS carries, r.allele, own.qname IS NOT NULL AS mine
-  FROM calls c JOIN calls d ON c.ctg = d.ctg AND d.pos <> c.pos AND abs(d.pos - c.pos) <= 100 JOIN r ON r.ctg = d.ctg AND r.pos = d.pos
+n AS (SELECT c.ctg, c.pos, d.pos AS opos, d.pos % 3 = 0 AS germline, d.af < 0.75 AS het, d.af, r.hp, r.is_alt AS carries, r.allele, r.ins, own.qname IS NOT NULL AS mine
+  FROM calls c JOIN calls d ON c.ctg = d.ctg AND d.pos <> c.pos AND d.pos > c.pos - 100 AND d.pos <= c.pos + 100 JOIN r ON r.ctg = d.ctg AND r.pos = d.pos
   LEFT JOIN own ON own.ctg = c.ctg AND own.pos = c.pos AND own.qname = r.qname),
 g AS (SELECT ctg, pos, opos, het, hap, max(af) AS af, count(*) FILTER (carries) AS carriers, count(*) FILTER (carries AND hp = hap) AS same, count(*) FILTER (carries AND mine) AS shared,
-  count(*) FILTER (mine) AS covered FROM n JOIN b USING (ctg, pos) GROUP BY ALL),
+  count(*) FILTER (mine) AS covered FROM n JOIN b USING (ctg, pos) WHERE germline GROUP BY ALL),
 k AS (SELECT ctg, pos, bool_or(het AND hap IS NOT NULL AND same > 0 AND 2 * same >= carriers AND shared = 0) OR bool_or(NOT het AND af >= 0.75 AND covered > 0 AND shared < 0.2 * covered) AS f FROM g GROUP BY 1, 2),
-m AS (SELECT ctg, pos, opos, allele, count(*) FILTER (mine) AS mine, count(*) AS a FROM n WHERE carries GROUP BY ALL),
+m AS (SELECT ctg, pos, opos, allele, count(*) FILTER (mine) AS mine, count(*) AS a FROM n WHERE carries AND NOT germline GROUP BY ALL),
+i AS (SELECT ctg, pos, sum(least(length(ins), 200)) AS inserted FROM n WHERE NOT germline AND length(ins) >= 3 GROUP BY 1, 2),
+j AS (SELECT i.ctg, i.pos, inserted / depth > 6 AND qual < 0.9 AS f FROM i JOIN s USING (ctg, pos) JOIN calls USING (ctg, pos)),
 t AS (SELECT m.ctg, m.pos, count(*) FILTER (abs(mine - alt) <= 0.2 * alt AND mine > 0 AND a <= 1.2 * mine) > 2 AS f FROM m JOIN (SELECT ctg, pos, count(*) AS alt FROM own GROUP BY 1, 2) USING (ctg, pos) GROUP BY 1, 2)
-SELECT ctg, pos, CASE WHEN b.f OR coalesce(k.f, false) OR coalesce(t.f, false) THEN 0.0 ELSE round(qual, 6) END AS qual,
-  CASE WHEN b.f OR coalesce(k.f, false) OR coalesce(t.f, false) THEN 'LowQual' ELSE 'PASS' END AS filter, hap IS NOT NULL AS phased
-FROM b LEFT JOIN k USING (ctg, pos) LEFT JOIN t USING (ctg, pos)"""
+SELECT ctg, pos, CASE WHEN b.f OR coalesce(k.f, false) OR coalesce(t.f, false) OR coalesce(j.f, false) THEN 0.0 ELSE round(qual, 6) END AS qual,
+  CASE WHEN b.f OR coalesce(k.f, false) OR coalesce(t.f, false) OR coalesce(j.f, false) THEN 'LowQual' ELSE 'PASS' END AS filter, hap IS NOT NULL AS phased
+FROM b LEFT JOIN k USING (ctg, pos) LEFT JOIN t USING (ctg, pos) LEFT JOIN j USING (ctg, pos)"""
 
 
 @query(HAPLOTYPES)
 def haplotype_rules(spark, d):
-    """All groups of rules: a call's own reads, the sites within 100 places as germline neighbours, and what they carry."""
+    """All groups of rules: a call's own reads, the sites around it, every third of which is germline, what they carry,
+    and what reads insert at the others."""
     o = observations(spark, d).filter("sample = 'tumor'").withColumns({"is_alt": F.upper("base") != F.col("ref"), "allele": F.upper("base")})
-    reads = o.select("ctg", "pos", "qname", "is_alt", "allele", "bq", "hp", (F.col("mq") % 5 == 0).alias("edge"))
+    inserted = F.when(F.col("bq") % 20 == 0, F.concat(F.lit("+"), F.repeat(F.lit("ACGT"), F.col("mq") % 4))).otherwise("")
+    reads = o.select("ctg", "pos", "qname", "is_alt", "allele", "bq", "hp", (F.col("mq") % 5 == 0).alias("edge"), inserted.alias("indel"))
     calls = reads.groupBy("ctg", "pos").agg(F.avg(F.col("is_alt").cast("double")).alias("af"), (F.avg("bq") / 50).alias("qual"))
     base = H.base_rules(calls, reads)
-    around = calls.select("ctg", "pos", (F.col("pos") - 100).alias("start"), (F.col("pos") + 101).alias("end"))
-    others = calls.select("ctg", F.col("pos").alias("rstart"), (F.col("pos") + 1).alias("rend"), "af", (F.col("af") < H.HOM_AF).alias("het"))
-    pairs = IV.range_join(around, others, 256).filter("pos <> rstart").select("ctg", "pos", F.col("rstart").alias("opos"), "af", "het")
-    there = reads.select("ctg", F.col("pos").alias("opos"), "qname", "hp", "allele", F.col("is_alt").alias("carries"), F.lit(True).alias("cover"))
-    near = pairs.join(there, ["ctg", "opos"])
-    together = H.coexisting(base, reads, near.filter("carries").select("ctg", "pos", "opos", "allele", "qname"))
-    return H.judge(base, H.neighbour_rules(base, reads, near), together).withColumn("qual", F.round("qual", 6))
+    others = calls.select("ctg", F.col("pos").alias("opos"), "af", (F.col("af") < H.HOM_AF).alias("het"), (F.col("pos") % 3 == 0).alias("germline"))
+    there = reads.select("ctg", F.col("pos").alias("opos"), "qname", "hp", "allele", "indel", F.col("is_alt").alias("carries"), F.lit(True).alias("cover"))
+    near = IV.neighbours(calls.select("ctg", "pos"), others, 100).join(there, ["ctg", "opos"])
+    germline, rest = near.filter("germline"), near.filter("not germline")
+    together = H.coexisting(base, reads, rest.filter("carries").select("ctg", "pos", "opos", "allele", "qname"))
+    return H.judge(base, H.neighbour_rules(base, reads, germline), together, H.long_insertions(base, reads, rest)).withColumn("qual", F.round("qual", 6))
 
 
 @query(f"""WITH e AS (SELECT time_bucket(INTERVAL '60 minutes', ts, TIMESTAMP '1970-01-01') AS start, event_type, value FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY ALL""")
