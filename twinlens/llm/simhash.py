@@ -182,8 +182,9 @@ def links(distinct: DataFrame, n: int, radius: int) -> DataFrame:
     """Links (a, b) of distinct fingerprints (f), n in number, that span all pairs within the radius."""
     parts = parts_for(n)
     own = distinct.select("f", counts_of(F.col("f"), parts).alias("counts"))
-    sizes = own.groupBy("counts").agg(F.ceil(F.count("*") / TILE).alias("subs"))
-    dealt = own.join(sizes, "counts").withColumn("sub", F.pmod(F.xxhash64("f"), F.col("subs")))
+    sizes = reliable(own.groupBy("counts").agg(F.ceil(F.count("*") / TILE).alias("subs")))
+    # a frequent count is dealt to tiles before it is shuffled, not with all its fingerprints to one task
+    dealt = own.join(small(sizes, sizes.count()), "counts").withColumn("sub", F.pmod(F.xxhash64("f"), F.col("subs")))
     tiles = stored(dealt.groupBy("counts", "sub").agg(F.collect_list("f").alias("fs"), F.first("subs").alias("subs")))
     directory = tiles.select("counts", "sub")
     pairs = directory.mapInArrow(_neighbours(radius, parts), "counts long, sub long, other long")
