@@ -1,12 +1,13 @@
 """Operators on small literal tables, and properties against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinlens.operators import calls, copynumber, counts, evaluate, examples, haplotype, intervals, kernels, paired, sampling, sequences, sites
+from twinlens.operators import calls, copynumber, counts, evaluate, examples, haplotype, intervals, kernels, paired, realignment, sampling, sequences, sites
 from twinlens.plans import pipelines
 from twinlens.sources import readers, writers
 
@@ -243,14 +244,131 @@ def test_haplotype_rules(spark):
     assert haplotype.realigned(was, gone).first()["filter"] == "LowQual"
 
 
+READS = "window long, qname string, seq string, quals array<int>, rank int, pos long, cigar string"
+
+
 def test_realignment(spark):
-    ref = "ACGTTGCAAGGCTTAACCGGATCTTAGACCATGCAACTGA"
-    alt = ref[:20] + "T" + ref[21:]
-    rows = [(1, f"r{i}", alt if i < 3 else ref, [40] * len(ref), i) for i in range(6)]
-    r = spark.createDataFrame(rows, "window long, qname string, seq string, quals array<int>, rank int")
-    got = {x.qname: x.haplotype for x in kernels.realign(r, spark.createDataFrame([(1, ref)], "window long, ref string")).collect()}
-    assert got["r0"] == alt and got["r5"] == ref
-    assert kernels.align("ACGTTTACGA", "GGACGTACGACC")[2] == "3M2I5M"
+    """A base and a gap that reads share are found, reads beyond the bounds stay as they are, and none is lost."""
+    ref = "ACGTTGCAAGGCTTAACCGGATCTTAGACCATGCAACTGATTCAGGCATACCTGAGATTACAGCGTATCGGCATTA"
+    alt, gap = ref[:30] + "T" + ref[31:], ref[:44] + ref[49:]
+    rows = [(1, f"r{i}", (alt, gap, ref)[i % 3], i, 100, "70M") for i in range(9)] + [(1, "late", alt, 50, 7, "3M"), (9, "none", alt, 1, 8, "4M"), (2, "wide", alt, 1, 9, "5M")]
+    rows = [(w, q, x, [40] * len(x), *more) for w, q, x, *more in rows]
+    w = spark.createDataFrame([(1, 100, ref), (2, 5, ref * 9)], "window long, start long, ref string")
+    got = {r.qname: (r.haplotype, r.pos, r.cigar) for r in realignment.realign(spark.createDataFrame(rows, READS), w, most_reads=40, most_bases=400).collect()}
+    assert len(got) == len(rows) and [got[k] for k in ("late", "none", "wide")] == [(None, 7, "3M"), (None, 8, "4M"), (None, 9, "5M")]
+    assert got["r0"] == (alt, 100, f"{len(ref)}M") and got["r2"] == (ref, 100, f"{len(ref)}M")
+    assert got["r1"][0] == gap and got["r1"][1] == 100 and sorted(re.findall(r"\d+D", got["r1"][2])) == ["5D"]
+    assert realignment.align(["ACGTTTACGA"], "GGACGTACGACC")[0][2] == "3M2I5M"
+
+
+def slow_score(q, t):
+    h, e, best = [0] * (len(t) + 1), [-(10**9)] * (len(t) + 1), 0
+    for x in q:
+        f, diagonal = -(10**9), 0
+        for j, y in enumerate(t, 1):
+            above, left = h[j], h[j - 1]
+            e[j], f = max(above - 8, e[j] - 2), max(left - 8, f - 2)
+            h[j], diagonal = max(0, diagonal + (4 if x == y else -6), e[j], f), above
+            best = max(best, h[j])
+    return best
+
+
+def walked(q, t, at, cigar):
+    """The score of a CIGAR, base by base."""
+    i, score = 0, 0
+    for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)(.)", cigar)):
+        if op == "M":
+            score += sum(4 if a == b else -6 for a, b in zip(q[i : i + n], t[at : at + n], strict=True))
+        score -= 8 + 2 * (n - 1) if op in "ID" else 0
+        i, at = i + n * (op != "D"), at + n * (op in "MD")
+    assert i == len(q)
+    return score
+
+
+def mutated(r, t):
+    q = list(t)
+    for _ in range(r.randint(0, 4)):
+        k, x = r.randrange(len(q)), r.random()
+        if x < 0.4:
+            q[k] = r.choice("ACGTN")
+        elif x < 0.7:
+            q[k:k] = [r.choice("ACGT") for _ in range(r.randint(1, 4))]
+        elif len(q) > 5:
+            del q[k : k + 3]
+    return "".join(q)
+
+
+def test_alignment_against_all_cells():
+    r = random.Random(1)
+    for _ in range(40):
+        t = "".join(r.choice("ACGT") for _ in range(r.randint(2, 80)))
+        queries = [mutated(r, t[a : a + r.randint(1, 60)]) for a in (r.randrange(len(t)) for _ in range(7))]
+        for q, (score, at, cigar) in zip(queries, realignment.align(queries, t), strict=True):
+            assert score == slow_score(q, t) == walked(q, t, at, cigar)
+
+
+def slow_places(hap, reads_, bare):
+    """Every k-mer of the haplotype in order, every read that has it."""
+    best = {}
+    cover = [0] * len(hap)
+    for i in range(len(hap) - 31):
+        for k, q in enumerate(reads_):
+            for p in [p for p in range(len(q) - 31) if len(q) > 32 and q[p : p + 32] == hap[i : i + 32]]:
+                start = max(0, i - p)
+                if start + len(q) > len(hap):
+                    continue
+                off = sum(a != b and "N" not in (a, b) for a, b in zip(q, hap[start:], strict=False))
+                if off <= 2:
+                    for x in range(start, start + len(q)):
+                        cover[x] += 1
+                    best.setdefault(k, set()).add((4 * (len(q) - off) - 6 * off, -start))
+        if bare and bare[0] <= i < len(hap) - bare[1] and not cover[i]:
+            return {}
+    return {k: max(v) for k, v in best.items()}
+
+
+@pytest.mark.parametrize("bare", [None, (0, 0), (30, 25)])
+def test_places_against_all_k_mers(bare):
+    r = random.Random(4)
+    full = 0
+    for _ in range(40):
+        hap = "".join(r.choice("ACGT") for _ in range(90)) + "ACG" * r.choice([0, 20])
+        queries = [mutated(r, hap[a : a + r.randint(20, 80)]) for a in (r.randrange(60) for _ in range(9))] + [hap[:50], hap[20:], "", "ACGT"]
+        score, place = realignment.places(hap, queries, realignment._mers([q if len(q) > 32 else "" for q in queries], 32), bare)
+        want = slow_places(hap, queries, bare)
+        assert {k: (int(score[k]), -int(place[k])) for k in range(len(queries)) if score[k] > 0} == {k: v for k, v in want.items() if v[0] > 0}
+        full += bool(want)
+    assert full > 5
+
+
+def test_projection_keeps_bases_in_place():
+    r = random.Random(7)
+    for _ in range(200):
+        ref = "".join(r.choice("ACGT") for _ in range(70))
+        hap = mutated(r, ref[r.randrange(9) : 70 - r.randrange(9)])
+        read = mutated(r, hap[r.randrange(20) : len(hap) - r.randrange(20)])
+        (_, a, first), (_, b, second) = realignment.align([read], hap)[0], realignment.align([hap], ref)[0]
+        found = realignment.project(first, a, second, b)
+        own = {}  # the reference place of each read base, by two walks
+        for x, y in pairs_of(first, a):
+            own[x] = dict(pairs_of(second, b)).get(y)
+        want = [(x, y) for x, y in own.items() if y is not None]
+        if not want:
+            assert found is None
+            continue
+        assert pairs_of(found[1], found[0]) == want and found[0] == want[0][1]
+        assert sum(int(n) for n, op in re.findall(r"(\d+)(.)", found[1]) if op != "D") == len(read)
+    assert realignment.project("10M", 2, "5M3I9M", 40) == (42, "3M3I4M") and realignment.project("4M3D4M", 1, "5M3I9M", 0) == (1, "8M")
+    assert realignment.project("10M", 2, "5M4D9M", 40) == (42, "3M4D7M")
+    assert realignment.project("2S3M", 5, "5M3I9M", 0) is None and realignment.project("2S5M", 5, "5M3I9M", 0) == (5, "5S2M")
+
+
+def pairs_of(cigar, at):
+    i, out = 0, []
+    for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)(.)", cigar)):
+        out += [(i + k, at + k) for k in range(n)] if op == "M" else []
+        i, at = i + n * (op != "D"), at + n * (op in "MD")
+    return out
 
 
 def test_planted_variant_end_to_end(spark):

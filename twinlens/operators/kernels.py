@@ -1,8 +1,7 @@
-"""Kernels that have no relational form, run by Spark over batches or groups: scoring networks and realignment."""
+"""Scoring networks, run by Spark over batches."""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,127 +47,3 @@ def recurrent_model(weights: dict[str, np.ndarray]) -> Callable[[np.ndarray], np
         return e / e.sum(axis=1, keepdims=True)
 
     return run
-
-
-def haplotypes(ref: str, reads: list[tuple[str, list[int]]], min_k: int = 10, max_k: int = 101, min_bq: int = 15, min_weight: int = 2, most: int = 256) -> list[str]:
-    """The paths of a de Bruijn graph of the reference and reads from its first to its last k-mer, sorted; none if the
-    graph has cycles at every k or more paths than most. Reads break at odd or low-quality bases."""
-    for k in range(min_k, min(max_k, len(ref) - 1) + 1):
-        mers = [ref[i : i + k] for i in range(len(ref) - k + 1)]
-        if len(set(mers)) < len(mers):
-            continue
-        weight: dict[tuple[str, str], int] = defaultdict(int)
-        fixed = set(zip(mers, mers[1:], strict=False))
-        for seq, bq in reads:
-            good = "".join(c if c in "ACGT" and q >= min_bq else " " for c, q in zip(seq, bq, strict=True))
-            for part in good.split():
-                for i in range(len(part) - k):
-                    weight[part[i : i + k], part[i + 1 : i + k + 1]] += 1
-        out: dict[str, set[str]] = defaultdict(set)
-        for (a, b), n in weight.items():
-            if n >= min_weight:
-                out[a].add(b)
-        for a, b in fixed:
-            out[a].add(b)
-        state: dict[str, int] = {}
-        cyclic = False
-        stack = [(mers[0], iter(sorted(out[mers[0]])))]
-        state[mers[0]] = 1
-        while stack and not cyclic:
-            node, rest = stack[-1]
-            nxt = next(rest, None)
-            if nxt is None:
-                state[node] = 2
-                stack.pop()
-            elif state.get(nxt) == 1:
-                cyclic = True
-            elif nxt not in state:
-                state[nxt] = 1
-                stack.append((nxt, iter(sorted(out[nxt]))))
-        if cyclic:
-            continue
-        paths, todo = [], [(mers[0], mers[0])]
-        while todo:
-            node, text = todo.pop()
-            if node == mers[-1]:
-                paths.append(text)
-                if len(paths) > most:
-                    return []
-                continue
-            todo += [(b, text + b[-1]) for b in out[node]]
-            if len(todo) > 64 * most:
-                return []
-        return sorted(set(paths))
-    return []
-
-
-def align(query: str, target: str, match: int = 4, mismatch: int = 6, open_gap: int = 8, extend: int = 2) -> tuple[int, int, str]:
-    """Local alignment with affine gaps: score, first place in the target, and a CIGAR with soft clips."""
-    n, m = len(query), len(target)
-    h, e, f = np.zeros((n + 1, m + 1), int), np.full((n + 1, m + 1), -(10**9)), np.full((n + 1, m + 1), -(10**9))
-    t = np.frombuffer(target.encode(), np.uint8)
-    for i in range(1, n + 1):
-        e[i, 1:] = np.maximum(h[i - 1, 1:] - open_gap, e[i - 1, 1:] - extend)
-        diagonal = h[i - 1, :-1] + np.where(t == ord(query[i - 1]), match, -mismatch)
-        for j in range(1, m + 1):
-            f[i, j] = max(h[i, j - 1] - open_gap, f[i, j - 1] - extend)
-            h[i, j] = max(0, diagonal[j - 1], e[i, j], f[i, j])
-    i, j = np.unravel_index(int(np.argmax(h)), h.shape)
-    best, tail, ops, state = int(h[i, j]), n - i, [], "h"
-    while state != "h" or h[i, j] > 0:
-        if state == "h":
-            d = h[i - 1, j - 1] + (match if query[i - 1] == target[j - 1] else -mismatch)
-            if h[i, j] == d:
-                ops.append("M")
-                i, j = i - 1, j - 1
-            else:
-                state = "e" if h[i, j] == e[i, j] else "f"
-        elif state == "e":
-            ops.append("I")
-            state = "h" if e[i, j] == h[i - 1, j] - open_gap else "e"
-            i -= 1
-        else:
-            ops.append("D")
-            state = "h" if f[i, j] == h[i, j - 1] - open_gap else "f"
-            j -= 1
-    ops = ["S"] * int(i) + ops[::-1] + ["S"] * int(tail)
-    cigar, k = "", 0
-    while k < len(ops):
-        same = k
-        while same < len(ops) and ops[same] == ops[k]:
-            same += 1
-        cigar += f"{same - k}{ops[k]}"
-        k = same
-    return best, int(j), cigar
-
-
-def realign(reads: DataFrame, windows: DataFrame, most_reads: int = 1000, most_bases: int = 1000) -> DataFrame:
-    """The best haplotype of each read: (window, qname, haplotype, score, pos, cigar).
-
-    windows has (window, ref); reads has (window, qname, seq, quals, rank). Windows over most_bases are skipped and
-    at most most_reads reads of a window are used, those of the lowest rank; that bounds a group. A read without an
-    ungapped place of up to two mismatches is aligned; of equal haplotypes, one that differs from the reference wins.
-    """
-    few = windows.filter(F.length("ref") <= most_bases)
-    own = reads.filter(F.col("rank") <= most_reads).join(few, "window")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ref = frame["ref"].iloc[0]
-        seqs = list(zip(frame["seq"], [list(q) for q in frame["quals"]], strict=True))
-        haps = haplotypes(ref, seqs) or [ref]
-        rows = []
-        for name, (seq, _) in zip(frame["qname"], seqs, strict=True):
-            tried = []
-            for hap in haps:
-                quick = None
-                if len(seq) <= len(hap):
-                    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(hap.encode(), np.uint8), len(seq))
-                    off = (view != np.frombuffer(seq.encode(), np.uint8)).sum(1)
-                    k = int(np.argmin(off))
-                    quick = (4 * (len(seq) - int(off[k])) - 6 * int(off[k]), k, f"{len(seq)}M") if off[k] <= 2 else None
-                tried.append((*(quick or align(seq, hap)), hap))
-            s, at, cigar, hap = max(tried, key=lambda x: (x[0], x[3] != ref))
-            rows.append((frame["window"].iloc[0], name, hap, s, at, cigar))
-        return pd.DataFrame(rows, columns=["window", "qname", "haplotype", "score", "pos", "cigar"])
-
-    return own.select("window", "qname", "seq", "quals", "ref").groupBy("window").applyInPandas(run, "window long, qname string, haplotype string, score long, pos long, cigar string")

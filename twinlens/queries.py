@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions import alleles as A
@@ -24,6 +24,7 @@ from twinlens.operators import haplotype as H
 from twinlens.operators import intervals as IV
 from twinlens.operators import kernels as K
 from twinlens.operators import paired as P
+from twinlens.operators import realignment as RE
 from twinlens.operators import sampling as S
 from twinlens.operators import sequences as SEQ
 from twinlens.operators import sites as SI
@@ -957,15 +958,21 @@ def pair_calls(spark, d):
 
 @query()
 def realigned_reads(spark, d):
-    """Reads of made windows, a third of them with a planted base, aligned to their haplotypes."""
-    seq = F.translate(F.substring(F.concat(F.md5("w"), F.md5(F.concat(F.lit("x"), F.col("w")))), 1, 60), "0123456789abcdef", "ACGTACGTACGTACGT")
-    win = load(spark, d, "supplier").select(F.col("s_suppkey").alias("window"), F.col("s_suppkey").cast("string").alias("w")).select("window", seq.alias("ref"))
-    reads = win.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6)))).select(
-        "window", F.concat_ws("-", F.col("window").cast("string"), F.col("k").cast("string")).alias("qname"),
-        F.when(F.col("k") % 2 == 0, F.concat(F.substring("ref", 1, 29), F.when(F.substring("ref", 30, 1) == "A", "C").otherwise("A"), F.substring("ref", 31, 30))).otherwise(F.col("ref")).alias("seq"),
-        F.array_repeat(F.lit(30), 60).alias("quals"), F.col("k").alias("rank"),
+    """Line items as reads of their part's window: a third has another base, some lack three bases, the rest is like the
+    reference; all were aligned without gaps."""
+    ref = F.translate(F.sha2(F.concat_ws("-", "p_partkey", "p_name"), 512), "0123456789abcdef", "ACGTACGTACGTACGT")
+    win = load(spark, d, "part").select(F.col("p_partkey").alias("window"), (F.col("p_partkey") * 1000).alias("start"), ref.alias("ref"), F.lit(20).alias("prefix"), F.lit(53).alias("suffix"))
+    other = F.concat(F.substring("ref", 1, 63), F.when(F.substring("ref", 64, 1) == "A", "C").otherwise("A"), F.substring("ref", 65, 64))
+    shorter = F.concat(F.substring("ref", 1, 60), F.substring("ref", 64, 65))
+    own = F.when(F.col("l_returnflag") == "R", other).when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F") & (F.col("l_suppkey") % 2 == 0), shorter).otherwise(F.col("ref"))
+    at, n = (F.col("l_suppkey") % 20).cast("int"), F.col("l_linenumber") * 5 + 70
+    reads = load(spark, d, "lineitem").join(win, F.col("l_partkey") == F.col("window")).withColumn("seq", F.substring(own, at + 1, n))
+    rank = F.row_number().over(Window.partitionBy("window").orderBy("l_orderkey", "l_linenumber"))
+    reads = reads.select(
+        "window", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("qname"), "seq", F.array_repeat(F.lit(30), F.length("seq")).alias("quals"), rank.alias("rank"),
+        (F.col("start") + at).alias("pos"), F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"),
     )
-    return K.realign(reads, win)
+    return RE.realign(reads, win)
 
 
 HAPLOTYPES = f"""WITH {OBS}, r AS (SELECT ctg, pos, qname, upper(base) <> ref AS is_alt, upper(base) AS allele, bq, hp, mq % 5 = 0 AS edge, CASE WHEN bq % 20 = 0 THEN repeat('ACGT', mq % 4) ELSE '' END AS ins FROM o WHERE sample = 'tumor'),
