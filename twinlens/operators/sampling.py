@@ -67,6 +67,71 @@ def beta_fraction(u: Column, table: list[float] = BETA_CDF) -> Column:  # noqa:
     return hit / 100.0
 
 
+def beta_subsamples(reads: DataFrame, draws: int = 4, least: int = 3, seed: int = 0) -> DataFrame:
+    """Reads (ctg, pos, qname, is_alt, reverse) of sites in nested samples: (ctg, pos, size, qname), each with size reads.
+
+    A site gives all its reads and, for each draw, as many as bring the share of alternative reads to a Beta fraction,
+    if that is between least and all of them; equal sizes count once. Reads are ranked by a hash of their name and the
+    seed, so that a smaller sample is part of a larger one. A sample stays if it has least alternative reads, of both
+    strands.
+    """
+    site = ["ctg", "pos"]
+    sums = reads.groupBy(*site).agg(F.count("*").alias("n"), F.count_if("is_alt").alias("alts")).filter("alts > 0")
+    fractions = [beta_fraction(uniform(F.col("pos") * (draws + 1) + k, seed)) for k in range(draws)]
+    wanted = F.array(F.col("n"), *(F.floor(F.round(F.col("n") * f / (F.col("alts") / F.col("n")), 9)) for f in fractions))
+    sizes = sums.select(*site, F.explode(F.array_distinct(F.filter(wanted, lambda x: x.between(least, F.col("n"))))).alias("size"))
+    rank = F.row_number().over(Window.partitionBy(*site).orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), "qname")), "qname"))
+    sampled = reads.withColumn("_rank", rank).join(sizes, site).filter(F.col("_rank") <= F.col("size"))
+    back = F.count_if(F.col("is_alt") & F.col("reverse"))
+    fine = sampled.groupBy(*site, "size").agg(F.count_if("is_alt").alias("alts"), back.alias("back")).filter((F.col("alts") >= least) & (F.col("back") > 0) & (F.col("back") < F.col("alts")))
+    return sampled.join(fine.select(*site, "size"), [*site, "size"]).select(*site, "size", "qname")
+
+
+#: Bins of a mixture are so deep.
+BIN_COVERAGE = 4
+
+
+def normal_share(ctg: Column) -> Column:
+    """How deep the normal of a mixture is, as a share of its tumor, by the number of the contig."""
+    n = F.regexp_extract(ctg, "([0-9]+)$", 1).try_cast("int")
+    return F.when(n <= 6, 1.0).when(n <= 8, 1.25).when(n > 16, 0.5).when(n.isNotNull(), 0.75)
+
+
+def mixing_plan(contigs: DataFrame, proportion: float, coverage: int | None = None, depth: int = BIN_COVERAGE) -> DataFrame:
+    """Numbers of bins of contigs (ctg, normal_coverage, tumor_coverage, share): normal_bins and tumor_bins there are,
+    and tumor_in_tumor, normal_in_tumor and normal_in_normal that a mixture with so large a tumor proportion takes. Its
+    coverage is the wanted one or, if that is less, the most that both samples allow."""
+    whole = lambda c: F.floor(F.round(c, 9)).cast("long")
+    most = F.least(whole(F.col("tumor_coverage") / proportion), whole(F.col("normal_coverage") / (1 + F.col("share") - proportion)))
+    d = contigs.withColumn("coverage", most if coverage is None else F.least(most, F.lit(coverage)))
+    tumor = whole(F.col("coverage") * proportion)
+    d = d.withColumns({"normal_bins": whole(F.col("normal_coverage") / depth), "tumor_bins": whole(F.col("tumor_coverage") / depth), "tumor_in_tumor": whole(tumor / depth), "normal_in_tumor": whole((F.col("coverage") - tumor) / depth)})
+    return d.withColumn("normal_in_normal", whole((F.col("tumor_in_tumor") + F.col("normal_in_tumor")) * F.col("share")))
+
+
+def mixed_bins(plan: DataFrame, seed: int = 0) -> DataFrame:
+    """(ctg, sample, bin, part) for each bin of mixing_plan's contigs that goes into the mixture's tumor or its normal.
+
+    Bins are drawn without replacement, by hash. The normal takes bins that the tumor has not; when these are used up, it
+    takes others again. A contig has a handful of bins, and contigs are dealt out.
+    """
+    drawn = lambda sample, n: plan.select("*", F.lit(sample).alias("sample"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("bin")).filter(F.col(n) > 0)
+    both = drawn("tumor", "tumor_bins").unionByName(drawn("normal", "normal_bins"))
+    rank = F.row_number().over(Window.partitionBy("ctg", "sample").orderBy(uniform(F.col("bin"), seed), "bin"))
+    both = both.withColumn("rank", rank)
+    tumor = F.when(F.col("sample") == "tumor", F.col("tumor_in_tumor")).otherwise(F.col("normal_in_tumor"))
+    rest = F.col("normal_bins") - F.col("normal_in_tumor")
+    # first what the tumor left, then what it took
+    place = F.when(F.col("rank") > F.col("normal_in_tumor"), F.col("rank") - F.col("normal_in_tumor")).otherwise(F.col("rank") + rest)
+    part = F.array_compact(F.array(F.when(F.col("rank") <= tumor, "tumor"), F.when((F.col("sample") == "normal") & (place <= F.col("normal_in_normal")), "normal")))
+    return both.select("ctg", "sample", "bin", F.explode(part).alias("part"))
+
+
+def mixed_reads(reads: DataFrame, bins: DataFrame) -> DataFrame:
+    """Reads (ctg, sample, bin, ...) of the bins of a mixture, with part."""
+    return reads.join(bins, ["ctg", "sample", "bin"])
+
+
 def keep_reads(depth: Column, alt: Column, fraction: Column, least: int = 3) -> Column:
     """Reads to keep so that the alternative share becomes the fraction; null unless within least and the depth."""
     n = F.floor(depth * fraction / (alt / depth))

@@ -23,6 +23,7 @@ from twinlens.operators import examples as EX
 from twinlens.operators import haplotype as H
 from twinlens.operators import intervals as IV
 from twinlens.operators import kernels as K
+from twinlens.operators import matrices as MX
 from twinlens.operators import paired as P
 from twinlens.operators import realignment as RE
 from twinlens.operators import sampling as S
@@ -670,6 +671,39 @@ def beta_inverse_cdf(spark, d):
     return load(spark, d, "orders").select("o_orderkey", S.beta_fraction(S.uniform(F.col("o_orderkey"), 1)).alias("af"))
 
 
+ALTS = """r AS (SELECT l_partkey % 40 AS pos, l_orderkey AS k, concat('q', l_orderkey) AS qname, bool_or(l_linenumber % 3 = 0) AS is_alt, l_orderkey % 2 = 1 AS reverse FROM lineitem GROUP BY ALL)"""
+
+
+@query(f"""WITH {ALTS}, s AS (SELECT pos, count(*) AS n, count(*) FILTER (is_alt) AS alts FROM r GROUP BY pos),
+t AS (SELECT unnest({S.BETA_CDF}) AS c, generate_subscripts({S.BETA_CDF}, 1) - 1 AS i), u AS (SELECT pos, n, alts, {_uniform_sql('(pos * 5 + d)')} AS u FROM s, (SELECT unnest(range(0, 4)) AS d)),
+z AS (SELECT pos, n, CAST(floor(round(n * (max(i) / 100.0) / (alts / n), 9)) AS BIGINT) AS size FROM u JOIN t ON t.c <= u.u GROUP BY pos, n, alts, u.u UNION SELECT pos, n, n FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY md5('0-' || qname), qname) AS rank FROM r), p AS (SELECT DISTINCT pos, size FROM z WHERE size BETWEEN 3 AND n),
+g AS (SELECT p.pos, size, qname, is_alt, reverse FROM p JOIN k ON k.pos = p.pos AND rank <= size),
+f AS (SELECT pos, size FROM g GROUP BY ALL HAVING count(*) FILTER (is_alt) >= 3 AND count(*) FILTER (is_alt AND reverse) BETWEEN 1 AND count(*) FILTER (is_alt) - 1)
+SELECT 'chr1' AS ctg, g.pos, g.size, count(*) AS n, md5(string_agg(qname, ',' ORDER BY qname)) AS names FROM g JOIN f USING (pos, size) GROUP BY ALL""")
+def beta_subsamples(spark, d):
+    """Orders as reads of forty sites, in nested samples."""
+    li = load(spark, d, "lineitem").groupBy((F.col("l_partkey") % 40).alias("pos"), "l_orderkey").agg(F.bool_or(F.col("l_linenumber") % 3 == 0).alias("is_alt"))
+    r = li.select(F.lit("chr1").alias("ctg"), "pos", F.concat(F.lit("q"), "l_orderkey").alias("qname"), "is_alt", (F.col("l_orderkey") % 2 == 1).alias("reverse"))
+    return S.beta_subsamples(r).groupBy("ctg", "pos", "size").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("qname")), ",")).alias("names"))
+
+
+@query(f"""WITH i AS (SELECT concat('chr', n_nationkey + 1) AS ctg, CAST(30 + n_nationkey * 3 AS BIGINT) AS nc, CAST(80 - n_nationkey * 2 AS BIGINT) AS tc, n_nationkey + 1 AS x FROM nation),
+h AS (SELECT *, CASE WHEN x <= 6 THEN 1.0 WHEN x <= 8 THEN 1.25 WHEN x > 16 THEN 0.5 ELSE 0.75 END AS share FROM i), c AS (SELECT *, least(floor(round(tc / 0.3, 9)), floor(round(nc / (1 + share - 0.3), 9))) AS cov FROM h),
+p AS (SELECT *, floor(nc / 4) AS nb, floor(tc / 4) AS tb, floor(floor(round(cov * 0.3, 9)) / 4) AS tt, floor((cov - floor(round(cov * 0.3, 9))) / 4) AS nt FROM c), q AS (SELECT *, floor(round((tt + nt) * share, 9)) AS nn FROM p),
+b AS (SELECT *, 'normal' AS sample, unnest(range(0, CAST(nb AS BIGINT))) AS bin FROM q UNION ALL SELECT *, 'tumor', unnest(range(0, CAST(tb AS BIGINT))) FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY ctg, sample ORDER BY {_uniform_sql('bin')}, bin) AS k FROM b),
+o AS (SELECT ctg, sample, bin, 'tumor' AS part FROM r WHERE k <= CASE sample WHEN 'tumor' THEN tt ELSE nt END UNION ALL SELECT ctg, sample, bin, 'normal' FROM r WHERE sample = 'normal' AND CASE WHEN k > nt THEN k - nt ELSE k + nb - nt END <= nn),
+l AS (SELECT concat('chr', l_suppkey % 25 + 1) AS ctg, CASE l_returnflag WHEN 'R' THEN 'tumor' ELSE 'normal' END AS sample, l_orderkey % 20 AS bin FROM lineitem)
+SELECT ctg, sample, part, count(DISTINCT bin) AS bins, count(*) AS reads FROM o JOIN l USING (ctg, sample, bin) GROUP BY ALL""")
+def mixed_samples(spark, d):
+    """Line items as reads in bins of their contig, mixed to three tenths of tumor."""
+    c = load(spark, d, "nation").select(F.expr("concat('chr', n_nationkey + 1)").alias("ctg"), F.expr("cast(30 + n_nationkey * 3 as bigint)").alias("normal_coverage"), F.expr("cast(80 - n_nationkey * 2 as bigint)").alias("tumor_coverage"))
+    plan = S.mixing_plan(c.withColumn("share", S.normal_share(F.col("ctg"))), 0.3)
+    reads = load(spark, d, "lineitem").select(F.expr("concat('chr', l_suppkey % 25 + 1)").alias("ctg"), F.expr("case l_returnflag when 'R' then 'tumor' else 'normal' end").alias("sample"), (F.col("l_orderkey") % 20).alias("bin"))
+    return S.mixed_reads(reads, S.mixed_bins(plan)).groupBy("ctg", "sample", "part").agg(F.count_distinct("bin").alias("bins"), F.count("*").alias("reads"))
+
+
 # text forms
 @query("SELECT l_orderkey, l_linenumber, concat(concat('A', '+', 'ACG'[1:1 + l_linenumber % 3]), ',', 'g', ',', CASE WHEN l_linestatus = 'F' THEN 'C-NN' ELSE 'c' END, ',', '*') AS tokens FROM lineitem".replace("concat('A', '+', 'ACG'[1:1 + l_linenumber % 3])", "'A+' || substr('ACG', 1, CAST(1 + l_linenumber % 3 AS INT))"))
 def pileup_tokens(spark, d):
@@ -877,6 +911,44 @@ def read_rows(spark, d):
     return EX.read_rows(o, 10)
 
 
+CODE = "CASE {x} WHEN 'A' THEN 100 WHEN 'C' THEN 25 WHEN 'G' THEN 75 WHEN 'T' THEN 50 ELSE 0 END"
+NEAR = """o AS (SELECT concat('chr', l_orderkey % 22 + 1) AS ctg, l_partkey % 120 AS pos, substr('ACGTN', CAST(l_partkey % 5 AS INT) + 1, 1) AS ref, CASE l_returnflag WHEN 'A' THEN 'normal' ELSE 'tumor' END AS sample,
+  CASE WHEN l_quantity % 13 = 0 THEN CASE WHEN l_orderkey % 2 = 0 THEN '#' ELSE '*' END WHEN l_orderkey % 2 = 0 THEN lower(substr('ACGT', l_linenumber % 4 + 1, 1)) ELSE substr('ACGT', l_linenumber % 4 + 1, 1) END AS base,
+  CASE WHEN l_quantity % 13 = 0 THEN '' WHEN l_quantity % 7 = 0 THEN '+' || substr('ACGTTGCAACGT', 1, CAST(l_quantity AS INT) // 4) WHEN l_quantity % 11 = 0 THEN '-NN' ELSE '' END AS indel,
+  CAST(l_quantity AS INT) AS bq, CAST(l_suppkey % 60 AS INT) AS mq, CAST(l_orderkey % 3 AS INT) AS hp, CAST(l_orderkey AS VARCHAR) AS qname, l_linenumber FROM lineitem WHERE l_returnflag IN ('A', 'R'))"""
+
+
+def _near_reads(spark, d) -> DataFrame:
+    """Orders as reads: the line items of an order on its contig, at places of a window or two; one a place."""
+    li = load(spark, d, "lineitem").filter("l_returnflag in ('A', 'R')")
+    mark = F.expr("case when l_quantity % 13 = 0 then '' when l_quantity % 7 = 0 then concat('+', substring('ACGTTGCAACGT', 1, cast(l_quantity as int) div 4)) when l_quantity % 11 = 0 then '-NN' else '' end")
+    base = F.expr("case when l_quantity % 13 = 0 then case when l_orderkey % 2 = 0 then '#' else '*' end when l_orderkey % 2 = 0 then lower(substring('ACGT', l_linenumber % 4 + 1, 1)) else substring('ACGT', l_linenumber % 4 + 1, 1) end")
+    o = li.select(
+        F.expr("concat('chr', l_orderkey % 22 + 1)").alias("ctg"), (F.col("l_partkey") % 120).alias("pos"), F.expr("substring('ACGTN', cast(l_partkey % 5 as int) + 1, 1)").alias("ref"),
+        F.expr("case l_returnflag when 'A' then 'normal' else 'tumor' end").alias("sample"), base.alias("base"), mark.alias("indel"), F.expr("cast(l_quantity as int)").alias("bq"),
+        F.expr("cast(l_suppkey % 60 as int)").alias("mq"), F.expr("cast(l_orderkey % 3 as int)").alias("hp"), F.expr("cast(l_orderkey as string)").alias("qname"), "l_linenumber",
+    )
+    one = F.row_number().over(Window.partitionBy("ctg", "pos", "sample", "qname").orderBy("l_linenumber"))
+    return o.withColumn("k", one).filter("k = 1").drop("k", "l_linenumber")
+
+
+@query(f"""WITH {NEAR}, u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY ctg, pos, sample, qname ORDER BY l_linenumber) = 1),
+s AS (SELECT DISTINCT ctg, pos AS site FROM u WHERE pos % 10 = 0), w AS (SELECT u.*, site, CAST(u.pos - site + 16 AS INT) AS place FROM u JOIN s ON s.ctg = u.ctg AND u.pos BETWEEN site - 16 AND site + 16 WHERE ref <> 'N'),
+q AS (SELECT ctg, site, sample, qname, max(hp) AS hp, min(place) AS first FROM w GROUP BY ALL), r AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY ctg, site, sample ORDER BY md5('0-' || qname), qname) <= CASE sample WHEN 'normal' THEN 52 ELSE 76 END),
+i AS (SELECT ctg, site, sample, qname, place + k AS place, max_by({CODE.format(x="substr(indel, 2 + CAST(k AS INT), 1)")}, place) AS ins FROM (SELECT *, unnest(range(0, length(indel) - 1)) AS k FROM w WHERE indel LIKE '+%' AND place < 32) WHERE place + k <= 32 GROUP BY ctg, site, sample, qname, place + k),
+g AS (SELECT *, unnest(range(0, 33)) AS place FROM r),
+c AS (SELECT g.*, CASE WHEN w.base IS NULL THEN '0,0,0,0,0,0' WHEN base IN ('*', '#') THEN '0,-100,0,0,0,0' ELSE concat_ws(',', {CODE.format(x="ref")}, CASE WHEN indel LIKE '+%' THEN -50 WHEN indel LIKE '-%' THEN -100 WHEN upper(base) <> ref THEN {CODE.format(x="upper(base)")} ELSE 0 END,
+  CASE WHEN base = upper(base) THEN -100 ELSE 100 END, CAST(floor(100 * least(bq, 60) / 60) AS INT), CASE WHEN mq <= 20 THEN 0 WHEN mq <= 40 THEN 33 ELSE 100 END,
+  CASE g.sample WHEN 'normal' THEN CASE g.hp WHEN 1 THEN -90 WHEN 0 THEN -60 ELSE -30 END ELSE CASE g.hp WHEN 1 THEN 30 WHEN 0 THEN 60 ELSE 90 END END) END || ',' || coalesce(i.ins, 0) AS v
+  FROM g LEFT JOIN w USING (ctg, site, sample, qname, place) LEFT JOIN i USING (ctg, site, sample, qname, place))
+SELECT ctg, site AS pos, sample, count(DISTINCT qname) AS n, md5(string_agg(v, ',' ORDER BY hp, first, qname, place)) AS matrix FROM c GROUP BY ALL""")
+def read_matrices(spark, d):
+    """Matrices of reads at every tenth place, of which many have more reads than fit."""
+    o = _near_reads(spark, d)
+    m = MX.read_matrices(o.filter("pos % 10 = 0").select("ctg", "pos"), o)
+    return m.select("ctg", "pos", "sample", "n", F.md5(F.array_join(F.transform("cells", lambda x: x.cast("string")), ",")).alias("matrix"))
+
+
 @query()
 def jittered_qualities(spark, d):
     o = observations(spark, d).groupBy("ctg", "pos").agg(F.sort_array(F.collect_list("bq")).alias("bq"))
@@ -956,6 +1028,17 @@ def pair_calls(spark, d):
     return PL.call_pair(o.filter("sample = 'tumor'"), o.filter("sample = 'normal'"), model)
 
 
+@query()
+def matrix_scores(spark, d):
+    """Read-level matrices of both samples at every tenth place, scored by a residual network of fixed weights."""
+    o = _near_reads(spark, d)
+    most = {"normal": 14, "tumor": 16}
+    m = MX.pair_matrices(o.filter("pos % 10 = 0").select("ctg", "pos"), o, reads=most)
+    shape = (sum(most.values()) + EX.BETWEEN, 2 * MX.FLANK + 1, len(MX.CELL))
+    model = K.residual_model(K.random_residual_weights(shape, 3, (16, 24, 32), (40, 32, 3)))
+    return K.score(m, lambda x: model(x / 100), shape).select("ctg", "pos", F.round(F.get("p", 0), 5).alias("p0"), F.round(F.get("p", 1), 5).alias("p1"), F.round(F.get("p", 2), 5).alias("p2"))
+
+
 @query()
 def realigned_reads(spark, d):
     """Line items as reads of their part's window: a third has another base, some lack three bases, the rest is like the
