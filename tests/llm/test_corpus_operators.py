@@ -163,11 +163,64 @@ def test_url_rules_of_a_site_in_a_large_table(spark):
     for i, _, b in rows:
         for c in tokens[i]:
             rules[c][b] += 1
-    good = {c: n[1] / sum(n) for c, n in rules.items() if n[1] >= 20 and n[1] / sum(n) >= 0.6}
+    good = {c: n[1] / sum(n) for c, n in rules.items() if n[1] >= 20 and wilson(n[1], sum(n)) >= 0.6}
     for i in (*range(0, 9000, 50), *range(9000, 9030), *range(9100, 9160), *range(9200, 9400), *range(9900, 9904)):
         assert found[i][1] == pytest.approx(max((good[c] for c in tokens[i] if c in good), default=None))
 
 
+def wilson(bad, n, z=3.0):
+    p = bad / n
+    return (p + z * z / 2 / n - z * (p * (1 - p) / n + z * z / 4 / n / n) ** 0.5) / (1 + z * z / n)
+
+
+def mined(spark, rows):
+    d = spark.createDataFrame([(sorted(t), b) for t, b in rows], "tokens array<string>, bad boolean")
+    return url_filter.mine(d), url_filter.mine(d).select("tokens", "confidence").distinct().collect()
+
+
+def test_minimal_rules_against_all_itemsets(spark):
+    r = random.Random(6)
+    rows = []
+    for k in range(500):
+        t = {x for x in "abcdef" if r.random() < 0.5} | {"all"}
+        rows.append((t, ({"a", "b"} <= t and r.random() < 0.97) or ("c" in t and {"d", "e"} <= t) or r.random() < 0.05))
+    counts = defaultdict(lambda: [0, 0])
+    for t, b in rows:
+        for k in range(1, len(t) + 1):
+            for c in itertools.combinations(sorted(t), k):
+                counts[c][b] += 1
+    share = {c: n[1] / sum(n) for c, n in counts.items() if n[1] >= 20}
+    want = {c: v for c, v in share.items() if wilson(counts[c][1], sum(counts[c])) >= 0.6 and all(share[p] < v for p in itertools.combinations(c, len(c) - 1) if p)}
+    assert {tuple(x.tokens): x.confidence for x in mined(spark, rows)[1]} == pytest.approx(want) and ("a", "b") in want and ("c", "d", "e") in want
+
+
+def test_urls_with_many_common_tokens(spark):
+    """60 bad URLs of which each has all of 40 keys but one or two, that others have too: combinations would be 2**38."""
+    r = random.Random(8)
+    keys = [f"k{k}" for k in range(40)]
+    rows = [({*keys, "www"} - set(r.sample(keys, 2)), True) for _ in range(60)] + [({k, "www"}, False) for k in keys for _ in range(40)]
+    rows += [({"x", "y", "www"}, True) for _ in range(40)] + [({x, "www"}, False) for x in "xy" for _ in range(90)]
+    found = {tuple(x.tokens): x.confidence for x in mined(spark, rows)[1]}
+    assert found[("x", "y")] == 1.0 and sum(len(t) == 2 for t in found) > 500 and all(len(t) <= 3 for t in found)
+    # keys of bad URLs only are rules by themselves, and no combination of them is needed
+    only = [({*keys} - set(r.sample(keys, 2)), True) for _ in range(60)] + [({"z"}, False) for _ in range(60)]
+    assert {len(x.tokens) for x in mined(spark, only)[1]} == {1}
+
+
+def test_labels_that_do_not_depend_on_urls_make_no_rule(spark):
+    r = random.Random(7)
+    rows = [({f"h{r.randrange(60)}", f"p{r.randrange(12)}", f"q{r.randrange(9)}", "www"}, r.random() < 0.37) for _ in range(8000)]
+    assert not mined(spark, rows)[1]
+
+
+def test_a_long_url_is_judged_whole(spark):
+    long = "http://h.org/" + "/".join(f"s{k}x" for k in "abcdefghij" * 400) + "?" + "&".join(f"k{k}=1" for k in range(3000))
+    rows = [(i, f"http://h.org/{i}?last=1", True) for i in range(40)] + [(100 + i, f"http://h.org/{i}", False) for i in range(300)]
+    pages = spark.createDataFrame([*((i, u) for i, u, _ in rows), (900, long + "&last=1"), (901, long)], "page_id long, url string")
+    found = got(url_filter.judge(pages, spark.createDataFrame([(i, b) for i, _, b in rows], "id long, bad boolean")), "page_id", "verdict")
+    assert found[900][0] == "block" and found[901][0] == "allow" and url_filter.judge(pages.limit(0), spark.createDataFrame([], "id long, bad boolean")).count() == 0
+
+
 def links(docs, n, percent):
     sets = {}
     for i, t, *_ in docs:
