@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Iterator
+from contextlib import suppress
 from functools import wraps
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +66,17 @@ def sheltered(stage):
     return run
 
 
+def tidy(batches: Iterator) -> Iterator:
+    """The batches of a task; what a worker has freed goes back to the machine between them. Workers outlive their stage,
+    and an executor's memory holds all of them beside its heap."""
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # not every system has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hints a broadcast if the counted rows are within the limit."""
     return F.broadcast(df) if rows <= limit else df

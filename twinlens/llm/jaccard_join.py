@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import reliable, shared_folder, sheltered, small, table
+from twinlens.llm.common import reliable, shared_folder, sheltered, small, table, tidy
 from twinlens.llm.components import components
 from twinlens.llm.words import GOLD, mixed, text_hashes
 
@@ -133,7 +133,7 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
 
 
 def _slices(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in tidy(batches):
         for k in range(0, b.num_rows, n):
             yield b.slice(k, n)
 

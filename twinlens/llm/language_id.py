@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import sheltered, table
+from twinlens.llm.common import sheltered, table, tidy
 
 #: Documents of each language in the training sample, crops of each, bytes of a crop.
 SAMPLE_DOCS, CROPS, CROP = 400, 4, 96
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: ByteTagger | None, text_col: str = "text", p
     at = keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidy(batches):
             for part in (b.slice(k, 256) for k in range(0, b.num_rows, 256)):
                 texts = part.column(at).to_pylist()
                 known = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import reliable, table
+from twinlens.llm.common import reliable, table, tidy
 from twinlens.llm.words import LOWER, hashes, pieces, spans
 
 CAPACITY = 2048
@@ -177,7 +177,7 @@ def token_pieces(
 
         path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
         own = _IDS.get(path) or _IDS.setdefault(path, Ids(path))
-        for b in batches:
+        for b in tidy(batches):
             for part in (b.slice(k, 512) for k in range(0, b.num_rows, 512)):
                 ids, sizes = own.encode(part.column(1))
                 raw, begin = ids.astype("<u4").tobytes(), np.cumsum(sizes) - sizes
