@@ -620,3 +620,47 @@ def test_coded_alleles(spark):
     k = spark.createDataFrame([("c", 1, 5, 6, 7, 8), ("c", 2, 1, 2, 3, 4), ("c", 3, 1, 1, 1, 1)], "ctg string, pos long, count_a long, count_c long, count_g long, count_t long")
     a = spark.createDataFrame([("c", 1, 1, 4), ("c", 2, 0, 5), ("c", 4, 1, 2)], "ctg string, pos long, first int, second int")
     assert sorted(map(tuple, copynumber.allele_pairs(k, a).collect())) == [("c", 1, 5, 8), ("c", 2, 0, 0)]
+
+
+def test_given_sites_and_long_indels_in_the_plan(spark):
+    """A given site stays without any alternative read if the normal has reads; an insertion over the cap is no candidate."""
+    o = reads(1, "A", "tumor", "A" * 20) + reads(1, "A", "normal", "A" * 9) + reads(2, "A", "tumor", "A" * 20) + reads(3, "A", "tumor", "A" * 10 + "C" * 10) + reads(3, "A", "normal", "A" * 9)
+    o += [("chr1", 4, "A", s, "A", "+" + "C" * 70 if s == "tumor" else "", 40, 60, 0, f"{s}4-{k}", 0) for s in ("tumor", "normal") for k in range(12)]
+    d = spark.createDataFrame(o, OBS)
+    t, n = d.filter("sample = 'tumor'"), d.filter("sample = 'normal'")
+    given = spark.createDataFrame([("chr1", 1), ("chr1", 2), ("chr1", 3)], "ctg string, pos long")
+    got = {r.pos: (r.hybrid, r.top_allele) for r in pipelines.pair_candidates(t, n, given=given).collect()}
+    assert got == {1: (True, None), 3: (True, "C")}
+    assert [r.pos for r in pipelines.pair_candidates(t, n).collect()] == [3] and {r.pos for r in pipelines.pair_candidates(t, n, most_indel=99).collect()} == {3, 4}
+
+
+def test_call_rows_carry_reads_of_both_alleles(spark):
+    s = "ctg string, pos long, ref string, p array<double>, depth long, normal_depth long, alleles map<string,struct<t:long,n:long>>"
+    d = spark.createDataFrame([("c", 1, "A", [0.1, 0.1, 0.8], 20, 10, {"RA": (12, 9), "XT": (8, 1)}), ("c", 2, "A", [0.9, 0.05, 0.05], 20, 10, {"RA": (20, 10)}), ("c", 3, "A", [0.1, 0.1, 0.8], 20, 0, {"XT": (20, 0)})], s)
+    got = {r.pos: (r.alt, r.ad, r.nad, r.naf, r.ndp) for r in calls.call_rows(d, show_reference=True).collect()}
+    assert got == {1: ("T", [12, 8], [9, 1], 0.1, 10), 2: (".", [20], [10], 1.0, 10), 3: ("T", [0, 20], [0, 0], 0.0, 0)}
+
+
+def test_bases_by_strand(spark):
+    d = spark.createDataFrame(reads(1, "A", "tumor", "AAaCcT*#N") + reads(1, "A", "normal", "Ag"), OBS)
+    r = counts.strand_tags(d).first()
+    assert [r[f"{k}u"] for k in "acgt"] == [5, 2, 0, 1] and [r[f"f{k}u"] for k in "acgt"] == [3, 1, 0, 1] and [r[f"r{k}u"] for k in "acgt"] == [2, 1, 0, 0] and [r[f"n{k}u"] for k in "acgt"] == [1, 0, 1, 0]
+
+
+def test_truths_for_training(spark):
+    t = [("c", 1, "A", "C", "germline"), ("c", 2, "A", "C", "germline"), ("c", 3, "A", "C", "reference"), ("c", 4, "A", "C", "reference"), ("c", 5, "A", "C", "somatic"), ("c", 6, "A", "C", "somatic"), ("c", 7, "A", "C", "somatic"), ("c", 8, "A", "C", "somatic"), ("c", 9, "A", "AT", "germline")]
+    tumor = [("c", 1, 40, {"C": 0.5}, {}), ("c", 2, 40, {"C": 0.5}, {}), ("c", 3, 40, {"G": 0.3}, {}), ("c", 4, 40, {"G": 0.3, "C": 0.1}, {}), ("c", 5, 40, {}, {"C": 0.2}), ("c", 6, 40, {"C": 0.04}, {"C": 0.2}), ("c", 7, 40, {}, {"C": 0.05}), ("c", 9, 40, {"A+T": 0.3}, {})]
+    normal = [("c", 1, {"C": 0.45}), ("c", 2, {"C": 0.39}), ("c", 3, {"G": 0.05}), ("c", 4, {"C": 0.4}), ("c", 5, {"T": 0.5}), ("c", 6, {"T": 0.1}), ("c", 9, {"A+T": 0.4})]
+    got = paired.training_truths(
+        spark.createDataFrame(t, "ctg string, pos long, ref string, alt string, kind string"),
+        spark.createDataFrame(tumor, "ctg string, pos long, depth long, alleles map<string,double>, tumor_alleles map<string,double>"),
+        spark.createDataFrame(normal, "ctg string, pos long, alleles map<string,double>"),
+    )
+    assert {r.pos: r.reason for r in got.collect()} == {1: None, 2: "af_gap", 3: "af_gap", 4: None, 5: None, 6: "in_normal", 7: "low_coverage", 8: "no_reads", 9: None}
+
+
+def test_draws_decide_on_near_truths(spark):
+    p = spark.createDataFrame([("c", k) for k in range(0, 40_000, 10)] + [("c", 90_000)], "ctg string, pos long")
+    o = spark.createDataFrame([("c", k) for k in range(0, 40_000, 10)], "ctg string, pos long")
+    kept = paired.apart_from(p, o, 9).count(), paired.apart_from(p, o, 10).count()
+    assert kept[0] == 4001 and 1050 < kept[1] < 1350 and paired.apart_from(p, o, 10).filter("pos = 90000").count() == 1

@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 EPSILON, OFFSET = 1e-10, 2.0
 
 
-def phred(c: Column) -> Column:
-    """The quality that a character stands for."""
-    return F.ascii(c) - 33
-
-
 def call_quality(p: Column) -> Column:
     """The log-odds score of a probability: 3 places, 0 at least."""
     odds = (1.0 - p + EPSILON) / (p + EPSILON)

@@ -17,7 +17,8 @@ def call_rows(scored: DataFrame, show_reference: bool = False, show_germline: bo
     allele code to struct(t, n), the reads in tumor and normal.
 
     The class is the last largest probability. A somatic call takes the allele with the largest positive difference of
-    fractions, a germline call the one with the largest sum; without one there is no call.
+    fractions, a germline call the one with the largest sum; without one there is no call. ad and nad are the reads of
+    the reference and of the call's allele in tumor and normal; of a reference call, its reads alone.
     """
     k = Q.argmax(F.col("p"))
     entries = F.map_entries("alleles")
@@ -30,12 +31,17 @@ def call_rows(scored: DataFrame, show_reference: bool = False, show_germline: bo
     code = F.when(F.col("kind") == "germline", germline["code"]).when((F.col("kind") == "somatic") & (somatic["s"] < 0) & (F.col("depth") > 0), somatic["code"])
     d = d.withColumn("code", code).withColumn("b", F.when(F.col("code").isNotNull(), alt_bases(F.col("code"), F.col("ref"))))
     reads = F.coalesce(F.try_element_at("alleles", F.coalesce("code", F.concat(F.lit("R"), F.col("ref"))))["t"], F.lit(0))
+    on = lambda side: F.coalesce(F.try_element_at("alleles", F.concat(F.lit("R"), F.col("ref")))[side], F.lit(0))
+    normal_reads = F.coalesce(F.try_element_at("alleles", F.coalesce("code", F.concat(F.lit("R"), F.col("ref"))))["n"], F.lit(0))
+    pair = lambda side, own: F.when(F.col("kind") == "reference", F.array(own)).otherwise(F.array(on(side), own))
+    naf = F.coalesce(F.try_divide(normal_reads, F.col("normal_depth")), F.lit(0.0))
     af = F.least(F.coalesce(F.try_divide(reads, F.col("depth")), F.lit(0.0)), F.lit(1.0))
     qual = F.array_max("p")
     out = d.select(
         *KEY, F.coalesce("b.ref", "ref").alias("ref"), F.when(F.col("kind") == "reference", ".").otherwise(F.col("b.alt")).alias("alt"),
         F.round(qual, 4).alias("qual"), Q.filter_value(F.col("kind"), qual, threshold).alias("filter"), "kind",
-        call_genotype(F.col("kind"), af).alias("gt"), F.col("depth").alias("dp"), F.round(af, 4).alias("af"), reads.alias("ad"),
+        call_genotype(F.col("kind"), af).alias("gt"), F.col("depth").alias("dp"), F.round(af, 4).alias("af"), pair("t", reads).alias("ad"),
+        F.col("normal_depth").alias("ndp"), F.round(naf, 4).alias("naf"), pair("n", normal_reads).alias("nad"),
     )
     shown = (F.col("kind") == "somatic") | (F.lit(show_germline) & (F.col("kind") == "germline")) | (F.lit(show_reference) & (F.col("kind") == "reference"))
     wanted = F.when(F.col("alt") == ".", True).when(F.lit(indels), variant_class(F.col("ref"), F.col("alt")).isin("INS", "DEL")).otherwise(variant_class(F.col("ref"), F.col("alt")) == "SNV")

@@ -57,6 +57,25 @@ def site_counts(obs: DataFrame) -> DataFrame:
     )
 
 
+def strand_tags(obs: DataFrame) -> DataFrame:
+    """A row per site: au to tu, reads of each base in the tumor, nau to ntu in the normal, and of the tumor's fau to ftu
+    forward and rau to rtu reverse. The reference base's number is what the others leave of the depth."""
+    b = F.upper("base")
+    forward = F.col("base").isin(*BASES, "*")
+    counted = b.isin(*BASES, "*", "#")
+    parts = {"": F.col("sample") == "tumor", "n": F.col("sample") == "normal", "f": (F.col("sample") == "tumor") & forward}
+    sums = [F.count_if(c & counted).alias(f"_{k}depth") for k, c in parts.items()]
+    sums += [F.count_if(c & (b == x)).alias(f"_{k}{x.lower()}") for k, c in parts.items() for x in BASES]
+    d = obs.groupBy(*SITE, F.upper("ref").alias("ref")).agg(*sums)
+    out = {}
+    for k in parts:
+        for x in BASES:
+            others = sum((F.col(f"_{k}{y.lower()}") for y in BASES if y != x), F.lit(0))
+            out[f"{k}{x.lower()}u"] = F.when(F.col("ref") == x, F.col(f"_{k}depth") - others).otherwise(F.col(f"_{k}{x.lower()}"))
+    d = d.withColumns(out)
+    return d.withColumns({f"r{x.lower()}u": F.col(f"{x.lower()}u") - F.col(f"f{x.lower()}u") for x in BASES}).drop(*(c for c in d.columns if c.startswith("_")))
+
+
 def reference_by_difference(counts: DataFrame) -> DataFrame:
     """Base counts in which the reference's is the depth less the others'."""
     others = lambda x: sum((F.col(f"n_{y.lower()}") for y in BASES if y != x), F.lit(0))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.functions.alleles import BASE_CODES, HAPLOTYPE_CODES, STRAND_CODE
+from twinlens.functions.alleles import BASE_CODES, STRAND_CODE, haplotype_code
 from twinlens.operators.counts import SITE
 from twinlens.operators.examples import BETWEEN, padded
 
@@ -122,11 +122,7 @@ def read_matrices(sites: DataFrame, obs: DataFrame, platform: str = "ont", flank
         limit = F.when(F.col("sample") == sample, n).otherwise(limit)
     rank = F.row_number().over(Window.partitionBy(*SITE, "sample").orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), "qname")), "qname"))
     drawn = by.withColumn("_rank", rank).filter(F.col("_rank") <= max(most.values())).filter(F.col("_rank") <= limit)
-    code = F.lit(0)
-    for sample, codes in HAPLOTYPE_CODES.items():
-        for hp, value in codes.items():
-            code = F.when((F.col("sample") == sample) & (F.col("hp") == hp), value).otherwise(code)
-    rows = drawn.withColumn("code", code).select(*SITE, "sample", "hp", "first", "start", "qname", "code", "seen")
+    rows = drawn.withColumn("code", haplotype_code(F.col("sample"), F.col("hp"))).select(*SITE, "sample", "hp", "first", "start", "qname", "code", "seen")
     kind = {c: obs.schema[c].dataType.simpleString() for c in (*SITE, "qname")}
     schema = f"ctg {kind['ctg']}, pos {sites.schema['pos'].dataType.simpleString()}, sample string, hp int, first int, start long, qname string, cells array<tinyint>"
     encoded = rows.mapInArrow(_rows(2 * flank + 1, mask), schema)

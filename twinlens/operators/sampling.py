@@ -132,12 +132,6 @@ def mixed_reads(reads: DataFrame, bins: DataFrame) -> DataFrame:
     return reads.join(bins, ["ctg", "sample", "bin"])
 
 
-def keep_reads(depth: Column, alt: Column, fraction: Column, least: int = 3) -> Column:
-    """Reads to keep so that the alternative share becomes the fraction; null unless within least and the depth."""
-    n = F.floor(depth * fraction / (alt / depth))
-    return F.when((alt >= least) & (n >= least) & (n <= depth), n)
-
-
 def mixture_coverage(tumor: float, normal: float, part: float, contamination: float = 0.0) -> float:
     """The largest coverage of a mixture with so large a tumor part, from bins of both samples without reuse."""
     other = 1 + contamination - part

@@ -191,8 +191,3 @@ def local_minima(grid: DataFrame, x: str, y: str, value: str, reach: int = 3) ->
     inner = [F.col(c).between(F.col(f"_low_{c}") + reach, F.col(f"_high_{c}") - reach) for c in (x, y)]
     found = grid.join(near, [x, y]).crossJoin(F.broadcast(ends)).filter(inner[0] & inner[1] & (F.col(value) < F.col("_near")))
     return found.drop("_near", *ends.columns)
-
-
-def rank_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """One row of each key, the first in the given order."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")

@@ -7,17 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.operators import calls, copynumber, counts, evaluate, intervals, kernels, lineage, paired, sequences
+from twinlens.operators import calls, copynumber, counts, evaluate, intervals, kernels, lineage, paired, sequences, sites
 
 
-def pair_candidates(tumor: DataFrame, normal: DataFrame, regions: DataFrame | None = None, **thresholds) -> DataFrame:
-    """Candidate sites of a pair of observations: counted in the tumor, gated, kept to the regions, and compared with
-    the normal, which is counted at candidate sites only (a semi join before its sums)."""
-    t = counts.candidates(counts.allele_counts(tumor), **thresholds)
+def pair_candidates(tumor: DataFrame, normal: DataFrame, regions: DataFrame | None = None, given: DataFrame | None = None, most_indel: int = sites.MAX_INDEL, **thresholds) -> DataFrame:
+    """Candidate sites of a pair of observations: counted in the tumor without longer indels, gated, kept to the regions,
+    and compared with the normal, which is counted at candidate sites only (a semi join before its sums).
+
+    given: sites that are candidates whatever the gate and the comparison say, if the normal has reads there; hybrid
+    marks them, and their columns from the counts are null where they did not pass.
+    """
+    t = counts.candidates(counts.allele_counts(sites.capped_indels(tumor, most_indel)), **thresholds)
     if regions is not None:
         t = intervals.points_inside(t, regions, ["ctg", "pos"])
-    n = counts.allele_counts(normal.join(t.select("ctg", "pos").distinct(), ["ctg", "pos"], "left_semi"))
-    return paired.paired_filter(t, n)
+    wanted = t.select("ctg", "pos") if given is None else t.select("ctg", "pos").union(given.select("ctg", "pos"))
+    n = counts.allele_counts(sites.capped_indels(normal.join(wanted.distinct(), ["ctg", "pos"], "left_semi"), most_indel))
+    kept = paired.paired_filter(t, n)
+    if given is None:
+        return kept
+    return sites.keep_given(sites.with_given(t, given), kept, n.filter("sample = 'normal'")).drop("found").join(kept, ["ctg", "pos"], "left")
 
 
 def pair_features(sites: DataFrame, tumor: DataFrame, normal: DataFrame, flank: int = 16) -> DataFrame:
@@ -29,17 +37,19 @@ def pair_features(sites: DataFrame, tumor: DataFrame, normal: DataFrame, flank:
 
 def call_pair(tumor: DataFrame, normal: DataFrame, model: Callable, flank: int = 16, threshold: float | None = None, **thresholds) -> DataFrame:
     """Calls of a pair: candidates, features, scores, rows."""
-    sites = pair_candidates(tumor, normal, **thresholds)
-    features = pair_features(sites, tumor, normal, flank)
+    found = pair_candidates(tumor, normal, **thresholds)
+    features = pair_features(found.select("ctg", "pos"), tumor, normal, flank)
     p = kernels.score(features, model, (2 * (2 * flank + 1), len(counts.CHANNELS)))
-    c = counts.allele_counts(tumor.unionByName(normal).join(sites.select("ctg", "pos"), ["ctg", "pos"], "left_semi"))
+    there = tumor.unionByName(normal).join(found.select("ctg", "pos"), ["ctg", "pos"], "left_semi")
+    c = counts.allele_counts(there)
     code = F.when(F.col("allele").startswith("D"), F.concat(F.lit("D"), F.col("ref"), F.expr("substring(allele, 2)"))).when(F.length("allele") > 1, F.col("allele")).when(F.col("allele") == F.col("ref"), F.concat(F.lit("R"), F.col("allele"))).otherwise(F.concat(F.lit("X"), F.col("allele")))
     by = c.filter("allele <> '*'").withColumn("code", code).groupBy("ctg", "pos", "ref", "code").agg(
         F.coalesce(F.sum(F.when(F.col("sample") == "tumor", F.col("n"))), F.lit(0)).alias("t"), F.coalesce(F.sum(F.when(F.col("sample") == "normal", F.col("n"))), F.lit(0)).alias("n"),
         F.max(F.when(F.col("sample") == "tumor", F.col("depth"))).alias("d"), F.max(F.when(F.col("sample") == "normal", F.col("depth"))).alias("nd"),
     )
-    sites = by.groupBy("ctg", "pos", "ref").agg(F.map_from_entries(F.collect_list(F.struct("code", F.struct("t", "n")))).alias("alleles"), F.coalesce(F.max("d"), F.lit(0)).alias("depth"), F.coalesce(F.max("nd"), F.lit(0)).alias("normal_depth"))
-    return calls.call_rows(p.join(sites, ["ctg", "pos"]), threshold=threshold)
+    counted = by.groupBy("ctg", "pos", "ref").agg(F.map_from_entries(F.collect_list(F.struct("code", F.struct("t", "n")))).alias("alleles"), F.coalesce(F.max("d"), F.lit(0)).alias("depth"), F.coalesce(F.max("nd"), F.lit(0)).alias("normal_depth"))
+    rows = calls.call_rows(p.join(counted, ["ctg", "pos"]), threshold=threshold)
+    return rows.join(counts.strand_tags(there).drop("ref"), ["ctg", "pos"], "left")
 
 
 def evaluate_calls(truth: DataFrame, called: DataFrame, regions: list[DataFrame] | None = None) -> DataFrame:

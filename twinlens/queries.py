@@ -466,6 +466,89 @@ def training_labels(spark, d):
     return found.select("ctg", "pos", "allele", "label", F.array_join(F.transform(P.one_hot(), lambda x: x.cast("string")), "").alias("hot"))
 
 
+SHOWN = """w AS (SELECT ctg, pos, sample, upper(base) || upper(indel) AS k, hp > 0 AS own FROM o),
+g AS (SELECT ctg, pos, sample, k, count(*) FILTER (NOT own) AS n, count(*) FILTER (own) AS m FROM w GROUP BY ALL),
+q AS (SELECT ctg, pos, sample, k, n / nullif(sum(n) OVER z, 0) AS af, m / nullif(sum(m) OVER z, 0) AS oaf, sum(n + m) OVER z AS depth FROM g WINDOW z AS (PARTITION BY ctg, pos, sample))"""
+
+
+def _shown(spark, d, sample: str, own: bool) -> DataFrame:
+    """Fractions of alleles as pileups show them, of reads with a haplotype (own) or without."""
+    o = observations(spark, d).filter(F.col("sample") == sample).select("ctg", "pos", "ref", F.concat(F.upper("base"), F.upper("indel")).alias("k"), "hp")
+    n = o.groupBy("ctg", "pos", "ref", "k").agg(F.count_if((F.col("hp") > 0) == own).alias("n"))
+    total = n.withColumn("af", F.try_divide("n", F.sum("n").over(Window.partitionBy("ctg", "pos")))).filter(F.col("n") > 0)
+    return total.filter("k <> ref").groupBy("ctg", "pos").agg(F.map_from_entries(F.collect_list(F.struct("k", "af"))).alias("alleles"))
+
+
+@query(f"""WITH {OBS}, {SHOWN}, t AS (SELECT concat('chr', p_partkey % 22 + 1) AS ctg, p_partkey AS pos, substr('ACGT', CAST(p_partkey % 4 AS INT) + 1, 1) AS ref,
+  substr('CGTA', CAST(p_partkey % 4 AS INT) + 1, 1) || CASE WHEN p_partkey % 5 = 0 THEN 'AC' ELSE '' END AS alt, CASE p_size % 3 WHEN 0 THEN 'germline' WHEN 1 THEN 'reference' ELSE 'somatic' END AS kind FROM part),
+y AS (SELECT *, substr(alt, 1, 1) || CASE WHEN length(alt) > 1 THEN '+AC' ELSE '' END AS own FROM t),
+a AS (SELECT DISTINCT ctg, pos, depth, true AS there FROM q WHERE sample = 'tumor'), b AS (SELECT DISTINCT q.ctg, q.pos, true AS paired FROM q JOIN y ON y.ctg = q.ctg AND y.pos = q.pos WHERE sample = 'normal' AND af > 0 AND k <> ref),
+c AS (SELECT y.ctg, y.pos, max(af) AS top FROM q JOIN y USING (ctg, pos) WHERE sample = 'tumor' AND af > 0 AND k <> ref GROUP BY 1, 2), e AS (SELECT y.ctg, y.pos, count(*) AS n_own FROM q JOIN y USING (ctg, pos) WHERE sample = 'tumor' AND oaf > 0 AND k <> ref GROUP BY 1, 2),
+r AS (SELECT y.ctg, y.pos, k, af, row_number() OVER (PARTITION BY y.ctg, y.pos ORDER BY af DESC, k) AS i FROM q JOIN y USING (ctg, pos) WHERE sample = 'tumor' AND af > 0 AND k <> ref AND length(k) = 1),
+x AS (SELECT y.*, there, paired, a.depth, top, n_own, r.af AS best, ta.af AS taf, ta.oaf AS own_af, na.af AS naf, nb.af AS other FROM y LEFT JOIN a USING (ctg, pos) LEFT JOIN b USING (ctg, pos) LEFT JOIN c USING (ctg, pos) LEFT JOIN e USING (ctg, pos)
+  LEFT JOIN r ON r.ctg = y.ctg AND r.pos = y.pos AND r.i = 1 LEFT JOIN q ta ON ta.ctg = y.ctg AND ta.pos = y.pos AND ta.sample = 'tumor' AND ta.k = y.own AND ta.k <> y.ref
+  LEFT JOIN q na ON na.ctg = y.ctg AND na.pos = y.pos AND na.sample = 'normal' AND na.k = y.own AND na.k <> y.ref AND na.af > 0 LEFT JOIN q nb ON nb.ctg = y.ctg AND nb.pos = y.pos AND nb.sample = 'normal' AND nb.k = r.k AND nb.af > 0)
+SELECT ctg, pos, ref, alt, kind, CASE WHEN there IS NULL THEN 'no_reads'
+  WHEN kind = 'germline' THEN CASE WHEN paired IS NULL THEN 'not_in_normal' WHEN coalesce(taf, 0) = 0 OR naf IS NULL THEN 'not_in_both' WHEN abs(round(taf - naf, 9)) > 0.1 OR taf < 0.1 OR naf < 0.1 THEN 'af_gap' END
+  WHEN kind = 'reference' THEN CASE WHEN best IS NULL THEN 'no_allele' WHEN other >= 0.05 OR other > best * 0.2 THEN 'af_gap' END
+  ELSE CASE WHEN paired AND coalesce(top, 0) > 0.03 THEN 'in_normal' WHEN n_own > 0 AND coalesce(own_af, 0) < 0.03 THEN 'low_af' WHEN n_own > 0 AND depth * own_af < 3 THEN 'low_coverage' END END AS reason FROM x""")
+def training_truths(spark, d):
+    """Truths of three kinds at all parts, by their rules; reads without a haplotype stand for the normal in the tumor."""
+    alt = F.concat(F.expr("substring('CGTA', cast(p_partkey % 4 as int) + 1, 1)"), F.when(F.col("p_partkey") % 5 == 0, "AC").otherwise(""))
+    kind = F.expr("case p_size % 3 when 0 then 'germline' when 1 then 'reference' else 'somatic' end")
+    t = load(spark, d, "part").select(F.expr("concat('chr', p_partkey % 22 + 1)").alias("ctg"), F.col("p_partkey").alias("pos"), F.expr("substring('ACGT', cast(p_partkey % 4 as int) + 1, 1)").alias("ref"), alt.alias("alt"), kind.alias("kind"))
+    depth = observations(spark, d).filter("sample = 'tumor'").groupBy("ctg", "pos").agg(F.count("*").alias("depth"))
+    empty = F.create_map().cast("map<string,double>")
+    maps = depth.join(_shown(spark, d, "tumor", False), ["ctg", "pos"], "left").join(_shown(spark, d, "tumor", True).withColumnRenamed("alleles", "tumor_alleles"), ["ctg", "pos"], "left")
+    maps = maps.withColumns({"alleles": F.coalesce("alleles", empty), "tumor_alleles": F.coalesce("tumor_alleles", empty)})
+    return P.training_truths(t, maps, _shown(spark, d, "normal", False))
+
+
+NEAR_TRUTHS = "t AS (SELECT concat('chr', p_partkey % 5) AS ctg, p_partkey AS pos, p_size FROM part)"
+
+
+def _phasing_sql(tumor: bool) -> str:
+    chosen = f"""{_calls_sql('t', 'R')}, {_calls_sql('n', 'A')}, lt AS (SELECT ctg, pos, row_number() OVER (PARTITION BY ctg ORDER BY qual, pos) - 1 AS i, count(*) OVER (PARTITION BY ctg) AS m FROM t),
+ln AS (SELECT ctg, pos, row_number() OVER (PARTITION BY ctg ORDER BY qual, pos) - 1 AS i, count(*) OVER (PARTITION BY ctg) AS m FROM n), low AS (SELECT ctg, pos FROM lt WHERE i < floor(m * 0.2) UNION SELECT ctg, pos FROM ln WHERE i < floor(m * 0.2)),
+s AS (SELECT t.ctg, t.pos, t.ref, t.alt FROM t LEFT JOIN n ON t.ctg = n.ctg AND t.pos = n.pos WHERE ((n.pos IS NULL AND t.qual >= 0.3) OR (t.ref = n.ref AND t.alt = n.alt)) AND NOT EXISTS (SELECT 1 FROM low WHERE low.ctg = t.ctg AND low.pos = t.pos))"""
+    if tumor:
+        return f"WITH {chosen} SELECT *, 'tumor' AS source FROM s"
+    return f"""WITH {chosen}, i AS (SELECT n.ctg, n.pos, n.ref, n.alt FROM n LEFT JOIN t ON t.ctg = n.ctg AND t.pos = n.pos WHERE n.pos % 5 > 0 AND n.dp >= 15 AND round(n.qual, 2) BETWEEN 0.4 AND 0.6
+  AND (t.pos IS NULL OR (t.ref = n.ref AND t.alt = n.alt AND t.dp >= 15 AND (t.pos % 4 > 0 OR round(t.qual, 2) >= 0.9)))),
+b AS (SELECT *, 'tumor' AS source FROM s UNION ALL SELECT ctg, pos, ref, alt, 'normal' FROM n WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.ctg = n.ctg AND s.pos = n.pos))
+SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.ctg = b.ctg AND i.pos = b.pos) UNION ALL SELECT *, 'indel' FROM i"""
+
+
+def _phasing(spark, d, tumor: bool) -> DataFrame:
+    at = lambda flag, k: _calls(spark, d, flag).select("ctg", "pos", "ref", "alt", "dp", F.round("qual", 2).alias("af"), F.when(F.col("pos") % k == 0, 2).otherwise(1).alias("alts"))
+    return P.phasing_sites(_calls(spark, d, "A"), _calls(spark, d, "R"), at("A", 5), at("R", 4), 0.3, 0.2, tumor)
+
+
+@query(_phasing_sql(True))
+def phasing_sites_of_the_tumor(spark, d):
+    return _phasing(spark, d, True)
+
+
+@query(_phasing_sql(False))
+def phasing_sites_of_the_normal(spark, d):
+    """The same calls stand for the indels."""
+    return _phasing(spark, d, False)
+
+
+TAGS = [f"{k}{x}u" for k in ("", "n", "f", "r") for x in "acgt"]
+
+
+def _tags_sql() -> str:
+    of = {"": "sample = 'tumor'", "n": "sample = 'normal'", "f": "sample = 'tumor' AND base = upper(base)", "r": "sample = 'tumor' AND base <> upper(base)"}
+    cells = [f"count(*) FILTER ({of[k]} AND (CASE WHEN ref = '{x.upper()}' THEN upper(base) NOT IN ({', '.join(repr(y) for y in 'ACGT' if y != x.upper())}) ELSE upper(base) = '{x.upper()}' END)) AS {k}{x}u" for k in of for x in "acgt"]
+    return f"WITH {OBS} SELECT ctg, pos, ref, {', '.join(cells)} FROM o GROUP BY ALL"
+
+
+@query(_tags_sql())
+def strand_tags(spark, d):
+    return C.strand_tags(observations(spark, d))
+
+
 # tracks: events by user in the order of their ids
 EVENTS = "e AS (SELECT user_id, event_id, event_type, value FROM events)"
 
@@ -520,9 +603,14 @@ def percentile_cut(spark, d):
     return SEQ.percentile_cut(load(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "value", 0.65).select("user_id", "event_id", "value")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_id, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+h AS (SELECT *, least(25, (n - 1) // 2) AS half FROM e), o AS (SELECT user_id, event_id, value, n, i + unnest(range(-half, half + 1)) AS j FROM h),
+m AS (SELECT o.user_id, o.event_id, any_value(o.value) AS value, quantile_cont(e.value, 0.5) AS m FROM o JOIN e ON e.user_id = o.user_id AND e.i = CASE WHEN j < 0 THEN -1 - j WHEN j >= o.n THEN 2 * o.n - 1 - j ELSE j END GROUP BY o.user_id, o.event_id),
+c AS (SELECT *, quantile_cont(value - m, 0.5) OVER (PARTITION BY user_id) AS c FROM m), z AS (SELECT *, 2.5 * quantile_cont(abs(value - m - c), 0.5) OVER (PARTITION BY user_id) AS z FROM c)
+SELECT user_id, event_id, value, round(m + greatest(least(value - m, z), -z), 6) AS winsorised FROM z""")
 def winsorised_track(spark, d):
-    return SEQ.winsorise(load(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value")
+    w = SEQ.winsorise(load(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value")
+    return w.withColumn("winsorised", F.round("winsorised", 6))
 
 
 # copy numbers
@@ -639,7 +727,20 @@ def binomial_test(spark, d):
     return p.select("id", F.round(CN.binomial_p(F.col("k"), F.col("n"), F.lit(0.3)), 6).alias("p"))
 
 
-@query()
+VERDICTS = """WITH c AS (SELECT p_partkey, p_size + 10 AS n, CAST(p_partkey % (p_size + 11) AS INT) AS k, 0.6 AS pur, CAST(p_partkey % 3 + 1 AS INT) AS major, CAST(p_partkey % 2 AS INT) AS minor FROM part),
+m AS (SELECT *, unnest([1, 2]) AS side FROM c), x AS (SELECT *, CASE WHEN side = 1 OR minor = 0 THEN major ELSE minor END AS a, pur * (major + minor) + 2 * (1 - pur) AS total FROM m),
+e AS (SELECT *, (pur * a + 1 - pur) / total AS eg, pur * a / total AS es FROM x), p AS (SELECT *, unnest(['g', 's']) AS of, unnest([eg, es]) AS q FROM e),
+o AS (SELECT p.*, unnest(range(0, n + 1)) AS i, greatest(least(q, 1 - 1e-12), 1e-12) AS r FROM p),
+l AS (SELECT *, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(r) + (n - i) * ln(1 - r) AS l, lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(r) + (n - k) * ln(1 - r) AS own FROM o),
+t AS (SELECT p_partkey, n, k, pur, side, of, max(q) AS q, least(sum(exp(l)) FILTER (l <= own + 1e-7), 1.0) AS pv FROM l GROUP BY p_partkey, n, k, pur, side, of),
+u AS (SELECT p_partkey, k / n AS f, pur, max(pv) FILTER (of = 'g') AS pg, max(pv) FILTER (of = 's') AS ps, max(q) FILTER (of = 'g' AND side = 1) AS eg, max(q) FILTER (of = 's' AND side = 1) AS es FROM t GROUP BY p_partkey, n, k, pur),
+v AS (SELECT *, log10((pg + 1e-300) / (ps + 1e-300)) AS odds, CASE WHEN es <= eg THEN f < es / 1.5 ELSE f < eg / 2 END AS low FROM u)
+SELECT p_partkey, CASE WHEN f < 0.05 AND pur > 0.2 AND pur < 0.9 THEN 'subclonal' WHEN f > 0.95 THEN 'germline'
+  WHEN pg > 0.01 AND ps < 0.01 THEN CASE WHEN odds >= 2 AND f > 0.25 THEN 'germline' ELSE 'probable_germline' END WHEN pg < 0.01 AND ps > 0.01 THEN CASE WHEN odds <= -2 THEN 'somatic' ELSE 'probable_somatic' END
+  WHEN pg > 0.01 AND ps > 0.01 THEN 'ambiguous' WHEN pur >= 0.3 AND f < 0.25 AND low THEN 'subclonal' WHEN odds < -5 AND ps > 1e-10 THEN 'somatic' WHEN odds > 5 AND pg > 1e-4 THEN 'germline' ELSE 'ambiguous' END AS verdict FROM v"""
+
+
+@query(VERDICTS)
 def verdict_class(spark, d):
     p = load(spark, d, "part").select("p_partkey", (F.col("p_size") + 10).alias("depth"), F.expr("cast(p_partkey % (p_size + 11) as int)").alias("alt"), F.lit(0.6).alias("purity"), F.expr("cast(p_partkey % 3 + 1 as int)").alias("major"), F.expr("cast(p_partkey % 2 as int)").alias("minor"))
     return CN.verdicts(p).select("p_partkey", "verdict")
@@ -704,6 +805,13 @@ def mixed_samples(spark, d):
     return S.mixed_reads(reads, S.mixed_bins(plan)).groupBy("ctg", "sample", "part").agg(F.count_distinct("bin").alias("bins"), F.count("*").alias("reads"))
 
 
+@query(f"WITH {NEAR_TRUTHS} SELECT ctg, pos FROM t WHERE p_size % 4 = 0 AND NOT ({_uniform_sql('pos')} <= 0.7 AND EXISTS (SELECT 1 FROM t u WHERE u.p_size % 30 = 0 AND u.ctg = t.ctg AND u.pos <> t.pos AND abs(u.pos - t.pos) <= 16))")
+def flanking_exclusion(spark, d):
+    """Truths apart from others, and those that a draw lets stay."""
+    t = load(spark, d, "part").select(F.expr("concat('chr', p_partkey % 5)").alias("ctg"), F.col("p_partkey").alias("pos"), "p_size")
+    return P.apart_from(t.filter("p_size % 4 = 0").select("ctg", "pos"), t.filter("p_size % 30 = 0").select("ctg", "pos"), 16)
+
+
 # text forms
 @query("SELECT l_orderkey, l_linenumber, concat(concat('A', '+', 'ACG'[1:1 + l_linenumber % 3]), ',', 'g', ',', CASE WHEN l_linestatus = 'F' THEN 'C-NN' ELSE 'c' END, ',', '*') AS tokens FROM lineitem".replace("concat('A', '+', 'ACG'[1:1 + l_linenumber % 3])", "'A+' || substr('ACG', 1, CAST(1 + l_linenumber % 3 AS INT))"))
 def pileup_tokens(spark, d):

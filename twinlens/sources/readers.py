@@ -3,11 +3,13 @@ that filters and column pruning reach the scan of lines."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions.alleles import parse_genotype
-from twinlens.functions.text import format_value, pileup_tokens
+from twinlens.functions.text import aligned_part, format_value, pileup_tokens
+from twinlens.operators.lineage import reliable, small
 
 
 def vcf(
@@ -89,14 +91,74 @@ def chunks(index: DataFrame, size: int = 5_000_000) -> DataFrame:
     return d.select("ctg", "chunk", (F.col("chunk") * size).alias("start"), F.least((F.col("chunk") + 1) * size, F.col("length")).alias("end"))
 
 
+def _fasta_parts(most: int):
+    """Lines of splits (value, file, at) to parts of records: record counts the headers of a split, 0 before the first."""
+
+    def run(batches):
+        split, record, start, held, size, out = None, 0, 0, [], 0, []
+
+        def part(name=None):
+            nonlocal held, size, start
+            seq = "".join(held)
+            out.append((*split, record, name, start, seq))
+            start += len(seq)
+            held, size = [], 0
+
+        def flushed():
+            nonlocal out
+            columns = list(zip(*out, strict=True))
+            out = []
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "at", "record", "name", "start", "seq"])
+
+        for b in batches:
+            for line, *own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if tuple(own) != split:
+                    if held:
+                        part()
+                    split, record, start = tuple(own), 0, 0
+                if line.startswith(">"):
+                    if held:
+                        part()
+                    record, start = record + 1, 0
+                    part((line[1:].split() or [""])[0])
+                    continue
+                held.append("".join(line.split()).upper())
+                size += len(held[-1])
+                if size >= most:
+                    part()
+            if len(out) > 64:
+                yield flushed()
+        if held:
+            part()
+        if out:
+            yield flushed()
+
+    return run
+
+
 def fasta(spark: SparkSession, path: str, block: int = 1000) -> DataFrame:
-    """A reference as blocks (ctg, start, seq), 1-based, in capitals. A record is read whole: one row a contig."""
-    records = spark.read.option("lineSep", ">").text(path).filter("value <> ''")
-    name = F.regexp_extract("value", r"^(\S+)", 1)
-    seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", ""))
-    d = records.select(name.alias("ctg"), seq.alias("s")).filter("s <> ''")
-    pieces = F.regexp_extract_all("s", F.lit(f"(.{{1,{block}}})"), F.lit(1))  # one pass: a substring would walk from the start each time
-    return d.select("ctg", F.posexplode(pieces).alias("b", "seq")).select("ctg", (F.col("b").cast("long") * block + 1).alias("start"), "seq")
+    """A reference as blocks (ctg, start, seq), 1-based, in capitals.
+
+    Files are read line by line in Spark's splits, so that a contig is as many tasks as its file has splits. Where a split
+    begins within a record follows from the lengths of the splits before it: a row for each record of a split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    parts = reliable(lines.mapInArrow(_fasta_parts(max(block, 1 << 16)), "file string, at long, record long, name string, start long, seq string"))
+    order = Window.partitionBy("file").orderBy("at", "record")
+    sizes = parts.groupBy("file", "at", "record").agg(F.max("name").alias("name"), F.sum(F.length("seq")).alias("n"))
+    sizes = sizes.withColumn("of", F.sum(F.col("name").isNotNull().cast("int")).over(order))
+    within = Window.partitionBy("file", "of").orderBy("at", "record")
+    before = F.coalesce(F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = reliable(sizes.select("file", "at", "record", "of", F.first("name", True).over(within).alias("ctg"), before.alias("before")))
+    d = parts.drop("name").join(small(sizes, sizes.count()), ["file", "at", "record"]).filter("ctg is not null and seq <> ''")
+    d = d.withColumn("from", F.col("before") + F.col("start"))
+    d = d.withColumn("b", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("from") + F.length("seq") - 1) / block))))
+    at = F.greatest(F.col("b") * block - F.col("from"), F.lit(0))
+    piece = F.substring("seq", (at + 1).cast("int"), ((F.col("b") + 1) * block - F.col("from") - at).cast("int"))
+    joined = F.array_sort(F.collect_list(F.struct("from", piece.alias("seq"))))  # the lines of a block
+    by = d.groupBy("file", "of", "ctg", "b").agg(joined.alias("x"))
+    return by.select("ctg", (F.col("b") * block + 1).alias("start"), F.array_join(F.transform("x", lambda x: x["seq"]), "").alias("seq"))
 
 
 def bases_at(sites: DataFrame, reference: DataFrame, block: int = 1000) -> DataFrame:
@@ -107,15 +169,17 @@ def bases_at(sites: DataFrame, reference: DataFrame, block: int = 1000) -> DataF
     return d.join(r, ["ctg", "_start"], "left").withColumn("ref", F.when(base != "", base)).drop("_start", "seq")
 
 
-def sam(spark: SparkSession, path: str, exclude: int = 2316, min_mq: int = 0) -> DataFrame:
-    """Reads of SAM text: qname, flag, ctg, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, hp."""
+def sam(spark: SparkSession, path: str, exclude: int = 2316, min_mq: int = 0, min_aligned: float | None = None) -> DataFrame:
+    """Reads of SAM text: qname, flag, ctg, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, hp. min_aligned: the least
+    part of a read's bases, but for clipped ones, that its CIGAR aligns."""
     c = F.split("value", "\t")
     d = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.col("value") != "")).select(
         c[0].alias("qname"), c[1].cast("int").alias("flag"), c[2].alias("ctg"), c[3].cast("long").alias("pos"), c[4].cast("int").alias("mapq"), c[5].alias("cigar"),
         c[6].alias("rnext"), c[7].cast("long").alias("pnext"), c[8].cast("long").alias("tlen"), c[9].alias("seq"), c[10].alias("qual"),
         F.regexp_extract("value", r"\tHP:i:(\d+)", 1).try_cast("int").alias("hp"),
     )
-    return d.filter((F.col("flag").bitwiseAND(exclude) == 0) & (F.col("mapq") >= min_mq))
+    d = d.filter((F.col("flag").bitwiseAND(exclude) == 0) & (F.col("mapq") >= min_mq))
+    return d if min_aligned is None else d.filter(aligned_part(F.col("cigar")) >= min_aligned)
 
 
 def mapped_contigs(reads: DataFrame) -> DataFrame:
@@ -164,17 +228,19 @@ def observations(reads: DataFrame, sample: str) -> DataFrame:
     )
 
 
-def pileup(spark: SparkSession, path: str, sample: str) -> DataFrame:
+def pileup(spark: SparkSession, path: str, sample: str, strict: bool = False) -> DataFrame:
     """Observations of pileup text: ctg, pos, N, depth, bases, qualities[, mapping qualities][, names][, haplotypes].
 
-    A line whose parts differ in number is left out.
+    A line whose parts differ in number is left out, or ends the job if strict.
     """
     c = F.split("value", "\t")
     d = spark.read.text(path).filter("value <> ''").select(
         c[0].alias("ctg"), c[1].cast("long").alias("pos"), pileup_tokens(c[4]).alias("t"), F.filter(F.split(c[5], ""), lambda x: x != "").alias("q"),
         F.filter(F.split(F.coalesce(F.get(c, F.lit(6)), F.lit("")), ""), lambda x: x != "").alias("m"), F.split(F.coalesce(F.get(c, F.lit(7)), F.lit("")), ",").alias("names"), F.split(F.coalesce(F.get(c, F.lit(8)), F.lit("")), ",").alias("hps"),
     )
-    d = d.filter(F.size("t") == F.size("q")).withColumn("z", F.explode(F.arrays_zip("t", "q", "m", "names", "hps")))
+    whole = F.size("t") == F.size("q")
+    broken = F.raise_error(F.concat(F.lit("a pileup line's parts differ in number at "), "ctg", F.lit(":"), F.col("pos").cast("string")))
+    d = d.filter(F.when(whole, True).otherwise(broken.cast("boolean")) if strict else whole).withColumn("z", F.explode(F.arrays_zip("t", "q", "m", "names", "hps")))
     z = F.col("z")
     return d.select(
         "ctg", "pos", F.lit(sample).alias("sample"), F.substring(z["t"], 1, 1).alias("base"), F.substring(z["t"], F.lit(2), F.length(z["t"])).alias("indel"),
