@@ -664,3 +664,83 @@ def test_draws_decide_on_near_truths(spark):
     o = spark.createDataFrame([("c", k) for k in range(0, 40_000, 10)], "ctg string, pos long")
     kept = paired.apart_from(p, o, 9).count(), paired.apart_from(p, o, 10).count()
     assert kept[0] == 4001 and 1050 < kept[1] < 1350 and paired.apart_from(p, o, 10).filter("pos = 90000").count() == 1
+
+
+def test_unions_over_ranges_of_places(spark):
+    """More partitions than a contig's rows need, equal rows, and unions across the borders of ranges."""
+    r = random.Random(21)
+    rows = [(c, a, a + r.choice([0, 1, 3, 9, 80])) for c in ("a", "b", None) for a in (r.randrange(3000) for _ in range(400))] + [("a", 5, 9)] * 5 + [("z", 0, 10**6), ("z", 7, 8)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        d = spark.createDataFrame(rows, "ctg string, start long, end long")
+        for strict in (True, False):
+            want = []
+            for c in {x[0] for x in rows}:
+                own = []
+                for s, e in sorted((s, e) for k, s, e in rows if k == c):
+                    if own and (s < own[-1][1] if strict else s <= own[-1][1]):
+                        own[-1] = (own[-1][0], max(own[-1][1], e), own[-1][2] + 1)
+                    else:
+                        own.append((s, e, 1))
+                want += [(c, *x) for x in own]
+            assert sorted(map(tuple, intervals.merge_overlaps(d, strict).collect()), key=str) == sorted(want, key=str)
+        p = d.select("ctg", F.col("start").alias("pos"))
+        want = []
+        for c in {x[0] for x in rows}:
+            own = []
+            for s in sorted(s for k, s, _ in rows if k == c):
+                if own and s - own[-1][1] <= 4:
+                    own[-1] = (own[-1][0], s, own[-1][2] + 1)
+                else:
+                    own.append((s, s, 1))
+            want += [(c, a - 2, b + 2, n) for a, b, n in own]
+        assert sorted(map(tuple, sequences.clusters(p, 4, 2).collect()), key=str) == sorted(want, key=str)
+        scored = spark.createDataFrame([(r.choice([0.1, 0.5, r.random()]), r.randrange(2)) for _ in range(500)], "score double, truth int")
+        kept = scored.collect()
+        for x in evaluate.sweep(scored).collect():
+            tp, n = sum(k.truth for k in kept if k.score >= x.score), sum(k.score >= x.score for k in kept)
+            assert (x.tp, x.fp, x.fn) == (tp, n - tp, sum(k.truth for k in kept) - tp)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_pileup_strings_of_all_kinds(spark):
+    from twinlens.functions import text
+
+    r = random.Random(22)
+
+    def slow(t):
+        out, i = [], 0
+        while i < len(t):
+            if t[i] in "+-":
+                n = re.match(r"[0-9]+", t[i + 1 :])[0]
+                seq = t[i + 1 + len(n) : i + 1 + len(n) + int(n)]
+                if out:
+                    out[-1] += t[i] + seq
+                i += 1 + len(n) + int(n)
+                continue
+            if t[i] == "^":
+                i += 1
+            elif t[i] in "ACGTNacgtn#*":
+                out.append(t[i])
+            i += 1
+        return out
+
+    def made():
+        t = ""
+        for _ in range(r.randrange(12)):
+            t += r.choice(["A", "c", "*", "#", "g$", "^+T", "^1a", "^$N", "n"])
+            if r.random() < 0.4:
+                n = r.choice([1, 2, 9, 10, 12, 60, 61, 100, 234])
+                t += r.choice("+-") + str(n) + "".join(r.choice("ACGTacgtnN") for _ in range(n))
+        return t
+
+    texts = [made() for _ in range(300)] + ["", "A", "$", "^]"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {x.k: x.v for x in d.select("k", text.pileup_tokens(F.col("t")).alias("v")).collect()}
+    assert got == {k: slow(t) for k, t in enumerate(texts)}
+    first = d.limit(1).select(text.pileup_tokens(F.lit("+2ACg-1n*")).alias("v")).first()
+    assert first.v == ["g-n", "*"]

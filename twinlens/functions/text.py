@@ -8,14 +8,31 @@ from pyspark.sql import functions as F
 ALPHABET = "ACGTNacgtn#*"
 
 
+#: Indels up to this length have an expression of their own.
+KNOWN_INDEL = 60
+
+
 def pileup_tokens(bases: Column) -> Column:
     """The observations of a pileup string, indels with their base.
 
-    ^ and the character after it, and $, are left out. The string is cut before each + and -: a piece begins with an
-    indel's sign, length and bases, which belong to the last base of the piece before; the other bases stand alone. An
-    indel without a base before it is left out.
+    ^ and the character after it, and $, are left out. One expression finds bases with what is inserted or deleted after
+    them, with an alternative for each length; strings with longer indels are cut into pieces instead. An indel without a
+    base before it is left out.
     """
     clean = F.regexp_replace(bases, r"(?s)\^.|\$", "")
+    lengths = "|".join(f"{n}(?![0-9]).{{{n}}}" for n in range(1, KNOWN_INDEL + 1))
+    indel = f"[+-](?:{lengths})"
+    found = F.regexp_extract_all(clean, F.lit(f"(?s)([{ALPHABET}](?:{indel})?|{indel})"), F.lit(1))
+    found = F.filter(found, lambda t: ~F.substring(t, 1, 1).isin("+", "-"))
+    short = F.transform(found, lambda t: F.when(F.length(t) > 1, F.concat(F.substring(t, 1, 2), F.regexp_replace(F.substring(t, F.lit(3), F.length(t)), "^[0-9]+", ""))).otherwise(t))
+    long = clean.rlike(rf"[+-](?:[0-9]{{3,}}|[{KNOWN_INDEL // 10 + 1}-9][0-9]|{KNOWN_INDEL // 10}[1-9])")
+    return F.when(long, _tokens_by_pieces(bases)).otherwise(short)
+
+
+def _tokens_by_pieces(bases: Column) -> Column:
+    """The same: the string is cut before each + and -; a piece begins with an indel's sign, length and bases, which belong
+    to the last base of the piece before, and the other bases stand alone."""
+    clean = F.regexp_replace(bases, r"(?s)\^.|\$", "")
     pieces = F.regexp_extract_all(clean, F.lit(r"((?:^|[+-][0-9]+)[^+-]*)"), F.lit(1))
 
     def parsed(p: Column) -> Column:

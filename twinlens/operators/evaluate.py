@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.functions.alleles import variant_class
+from twinlens.operators.lineage import in_ranges, running
 
 
 def ratios(tp: Column, fp: Column, fn: Column, places: int = 4) -> dict[str, Column]:
@@ -46,12 +47,13 @@ def metrics(classified: DataFrame, places: int = 4) -> DataFrame:
 def sweep(scored: DataFrame, truths: int | None = None) -> DataFrame:
     """For each distinct score (score, truth 0/1) as a cut, counts and ratios of the rows at or above it.
 
-    One sum by score, then a running sum over the distinct scores.
+    One sum by score, then running sums over ranges of the distinct scores, which may be as many as rows.
     """
     by = scored.groupBy("score").agg(F.sum("truth").alias("t"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.lit(truths) if truths is not None else F.sum("t").over(Window.partitionBy())
-    d = by.withColumns({"tp": F.sum("t").over(down), "all": F.sum("n").over(down), "truths": total})
+    order = [F.desc("score")]
+    d = in_ranges(by, [], order)
+    total = d.agg(F.sum("t").alias("truths")) if truths is None else d.sparkSession.range(1).select(F.lit(truths).alias("truths"))  # one row
+    d = running(running(d, [], order, "tp", "sum", F.col("t")), [], order, "all", "sum", F.col("n")).crossJoin(F.broadcast(total))
     d = d.select("score", "tp", (F.col("all") - F.col("tp")).alias("fp"), (F.col("truths") - F.col("tp")).alias("fn"))
     return d.select("*", *(c.alias(k) for k, c in ratios(F.col("tp"), F.col("fp"), F.col("fn"), 6).items()))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinlens.operators.lineage import in_ranges, running
+
 BIN = 1 << 10
 
 
@@ -55,13 +57,17 @@ def largest_overlap(left: DataFrame, right: DataFrame, key: str, width: int = BI
 
 
 def merge_overlaps(df: DataFrame, strict: bool = True, reducers: dict | None = None) -> DataFrame:
-    """Unions of overlapping intervals; touching ones merge unless strict. reducers: new column -> aggregate."""
-    w = Window.partitionBy("ctg").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max("end").over(w)
-    new = F.when(top.isNull() | ((F.col("start") >= top) if strict else (F.col("start") > top)), 1).otherwise(0)
-    group = F.sum("_new").over(Window.partitionBy("ctg").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
-    own = [v.alias(k) for k, v in (reducers or {}).items()]
-    return df.withColumn("_new", new).withColumn("_group", group).groupBy("ctg", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("merged"), *own).drop("_group")
+    """Unions of overlapping intervals; touching ones merge unless strict. reducers: new column -> aggregate.
+
+    The largest end so far and the number of unions so far are running values over ranges of places.
+    """
+    order = ["start", "end"]
+    d = running(in_ranges(df, ["ctg"], order), ["ctg"], order, "_top", "max", F.col("end"), before=True)
+    apart = F.col("start") >= F.col("_top") if strict else F.col("start") > F.col("_top")
+    new = F.when(F.col("_top").isNull() | apart, 1).otherwise(0)
+    d = running(d.withColumn("_new", new), ["ctg"], order, "_g", "sum", F.col("_new"))
+    aggs = [F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("merged"), *(f.alias(k) for k, f in (reducers or {}).items())]
+    return d.groupBy("ctg", "_g").agg(*aggs).drop("_g")
 
 
 def merge_equals(df: DataFrame, reducers: dict | None = None) -> DataFrame:
@@ -159,7 +165,7 @@ def neighbours(points: DataFrame, others: DataFrame, flank: int) -> DataFrame:
 
 
 def isolated(points: DataFrame, flank: int) -> DataFrame:
-    """Points without another one within flank: two neighbours in order are enough."""
-    w = Window.partitionBy("ctg").orderBy("pos")
-    near = lambda c: F.coalesce(F.abs(c - F.col("pos")) <= flank, F.lit(False))
-    return points.withColumn("_near", near(F.lag("pos").over(w)) | near(F.lead("pos").over(w))).filter("not _near").drop("_near")
+    """Points without one at another place within flank."""
+    places = points.select("ctg", "pos").distinct()
+    near = neighbours(places, places.withColumnRenamed("pos", "opos"), flank + 1).filter(F.abs(F.col("opos") - F.col("pos")) <= flank)
+    return points.join(near.select("ctg", "pos").distinct(), ["ctg", "pos"], "left_anti")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.operators.lineage import reliable, small
+from twinlens.operators.lineage import in_ranges, reliable, running, small
 
 
 def feature_window(sites: DataFrame, vectors: DataFrame, width: int, flank: int = 16) -> DataFrame:
@@ -156,11 +156,11 @@ def interpolate(df: DataFrame, keys: list[str], order: str, value: str) -> DataF
 
 
 def clusters(points: DataFrame, gap: int, pad: int) -> DataFrame:
-    """Windows (ctg, start, end, n) around points that follow each other within gap."""
-    w = Window.partitionBy("ctg").orderBy("pos")
-    new = F.when(F.col("pos") - F.lag("pos").over(w) <= gap, 0).otherwise(1)
-    group = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    d = points.withColumn("_new", new).withColumn("_g", group)
+    """Windows (ctg, start, end, n) around points that follow each other within gap. The last place before a point and
+    the number of windows so far are running values over ranges of places."""
+    d = running(in_ranges(points, ["ctg"], ["pos"]), ["ctg"], ["pos"], "_last", "max", F.col("pos"), before=True)
+    new = F.when(F.col("pos") - F.col("_last") <= gap, 0).otherwise(1)
+    d = running(d.withColumn("_new", new), ["ctg"], ["pos"], "_g", "sum", F.col("_new"))
     return d.groupBy("ctg", "_g").agg((F.min("pos") - pad).alias("start"), (F.max("pos") + pad).alias("end"), F.count("*").alias("n")).drop("_g")
 
 

@@ -6,7 +6,7 @@ the tumor, line numbers give bases. All queries run over whole tables.
 
 from __future__ import annotations
 
-import tempfile
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,6 +29,7 @@ from twinlens.operators import realignment as RE
 from twinlens.operators import sampling as S
 from twinlens.operators import sequences as SEQ
 from twinlens.operators import sites as SI
+from twinlens.operators.lineage import shared_folder
 from twinlens.plans import pipelines as PL
 from twinlens.sources import readers, writers
 from twinlens.streaming import live
@@ -1065,9 +1066,8 @@ def jittered_qualities(spark, d):
 
 # sources and sinks, over files written from the tables
 def _scratch(spark) -> str:
-    """A new folder beside the checkpoints, which driver and executors share; a temporary one only where none is set."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    return tempfile.mkdtemp(prefix="spark-files-") if conf is None else f"{conf}/files-{np.random.default_rng().integers(1 << 60):x}"
+    """A new folder beside the checkpoints, which driver and executors share."""
+    return f"{shared_folder(spark)}/files-{uuid4().hex}"
 
 
 @query("""SELECT concat('chr', p_partkey % 22 + 1) AS ctg, p_partkey AS pos, 'A' AS ref, substr('CGT', CAST(p_partkey % 3 AS INT) + 1, 1) AS alt, CAST(p_size AS DOUBLE) AS qual, round(p_size / 100, 2) AS af
@@ -1220,8 +1220,7 @@ def event_sessions(spark, d):
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE value > 10 GROUP BY 1")
 def stream_event_counts(spark, d):
     """The rows of a file stream, filtered on the way into a table, and counted there."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    out = tempfile.mkdtemp(prefix="spark-stream-") if conf is None else f"{conf}/stream-{np.random.default_rng().integers(1 << 60):x}"
+    out = _scratch(spark)
     schema = load(spark, d, "events").schema
     rows = live.drain(spark, d, "events.parquet", schema, lambda s: s.filter("value > 10").select("event_type"), out)
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))
