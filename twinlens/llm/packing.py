@@ -295,5 +295,9 @@ def op8_best_fit_packing(spark, sf_dir):
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the pieces of all documents, a row for each, and their places in sequences."""
+    """Pipeline stage, the last: the pieces of all documents, a row for each, and their places in sequences.
+
+    A null text is one piece of the closing id alone; repeated rows and rows with a null id are documents of their own; an
+    empty table gives an empty result. Other columns are left out, whatever their names: the result is about pieces.
+    """
     return pack_documents(docs.select("doc_id", "text"))
