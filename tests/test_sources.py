@@ -125,3 +125,20 @@ def test_small_operators(spark):
     m = sampling.mix_reads(t, t.withColumn("s", F.lit("n")), "id", 0.25, 0.5, 3)
     n = {r.s: r["count"] for r in m.groupBy("s").count().collect()}
     assert abs(n["t"] - 1000) < 120 and abs(n["n"] - 2000) < 120 and m.count() == sampling.mix_reads(t, t.withColumn("s", F.lit("n")), "id", 0.25, 0.5, 3).count()
+
+
+def test_a_region_opens_its_parts_only(spark, tmp_path):
+    rows = [(c, p, "A", "T", 9.0, "PASS", "0/0" if p % 5 == 0 else "0/1") for c in ("chr1", "chr10", "chr2", "other") for p in (*range(1, 40_000, 97), 3_000_000, 900_000_000)]
+    d = spark.createDataFrame(rows, "ctg string, pos long, ref string, alt string, qual double, filter string, gt string")
+    path = str(tmp_path / "v")
+    writers.write_indexed_vcf(d.repartition(3), path, {"GT": "gt"}, [("chr1", 10**9)], parts=12, show_reference=True, gzip=True)
+    files = len(list((tmp_path / "v").glob("part-*.gz")))
+    assert files > 8 and spark.read.text(path).filter("value not like '#%'").count() == len(rows)
+    for c, a, b in (("chr1", 1, 500), ("chr2", 16_300, 16_500), ("chr10", 39_000, 899_999_999), ("other", 900_000_000, 900_000_000), ("chr2", 1, 1 << 31), ("chr1", 2, 97), ("chr7", 1, 9)):
+        opened = readers.indexed_parts(spark, path, c, a, b)
+        want = sorted(p for k, p, *_ in rows if k == c and a <= p <= b)
+        assert sorted(r.pos for r in readers.vcf_region(spark, path, c, a, b).collect()) == want
+        text = spark.read.text(opened) if opened else None
+        assert bool(opened) == bool(want) or c == "chr1" and a == 2
+        assert len(opened) <= max(1, files // 2) and (text is None or text.filter(f"value like '{c}\t%'").count() > 0)
+    assert readers.vcf_region(spark, path, "chr1", 1, 500, drop_reference=True).count() == sum(1 for k, p, *_ in rows if k == "chr1" and p <= 500 and p % 5)

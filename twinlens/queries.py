@@ -1083,6 +1083,18 @@ def vcf_round_trip(spark, d):
     return readers.vcf(spark, path, filters=["PASS"], min_qual=10.0, drop_reference=True).select("ctg", "pos", "ref", "alt", "qual", "af")
 
 
+@query("SELECT concat('chr', o_custkey % 3 + 1) AS ctg, o_orderkey AS pos, 'A' AS ref, substr('CGT', CAST(o_orderkey % 3 AS INT) + 1, 1) AS alt FROM orders WHERE o_custkey % 3 = 1 AND o_orderkey BETWEEN 2000 AND 9000")
+def vcf_region(spark, d):
+    """Calls at all orders, written in ranges with an index, and those of a region read from the parts that have some."""
+    o = load(spark, d, "orders").select(
+        F.expr("concat('chr', o_custkey % 3 + 1)").alias("ctg"), F.col("o_orderkey").alias("pos"), F.lit("A").alias("ref"), F.expr("substring('CGT', cast(o_orderkey % 3 as int) + 1, 1)").alias("alt"),
+        F.lit(9.0).alias("qual"), F.lit("PASS").alias("filter"), F.lit("0/1").alias("gt"),
+    )
+    path = f"{_scratch(spark)}/indexed"
+    writers.write_indexed_vcf(o, path, {"GT": "gt"}, [(f"chr{k}", 1 << 30) for k in (1, 2, 3)], parts=24)
+    return readers.vcf_region(spark, path, "chr2", 2000, 9000).select("ctg", "pos", "ref", "alt")
+
+
 @query("SELECT concat('chr', p_partkey % 3) AS ctg, p_partkey * 10 + 3 AS start, p_partkey * 10 + 3 + p_size - 2 AS \"end\" FROM part WHERE p_size > 2 AND p_partkey % 3 = 1")
 def bed_round_trip(spark, d):
     """Intervals written as text and read again, one contig, one place shorter on both sides."""

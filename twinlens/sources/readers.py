@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from twinlens.functions.alleles import parse_genotype
 from twinlens.functions.text import aligned_part, format_value, pileup_tokens
 from twinlens.operators.lineage import reliable, small
+from twinlens.sources.writers import INDEX_BINS
 
 
 def vcf(
-    spark: SparkSession, path: str, contig: str | None = None, start: int | None = None, end: int | None = None, filters: list[str] | None = None,
+    spark: SparkSession, path: str | list[str], contig: str | None = None, start: int | None = None, end: int | None = None, filters: list[str] | None = None,
     min_qual: float | None = None, max_qual: float | None = None, snv_only: bool = False, single_alt: bool = False, drop_reference: bool = False,
     max_naf: float | None = None, naf_factor: float | None = None,
 ) -> DataFrame:
@@ -63,6 +64,22 @@ def vcf(
     return d
 
 
+def indexed_parts(spark: SparkSession, path: str, contig: str, start: int, end: int) -> list[str]:
+    """The files of a folder of write_indexed_vcf that may have calls of a region (1-based, both ends in): those under the
+    bins, of every width, that the region touches, whose places meet it. A name for each part comes to the driver."""
+    touched = F.lit(False)
+    for level, width in enumerate(INDEX_BINS):
+        touched = touched | F.col("bin").between((level << 40) + start // width, (level << 40) + end // width)
+    found = spark.read.parquet(f"{path}/_index").filter((F.col("ctg") == contig) & touched & (F.col("low") <= end) & (F.col("high") >= start))
+    return sorted({r.file for r in found.select("file").collect()})
+
+
+def vcf_region(spark: SparkSession, path: str, contig: str, start: int, end: int, **options) -> DataFrame:
+    """vcf() of a region, which opens no part without calls there."""
+    files = indexed_parts(spark, path, contig, start, end)
+    return vcf(spark, files, contig, start, end, **options) if files else vcf(spark, path, contig, start, end, **options).limit(0)
+
+
 def bed(spark: SparkSession, path: str, contig: str | None = None, padding: int = 0, within: tuple[int, int] | None = None) -> DataFrame:
     """Intervals: ctg, start, end, tag. An empty one gets length 1; padding shrinks an interval from both sides; within
     keeps those that overlap a range."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.functions.alleles import contig_rank
@@ -27,11 +27,16 @@ def add_to_header(header: list[str], lines: list[str]) -> list[str]:
 def vcf_lines(calls: DataFrame, fields: dict[str, str], show_reference: bool = False) -> DataFrame:
     """Lines (value) of calls in karyotype order; fields maps FORMAT keys to columns. Calls of 0/0 and ./. go unless
     wanted."""
+    return vcf_line(calls, fields, show_reference).orderBy(contig_rank(F.col("ctg")), "ctg", "pos").select("value")
+
+
+def vcf_line(calls: DataFrame, fields: dict[str, str], show_reference: bool = False) -> DataFrame:
+    """calls with the line of each as value."""
     d = calls if show_reference else calls.filter(~F.col("gt").isin("0/0", "./."))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     values = F.concat_ws(":", *(text(c) for c in fields.values()))
     line = F.concat_ws("\t", "ctg", F.col("pos").cast("string"), F.lit("."), "ref", "alt", text("qual"), "filter", F.lit("."), F.lit(":".join(fields)), values)
-    return d.orderBy(contig_rank(F.col("ctg")), "ctg", "pos").select(line.alias("value"))
+    return d.withColumn("value", line)
 
 
 def write_vcf(calls: DataFrame, path: str, fields: dict[str, str], contigs: list[tuple[str, int]], command: str = "", show_reference: bool = False, gzip: bool = False) -> None:
@@ -44,6 +49,36 @@ def write_vcf(calls: DataFrame, path: str, fields: dict[str, str], contigs: list
     lines.write.mode("append").option("compression", codec).text(path)
 
 
+#: Places of a bin of the index, from small to large: a part is filed under the smallest bin that holds all of a contig's
+#: places in it.
+INDEX_BINS = (1 << 14, 1 << 17, 1 << 20, 1 << 23, 1 << 26, 1 << 40)
+
+
+def index_bin(low: Column, high: Column) -> Column:
+    """level * 2**40 + number of the smallest bin that has both places."""
+    out = None
+    for level, width in enumerate(INDEX_BINS):
+        fits, name = F.floor(low / width) == F.floor(high / width), F.lit(level << 40) + F.floor(low / width)
+        out = F.when(fits, name) if out is None else out.when(fits, name)
+    return out
+
+
+def write_indexed_vcf(calls: DataFrame, path: str, fields: dict[str, str], contigs: list[tuple[str, int]], parts: int = 64, **options) -> None:
+    """write_vcf in so many ranges of places, and under _index a row for each contig of each part: file, ctg, low, high,
+    bin. A reader of the folder does not see the index."""
+    rank = F.coalesce(contig_rank(F.col("ctg")), F.lit(-1))
+    dealt = calls.withColumn("_rank", rank).repartitionByRange(parts, "_rank", "ctg", "pos")
+    head = calls.sparkSession.createDataFrame([(h,) for h in vcf_header(contigs, options.get("command", ""))], "value string").coalesce(1)
+    codec = "gzip" if options.get("gzip") else "none"
+    head.write.mode("overwrite").option("compression", codec).text(path)
+    line = vcf_line(dealt, fields, options.get("show_reference", False))
+    line.sortWithinPartitions("_rank", "ctg", "pos").select("value").write.mode("append").option("compression", codec).text(path)
+    c = F.split("value", "\t")
+    lines = calls.sparkSession.read.text(path).filter(~F.col("value").startswith("#")).select(F.col("_metadata.file_path").alias("file"), c[0].alias("ctg"), c[1].cast("long").alias("pos"))
+    index = lines.groupBy("file", "ctg").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).withColumn("bin", index_bin(F.col("low"), F.col("high")))
+    index.coalesce(1).write.mode("overwrite").parquet(f"{path}/_index")  # a row for each contig of a part
+
+
 def write_bed(df: DataFrame, path: str, shift: int = 0) -> None:
     d = df.select("ctg", (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"))
     d.write.mode("overwrite").option("sep", "\t").csv(path)
