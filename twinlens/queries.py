@@ -1236,3 +1236,15 @@ def stream_event_counts(spark, d):
     schema = load(spark, d, "events").schema
     rows = live.drain(spark, d, "events.parquet", schema, lambda s: s.filter("value > 10").select("event_type"), out)
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(_paired_sql())
+def stream_candidates(spark, d):
+    """The paired candidates from a scan: observations in files along the contigs, one file a batch, then the ends."""
+    path = _scratch(spark)
+    o = observations(spark, d).drop("flag")
+    ends = o.select("ctg").distinct().select("ctg", F.lit(live.END).alias("pos"))
+    for k, part in enumerate([*(o.filter(F.floor(F.col("pos") * 4 / (F.lit(1) + F.lit(o.agg(F.max("pos")).first()[0] or 0))) == q) for q in range(4)), ends]):
+        part.coalesce(1).write.parquet(f"{path}/scan/{k}")
+    sites, _ = live.scan_candidates(spark, f"{path}/scan", o.schema, f"{path}/out")
+    return sites
