@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 from contextlib import suppress
@@ -77,6 +78,13 @@ def tidy(batches: Iterator) -> Iterator:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Between the rounds of a loop: what earlier rounds have shuffled and kept goes once the driver has forgotten their
+    tables, which else waits until its memory is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hints a broadcast if the counted rows are within the limit."""
     return F.broadcast(df) if rows <= limit else df

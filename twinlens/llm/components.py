@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import reliable
+from twinlens.llm.common import let_go, reliable
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,5 +24,6 @@ def components(links: DataFrame) -> DataFrame:
         )
         changed = new.filter("label <> old").limit(1).count()
         labels = new.drop("old")
+        let_go(links.sparkSession)
         if not changed:
             return labels.withColumnRenamed("label", "component")

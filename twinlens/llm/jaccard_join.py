@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import reliable, shared_folder, sheltered, small, table, tidy
+from twinlens.llm.common import let_go, reliable, shared_folder, sheltered, small, table, tidy
 from twinlens.llm.components import components
 from twinlens.llm.words import GOLD, mixed, text_hashes
 
@@ -334,6 +334,7 @@ def _by_hubs(members: DataFrame, data: DataFrame, percent: int, exact: bool) ->
         mains = mains.groupBy("gid").agg(F.max_by("at", F.struct("k", "at")).alias("main"))
         rows = rows.join(named, F.col("c") == F.col("node"), "left").join(mains, "gid").filter(at != F.col("main"))
         open_rows = reliable(rows.select("gid", "c", "blocks", "most"))
+        let_go(links.sparkSession)
         if not open_rows.limit(1).count():
             return links
         hubs_of = HUBS
