@@ -83,6 +83,48 @@ def test_matrices(spark, platform, mask, most):
         assert np.array_equal(m[left // 2 : left // 2 + len(want[r.pos, "normal"])], want[r.pos, "normal"]) and not m[: left // 2].any()
 
 
+def test_training_matrices(spark):
+    """Each sample's matrix is that of its reads alone; both strands of the variant are in it."""
+    obs = [x for x in some_reads(31, 160) if x[2] in "ACGT"]
+    sites = {}
+    for _, p, ref, *_ in obs:
+        sites.setdefault(p, ref)
+    truths = [("c", p, r, {"A": "C", "C": "G", "G": "T", "T": "A"}[r]) for p, r in sorted(sites.items()) if p % 3 == 0]
+    alts = {p: a for _, p, _, a in truths}
+    r = random.Random(1)
+
+    def planted(x):
+        if x[1] not in alts or x[3] != "tumor" or x[4] in "*#" or r.random() < 0.5:
+            return x
+        return (*x[:4], alts[x[1]].lower() if x[4].islower() else alts[x[1]], "", *x[6:])
+
+    obs = [planted(x) for x in obs]
+    most = {"normal": 90, "tumor": 90}
+    t = spark.createDataFrame(truths, "ctg string, pos long, ref string, alt string")
+    got = matrices.training_matrices(t, spark.createDataFrame(obs, OBS).repartition(4), reads=most).collect()
+    assert len({x.pos for x in got}) > 10 and len(got) > 1.3 * len({x.pos for x in got})
+    for x in got:
+        names = {}
+        for o in obs:
+            if o[3] == "tumor" and abs(o[1] - x.pos) <= 16:
+                names.setdefault(o[9], None)
+                if o[1] == x.pos and not o[5] and o[4].upper() == x.alt:
+                    names[o[9]] = o[4].islower()
+        kept = sorted(names, key=lambda q: (hashlib.md5(f"0-{q}".encode()).hexdigest(), q))[: x["size"]]
+        strands = [names[q] for q in kept if names[q] is not None]
+        assert len(strands) >= 3 and 0 < sum(strands) < len(strands)
+        want = slow_matrix([o for o in obs if o[3] == "normal" or o[9] in kept], x.pos, "tumor", 16, 90, "ont", False)
+        normal = slow_matrix(obs, x.pos, "normal", 16, 90, "ont", False)
+        m = np.array(x.features).reshape(182, 33, 7)
+        at = (180 - len(want) - len(normal)) // 2
+        assert len(want) == x["size"] and np.array_equal(m[at : at + len(normal)], normal) and np.array_equal(m[at + len(normal) + 2 : at + len(normal) + 2 + len(want)], want)
+
+
+def test_variants_that_reads_show(spark):
+    d = spark.createDataFrame([("A", "", "G", "A"), ("a", "", "G", "A"), ("A", "+T", "G", "A"), ("G", "+tc", "G", "GTC"), ("G", "+t", "G", "GTC"), ("G", "-NN", "GTC", "G"), ("G", "-N", "GTC", "G"), ("C", None, "G", "C")], "b string, i string, r string, a string")
+    assert [x[0] for x in d.select(matrices.shows(F.col("b"), F.col("i"), F.col("r"), F.col("a"))).collect()] == [True, True, False, True, False, True, False, True]
+
+
 def test_convolution_against_loops():
     r = np.random.default_rng(2)
     x, w = r.normal(size=(2, 3, 7, 6)), r.normal(size=(4, 3, 3, 3))

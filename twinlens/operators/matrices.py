@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from twinlens.functions.alleles import BASE_CODES, STRAND_CODE, haplotype_code
 from twinlens.operators.counts import SITE
 from twinlens.operators.examples import BETWEEN, padded
+from twinlens.operators.lineage import reliable
+from twinlens.operators.sampling import beta_subsamples
 
 #: Channels of a cell, in order.
 CELL = ("reference", "alternative", "strand", "base_quality", "mapping_quality", "haplotype", "insertion")
@@ -105,6 +107,17 @@ def read_matrices(sites: DataFrame, obs: DataFrame, platform: str = "ont", flank
     window at which a read is seen, of start and of name. Of more reads than fit, those with the smallest hashes of name
     and seed stay, whatever the order. Short reads of one name and two strands are two rows.
     """
+    return assembled(matrix_rows(sites, obs, platform, flank, reads, mask, seed), [*SITE, "sample"])
+
+
+def assembled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, cells) of matrix_rows: the rows of each key on end, in their order."""
+    ordered = F.array_sort(F.collect_list(F.struct("hp", "first", "start", "qname", "cells")))  # as many as fit
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.flatten(F.transform(ordered, lambda x: x["cells"])).alias("cells"))
+
+
+def matrix_rows(sites: DataFrame, obs: DataFrame, platform: str = "ont", flank: int = FLANK, reads: dict[str, int] | None = None, mask: bool = False, seed: int = 0) -> DataFrame:
+    """(ctg, pos, sample, hp, first, start, qname, cells): the rows that read_matrices puts together."""
     most = reads or READS[platform]
     bq, mq = normalised(F.col("bq"), F.col("mq"), platform)
     start = F.col("start") if "start" in obs.columns else F.lit(0)
@@ -125,9 +138,36 @@ def read_matrices(sites: DataFrame, obs: DataFrame, platform: str = "ont", flank
     rows = drawn.withColumn("code", haplotype_code(F.col("sample"), F.col("hp"))).select(*SITE, "sample", "hp", "first", "start", "qname", "code", "seen")
     kind = {c: obs.schema[c].dataType.simpleString() for c in (*SITE, "qname")}
     schema = f"ctg {kind['ctg']}, pos {sites.schema['pos'].dataType.simpleString()}, sample string, hp int, first int, start long, qname string, cells array<tinyint>"
-    encoded = rows.mapInArrow(_rows(2 * flank + 1, mask), schema)
-    ordered = F.array_sort(F.collect_list(F.struct("hp", "first", "start", "qname", "cells")))  # as many as fit
-    return encoded.groupBy(*SITE, "sample").agg(F.count("*").alias("n"), F.flatten(F.transform(ordered, lambda x: x["cells"])).alias("cells"))
+    return rows.mapInArrow(_rows(2 * flank + 1, mask), schema)
+
+
+def shows(base: Column, indel: Column, ref: Column, alt: Column) -> Column:
+    """If an observation at a variant's place has it: its base without an indel, what it inserts, or how much it deletes."""
+    indel, n = F.coalesce(indel, F.lit("")), F.length(alt) - F.length(ref)
+    same = F.upper(base) == F.substring(alt, 1, 1)
+    inserted = indel.startswith("+") & same & (F.upper(F.substring(indel, F.lit(2), F.length(indel))) == F.substring(alt, F.lit(2), F.length(alt)))
+    deleted = indel.startswith("-") & (F.length(indel) - 1 == -n)
+    return F.when(n > 0, inserted).when(n < 0, deleted).otherwise((indel == "") & (F.upper(base) == alt))
+
+
+def training_matrices(truths: DataFrame, obs: DataFrame, platform: str = "ont", flank: int = FLANK, draws: int = 4, least: int = 3, **options) -> DataFrame:
+    """(ctg, pos, ref, alt, size, features): examples of truths (ctg, pos, ref, alt), one a place, at several fractions.
+
+    The tumor's reads of a matrix are subsampled by beta_subsamples, by whether they show the variant and on which strand;
+    each sample is a matrix beside the normal's. A truth without enough reads of both strands gives none.
+    """
+    rows = reliable(matrix_rows(truths, obs, platform, flank, **options))
+    mine = rows.filter("sample = 'tumor'")
+    at = obs.filter("sample = 'tumor'").join(truths.select(*SITE, F.col("ref").alias("_ref"), F.col("alt").alias("_alt")), SITE)
+    seen = at.groupBy(*SITE, "qname").agg(F.bool_or(shows(F.col("base"), F.col("indel"), F.col("_ref"), F.col("_alt"))).alias("is_alt"), F.bool_or(F.col("base").rlike("^[#a-z]")).alias("reverse"))
+    no = F.lit(False)
+    names = mine.select(*SITE, "qname").join(seen, [*SITE, "qname"], "left").select(*SITE, "qname", F.coalesce("is_alt", no).alias("is_alt"), F.coalesce("reverse", no).alias("reverse"))
+    samples = beta_subsamples(names, draws, least)
+    tumor = assembled(mine.join(samples, [*SITE, "qname"]), [*SITE, "size"]).select(*SITE, "size", F.col("cells").alias("t"))
+    normal = assembled(rows.filter("sample = 'normal'"), SITE).select(*SITE, F.col("cells").alias("n"))
+    total = sum((options.get("reads") or READS[platform]).values()) + BETWEEN
+    both = truths.join(tumor, SITE).join(normal, SITE)
+    return both.select(*truths.columns, "size", padded(F.col("n"), F.col("t"), total, (2 * flank + 1) * len(CELL)).alias("features"))
 
 
 def pair_matrices(sites: DataFrame, obs: DataFrame, platform: str = "ont", flank: int = FLANK, **options) -> DataFrame:

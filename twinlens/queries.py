@@ -1058,6 +1058,17 @@ def read_matrices(spark, d):
     return m.select("ctg", "pos", "sample", "n", F.md5(F.array_join(F.transform("cells", lambda x: x.cast("string")), ",")).alias("matrix"))
 
 
+@query()
+def training_matrices(spark, d):
+    """Examples of truths at every tenth place, an alternative base each, at several fractions: their sizes and sums."""
+    reverse = F.floor(F.col("qname").cast("long") / 22) % 2 == 1
+    o = _near_reads(spark, d).withColumns({"ctg": F.lit("chr1"), "base": F.when(F.col("base").isin("*", "#"), F.col("base")).when(reverse, F.lower("base")).otherwise(F.upper("base"))})
+    sites = o.filter("pos % 10 = 0 and ref <> 'N'").select("ctg", "pos", "ref").distinct()
+    truths = sites.withColumn("alt", F.translate("ref", "ACGT", "CGTA"))
+    m = MX.training_matrices(truths, o, least=2, reads={"normal": 200, "tumor": 300})
+    return m.select("ctg", "pos", "ref", "alt", "size", F.aggregate("features", F.lit(0), lambda a, x: a + x).alias("total"))
+
+
 @query()
 def jittered_qualities(spark, d):
     o = observations(spark, d).groupBy("ctg", "pos").agg(F.sort_array(F.collect_list("bq")).alias("bq"))
