@@ -194,6 +194,27 @@ def test_minimal_rules_against_all_itemsets(spark):
     assert {tuple(x.tokens): x.confidence for x in mined(spark, rows)[1]} == pytest.approx(want) and ("a", "b") in want and ("c", "d", "e") in want
 
 
+@pytest.mark.parametrize("bound", [None, (0, 0), (4, 0)])
+def test_rules_do_not_depend_on_how_many_combinations_there_are(spark, monkeypatch, bound):
+    """Rules of three and four tokens with little support, by FP-growth alone, without it, and by both."""
+    if bound:
+        monkeypatch.setattr(url_filter, "COMBINATIONS", bound[0])
+        monkeypatch.setattr(url_filter, "COMBINATIONS_BESIDES", bound[1])
+    r = random.Random(12)
+    rows = []
+    for _ in range(900):
+        t = {x for x in "abcdefgh" if r.random() < 0.35} | {"all"} | ({"i"} if r.random() < 0.8 else set())
+        rows.append((t, {"a", "b", "c"} <= t or ({"d", "e", "f", "i"} <= t and r.random() < 0.98) or r.random() < 0.1))
+    counts = defaultdict(lambda: [0, 0])
+    for t, b in rows:
+        for k in range(1, len(t) + 1):
+            for c in itertools.combinations(sorted(t), k):
+                counts[c][b] += 1
+    share = {c: n[1] / sum(n) for c, n in counts.items() if n[1] >= 20}
+    want = {c: v for c, v in share.items() if wilson(counts[c][1], sum(counts[c])) >= 0.6 and all(share[p] < v for p in itertools.combinations(c, len(c) - 1) if p)}
+    assert {tuple(x.tokens): x.confidence for x in mined(spark, rows)[1]} == pytest.approx(want) and ("a", "b", "c") in want and max(map(len, want)) > 3
+
+
 def test_urls_with_many_common_tokens(spark):
     """60 bad URLs of which each has all of 40 keys but one or two, that others have too: combinations would be 2**38."""
     r = random.Random(8)

@@ -8,6 +8,8 @@ rules filed under one of its tokens.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -27,8 +29,8 @@ RULES = [
 #: ones besides), and its confidence is at least this even at the lower end of an interval of so many deviations: many
 #: combinations are tried, and labels that do not depend on URLs must not make one.
 MIN_CONFIDENCE, MIN_COUNT, MIN_SUPPORT, DEVIATIONS = 0.6, 20, 0.0, 3.0
-#: Combinations that bad URLs may have on average, and in all besides, before more support is asked of those of three
-#: and more tokens.
+#: Combinations that bad URLs may have on average, and in all besides, before FP-growth leaves those of less support to
+#: the search that skips what cannot be a rule. The rules are the same either way.
 COMBINATIONS, COMBINATIONS_BESIDES = 4096, 1 << 20
 #: The label's item; no token begins with this character.
 BAD = "!bad"
@@ -83,13 +85,61 @@ def lower_confidence(bad: Column, n: Column, z: float = DEVIATIONS) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def _combinations(bad: DataFrame, need: int) -> DataFrame:
-    """Frequent itemsets (tokens, bad) of two and more items in the baskets (items) of bad URLs.
+def _filed(sets: DataFrame, items: DataFrame, m: int) -> DataFrame:
+    """Sets of items (tokens) with key, their rarest item, and all, their items' tokens."""
+    rarest = (
+        sets.select("tokens", F.explode("tokens").alias("item")).join(small(items.select("item", "n", "members"), m), "item")
+        .groupBy("tokens").agg(F.min(F.struct("n", "item")).alias("m"), F.collect_list("members").alias("all")).select("tokens", F.col("m.item").alias("key"), "all")
+    )
+    return reliable(sets.join(rarest, "tokens"))
+
+
+def _counted(sets: DataFrame, baskets: DataFrame, name: str) -> DataFrame:
+    """How many of the baskets (items) have all of a set's items; a basket meets the sets filed under its items."""
+    filed = small(sets.select("tokens", "key"), sets.count())
+    return (
+        baskets.groupBy("items").agg(F.count("*").alias("_n")).select("items", "_n", F.explode("items").alias("key")).join(filed, "key")
+        .filter(F.size(F.array_except("tokens", "items")) == 0).groupBy("tokens").agg(F.sum("_n").alias(name))
+    )
+
 
-    A basket of w frequent items has 2**w combinations. FP-growth asks for as much support, need or more, as leaves a
-    bounded number of them on average; pairs of less support are then counted one by one.
+def _grown(bad: DataFrame, good: DataFrame, items: DataFrame, m: int, need: int) -> Iterator[DataFrame]:
+    """Frequent itemsets (tokens, bad) of two items, of three and so on, without those that cannot be rules.
+
+    A rule is more confident than each of its parts, so every part of it is in some good URL and is in fewer URLs than
+    the part's own parts are: else the item that makes no difference would make none in the rule either. A set is
+    counted only if all its parts are such, which drops no rule and no part of one.
+    """
+    pairs = bad.select(F.explode("items").alias("a"), "items").select("a", F.explode("items").alias("b")).filter("a < b")
+    sets = pairs.groupBy("a", "b").agg(F.count("*").alias("bad")).filter(F.col("bad") >= need).select(F.array("a", "b").alias("tokens"), "bad")
+    before = items.select(F.array("item").alias("tokens"), "n")
+    while True:
+        sets = _filed(sets, items, m)
+        yield sets.select("tokens", "bad")
+        counted = sets.join(_counted(sets, good, "good"), "tokens").withColumn("n", F.col("bad") + F.col("good"))
+        parts = counted.select(F.col("tokens").alias("_whole"), "n", F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))).alias("tokens"))
+        same = parts.join(before.select("tokens", F.col("n").alias("_part")), "tokens").filter("n = _part").select(F.col("_whole").alias("tokens"))
+        open_ = reliable(counted.join(same, "tokens", "left_anti").select("tokens", "n"))
+        if open_.isEmpty():
+            return
+        k = F.size("tokens")
+        ends = open_.select(F.slice("tokens", F.lit(1), k - 1).alias("head"), F.element_at("tokens", -1).alias("last"))
+        two = ends.join(ends.select("head", F.col("last").alias("other")), "head").filter("last < other").select(F.concat("head", F.array("last", "other")).alias("_whole"))
+        parts = two.select("_whole", F.explode(F.transform("_whole", lambda x: F.array_remove("_whole", x))).alias("tokens"))
+        whole = parts.join(open_, "tokens").groupBy("_whole").agg(F.count("*").alias("_n")).filter(F.size("_whole") == F.col("_n"))
+        sets = _filed(whole.select(F.col("_whole").alias("tokens")), items, m)
+        sets = sets.join(_counted(sets, bad, "bad").filter(F.col("bad") >= need), "tokens").select("tokens", "bad")
+        before = open_
+
+
+def _combinations(bad: DataFrame, good: DataFrame, items: DataFrame, m: int, need: int) -> DataFrame:
+    """Itemsets (tokens, bad) of two and more items with need bad URLs: all that are rules, and all parts of these.
+
+    bad and good are the baskets (items) of bad and other URLs. A basket of w frequent items has 2**w combinations.
+    FP-growth asks for as much support, need or more, as leaves a bounded number of them on average; sets of less support
+    are then grown item by item. Which way a set is found changes no rule.
     """
-    own = reliable(bad)
+    own, good = reliable(bad), reliable(good)
     rows = own.count()
     steps = [need << k for k in range(0, max(1, rows // need).bit_length())]
     counts = own.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
@@ -103,10 +153,8 @@ def _combinations(bad: DataFrame, need: int) -> DataFrame:
         mined = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, rows))).fit(own).freqItemsets
         found.append(mined.filter(F.size("items") > 1).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad")))
     if least != need:
-        pairs = own.select(F.explode("items").alias("a"), "items").select("a", F.explode("items").alias("b")).filter("a < b")
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("bad")).filter((F.col("bad") >= need) & (F.col("bad") < (least or 1 << 62)))
-        found.append(pairs.select(F.array("a", "b").alias("tokens"), "bad"))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        found.extend(x.filter(F.col("bad") < (least or 1 << 62)) for x in _grown(own, good, items, m, need))
+    return reduce(DataFrame.unionByName, found)
 
 
 def mine(labelled: DataFrame, tokens_col: str = "tokens", bad_col: str = "bad", support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, count: int = MIN_COUNT) -> DataFrame:
@@ -134,17 +182,9 @@ def mine(labelled: DataFrame, tokens_col: str = "tokens", bad_col: str = "bad",
     baskets = reliable(
         seen.withColumnRenamed("token", "item").join(some, "item").groupBy("at", "bad").agg(F.array_sort(F.collect_list("item")).alias("items")).drop("at")
     )
-    sets = reliable(single.unionByName(_combinations(baskets.filter("bad").select("items"), need)))
-    rarest = (
-        sets.select("tokens", F.explode("tokens").alias("item")).join(small(items.select("item", "n", "members"), m), "item")
-        .groupBy("tokens").agg(F.min(F.struct("n", "item")).alias("m"), F.collect_list("members").alias("all")).select("tokens", F.col("m.item").alias("key"), "all")
-    )
-    sets = reliable(sets.join(rarest, "tokens"))
-    filed = small(sets.select("tokens", "key"), sets.count())
-    good = (
-        baskets.filter("not bad").groupBy("items").agg(F.count("*").alias("good")).select("items", "good", F.explode("items").alias("key")).join(filed, "key")
-        .filter(F.size(F.array_except("tokens", "items")) == 0).groupBy("tokens").agg(F.sum("good").alias("good"))
-    )
+    sets = single.unionByName(_combinations(baskets.filter("bad").select("items"), baskets.filter("not bad").select("items"), items, m, need))
+    sets = _filed(reliable(sets), items, m)
+    good = _counted(sets, baskets.filter("not bad"), "good")
     total = F.col("bad") + F.coalesce("good", F.lit(0))
     judged = sets.join(good, "tokens", "left").withColumns({"confidence": F.col("bad") / total, "lower": lower_confidence(F.col("bad"), total)})
     judged = reliable(judged.drop("good"))
