@@ -76,6 +76,37 @@ def test_splice_without_boundaries():
         assert token_counts.splice(text, c.encode, 120, 7) == c.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+class Watched:
+    """A tokenizer that keeps what its batches are asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **more):
+        self.asked += texts
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_counts_of_letters_come_from_the_model():
+    import public_tokenizers
+
+    c = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    c.tokenizer = Watched(c.tokenizer)
+    text = "The Straße, déjà vu.\nÀ côté  of 12 words;x_y\t(ÿes) \r\n" * 30
+    n = len(c.encode(text)[0])
+    assert [c.count([text], chunk, 20)[0] for chunk in (40, 100_000)] == [n, n]
+    assert c.tokenizer.asked and not any(x.isalpha() for w in c.tokenizer.asked for x in w)
+    r = random.Random(13)
+    parts = ["a", "É", "ß", "÷", "×", "'s", "'re", "'", "’", "0", "²", ".", "-", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "e\u0301", "日", "<|endoftext|>", "<|", "\0", "the", " word", "I'm"]
+    for k in range(300):
+        text = "".join(r.choice(parts if k % 2 else [x for x in parts if x.isascii()]) for _ in range(r.choice([3, 20, 200])))
+        n = len(c.encode(text)[0])
+        assert [c.count([text], chunk, 9)[0] for chunk in (64, 8192)] == [n, n], text
+
+
 def test_language_gradients():
     r = np.random.default_rng(0)
     m = language_id.ByteTagger(["a", "b"], 3)

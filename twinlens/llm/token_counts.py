@@ -5,8 +5,10 @@ that both start as a token of its own after one space, with no other white space
 and no match spans such a space, so from there on the encoding depends on nothing before it. Where an overlap has no
 common boundary it is doubled, up to the rest of the document.
 
-Other documents are cut at the same kind of boundary, and each piece is encoded by the library once for each worker
-and kept; a text with other white space beside its spaces goes to the library as it is.
+Texts are cut where a match of the pre-tokenizer ends, and each piece is encoded by the library once for each worker and
+kept. A text, or a long text's chunk, of ASCII and Latin-1 letters is cut into its matches, and a match of letters goes
+straight to the library's model; other texts are cut before words as above, and one with other white space beside
+its spaces goes to the library as it is.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,18 +24,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.llm.common import table
+from twinlens.llm.words import LETTERS, byte_signs
 
 #: Characters of a chunk and of its first overlap with the next one.
 CHUNK, OVERLAP = 8_192, 512
 #: Pieces that a worker keeps.
 KEPT_PIECES = 600_000
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"\s | \s|^ | $|\x00")
+_OTHER_SPACE = re.compile(r"\s | \s|^ | $")
+#: Texts of which the pre-tokenizer's matches are known without its tables of Unicode, these matches, and those of letters.
+_PLAIN = re.compile(rf"[\t-\r -~{LETTERS}]*")
+_MATCH = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
+_WORD = re.compile(rf" ?[{LETTERS}]+")
 
 
 def splice(text: str, encode: Callable, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     """The ids of text, from chunks of it. encode(part) gives (ids, starts, opens): opens tells if a token begins with
-    a space; its start is the space's."""
+    a space; its start is the space's. What encode gives for ids, and for what stretches, is all one to the splices."""
     ids: list[int] = []
     at = 0  # ids has the tokens of text[:at]
     stop = min(chunk, len(text))
@@ -73,29 +81,54 @@ class Counter:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.pieces = Tokenizer.from_file(path), {}
+        self.model, self.signs, t = self.tokenizer.model, byte_signs(), self.tokenizer.pre_tokenizer
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.direct = self.tokenizer.normalizer is None and isinstance(self.model, BPE) and isinstance(t, ByteLevel) and t.use_regex and not t.add_prefix_space
+
+    def plain(self, text: str) -> bool:
+        return self.direct and _PLAIN.fullmatch(text) is not None and not any(x in text for x in self.added)
 
     def encode(self, text: str):
         e = self.tokenizer.encode(text, add_special_tokens=False)
         return e.ids, [s for s, _ in e.offsets], [t[:1] == "Ġ" for t in e.tokens]
 
-    def learn(self, new: list[str]) -> None:
-        """A document's first piece has no space before it; its key begins with a zero character."""
-        found = self.tokenizer.encode_batch_fast([w[1:] if w[:1] == "\0" else " " + w for w in new], add_special_tokens=False)
-        self.pieces.update(zip(new, map(len, found), strict=True))
+    def matches(self, text: str):
+        """A plain text's matches as splice() takes them, with their numbers of tokens for ids."""
+        pieces = _MATCH.findall(text)
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces.clear()
+        self.learn({w for w in pieces if w not in self.pieces})
+        return [self.pieces[w] for w in pieces], list(accumulate(map(len, pieces[:-1]), initial=0)), [w[0] == " " for w in pieces]
+
+    def learn(self, new: set[str]) -> None:
+        rest = []
+        for w in new:
+            if self.direct and _WORD.fullmatch(w):
+                self.pieces[w] = len(self.model.tokenize(w.translate(self.signs)))
+            else:
+                rest.append(w)
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        self.pieces.update(zip(rest, map(len, found), strict=True))
 
     def count(self, texts: list[str | None], chunk: int, overlap: int) -> list[int]:
         out, todo = [0] * len(texts), []
         for i, text in enumerate(texts):
             if not text:
                 continue
+            plain = self.plain(text)
             if len(text) > chunk:
-                out[i] = len(splice(text, self.encode, chunk, overlap))
+                out[i] = sum(splice(text, self.matches, chunk, overlap)) if plain else len(splice(text, self.encode, chunk, overlap))
+            elif plain:
+                todo.append((i, _MATCH.findall(text)))
             elif _OTHER_SPACE.search(text):
                 out[i] = len(self.tokenizer.encode(text, add_special_tokens=False).ids)
             else:
-                todo.append((i, ("\0" + text).split(" ")))
+                first, *more = text.split(" ")
+                todo.append((i, [first, *(" " + w for w in more)]))
         if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
         late, new = [], set()
@@ -106,7 +139,7 @@ class Counter:
                 new.update(w for w, k in zip(words, n, strict=True) if k is None)
             else:
                 out[i] = sum(n)
-        self.learn(list(new))
+        self.learn(new)
         for i, words in late:
             out[i] = sum(map(self.pieces.__getitem__, words))
         return out

@@ -1,7 +1,9 @@
-"""Words of whole batches of texts at once: their places and 64-bit hashes, in numpy over the column's bytes."""
+"""Words of whole batches of texts at once: their places and 64-bit hashes, in numpy over the column's bytes; and words of
+letters alone, which a byte-level vocabulary's model takes without normalizer and pre-tokenizer."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +13,8 @@ import xxhash
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 20
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Letters of ASCII and Latin-1, as a set of a regular expression.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _BASE = 0xD6E8FEB86659FD93
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -30,6 +34,15 @@ LOWER[65:91] = LOWER[97:123]
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def byte_signs() -> dict[int, str]:
+    """The signs of a byte-level vocabulary for the bytes of a space and of each letter, for str.translate."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    by = ByteLevel(add_prefix_space=False, use_regex=False)
+    letters = " " + "".join(c for c in map(chr, range(256)) if re.match(f"[{LETTERS}]", c))
+    return {ord(c): "".join(x for x, _ in by.pre_tokenize_str(c)) for c in letters}
+
+
 def _powers(piece: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if piece not in _POWERS:
