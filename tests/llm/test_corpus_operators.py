@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -540,6 +541,19 @@ def test_packing(frame, docs):
     assert -(-total // 256) <= len(bins) == alone + sum(r.length == 256 for r in rows)
 
 
+def test_ids_of_letters_come_from_the_model():
+    import public_tokenizers
+
+    own = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    whole, own.tokenizer = own.tokenizer, Watched(own.tokenizer)
+    texts = ["The Straße, déjà VU. À CÔTÉ ÿes of\nmany words, (x) 12 a_b", None, "ŒUVRE İstanbul e\u0301t\u00e9 <|endoftext|> it's ª µm 日本 ÀÉÎ÷Õ×Þ"]
+    ids, sizes = own.encode(pa.array(texts))
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+    asked = {w for t in own.tokenizer.asked for w in t.split(packing.SEPARATOR)}
+    assert "(x)" in asked and not asked & {"the", "straße", "Straße", "déjà", "vu", "À", "CÔTÉ", "many"}
+
+
 def test_packing_tree(spark):
     """Small groups, so that underfull bins climb several levels; and pieces that never fit together."""
     r = random.Random(11)

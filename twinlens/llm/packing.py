@@ -8,8 +8,10 @@ or a round no longer joins bins.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.llm.common import reliable, table, tidy
-from twinlens.llm.words import LOWER, hashes, pieces, spans
+from twinlens.llm.words import LETTERS, LOWER, byte_signs, hashes, pieces, spans
 
 CAPACITY = 2048
 #: Bins with fewer free places than this are final.
@@ -29,6 +31,7 @@ GROUP_ITEMS, FAN_IN = 20_000, 4
 KEPT_WORDS = 800_000
 #: The vocabulary's special token between words that are encoded in one call, and so many words.
 SEPARATOR, JOINED = "<|endoftext|>", 400
+_WORD = re.compile(f"[{LETTERS}]+")
 #: A round that joins less than this part of its bins is the last.
 LEAST_GAIN = 0.01
 
@@ -48,6 +51,8 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        self.model, self.signs = self.tokenizer.model, byte_signs()
+        self.direct = all(self._letters(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("The", "Übermaß", "DÉJÀ", "xqzjøÿ"))
         self.flat, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 0
         self.starts, self.sizes, self.hits = np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(1, np.int32)
         self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and their words' numbers
@@ -84,9 +89,24 @@ class Ids:
         self.sizes[self.n : end] = sizes
         self.n, self.used = end, self.used + len(ids)
 
+    def _letters(self, word: str) -> list[int]:
+        """The ids of a word of ASCII and Latin-1 letters: in lower case it is one match of the pre-tokenizer, which the
+        library's model takes as it is."""
+        return [t.id for t in self.model.tokenize(word.lower().translate(self.signs))]
+
     def learn(self, words: dict[int, bytes]) -> None:
-        """A special token between words keeps them apart in one call; a word that might hold one has a call alone."""
-        plain = [(k, w) for k, w in words.items() if b"<" not in w]
+        """Words of letters go to the library's model. Between others a special token keeps them apart in one call; a
+        word that might hold one has a call alone."""
+        found, plain = {}, []
+        for k, w in words.items():
+            if b"<" not in w:
+                if self.direct and _WORD.fullmatch(word := w.decode()):
+                    found[k] = self._letters(word)
+                else:
+                    plain.append((k, w))
+        if found:
+            sizes = np.fromiter(map(len, found.values()), np.int64, len(found))
+            self._add(list(found), np.fromiter(chain.from_iterable(found.values()), np.uint32, int(sizes.sum())), sizes)
         for lo in range(0, len(plain), JOINED * JOINED):
             part = plain[lo : lo + JOINED * JOINED]
             texts = [SEPARATOR.join(w.decode() for _, w in part[k : k + JOINED]) + SEPARATOR for k in range(0, len(part), JOINED)]
