@@ -94,11 +94,15 @@ def _filed(sets: DataFrame, items: DataFrame, m: int) -> DataFrame:
     return reliable(sets.join(rarest, "tokens"))
 
 
+def _grouped(baskets: DataFrame) -> DataFrame:
+    return baskets.groupBy("items").agg(F.count("*").alias("_n"))
+
+
 def _counted(sets: DataFrame, baskets: DataFrame, name: str) -> DataFrame:
-    """How many of the baskets (items) have all of a set's items; a basket meets the sets filed under its items."""
+    """How many of the baskets (items, _n) have all of a set's items; a basket meets the sets filed under its items."""
     filed = small(sets.select("tokens", "key"), sets.count())
     return (
-        baskets.groupBy("items").agg(F.count("*").alias("_n")).select("items", "_n", F.explode("items").alias("key")).join(filed, "key")
+        baskets.select("items", "_n", F.explode("items").alias("key")).join(filed, "key")
         .filter(F.size(F.array_except("tokens", "items")) == 0).groupBy("tokens").agg(F.sum("_n").alias(name))
     )
 
@@ -110,8 +114,11 @@ def _grown(bad: DataFrame, good: DataFrame, items: DataFrame, m: int, need: int)
     the part's own parts are: else the item that makes no difference would make none in the rule either. A set is
     counted only if all its parts are such, which drops no rule and no part of one.
     """
-    pairs = bad.select(F.explode("items").alias("a"), "items").select("a", F.explode("items").alias("b")).filter("a < b")
-    sets = pairs.groupBy("a", "b").agg(F.count("*").alias("bad")).filter(F.col("bad") >= need).select(F.array("a", "b").alias("tokens"), "bad")
+    # few baskets may meet many sets: they are dealt over all cores
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    bad, good = (reliable(_grouped(x).repartition(cores)) for x in (bad, good))
+    pairs = bad.select(F.explode("items").alias("a"), "items", "_n").select("a", F.explode("items").alias("b"), "_n").filter("a < b")
+    sets = pairs.groupBy("a", "b").agg(F.sum("_n").alias("bad")).filter(F.col("bad") >= need).select(F.array("a", "b").alias("tokens"), "bad")
     before = items.select(F.array("item").alias("tokens"), "n")
     while True:
         sets = _filed(sets, items, m)
@@ -139,7 +146,7 @@ def _combinations(bad: DataFrame, good: DataFrame, items: DataFrame, m: int, nee
     FP-growth asks for as much support, need or more, as leaves a bounded number of them on average; sets of less support
     are then grown item by item. Which way a set is found changes no rule.
     """
-    own, good = reliable(bad), reliable(good)
+    own = reliable(bad)
     rows = own.count()
     steps = [need << k for k in range(0, max(1, rows // need).bit_length())]
     counts = own.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
@@ -184,7 +191,7 @@ def mine(labelled: DataFrame, tokens_col: str = "tokens", bad_col: str = "bad",
     )
     sets = single.unionByName(_combinations(baskets.filter("bad").select("items"), baskets.filter("not bad").select("items"), items, m, need))
     sets = _filed(reliable(sets), items, m)
-    good = _counted(sets, baskets.filter("not bad"), "good")
+    good = _counted(sets, _grouped(baskets.filter("not bad")), "good")
     total = F.col("bad") + F.coalesce("good", F.lit(0))
     judged = sets.join(good, "tokens", "left").withColumns({"confidence": F.col("bad") / total, "lower": lower_confidence(F.col("bad"), total)})
     judged = reliable(judged.drop("good"))
