@@ -6,16 +6,18 @@ import math
 import os
 import random
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from test_corpus_operators import ODD, corpus
 
-from twinlens.llm import quality_rules
+from twinlens.llm import common, quality_rules
 from twinlens.llm.language_id import language_stage
 from twinlens.llm.mixing import mixing_stage
 from twinlens.llm.packing import packing_stage
@@ -182,3 +184,40 @@ def test_the_pipeline_leaves_its_last_table_only(spark, tmp_path, monkeypatch):
     assert sorted(r.doc_id for r in out.collect()) == list(range(0, 20, 2))
     folder = out.inputFiles()[0].split("://")[-1].split(":", 1)[-1].rsplit("/", 2)[0]
     assert sorted(os.listdir(folder)) == ["2"] and corpus_pipeline.shared_folder(spark).startswith(before)
+
+
+def test_a_worker_gives_back_what_its_task_has_held(monkeypatch):
+    held, alive = [], []
+
+    class Words:
+        pass
+
+    def kernel(batches):
+        own = Words()
+        held.append(weakref.ref(own))
+        yield from batches
+
+    monkeypatch.setattr(common, "give_back", lambda: alive.append(held[0]() is not None))
+    assert list(common.tidy(kernel)([1, 2])) == [1, 2] and alive == [True, True, False]
+
+
+@pytest.mark.parametrize("stage", [s for k, s in corpus_pipeline.STAGES if k in ("language ID", "near duplicates", "packing")])
+def test_stages_hand_texts_over_in_small_batches(spark, stage):
+    text = F.repeat(F.concat(F.md5(F.col("id").cast("string")), F.lit(" ")), 250)
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(8250).alias("n_chars"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        stage(spark, docs, "")
+        got = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(x.n for x in got) == 2000 and max(x.size for x in got) < 6e6
+        spark.conf.set(key, "1m")
+        stage(spark, docs.limit(3), "")
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)

@@ -67,15 +67,55 @@ def sheltered(stage):
     return run
 
 
-def tidy(batches: Iterator) -> Iterator:
-    """The batches of a task; what a worker has freed goes back to the machine between them. Workers outlive their stage,
-    and an executor's memory holds all of them beside its heap."""
-    for b in batches:
-        yield b
-        del b
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):  # not every system has it
-            ctypes.CDLL(None).malloc_trim(0)
+def give_back() -> None:
+    """What a worker has freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every system has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(kernel):
+    """A function of a task's batches, whose worker gives back what it has freed between batches, and at the task's end
+    what the function itself has held. Workers outlive their stage, and an executor's memory holds all of them beside its
+    heap."""
+
+    def each(batches: Iterator) -> Iterator:
+        for b in batches:
+            yield b
+            del b
+            give_back()
+
+    def run(batches: Iterator) -> Iterator:
+        for out in kernel(each(batches)):
+            yield out
+            del out
+        gc.collect()
+        give_back()
+
+    return run
+
+
+def tidy_groups(kernel):
+    """A function of a key and its rows, whose worker gives back what it has freed after each group."""
+
+    @wraps(kernel)
+    def run(key, rows):
+        out = kernel(key, rows)
+        give_back()
+        return out
+
+    return run
+
+
+#: Bytes of a batch of rows between an executor and its workers, about.
+BATCH = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of so many bytes from here on, unless the session names a size. Spark's own are of up to 64 MB, a whole split,
+    which the executor and its workers hold at once for each task, and what comes back as well."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
 def let_go(spark: SparkSession) -> None:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import let_go, reliable, shared_folder, sheltered, small, table, tidy
+from twinlens.llm.common import let_go, reliable, shared_folder, sheltered, small, small_batches, table, tidy, tidy_groups
 from twinlens.llm.components import components
 from twinlens.llm.words import GOLD, mixed, text_hashes
 
@@ -133,7 +133,7 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
 
 
 def _slices(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[pa.RecordBatch]:
-    for b in tidy(batches):
+    for b in batches:
         for k in range(0, b.num_rows, n):
             yield b.slice(k, n)
 
@@ -149,7 +149,7 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["id", "t", "n_shingles", "class", "sketch"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "t", "text").mapInArrow(run, f"id {kind}, t long, n_shingles long, class binary, sketch binary")
+    return docs.select("id", "t", "text").mapInArrow(tidy(run), f"id {kind}, t long, n_shingles long, class binary, sketch binary")
 
 
 def _enumerate(words: int, bands: Bands, buckets: int):
@@ -309,7 +309,7 @@ def _forest(members: DataFrame, data: DataFrame, percent: int, exact: bool) -> D
     total = rows.agg(F.coalesce(F.sum(F.octet_length("data") + 64), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_BYTES))
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(_trees(percent, exact), "a long, b long")
+    return dealt.groupBy("bucket").applyInArrow(tidy_groups(_trees(percent, exact)), "a long, b long")
 
 
 def _by_hubs(members: DataFrame, data: DataFrame, percent: int, exact: bool) -> DataFrame:
@@ -363,8 +363,8 @@ def _clusters(own: DataFrame, sets: DataFrame, words: int, percent: int) -> Data
         each = (100 - percent) / (100 + percent) * 2.5 * len(list(combinations(range(shape[0]), shape[1]))) / (shape[1] + 1)
         buckets = max(1, -(-int(total * 8 * each) // BUCKET_BYTES))
         texts = own.select("text") if wanted is None else _texts(own, some).select("text")
-        packed = texts.mapInArrow(_enumerate(words, bands, buckets), "bucket long, kind int, signatures binary, classes binary, counts binary")
-        groups = packed.groupBy("bucket").applyInArrow(_groups, "gid long, class binary")
+        packed = texts.mapInArrow(tidy(_enumerate(words, bands, buckets)), "bucket long, kind int, signatures binary, classes binary, counts binary")
+        groups = packed.groupBy("bucket").applyInArrow(tidy_groups(_groups), "gid long, class binary")
         members = reliable(groups.join(names, "class").select("gid", "c", "n").distinct())
         links, large = _spanned(members, data, percent, False)
         found.append(links)
@@ -417,7 +417,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     near = components(reliable(_clusters(own, sets, words, percent).distinct()))
     near = near.select(F.col("component").alias("gid"), F.col("node").alias("c")).join(sets.select("c", "n"), "c").select("gid", "c", "n")
     near = reliable(near)
-    data = reliable(_texts(own, sets.join(near, "c", "left_semi")).mapInArrow(_exact_sets(words), "c long, n long, data binary").dropDuplicates(["c"]))
+    data = reliable(_texts(own, sets.join(near, "c", "left_semi")).mapInArrow(tidy(_exact_sets(words)), "c long, n long, data binary").dropDuplicates(["c"]))
     links, large = _spanned(near, data, percent, True)
     if large.limit(1).count():
         links = links.unionByName(_by_hubs(large, data, percent, True))
@@ -455,6 +455,7 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows, texts under one doc_id and rows with a null doc_id are rows of their own: each links by its text.
     Texts without words link with nothing, so all of them stay.
     """
+    small_batches(spark)
     path = f"{shared_folder(spark)}/near-{uuid4().hex}"
     docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import sheltered, table, tidy
+from twinlens.llm.common import sheltered, small_batches, table, tidy
 
 #: Documents of each language in the training sample, crops of each, bytes of a crop.
 SAMPLE_DOCS, CROPS, CROP = 400, 4, 96
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: ByteTagger | None, text_col: str = "text", p
     at = keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tidy(batches):
+        for b in batches:
             for part in (b.slice(k, 256) for k in range(0, b.num_rows, 256)):
                 texts = part.column(at).to_pylist()
                 known = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: ByteTagger | None, text_col: str = "text", p
                         names[i], scores[i] = model.langs[k], min(1.0, float(s))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, pred, score])
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -241,6 +241,7 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text and one without a letter go. Repeated rows and null ids are judged each for itself. Without labelled
     documents, as in an empty table, nothing is recognised and nothing stays.
     """
+    small_batches(spark)
     own = docs.withColumn("held_out", held_out("doc_id"))
     model = train(training_sample(own.filter("not held_out"), "lang", "text", "doc_id"))
     found = predict(docs, model, "text", "_lang_pred", "_score")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.common import reliable, table, tidy
+from twinlens.llm.common import reliable, small_batches, table, tidy, tidy_groups
 from twinlens.llm.words import LETTERS, LOWER, byte_signs, hashes, pieces, spans
 
 CAPACITY = 2048
@@ -27,7 +27,7 @@ CAPACITY = 2048
 NEARLY_FULL = 16
 #: Items of a group, and groups that merge in a round at least.
 GROUP_ITEMS, FAN_IN = 20_000, 4
-#: Words that a worker keeps.
+#: Words that a task keeps.
 KEPT_WORDS = 800_000
 #: The vocabulary's special token between words that are encoded in one call, and so many words.
 SEPARATOR, JOINED = "<|endoftext|>", 400
@@ -37,7 +37,7 @@ LEAST_GAIN = 0.01
 
 
 class Ids:
-    """Token ids of words, each encoded by the library once for each worker and kept in one flat array.
+    """Token ids of words, each encoded by the library once for each task and kept in one flat array.
 
     The vocabulary's normalizer and pre-tokenizer drop white space and match nothing across it, so a text's ids are its
     words' ids in order. ASCII letters are lower-cased by the normalizer, and a full stop or comma at a word's end after
@@ -182,9 +182,6 @@ class Ids:
         return (np.concatenate(found), np.concatenate(sizes)) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
-_IDS: dict[str, Ids] = {}
-
-
 def token_pieces(
     docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY
 ) -> DataFrame:
@@ -196,8 +193,8 @@ def token_pieces(
         import public_tokenizers
 
         path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
-        own = _IDS.get(path) or _IDS.setdefault(path, Ids(path))
-        for b in tidy(batches):
+        own = Ids(path)
+        for b in batches:
             for part in (b.slice(k, 512) for k in range(0, b.num_rows, 512)):
                 ids, sizes = own.encode(part.column(1))
                 raw, begin = ids.astype("<u4").tobytes(), np.cumsum(sizes) - sizes
@@ -212,7 +209,7 @@ def token_pieces(
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
-        run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long"
+        tidy(run), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long"
     )
 
 
@@ -277,7 +274,7 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     done, level = [], 0
     while True:
         schema = "group long, id long, size long, parts array<long>, offsets array<long>"
-        bins = reliable(items.groupBy("group").applyInPandas(_joined(level, capacity), schema))
+        bins = reliable(items.groupBy("group").applyInPandas(tidy_groups(_joined(level, capacity)), schema))
         last = groups == 1
         if not last:
             before, left = n, bins.filter(F.col("size") <= capacity - NEARLY_FULL).count()
@@ -320,4 +317,5 @@ def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is one piece of the closing id alone; repeated rows and rows with a null id are documents of their own; an
     empty table gives an empty result. Other columns are left out, whatever their names: the result is about pieces.
     """
+    small_batches(spark)
     return pack_documents(docs.select("doc_id", "text"))
