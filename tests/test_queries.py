@@ -53,3 +53,16 @@ def test_pair_calls_scores_whole_windows(spark, monkeypatch):
     widths, feature_window = [], queries.SEQ.feature_window
     monkeypatch.setattr(queries.SEQ, "feature_window", lambda sites, vectors, width, flank: widths.append(2 * flank + 1) or feature_window(sites, vectors, width, flank))
     assert len(QUERIES["pair_calls"](spark, DATA).columns) and widths == [33, 33]
+
+
+def test_of_equal_line_numbers_the_first_in_the_files_is_a_read(spark, db, tmp_path):
+    li = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_returnflag"
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    # the second file is larger, so that Spark reads it first; each of its rows has an equal line number in the first
+    db.execute(f"COPY (SELECT {li} FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey < 200) TO '{folder}/0.parquet'")
+    db.execute(f"COPY (SELECT {li.replace('l_quantity', 'l_quantity % 50 + 1 AS l_quantity')} FROM lineitem WHERE l_returnflag = 'R') TO '{folder}/1.parquet'")
+    con = duckdb.connect()
+    con.execute(f"SET threads = 1; CREATE VIEW lineitem AS SELECT * FROM '{folder}/*.parquet'")
+    want = rows(con.execute(ORACLE["read_matrices"]).df())
+    assert rows(QUERIES["read_matrices"](spark, str(tmp_path)).toPandas()) == want and len(want[1]) > 50

@@ -1028,7 +1028,8 @@ NEAR = """o AS (SELECT concat('chr', l_orderkey % 22 + 1) AS ctg, l_partkey % 12
 
 
 def _near_reads(spark, d) -> DataFrame:
-    """Orders as reads: the line items of an order on its contig, at places of a window or two; one a place."""
+    """Orders as reads: the line items of an order on its contig, at places of a window or two; one a place, of equal line
+    numbers the first in the files, since such are not rare and the order of tasks is not fixed."""
     li = load(spark, d, "lineitem").filter("l_returnflag in ('A', 'R')")
     mark = F.expr("case when l_quantity % 13 = 0 then '' when l_quantity % 7 = 0 then concat('+', substring('ACGTTGCAACGT', 1, cast(l_quantity as int) div 4)) when l_quantity % 11 = 0 then '-NN' else '' end")
     base = F.expr("case when l_quantity % 13 = 0 then case when l_orderkey % 2 = 0 then '#' else '*' end when l_orderkey % 2 = 0 then lower(substring('ACGT', l_linenumber % 4 + 1, 1)) else substring('ACGT', l_linenumber % 4 + 1, 1) end")
@@ -1036,9 +1037,10 @@ def _near_reads(spark, d) -> DataFrame:
         F.expr("concat('chr', l_orderkey % 22 + 1)").alias("ctg"), (F.col("l_partkey") % 120).alias("pos"), F.expr("substring('ACGTN', cast(l_partkey % 5 as int) + 1, 1)").alias("ref"),
         F.expr("case l_returnflag when 'A' then 'normal' else 'tumor' end").alias("sample"), base.alias("base"), mark.alias("indel"), F.expr("cast(l_quantity as int)").alias("bq"),
         F.expr("cast(l_suppkey % 60 as int)").alias("mq"), F.expr("cast(l_orderkey % 3 as int)").alias("hp"), F.expr("cast(l_orderkey as string)").alias("qname"), "l_linenumber",
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"),
     )
-    one = F.row_number().over(Window.partitionBy("ctg", "pos", "sample", "qname").orderBy("l_linenumber"))
-    return o.withColumn("k", one).filter("k = 1").drop("k", "l_linenumber")
+    one = F.row_number().over(Window.partitionBy("ctg", "pos", "sample", "qname").orderBy("l_linenumber", "_file", "_row"))
+    return o.withColumn("k", one).filter("k = 1").drop("k", "l_linenumber", "_file", "_row")
 
 
 @query(f"""WITH {NEAR}, u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY ctg, pos, sample, qname ORDER BY l_linenumber) = 1),
