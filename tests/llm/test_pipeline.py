@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from test_corpus_operators import corpus, lines_left, links, mutate, words
 
+from twinlens.llm.common import reliable, stored
 from twinlens.llm.jaccard_join import near_duplicate_stage
 from twinlens.llm.line_dedup import line_stage
 
@@ -83,3 +84,15 @@ def test_dedup_stages_against_brute_force(spark, tmp_path):
     assert sorted(x.doc_id for x in near.collect()) == sorted(i for i, (_, c) in top.items() if i == c)
     for stage in (line_stage, near_duplicate_stage):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_tables_leave_the_drivers_heap_as_small_as_it_was(spark):
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    for keep in (reliable, stored):
+        size = min(heap.maxMemory() // 2, (1 << 31) - 64)
+        held = spark._jvm.java.nio.ByteBuffer.allocate(size)
+        grown = heap.totalMemory()
+        assert grown > size
+        del held
+        assert keep(spark.range(3)).count() == 3
+        assert heap.totalMemory() < grown and heap.totalMemory() - heap.freeMemory() < size

@@ -37,13 +37,16 @@ def shared_folder(spark: SparkSession) -> str:
 def reliable(df: DataFrame) -> DataFrame:
     """df from files in the shared folder: computed once, and safe against lost executors."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    make_room(df.sparkSession)
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df from a Parquet table in the shared folder: like reliable(), smaller on disk for many rows."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
     df.write.parquet(path)
+    make_room(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -125,6 +128,14 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def make_room(spark: SparkSession) -> None:
+    """What plans and tasks have left on the driver goes once its heap is beyond a third of what it may have. Otherwise the
+    heap grows to all of it on a large input, though little of it is in use, and the JVM's other memory comes on top."""
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if 3 * heap.totalMemory() > heap.maxMemory():
+        let_go(spark)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hints a broadcast if the counted rows are within the limit."""
     return F.broadcast(df) if rows <= limit else df

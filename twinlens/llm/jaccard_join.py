@@ -423,9 +423,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         links = links.unionByName(_by_hubs(large, data, percent, True))
     merged = components(links).select(F.col("node").alias("c"), "component")
     # a class that has links is in its component, another one alone
-    tops = sets.select("class", "c", "first").join(merged, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    tops = reliable(sets.select("class", "c", "first").join(merged, "c", "left").withColumn("component", F.coalesce("component", "c")))
     least = tops.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = tops.join(least, "component").select("class", "component_id")
+    named = reliable(tops.join(least, "component").select("class", "component_id"))  # used more than once below
     empty = nodes.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     large_classes = full.join(_hot(full, named), "class", "left")
     done = large_classes.filter("many").select("id", "n_shingles", F.col("hot").alias("component_id"))
