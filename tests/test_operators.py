@@ -744,3 +744,52 @@ def test_pileup_strings_of_all_kinds(spark):
     assert got == {k: slow(t) for k, t in enumerate(texts)}
     first = d.limit(1).select(text.pileup_tokens(F.lit("+2ACg-1n*")).alias("v")).first()
     assert first.v == ["g-n", "*"]
+
+
+def test_windows_of_a_task_are_aligned_at_once(monkeypatch):
+    r = random.Random(8)
+    windows = []
+    for k in range(40):
+        ref = "".join(r.choice("ACGT") for _ in range(120))
+        own = [ref, ref[:60] + ref[63:], ref[:50] + "GATTA" + ref[50:]]
+        seqs = [r.choice(own)[a : a + r.randint(50, 100)] for a in (r.randrange(20) for _ in range(r.randint(1, 12)))]
+        windows.append((ref, 1000 * k, 20, 30, seqs, [[r.choice([10, 30, 30, 30]) for _ in s] for s in seqs]))
+    each = [realignment.realign_window(*w) for w in windows]
+    calls, aligned = [], realignment._aligned
+    monkeypatch.setattr(realignment, "_aligned", lambda pairs: calls.append(len(pairs)) or aligned(pairs))
+    assert realignment.realign_windows(windows) == each and any(x and "D" in x[3] for w in each for x in w)
+    assert len(calls) < 5 and sum(calls) > 40
+
+
+def test_a_task_gathers_whole_windows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(realignment, "READS_AT_ONCE", 20)
+    monkeypatch.setattr(realignment, "WINDOWS_AT_ONCE", 4)
+    w = [k for k in range(30) for _ in range(1 + k * 7 % 11)]
+    rows = pa.RecordBatch.from_pydict({"window": w})
+    for size in (1, 3, 7, 50, len(w)):
+        got = [t.column("window").to_pylist() for t in realignment._gathered(rows.slice(a, size) for a in range(0, len(w), size))]
+        assert sum(got, []) == w and all(not set(a) & set(b) for a, b in zip(got, got[1:])) and len(got) > 7
+
+
+def test_realignment_of_reads_across_batches(spark):
+    r = random.Random(9)
+    win, rows = [], []
+    for k in range(30):
+        ref = "".join(r.choice("ACGT") for _ in range(100))
+        win.append((f"w{k}", 500 * k, ref))
+        for q in range(r.randint(1, 9)):
+            a = r.randrange(30)
+            seq = (ref if q % 2 else ref[:48] + ref[50:])[a : a + 60]
+            rows.append((f"w{k}", f"q{q}", seq, [30] * len(seq), q, 500 * k + a, f"{len(seq)}M"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {(x.window, x.qname): (x.haplotype, x.score, x.pos, x.cigar) for x in realignment.realign(spark.createDataFrame(rows, READS.replace("window long", "window string")), spark.createDataFrame(win, "window string, start long, ref string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for w, start, ref in win:
+        own = [x for x in rows if x[0] == w]
+        for x, new in zip(own, realignment.realign_window(ref, start, 0, 0, [x[2] for x in own], [x[3] for x in own]), strict=True):
+            assert got[w, x[1]] == (new or (None, None, x[5], x[6]))

@@ -1,45 +1,48 @@
 """Local realignment: the haplotypes of a window, its reads' places on them, and what that says on the reference.
 
-A window and its reads are one group of bounded size. Reads are placed without gaps by the k-mers they share with a
-haplotype, all reads of a window at once; the rest is aligned along anti-diagonals, again all reads at once. A place on a
-haplotype and the haplotype's alignment are composed base by base into a place and a CIGAR on the reference.
+A window and its reads are of bounded size, and a task takes some windows at once. Reads are placed without gaps by the
+k-mers they share with a haplotype, all reads of a window at once; the rest is aligned along anti-diagonals, those of many
+windows at once. A place on a haplotype and the haplotype's alignment are composed base by base into a place and a CIGAR on
+the reference.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Scores of a match, a mismatch, the first base of a gap and each further one; mismatches of a place without gaps; k.
 MATCH, MISMATCH, OPEN, EXTEND = 4, 6, 8, 2
 MOST_MISMATCHES, K = 2, 32
-#: Reads that are aligned at once.
-READS_AT_ONCE = 128
+#: Pairs that are aligned at once, and bytes of their trace, about; windows and reads that a task gathers.
+PAIRS_AT_ONCE, TRACE_BYTES, WINDOWS_AT_ONCE, READS_AT_ONCE = 512, 16 << 20, 128, 8192
 
 
-def haplotypes(ref: str, reads: list[tuple[str, list[int]]], min_k: int = 10, max_k: int = 101, min_bq: int = 15, min_weight: int = 2, most: int = 256) -> list[str]:
+def haplotypes(ref: str, reads: list[tuple[str, np.ndarray | list[int]]], min_k: int = 10, max_k: int = 101, min_bq: int = 15, min_weight: int = 2, most: int = 256) -> list[str]:
     """The paths of a de Bruijn graph of the reference and reads from its first to its last k-mer, sorted; none if the
     graph has cycles at every k or more paths than most. Reads break at odd or low-quality bases."""
+    parts = []
+    for seq, bq in reads:
+        if not seq.strip("ACGT") and len(seq) == len(bq) and min(bq, default=min_bq) >= min_bq:
+            parts.append(seq)
+        else:
+            parts += "".join(c if c in "ACGT" and q >= min_bq else " " for c, q in zip(seq, bq, strict=True)).split()
     for k in range(min_k, min(max_k, len(ref) - 1) + 1):
         mers = [ref[i : i + k] for i in range(len(ref) - k + 1)]
         if len(set(mers)) < len(mers):
             continue
-        weight: dict[tuple[str, str], int] = defaultdict(int)
         fixed = set(zip(mers, mers[1:], strict=False))
-        for seq, bq in reads:
-            good = "".join(c if c in "ACGT" and q >= min_bq else " " for c, q in zip(seq, bq, strict=True))
-            for part in good.split():
-                for i in range(len(part) - k):
-                    weight[part[i : i + k], part[i + 1 : i + k + 1]] += 1
+        weight = Counter(part[i : i + k + 1] for part in parts for i in range(len(part) - k))  # an edge is k + 1 bases
         out: dict[str, set[str]] = defaultdict(set)
-        for (a, b), n in weight.items():
+        for edge, n in weight.items():
             if n >= min_weight:
-                out[a].add(b)
+                out[edge[:-1]].add(edge[1:])
         for a, b in fixed:
             out[a].add(b)
         state: dict[str, int] = {}
@@ -74,8 +77,8 @@ def haplotypes(ref: str, reads: list[tuple[str, list[int]]], min_k: int = 10, ma
     return []
 
 
-def _padded(texts: list[str], width: int) -> np.ndarray:
-    out = np.zeros((len(texts), width), np.uint8)
+def _padded(texts: list[str], width: int, pad: int = 0) -> np.ndarray:
+    out = np.full((len(texts), width), pad, np.uint8)
     for i, t in enumerate(texts):
         out[i, : len(t)] = np.frombuffer(t.encode(), np.uint8)
     return out
@@ -83,17 +86,15 @@ def _padded(texts: list[str], width: int) -> np.ndarray:
 
 def _mers(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, place) of all k-mers of texts."""
-    hashes, of, at = [], [], []
+    lengths = np.array([len(t) for t in texts], int)
+    n = np.maximum(lengths - k + 1, 0)
+    of = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    if not len(of):
+        return np.zeros(0, np.uint64), of, at
     power = np.cumprod(np.full(k, 0x9E3779B97F4A7C15, np.uint64))
-    for i, t in enumerate(texts):
-        if len(t) >= k:
-            view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(t.encode(), np.uint8), k).astype(np.uint64)
-            hashes.append((view * power).sum(1, dtype=np.uint64))
-            of.append(np.full(len(view), i))
-            at.append(np.arange(len(view)))
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(hashes), np.concatenate(of), np.concatenate(at)
+    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer("".join(texts).encode(), np.uint8).astype(np.uint64), k)
+    return view[np.cumsum(lengths)[of] - lengths[of] + at] @ power, of, at
 
 
 def places(hap: str, reads: list[str], index: tuple[np.ndarray, np.ndarray, np.ndarray], bare: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -141,54 +142,72 @@ def places(hap: str, reads: list[str], index: tuple[np.ndarray, np.ndarray, np.n
 
 
 def align(queries: list[str], target: str) -> list[tuple[int, int, str]]:
-    """Local alignments with affine gaps of queries to one target: score, first place in the target, and a CIGAR with
-    soft clips. Cells of an anti-diagonal do not depend on each other: each is one step, for all queries at once."""
-    out = []
-    for k in range(0, len(queries), READS_AT_ONCE):
-        out += _aligned(queries[k : k + READS_AT_ONCE], target)
+    """align_pairs of queries to one target."""
+    return align_pairs([(q, target) for q in queries])
+
+
+def align_pairs(pairs: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
+    """Local alignments with affine gaps of a query to a target each: score, first place in the target, and a CIGAR with
+    soft clips. Cells of an anti-diagonal do not depend on each other: each is one step, for all pairs at once."""
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    out, own, n, m = [(0, 0, "")] * len(pairs), [], 0, 0
+    for k in order:
+        q, t = map(len, pairs[k])
+        wide, long = max(n, q), max(m, t)
+        if own and (len(own) == PAIRS_AT_ONCE or (wide + long + 1) * (wide + 1) * (len(own) + 1) > TRACE_BYTES):
+            for x, found in zip(own, _aligned([pairs[x] for x in own]), strict=True):
+                out[x] = found
+            own, wide, long = [], q, t
+        own.append(k)
+        n, m = wide, long
+    for x, found in zip(own, _aligned([pairs[x] for x in own]) if own else [], strict=True):
+        out[x] = found
     return out
 
 
-def _aligned(queries: list[str], target: str) -> list[tuple[int, int, str]]:
-    n, m, b = max(map(len, queries)), len(target), len(queries)
-    lengths = np.array([len(q) for q in queries])
-    q, t = _padded(queries, n).T.copy(), np.frombuffer(target.encode(), np.uint8)[::-1].copy()
-    inside = np.arange(1, n + 1)[:, None] <= lengths
+def _aligned(pairs: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
+    queries, targets = [x for x, _ in pairs], [x for _, x in pairs]
+    n, m, b = max(map(len, queries)), max(map(len, targets)), len(pairs)
+    # no base is like another's padding, so that a cell there is below one before it and no best one
+    q, t = _padded(queries, n).T.copy(), _padded(targets, m, 1).T[::-1].copy()
+    kind = np.int16 if MATCH * min(n, m) < 1 << 14 else np.int32
+    fit, miss, open_, extend, zero = (kind(x) for x in (MATCH, -MISMATCH, OPEN, EXTEND, 0))
     # rows are places in the query; what was never written is the border: 0 for h, far below for gaps
-    h2, h1, h = (np.zeros((n + 1, b), np.int32) for _ in range(3))
-    e1, e, f1, f = (np.full((n + 1, b), -(1 << 29), np.int32) for _ in range(4))
-    # of each cell, bits: 1 to 3 where h comes from, 4 if e opens here, 8 if f does
-    trace = np.zeros((n + m + 1, n + 1, b), np.uint8)
-    best, best_i, best_j = np.zeros(b, np.int32), np.zeros(b, int), np.zeros(b, int)
+    h2, h1, h = (np.zeros((n + 1, b), kind) for _ in range(3))
+    e1, e, f1, f = (np.full((n + 1, b), np.iinfo(kind).min // 2, kind) for _ in range(4))
+    # of each cell, bits: 1 if h comes from the diagonal, 2 if from e, 4 if e opens here, 8 if f does, 16 if h is 0
+    trace = np.full((n + m + 1, n + 1, b), 16, np.uint8)
+    best, best_i, best_j = np.zeros(b, kind), np.zeros(b, int), np.zeros(b, int)
+    bit = lambda x, k: x.view(np.uint8) << np.uint8(k)
     for d in range(2, n + m + 1):
         lo, hi = max(1, d - m), min(n, d - 1) + 1
         own, above = slice(lo, hi), slice(lo - 1, hi - 1)
-        open_e, open_f = h1[above] - OPEN, h1[own] - OPEN
-        np.maximum(open_e, e1[above] - EXTEND, out=e[own])
-        np.maximum(open_f, f1[own] - EXTEND, out=f[own])
-        bases = t[m - d + lo : m - d + hi, None]  # target places d - i, from the last to the first
-        diagonal = h2[above] + np.where(q[above] == bases, np.int32(MATCH), np.int32(-MISMATCH))
-        gap = np.maximum(e[own], f[own])
-        v = np.maximum(np.maximum(diagonal, gap), 0) * inside[above]
-        h[own] = v
-        trace[d, own] = np.where(v == 0, 0, np.where(v == diagonal, 1, 2 + (v != e[own]))) + 4 * (e[own] == open_e) + 8 * (f[own] == open_f)
-        at = v.argmax(0)  # of equal cells of a diagonal the first in the query
-        value = v[at, np.arange(b)]
-        if (value >= best).any():
-            row = lo + at
-            better = (value > best) | ((value == best) & (value > 0) & ((row < best_i) | ((row == best_i) & (d - row < best_j))))
-            best, best_i, best_j = np.where(better, value, best), np.where(better, row, best_i), np.where(better, d - row, best_j)
+        open_e, open_f = h1[above] - open_, h1[own] - open_
+        np.maximum(open_e, e1[above] - extend, out=e[own])
+        np.maximum(open_f, f1[own] - extend, out=f[own])
+        bases = t[m - d + lo : m - d + hi]  # target places d - i, from the last to the first
+        diagonal = h2[above] + np.where(q[above] == bases, fit, miss)
+        v = np.maximum(np.maximum(diagonal, np.maximum(e[own], f[own])), zero, out=h[own])
+        trace[d, own] = (v == diagonal).view(np.uint8) | bit(v == e[own], 1) | bit(e[own] == open_e, 2) | bit(f[own] == open_f, 3) | bit(v == zero, 4)
+        value = v.max(0)
+        some = np.flatnonzero((value >= best) & (value > 0))
+        if len(some):
+            row = lo + v[:, some].argmax(0)  # of equal cells of a diagonal the first in the query
+            better = (value[some] > best[some]) | (row < best_i[some]) | ((row == best_i[some]) & (d - row < best_j[some]))
+            some, row = some[better], row[better]
+            best[some], best_i[some], best_j[some] = value[some], row, d - row
         h2, h1, h, e1, e, f1, f = h1, h, h2, e, e1, f, f1
     out = []
     for k in range(b):
         i, j, ops, state = int(best_i[k]), int(best_j[k]), [], 0
-        tail = int(lengths[k]) - i
+        tail = len(queries[k]) - i
+        own = trace[:, :, k]
         while True:
-            bits = int(trace[i + j, i, k])
+            bits = own.item(i + j, i)
             if state == 0:
-                state = bits & 3
-                if state == 0:
+                if bits & 16:
                     break
+                state = 1 if bits & 1 else 2 if bits & 2 else 3
                 if state == 1:
                     ops.append("M")
                     i, j, state = i - 1, j - 1, 0
@@ -224,7 +243,14 @@ def _columns(cigar: str, start: int) -> np.ndarray:
 def project(read_cigar: str, read_place: int, hap_cigar: str, hap_place: int) -> tuple[int, str] | None:
     """Where a read is on the reference, and its CIGAR there, from its alignment to a haplotype and the haplotype's to
     the reference; none if no base of it has a place there. A deletion of what the haplotype inserts is nothing."""
-    hap = _columns(hap_cigar, hap_place)
+    return _projected(read_cigar, read_place, _columns(hap_cigar, hap_place))
+
+
+def _projected(read_cigar: str, read_place: int, hap: np.ndarray) -> tuple[int, str] | None:
+    if read_cigar[:-1].isdigit() and read_cigar[-1] == "M":
+        there = hap[read_place : read_place + int(read_cigar[:-1])]
+        if len(there) == int(read_cigar[:-1]) > 0 and there[-1] - there[0] == len(there) - 1 and there.min() >= 0:
+            return int(there[0]), read_cigar  # no gap of the haplotype is in between
     own = _columns(read_cigar, read_place)
     known = (own >= 0) & (own < len(hap))
     at = np.where(own >= 0, -2, own)
@@ -249,43 +275,78 @@ def project(read_cigar: str, read_place: int, hap_cigar: str, hap_place: int) ->
 
 
 def realign_window(ref: str, start: int, prefix: int, suffix: int, seqs: list[str], quals: list[list[int]]) -> list[tuple | None]:
-    """(haplotype, score, pos, cigar) of each read of a window, none for reads that stay as they are.
+    """realign_windows of one."""
+    return realign_windows([(ref, start, prefix, suffix, seqs, quals)])[0]
+
+
+def realign_windows(windows: list[tuple]) -> list[list[tuple | None]]:
+    """(haplotype, score, pos, cigar) of each read of windows (ref, start, prefix, suffix, seqs, quals), none for reads that
+    stay as they are.
 
     ref begins at the place start; its first prefix and last suffix bases only lend context. Of equal scores a haplotype
     other than the reference wins, then the one that all reads together fit better.
     """
-    centre = ref[prefix : len(ref) - suffix]
-    found = haplotypes(centre, list(zip(seqs, quals, strict=True)))
-    haps = [ref[:prefix] + h + ref[len(ref) - suffix :] for h in found] or [ref]
-    index = _mers([s if len(s) > K else "" for s in seqs], K)
-    scores, spots, cigars = [], [], []
-    for hap in haps:
-        s, p = places(hap, seqs, index, None if hap == ref else (prefix, suffix))
-        scores.append(s)
-        spots.append(p)
-        cigars.append([f"{len(x)}M" for x in seqs])
-    fits = [int(s.sum()) for s in scores]
-    open_ = [k for k in range(len(seqs)) if seqs[k] and not any(s[k] > 0 for s in scores)]
-    for hap, s, p, c, fit in zip(haps, scores, spots, cigars, fits, strict=True):
-        if fit and open_:  # a haplotype without any read is none
-            for k, (value, at, cigar) in zip(open_, align([seqs[k] for k in open_], hap), strict=True):
+    placed, pairs = [], {}
+    for ref, _, prefix, suffix, seqs, quals in windows:
+        centre = ref[prefix : len(ref) - suffix]
+        found = haplotypes(centre, list(zip(seqs, quals, strict=True)))
+        haps = [ref[:prefix] + h + ref[len(ref) - suffix :] for h in found] or [ref]
+        index = _mers([s if len(s) > K else "" for s in seqs], K)
+        scores, spots = zip(*(places(hap, seqs, index, None if hap == ref else (prefix, suffix)) for hap in haps), strict=True)
+        fits = [int(s.sum()) for s in scores]
+        open_ = [k for k in range(len(seqs)) if seqs[k] and not any(s[k] > 0 for s in scores)]
+        pairs |= {(seqs[k], hap): None for hap, fit in zip(haps, fits, strict=True) if fit for k in open_}  # a haplotype without any read is none
+        pairs |= {(hap, ref): None for hap in haps if hap != ref}
+        placed.append((haps, scores, spots, fits, open_))
+    aligned = dict(zip(pairs, align_pairs(list(pairs)), strict=True))
+    out = []
+    for (ref, start, _, _, seqs, _), (haps, scores, spots, fits, open_) in zip(windows, placed, strict=True):
+        cigars = [[f"{len(x)}M" for x in seqs] for _ in haps]
+        for hap, s, p, c, fit in zip(haps, scores, spots, cigars, fits, strict=True):
+            for k in open_ if fit else ():
+                value, at, cigar = aligned[seqs[k], hap]
                 if value > 0:
                     s[k], p[k], c[k] = value, at, cigar
-    on_ref = [(0, 0, f"{len(ref)}M") if h == ref else align([h], ref)[0] for h in haps]
-    out = []
-    for k in range(len(seqs)):
-        best = max(range(len(haps)), key=lambda h: (scores[h][k], haps[h] != ref, fits[h], haps[h]))
-        there = project(cigars[best][k], int(spots[best][k]), on_ref[best][2], on_ref[best][1]) if scores[best][k] > 0 else None
-        out.append((haps[best], int(scores[best][k]), start + there[0], there[1]) if there else None)
+        on_ref = [_columns(f"{len(ref)}M", 0) if h == ref else _columns(aligned[h, ref][2], aligned[h, ref][1]) for h in haps]
+        found = []
+        for k in range(len(seqs)):
+            best = max(range(len(haps)), key=lambda h: (scores[h][k], haps[h] != ref, fits[h], haps[h]))
+            there = _projected(cigars[best][k], int(spots[best][k]), on_ref[best]) if scores[best][k] > 0 else None
+            found.append((haps[best], int(scores[best][k]), start + there[0], there[1]) if there else None)
+        out.append(found)
     return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in the order of windows as tables of whole windows, some at once."""
+    held, n = [], 0
+    for b in batches:
+        while b.num_rows:
+            w = b.column("window")
+            last = held[-1].column("window")[-1] if held else w[0]
+            starts = np.flatnonzero([True, *(x != y for x, y in zip(w[1:].to_pylist(), w[:-1].to_pylist(), strict=True))])
+            if last == w[0]:
+                starts = starts[1:]  # the first goes on
+            full = [x for k, x in enumerate(starts.tolist()) if n + x >= READS_AT_ONCE or k >= WINDOWS_AT_ONCE]
+            cut = full[0] if full else b.num_rows
+            if cut:
+                held.append(b.slice(0, cut))
+                n += cut
+            if full:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+            b = b.slice(cut)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def realign(reads: DataFrame, windows: DataFrame, most_reads: int = 1000, most_bases: int = 1000) -> DataFrame:
     """Every read of reads (window, qname, seq, quals, rank, pos, cigar) with its haplotype and score, and its place and
     CIGAR on the reference; both are null, and pos and cigar as they were, for a read that stays as it is.
 
     windows has (window, start, ref), and prefix and suffix where the ends of ref only lend context. Windows of more than
-    most_bases, reads of a rank above most_reads and reads without a window stay as they are, which bounds a group.
+    most_bases, reads of a rank above most_reads and reads without a window stay as they are, which bounds a window's
+    reads; a task gathers windows up to a number of reads.
     """
     zero = F.lit(0)
     few = windows.filter(F.length("ref") <= most_bases).select(
@@ -295,14 +356,24 @@ def realign(reads: DataFrame, windows: DataFrame, most_reads: int = 1000, most_b
     kind = {c: reads.schema[c].dataType.simpleString() for c in ("window", "qname", "pos")}
     schema = f"window {kind['window']}, qname {kind['qname']}, haplotype string, score long, pos {kind['pos']}, cigar string"
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["rank", "qname"])
-        w = frame.iloc[0]
-        new = realign_window(w["ref"], int(w["start"]), int(w["prefix"]), int(w["suffix"]), frame["seq"].to_list(), [list(x) for x in frame["quals"]])
-        rows = [(x if x else (None, None, p, c)) for x, p, c in zip(new, frame["pos"], frame["cigar"], strict=True)]
-        out = pd.DataFrame(rows, columns=["haplotype", "score", "pos", "cigar"])
-        return out.assign(window=frame["window"].to_numpy(), qname=frame["qname"].to_numpy())[["window", "qname", "haplotype", "score", "pos", "cigar"]]
-
-    moved = joined.filter("open").select("window", "qname", "seq", "quals", "rank", "pos", "cigar", "start", "ref", "prefix", "suffix").groupBy("window").applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _gathered(batches):
+            w = rows.column("window").to_pylist()
+            starts = [k for k in range(len(w)) if not k or w[k] != w[k - 1]]
+            seqs, quals = rows.column("seq").to_pylist(), rows.column("quals").combine_chunks()
+            ends, flat = np.cumsum(quals.value_lengths().to_numpy(zero_copy_only=False)), quals.flatten().fill_null(0).to_numpy(zero_copy_only=False).tolist()
+            some = []
+            for a, z in zip(starts, [*starts[1:], len(w)], strict=True):
+                ref, start, prefix, suffix = (rows.column(c)[a].as_py() for c in ("ref", "start", "prefix", "suffix"))
+                some.append((ref, int(start), int(prefix), int(suffix), seqs[a:z], [flat[(ends[k - 1] if k else 0) : ends[k]] for k in range(a, z)]))
+            new = [x for one in realign_windows(some) for x in one]
+            pos, cigar = rows.column("pos").to_pylist(), rows.column("cigar").to_pylist()
+            columns = zip(*(x if x else (None, None, p, c) for x, p, c in zip(new, pos, cigar, strict=True)), strict=True)
+            moved = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), rows.schema.field("pos").type, pa.string()), strict=True)]
+            out = [rows.column("window").combine_chunks(), rows.column("qname").combine_chunks(), *moved]
+            yield pa.RecordBatch.from_arrays(out, ["window", "qname", "haplotype", "score", "pos", "cigar"])
+
+    columns = ("window", "qname", "seq", "quals", "rank", "pos", "cigar", "start", "ref", "prefix", "suffix")
+    dealt = joined.filter("open").select(*columns).repartition("window").sortWithinPartitions("window", "rank", "qname")
     none = F.lit(None)
-    return moved.unionByName(joined.filter("not open").select("window", "qname", none.cast("string").alias("haplotype"), none.cast("long").alias("score"), "pos", "cigar"))
+    return dealt.mapInArrow(run, schema).unionByName(joined.filter("not open").select("window", "qname", none.cast("string").alias("haplotype"), none.cast("long").alias("score"), "pos", "cigar"))
